@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from stridemill.operators.joins import join_back, same_keys
 from stridemill.schema import names, require_columns
 from stridemill.session import stage
 
@@ -95,10 +96,7 @@ def split_hot(
         counts.where(F.col("__n") > limit).select(*[F.col(k).alias(f"__hot_{k}") for k in keys]),
         "hot-keys",
     )
-    same = [F.col(k).eqNullSafe(F.col(f"__hot_{k}")) for k in keys]
-    on = same[0]
-    for condition in same[1:]:
-        on = on & condition
+    on = same_keys(keys, "__hot_")
     small = F.broadcast(hot_keys)
     return df.join(small, on, "left_anti"), df.join(small, on, "left_semi")
 
@@ -129,23 +127,12 @@ def with_position(
     starts = ranked.groupBy(*keys).agg(
         F.min("__gpos").alias("__start"), F.count(F.lit(1)).alias("__n")
     )
-    located = _join_small(ranked, starts, keys).withColumn(pos, F.col("__gpos") - F.col("__start"))
+    located = join_back(ranked, starts, keys, small=True).withColumn(pos, F.col("__gpos") - F.col("__start"))
     if total:
         located = located.withColumn(total, F.col("__n"))
     return out.unionByName(located.drop("__gpos", "__start", "__n"))
 
 
-def _join_small(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
-    renamed = small.select(
-        *[F.col(k).alias(f"__k_{k}") for k in keys], *[c for c in small.columns if c not in keys]
-    )
-    on = None
-    for k in keys:
-        same = F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-        on = same if on is None else on & same
-    return df.join(F.broadcast(renamed), on).drop(*[f"__k_{k}" for k in keys])
-
-
 def frames(
     df: DataFrame,
     value: Column,
@@ -200,7 +187,7 @@ def frames(
     ranked = rank_globally(series, [*keys, *order], "__gpos").df
     if keys:
         starts = ranked.groupBy(*keys).agg(F.min("__gpos").alias("__start"))
-        ranked = _join_small(ranked, starts, keys)
+        ranked = join_back(ranked, starts, keys, small=True)
     else:
         ranked = ranked.withColumn("__start", F.lit(0).cast("long"))
     home = F.floor(F.col("__gpos") / size)
@@ -274,16 +261,12 @@ def running(
         ranked.groupBy(*group)
         .agg(*[_RUNNING[fn][0](F.col(c)).alias(f"__c_{out}") for out, (fn, c) in values.items()])
         .select(
-            *[F.col(k).alias(f"__k_{k}") for k in group],
+            *group,
             *[merged[fn](f"__c_{out}").over(before).alias(f"__b_{out}") for out, (fn, _) in values.items()],
         )
     )
     inside = add(ranked, Window.partitionBy(*group).orderBy("__gpos"), "__i_")
-    on = None
-    for k in group:
-        same = F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-        on = same if on is None else on & same
-    split = inside.join(chunks, on).withColumns(
+    split = join_back(inside, chunks, group).withColumns(
         {
             out: _RUNNING[fn][1](F.col(f"__b_{out}"), F.col(f"__i_{out}"))
             for out, (fn, _) in values.items()
