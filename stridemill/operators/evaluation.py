@@ -67,6 +67,16 @@ def epoch_loss(
     raise ValueError("weighting must be 'element' or 'batch'")
 
 
+def epoch_means(
+    batches: DataFrame, loss: str = "loss", n: str = "n", by: Sequence[str] = EPOCH_KEYS
+) -> DataFrame:
+    """Both reductions of a batch table: over rows, and over batch means."""
+    return batches.groupBy(*by).agg(
+        F.try_divide(F.sum(F.col(loss) * F.col(n)), F.sum(n)).alias("element_loss"),
+        F.avg(loss).alias("batch_loss"),
+    )
+
+
 def weighted_epoch(
     batches: DataFrame, loss: str = "loss", n: str = "n", correct: str | None = None,
     by: Sequence[str] = EPOCH_KEYS,
@@ -127,20 +137,15 @@ def focal_loss(
     return losses.reduce_loss(per_sample, "loss", reduction)
 
 
-def mixed_loss(
+def image_losses(
     df: DataFrame,
     sample: str | Sequence[str],
+    alpha: float,
+    gamma: float = 2.0,
     logits: str = "logits",
     target: str = "target",
-    gamma: float = 1.1,
-    alpha: float = 0.48,
-    reduction: str = "mean",
 ) -> DataFrame:
-    """Focal loss minus the logarithm of the dice loss, each reduced first.
-
-    Both are taken in one pass over the pixels. A dice loss of 0 gives +inf.
-    """
-    losses.check_reduction(reduction)
+    """``(sample, focal, dice)`` per image, in one pass over the pixels."""
     sample = names(sample)
     per_pixel = _pixels(df, sample, logits, target).select(
         *sample,
@@ -148,9 +153,26 @@ def mixed_loss(
         losses.dice_mass("z").alias("mass"),
         losses.focal_pixel("z", "t", alpha, gamma).alias("focal"),
     )
-    out = per_pixel.groupBy(*sample).agg(
+    return per_pixel.groupBy(*sample).agg(
         F.avg("focal").alias("focal"), _dice(losses.LOSS_EPS).alias("dice")
     )
+
+
+def mixed_loss(
+    df: DataFrame,
+    sample: str | Sequence[str],
+    logits: str = "logits",
+    target: str = "target",
+    gamma: float = 1.1,
+    alpha: float = 0.48,
+    reduction: str = "mean",
+) -> DataFrame:
+    """Focal loss minus the logarithm of the dice loss, each reduced first.
+
+    A dice loss of 0 gives +inf.
+    """
+    losses.check_reduction(reduction)
+    out = image_losses(df, sample, alpha, gamma, logits, target)
     if reduction != "none":
         fold = F.avg if reduction == "mean" else F.sum
         out = out.agg(fold("focal").alias("focal"), fold("dice").alias("dice"))

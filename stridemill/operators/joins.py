@@ -20,7 +20,11 @@ def same_keys(keys: Sequence[str], prefix: str) -> Column:
 
 
 def join_back(
-    df: DataFrame, stats: DataFrame, keys: str | Sequence[str], small: bool = False
+    df: DataFrame,
+    stats: DataFrame,
+    keys: str | Sequence[str],
+    small: bool = False,
+    how: str = "inner",
 ) -> DataFrame:
     """Add the columns of ``stats`` (one row per key) to the rows of ``df``.
 
@@ -31,7 +35,7 @@ def join_back(
     keys = names(keys)
     require_columns(df, *keys)
     renamed = stats.withColumnsRenamed({k: f"__k_{k}" for k in keys})
-    joined = df.join(F.broadcast(renamed) if small else renamed, same_keys(keys, "__k_"))
+    joined = df.join(F.broadcast(renamed) if small else renamed, same_keys(keys, "__k_"), how)
     return joined.drop(*[f"__k_{k}" for k in keys])
 
 
@@ -61,13 +65,19 @@ def learning_curve(
     by: str | Sequence[str] = "run",
     how: str = "inner",
 ) -> DataFrame:
-    """Training and validation value of a metric side by side, per epoch."""
+    """Training and validation value of a metric side by side, per epoch.
+
+    Both sides come from one table, so one grouping takes the place of a join.
+    ``how`` is inner (epochs with both values) or full_outer.
+    """
+    if how not in ("inner", "full_outer"):
+        raise ValueError("how must be 'inner' or 'full_outer'")
     keys = [*names(by), "epoch"]
     require_columns(events, *keys, "phase", "metric", "value")
-    sides = [
-        events.where((F.col("metric") == metric) & (F.col("phase") == phase)).select(
-            *keys, F.col("value").alias(phase)
-        )
-        for phase in phases
-    ]
-    return sides[0].join(sides[1], keys, how)
+    wanted = events.where((F.col("metric") == metric) & F.col("phase").isin(*phases))
+    there = [F.col("phase") == p for p in phases]
+    sides = wanted.groupBy(*keys).agg(
+        *[F.max(F.when(t, F.col("value"))).alias(p) for t, p in zip(there, phases)],
+        (F.max(there[0].cast("int")) + F.max(there[1].cast("int"))).alias("__sides"),
+    )
+    return (sides.where(F.col("__sides") == 2) if how == "inner" else sides).drop("__sides")

@@ -29,6 +29,8 @@ GROUP_ROWS = 1_000_000
 HOT_KEYS = 100_000
 # Consecutive rows per chunk where a series is split.
 CHUNK_ROWS = 250_000
+# A table with one row per chunk never has more rows than this.
+MAX_CHUNKS = 1_000_000
 # Up to this length a frame is read with LEAD columns, above with COLLECT_LIST.
 LEAD_LENGTH = 48
 
@@ -101,6 +103,28 @@ def split_hot(
     return df.join(small, on, "left_anti"), df.join(small, on, "left_semi")
 
 
+def join_stats(
+    df: DataFrame,
+    stats: DataFrame,
+    keys: str | Sequence[str],
+    max_group_rows: int | None = None,
+    how: str = "inner",
+) -> DataFrame:
+    """Add one row of statistics per key to all rows of that key.
+
+    Statistics of hot keys, at most ``HOT_KEYS`` rows, are broadcast, so the
+    rows of a frequent key stay where they are. The others are shuffled, or
+    broadcast by AQE if the whole table turns out small.
+    """
+    keys = names(keys)
+    cold, hot = split_hot(df, keys, max_group_rows)
+    out = join_back(cold, stats, keys, how=how)
+    if hot is None:
+        return out
+    few = join_back(stats, stage(hot.select(*keys).distinct(), "hot-keys"), keys)
+    return out.unionByName(join_back(hot, few, keys, small=True, how=how))
+
+
 def with_position(
     df: DataFrame,
     order_by: str | Sequence[str],
@@ -209,6 +233,50 @@ def _values(spec: WindowSpec, length: int) -> Column:
     return F.transform(rows, lambda r: r["__v"])
 
 
+def blocks(
+    df: DataFrame,
+    value: Column,
+    length: int,
+    stride: int,
+    order_by: str | Sequence[str],
+    partition_by: str | Sequence[str] = (),
+    tail: Sequence[Column] = (),
+    max_group_rows: int | None = None,
+) -> DataFrame:
+    """The frames that start at multiples of ``stride``; same columns as ``frames``.
+
+    Rows are copied into the ``length / stride`` blocks that hold them and
+    gathered per block, which is never more than ``length`` rows. Cheaper than
+    ``frames`` unless blocks overlap many times.
+    """
+    keys, order = names(partition_by), names(order_by)
+    require_columns(df, *keys, *order)
+    narrow = df.select(
+        *dict.fromkeys([*keys, *order]), value.alias("__v"), F.struct(F.lit(True).alias("__here"), *tail).alias("__tail")
+    )
+    placed = with_position(narrow, order, keys, "__pos", max_group_rows=max_group_rows)
+    at = F.col("__pos")
+    first = F.greatest(F.ceil((at - length + 1) / stride), F.lit(0))
+    last = F.floor(at / stride)
+    copies = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+    return (
+        placed.select(*keys, "__pos", "__v", "__tail", F.explode(copies).alias("__block"))
+        .groupBy(*keys, "__block")
+        .agg(
+            F.collect_list(F.struct("__pos", "__v")).alias("__rows"),
+            F.max_by("__tail", "__pos").alias("__end"),
+        )
+        .where(F.size("__rows") == length)
+        .select(
+            *keys,
+            (F.col("__block") * stride).alias("pos"),
+            F.transform(F.sort_array("__rows"), lambda r: r["__v"]).alias("x"),
+            "__end.*",
+        )
+        .drop("__here")
+    )
+
+
 _RUNNING = {
     "sum": (F.sum, lambda a, b: F.coalesce(a + b, a, b)),
     "count": (F.count, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
@@ -250,10 +318,9 @@ def running(
         if series is None:
             return done
 
-    size = chunk_rows or CHUNK_ROWS
-    ranked = rank_globally(series, [*keys, *order], "__gpos").df.withColumn(
-        "__chunk", F.floor(F.col("__gpos") / size)
-    )
+    placed = rank_globally(series, [*keys, *order], "__gpos")
+    size = max(chunk_rows or CHUNK_ROWS, math.ceil(placed.total / MAX_CHUNKS))
+    ranked = placed.df.withColumn("__chunk", F.floor(F.col("__gpos") / size))
     group = [*keys, "__chunk"]
     before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     merged = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}

@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stridemill.operators.joins import join_back
-from stridemill.operators.order import running
+from stridemill.operators.order import join_stats, running
 from stridemill.schema import names, require_columns
 
 
@@ -96,7 +95,7 @@ def progress(
         max_group_rows=max_group_rows,
         chunk_rows=chunk_rows,
     )
-    return join_back(out, totals, keys).withColumn(
+    return join_stats(out, totals, keys, max_group_rows).withColumn(
         "percent", 100.0 * F.try_divide(F.col("seen"), F.col("total"))
     )
 
@@ -108,15 +107,17 @@ def latest_values(df: DataFrame, value: str, step: str, by: str | Sequence[str])
     )
 
 
-def column_max_normalise(df: DataFrame, value: str, by: str | Sequence[str]) -> DataFrame:
+def column_max_normalise(
+    df: DataFrame, value: str, by: str | Sequence[str], max_group_rows: int | None = None
+) -> DataFrame:
     """Divide by the largest value of the same key; a zero maximum gives NULL.
 
-    The maxima are a partial aggregate joined back, so that one frequent key
-    need not be gathered in a task.
+    The maxima are a partial aggregate joined back; the rows of a frequent key
+    are not gathered in a task.
     """
     keys = names(by)
     tops = df.groupBy(*keys).agg(F.max(value).alias("__top"))
-    return join_back(df, tops, keys).withColumn(
+    return join_stats(df, tops, keys, max_group_rows).withColumn(
         value, F.try_divide(F.col(value), F.col("__top"))
     ).drop("__top")
 

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stridemill.functions.arrays import pad_to
-from stridemill.operators.joins import join_back
-from stridemill.operators.order import Ranked, rank_globally, with_position
+from stridemill.operators.order import Ranked, join_stats, rank_globally, with_position
 from stridemill.operators.sampling import hash_position
 from stridemill.schema import names, require_array, require_columns
 
@@ -105,14 +104,19 @@ def shuffled_batches(
     return _batch(hash_position(df, ids, seed, epoch, total="__total"), size, drop_last)
 
 
-def pad_batches(df: DataFrame, x: str, batch: str | Sequence[str] = "batch_ix") -> DataFrame:
+def pad_batches(
+    df: DataFrame,
+    x: str,
+    batch: str | Sequence[str] = "batch_ix",
+    max_group_rows: int | None = None,
+) -> DataFrame:
     """Zero-pad ``x`` to the longest of its batch and keep its length in ``len``."""
     keys = names(batch)
     require_columns(df, *keys)
     require_array(df, x)
     longest = df.groupBy(*keys).agg(F.max(F.size(x)).alias("__longest"))
     return (
-        join_back(df, longest, keys)
+        join_stats(df, longest, keys, max_group_rows)
         .withColumn("len", F.size(x))
         .withColumn(x, pad_to(F.col(x).cast("array<double>"), "__longest"))
         .drop("__longest")

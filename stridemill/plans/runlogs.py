@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stridemill.functions.scalars import every_n as on_every_n
 from stridemill.operators import joins, runlog, running
 from stridemill.plans.registry import query, rounded, table
+from stridemill.session import stage
 
 def _squared() -> Column:
     return (F.col("value") - 50) * (F.col("value") - 50)
@@ -20,11 +21,16 @@ d AS (SELECT event_type AS run, day(ts)::INTEGER AS epoch, round(sqrt(avg(power(
 
 
 def _days(spark: SparkSession, folder: str) -> DataFrame:
-    """Root mean squared error of the constant forecast 50, per run and epoch."""
-    return (
+    """Root mean squared error of the constant forecast 50, per run and epoch.
+
+    The run log is written once: the operators read it more than once and
+    should not aggregate the events again.
+    """
+    return stage(
         table(spark, folder, "events")
         .groupBy(F.col("event_type").alias("run"), F.dayofmonth("ts").alias("epoch"))
-        .agg(rounded(F.sqrt(F.avg(_squared()))).alias("metric"))
+        .agg(rounded(F.sqrt(F.avg(_squared()))).alias("metric")),
+        "run-log",
     )
 
 
@@ -74,14 +80,15 @@ b AS (SELECT day(ts)::INTEGER AS epoch, event_type AS phase, hour(ts)::INTEGER A
 
 
 def _batches(spark: SparkSession, folder: str) -> DataFrame:
-    return (
+    return stage(
         table(spark, folder, "events")
         .groupBy(
             F.dayofmonth("ts").alias("epoch"),
             F.col("event_type").alias("phase"),
             F.hour("ts").alias("batch_ix"),
         )
-        .agg(F.sum(_squared()).alias("sse"), F.count(F.lit(1)).alias("n"))
+        .agg(F.sum(_squared()).alias("sse"), F.count(F.lit(1)).alias("n")),
+        "batch-log",
     )
 
 
@@ -201,10 +208,11 @@ WITH h AS (SELECT date_trunc('hour', ts) AS t, event_type AS scale, sum(value) A
 SELECT day(t)::INTEGER AS day, hour(t)::INTEGER AS hour, scale, round(power / max(power) OVER (PARTITION BY t), 6) AS power FROM h
 """)
 def column_max_normalise(spark: SparkSession, folder: str) -> DataFrame:
-    hours = (
+    hours = stage(
         table(spark, folder, "events")
         .groupBy(F.dayofmonth("ts").alias("day"), F.hour("ts").alias("hour"), F.col("event_type").alias("scale"))
-        .agg(F.sum("value").alias("power"))
+        .agg(F.sum("value").alias("power")),
+        "spectrum",
     )
     out = running.column_max_normalise(hours, "power", ["day", "hour"])
     return out.select("day", "hour", "scale", rounded("power").alias("power"))

@@ -172,18 +172,14 @@ UNION ALL SELECT 'focal', 'mean', round(avg(loss), 6) FROM focal
 UNION ALL SELECT 'focal', 'sum', round(sum(loss), 6) FROM focal
 """)
 def loss_reductions(spark: SparkSession, folder: str) -> DataFrame:
-    pixels = _pixels(spark, folder)
-    out = None
-    for how in ("mean", "sum"):
-        for name, part in (
-            ("dice", evaluation.dice_loss(pixels, "sample", reduction=how)),
-            ("focal", evaluation.focal_loss(pixels, "sample", 0.25, reduction=how)),
-        ):
-            row = part.select(
-                F.lit(name).alias("name"), F.lit(how).alias("reduction"), rounded("loss").alias("loss")
-            )
-            out = row if out is None else out.unionByName(row)
-    return out
+    images = evaluation.image_losses(_pixels(spark, folder), "sample", alpha=0.25)
+    folds = {
+        f"{name}_{how}": fold(name) for name in ("dice", "focal") for how, fold in (("mean", F.avg), ("sum", F.sum))
+    }
+    wide = images.agg(*[rounded(c).alias(n) for n, c in folds.items()])
+    long = wide.unpivot([], list(folds), "name", "loss")
+    parts = F.split("name", "_")
+    return long.select(F.get(parts, 0).alias("name"), F.get(parts, 1).alias("reduction"), "loss")
 
 
 @query("""
@@ -265,10 +261,8 @@ FROM (SELECT phase, epoch, avg(loss) AS loss FROM r GROUP BY phase, epoch) e
 JOIN (SELECT phase, epoch, avg(loss) AS loss FROM b GROUP BY phase, epoch) u USING (phase, epoch)
 """)
 def batch_epoch_loss(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _loss_rows(spark, folder)
-    element = evaluation.epoch_loss(rows, weighting="element").withColumnRenamed("loss", "element_loss")
-    unweighted = evaluation.epoch_loss(rows, weighting="batch").withColumnRenamed("loss", "batch_loss")
-    return element.join(unweighted, ["phase", "epoch"]).select(
+    out = evaluation.epoch_means(evaluation.batch_loss(_loss_rows(spark, folder)))
+    return out.select(
         "phase", "epoch", rounded("element_loss").alias("element_loss"), rounded("batch_loss").alias("batch_loss")
     )
 

@@ -11,11 +11,10 @@ from stridemill.streaming import jobs
 
 
 def _event_stream(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
-    """The table rewritten as files of disjoint users, so that each key's rows
-    are in one micro-batch."""
+    """The table rewritten as several files, so that there can be micro-batches."""
     path = fresh_path(spark, "event-files")
     events = table(spark, folder, "events")
-    events.repartition("user_id").write.parquet(path)
+    events.repartitionByRange("event_id").write.parquet(path)
     return jobs.read_files(spark, path, events.schema, files_per_batch)
 
 
@@ -62,18 +61,12 @@ FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
 QUALIFY lead(event_id, 4) OVER w IS NOT NULL
 """)
 def stream_lookahead(spark: SparkSession, folder: str) -> DataFrame:
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, jobs.STATE_STORE)
-    try:
-        samples = jobs.lookahead_samples(
-            _event_stream(spark, folder), "value", 4, 1, "user_id", ["ts", "event_id"]
-        )
-        out = fresh_path(spark, "samples")
-        jobs.write_append(samples, out, fresh_path(spark, "checkpoint")).awaitTermination()
-    finally:
-        spark.conf.set(key, before)
-    return spark.read.parquet(out).select(
+    """The whole table is one micro-batch: files of one folder arrive unordered."""
+    out = fresh_path(spark, "samples")
+    jobs.write_lookahead(
+        _event_stream(spark, folder), "value", 4, 1, "user_id", ["ts", "event_id"], out, fresh_path(spark, "checkpoint")
+    ).awaitTermination()
+    return spark.read.parquet(f"{out}/samples").select(
         "user_id", "pos", F.get("x", 0).alias("x0"), F.get("x", 3).alias("x3"), "target"
     )
 

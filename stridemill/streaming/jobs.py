@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from stridemill.functions.metrics import Metric, finish_states, partial_states, resolve
+from stridemill.operators.joins import join_back
+from stridemill.operators.order import frames, join_stats, with_position
 from stridemill.schema import names
-
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from stridemill.session import stage
 
 
 def read_files(
@@ -96,52 +95,69 @@ def hopping_slices(
     )
 
 
-class _Lookahead(StatefulProcessor):
-    """Keeps the last values of one key and emits a sample per arriving value."""
-
-    def __init__(self, seq_len: int, look_ahead: int, key_name: str, value: str, order: list[str]):
-        self.seq_len, self.span = seq_len, seq_len + look_ahead
-        self.key_name, self.value, self.order = key_name, value, order
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("recent", "recent ARRAY<DOUBLE>, seen LONG")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        recent, seen = self.state.get() if self.state.exists() else ([], 0)
-        recent = list(recent)
-        arrived = pd.concat(list(rows)).sort_values(self.order)
-        samples = []
-        for v in arrived[self.value].astype(float):
-            recent.append(v)
-            seen += 1
-            if len(recent) > self.span:
-                recent.pop(0)
-            if len(recent) == self.span:
-                samples.append((key[0], seen - self.span, recent[: self.seq_len], v))
-        self.state.update((recent, seen))
-        yield pd.DataFrame(samples, columns=[self.key_name, "pos", "x", "target"])
-
-    def close(self) -> None:
-        pass
-
-
-def lookahead_samples(
-    stream: DataFrame, value: str, seq_len: int, look_ahead: int, key: str, order_by: Sequence[str]
-) -> DataFrame:
-    """Look-ahead samples per key as the values arrive.
+def write_lookahead(
+    stream: DataFrame,
+    value: str,
+    seq_len: int,
+    look_ahead: int,
+    key: str,
+    order_by: str | Sequence[str],
+    path: str,
+    checkpoint: str,
+    max_group_rows: int | None = None,
+) -> StreamingQuery:
+    """Look-ahead samples per key as the values arrive, under ``path/samples``.
 
-    State per key is ``seq_len + look_ahead`` values. Micro-batches must arrive
-    in order; inside one the rows are sorted. The size of a micro-batch is
-    bounded by the source, so is what one key holds in memory. Values must not
-    be NULL. Needs the RocksDB state store (``STATE_STORE``).
+    Each micro-batch is put behind the last ``seq_len + look_ahead - 1`` values
+    of its keys, kept under ``path/tail``, and cut by the batch operator, which
+    splits hot keys. New samples are those that end on a new row. A row that is
+    not after the last one of its key is late and left out. A micro-batch that
+    is run again reads the same tail and overwrites its folders.
     """
-    rows = stream.select(key, value, *[c for c in order_by if c not in (key, value)])
-    kind = stream.schema[key].dataType.simpleString()
-    return rows.groupBy(key).transformWithStateInPandas(
-        _Lookahead(seq_len, look_ahead, key, value, list(order_by)),
-        f"`{key}` {kind}, pos LONG, x ARRAY<DOUBLE>, target DOUBLE",
-        "append",
-        "none",
+    order = names(order_by)
+    reach = seq_len + look_ahead - 1
+    columns = [key, *[c for c in order if c != key], "value"]
+
+    def cut(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        arrived = batch.select(key, *[c for c in order if c != key], F.col(value).cast("double").alias("value"))
+        if batch_id == 0:
+            tail = spark.createDataFrame([], arrived.schema).withColumn("pos", F.lit(0).cast("long"))
+        else:
+            tail = spark.read.parquet(f"{path}/tail/batch={batch_id - 1}")
+        known = tail.groupBy(key).agg(
+            F.max(F.struct(*order)).alias("__last"),
+            F.min("pos").alias("__start"),
+        )
+        rows = join_stats(arrived, known, key, max_group_rows, "left").where(
+            F.col("__last").isNull() | (F.struct(*order) > F.col("__last"))
+        )
+        both = stage(
+            rows.select(*columns, F.lit(True).alias("__new"), F.coalesce("__start", F.lit(0)).alias("__start"))
+            .unionByName(
+                join_back(tail, known.select(key, "__start"), key).select(
+                    *columns, F.lit(False).alias("__new"), "__start"
+                )
+            ),
+            "micro-batch",
+        )
+        samples = frames(
+            both, F.col("value"), seq_len, reach, order, key,
+            [F.col("value").alias("target"), F.col("__new"), F.col("__start")], max_group_rows,
+        )
+        samples.where("__new").select(
+            key, (F.col("pos") + F.col("__start")).alias("pos"), "x", "target"
+        ).write.mode("overwrite").parquet(f"{path}/samples/batch={batch_id}")
+        placed = with_position(both, order, key, "__at", "__n", max_group_rows)
+        placed.where(F.col("__at") >= F.col("__n") - reach).select(
+            *columns, (F.col("__at") + F.col("__start")).alias("pos")
+        ).write.mode("overwrite").parquet(f"{path}/tail/batch={batch_id}")
+
+    return (
+        stream.writeStream.option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .foreachBatch(cut)
+        .start()
     )
 
 
