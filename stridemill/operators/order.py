@@ -34,7 +34,7 @@ MAX_CHUNKS = 1_000_000
 # Up to this length a frame is read with LEAD columns, above with COLLECT_LIST.
 LEAD_LENGTH = 48
 
-_ID = "__row_id"
+_ID = "__ord_row_id"
 _RUN_BITS = 33  # monotonically_increasing_id keeps the partition above bit 33
 
 
@@ -69,12 +69,12 @@ def rank_globally(df: DataFrame, order_by: str | Sequence[str], pos: str = "pos"
     for row in counts:
         offsets.append((row["run"], total))
         total += row["count"]
-    base = df.sparkSession.createDataFrame(offsets, "__run LONG, __base LONG")
+    base = df.sparkSession.createDataFrame(offsets, "__ord_run LONG, __ord_base LONG")
     ranked = (
-        staged.withColumn("__run", run)
-        .join(F.broadcast(base), "__run")
-        .withColumn(pos, F.col("__base") + local)
-        .drop("__run", "__base", _ID)
+        staged.withColumn("__ord_run", run)
+        .join(F.broadcast(base), "__ord_run")
+        .withColumn(pos, F.col("__ord_base") + local)
+        .drop("__ord_run", "__ord_base", _ID)
     )
     return Ranked(ranked, total)
 
@@ -89,16 +89,16 @@ def split_hot(
     ``HOT_KEYS`` keys are broadcast.
     """
     keys = names(keys)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    total, biggest = counts.agg(F.sum("__n"), F.max("__n")).first()
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__ord_n"))
+    total, biggest = counts.agg(F.sum("__ord_n"), F.max("__ord_n")).first()
     limit = max(max_group_rows or GROUP_ROWS, math.ceil((total or 0) / HOT_KEYS))
     if not total or biggest <= limit:
         return df, None
     hot_keys = stage(
-        counts.where(F.col("__n") > limit).select(*[F.col(k).alias(f"__hot_{k}") for k in keys]),
+        counts.where(F.col("__ord_n") > limit).select(*[F.col(k).alias(f"__ord_hot_{k}") for k in keys]),
         "hot-keys",
     )
-    on = same_keys(keys, "__hot_")
+    on = same_keys(keys, "__ord_hot_")
     small = F.broadcast(hot_keys)
     return df.join(small, on, "left_anti"), df.join(small, on, "left_semi")
 
@@ -146,15 +146,15 @@ def with_position(
         out = out.withColumn(total, F.count(F.lit(1)).over(spec))
     if hot is None:
         return out
-    ranked = rank_globally(hot, [*keys, *order], "__gpos").df
+    ranked = rank_globally(hot, [*keys, *order], "__ord_gpos").df
     # at most HOT_KEYS rows
     starts = ranked.groupBy(*keys).agg(
-        F.min("__gpos").alias("__start"), F.count(F.lit(1)).alias("__n")
+        F.min("__ord_gpos").alias("__ord_start"), F.count(F.lit(1)).alias("__ord_n")
     )
-    located = join_back(ranked, starts, keys, small=True).withColumn(pos, F.col("__gpos") - F.col("__start"))
+    located = join_back(ranked, starts, keys, small=True).withColumn(pos, F.col("__ord_gpos") - F.col("__ord_start"))
     if total:
-        located = located.withColumn(total, F.col("__n"))
-    return out.unionByName(located.drop("__gpos", "__start", "__n"))
+        located = located.withColumn(total, F.col("__ord_n"))
+    return out.unionByName(located.drop("__ord_gpos", "__ord_start", "__ord_n"))
 
 
 def frames(
@@ -183,54 +183,54 @@ def frames(
     require_columns(df, *keys, *order)
     narrow = df.select(
         *dict.fromkeys([*keys, *order]),
-        value.alias("__v"),
-        F.struct(F.lit(True).alias("__here"), *tail).alias("__tail"),
+        value.alias("__ord_v"),
+        F.struct(F.lit(True).alias("__ord_here"), *tail).alias("__ord_tail"),
     )
 
     def cut(rows: DataFrame, spec: WindowSpec) -> DataFrame:
-        return rows.withColumn("__x", _values(spec, length)).withColumn(
-            "__end", F.lead("__tail", reach).over(spec)
+        return rows.withColumn("__ord_x", _values(spec, length)).withColumn(
+            "__ord_end", F.lead("__ord_tail", reach).over(spec)
         )
 
     def shape(rows: DataFrame, pos: Column) -> DataFrame:
-        return rows.where(F.col("__end").isNotNull()).select(
-            *keys, pos.alias("pos"), F.col("__x").alias("x"), "__end.*"
-        ).drop("__here")
+        return rows.where(F.col("__ord_end").isNotNull()).select(
+            *keys, pos.alias("pos"), F.col("__ord_x").alias("x"), "__ord_end.*"
+        ).drop("__ord_here")
 
     out = None
     series = narrow
     if keys:
         cold, series = split_hot(narrow, keys, max_group_rows)
         spec = Window.partitionBy(*keys).orderBy(*order)
-        rows = cut(cold, spec).withColumn("__pos", F.row_number().over(spec).cast("long") - 1)
-        out = shape(rows, F.col("__pos"))
+        rows = cut(cold, spec).withColumn("__ord_pos", F.row_number().over(spec).cast("long") - 1)
+        out = shape(rows, F.col("__ord_pos"))
         if series is None:
             return out
 
     size = max(chunk_rows or CHUNK_ROWS, reach, 1)
-    ranked = rank_globally(series, [*keys, *order], "__gpos").df
+    ranked = rank_globally(series, [*keys, *order], "__ord_gpos").df
     if keys:
-        starts = ranked.groupBy(*keys).agg(F.min("__gpos").alias("__start"))
+        starts = ranked.groupBy(*keys).agg(F.min("__ord_gpos").alias("__ord_start"))
         ranked = join_back(ranked, starts, keys, small=True)
     else:
-        ranked = ranked.withColumn("__start", F.lit(0).cast("long"))
-    home = F.floor(F.col("__gpos") / size)
-    copied = (F.pmod("__gpos", F.lit(size)) < reach) & (home > 0)
+        ranked = ranked.withColumn("__ord_start", F.lit(0).cast("long"))
+    home = F.floor(F.col("__ord_gpos") / size)
+    copied = (F.pmod("__ord_gpos", F.lit(size)) < reach) & (home > 0)
     chunked = ranked.withColumn(
-        "__chunk", F.explode(F.when(copied, F.array(home, home - 1)).otherwise(F.array(home)))
+        "__ord_chunk", F.explode(F.when(copied, F.array(home, home - 1)).otherwise(F.array(home)))
     )
-    spec = Window.partitionBy(*keys, "__chunk").orderBy("__gpos")
-    rows = cut(chunked, spec).where(F.col("__chunk") == home)
-    split = shape(rows, F.col("__gpos") - F.col("__start"))
+    spec = Window.partitionBy(*keys, "__ord_chunk").orderBy("__ord_gpos")
+    rows = cut(chunked, spec).where(F.col("__ord_chunk") == home)
+    split = shape(rows, F.col("__ord_gpos") - F.col("__ord_start"))
     return split if out is None else out.unionByName(split)
 
 
 def _values(spec: WindowSpec, length: int) -> Column:
     if length <= LEAD_LENGTH:
-        return F.array(*[F.lead("__v", i).over(spec) if i else F.col("__v") for i in range(length)])
+        return F.array(*[F.lead("__ord_v", i).over(spec) if i else F.col("__ord_v") for i in range(length)])
     # the struct keeps NULL values, which collect_list alone would drop
-    rows = F.collect_list(F.struct("__v")).over(spec.rowsBetween(0, length - 1))
-    return F.transform(rows, lambda r: r["__v"])
+    rows = F.collect_list(F.struct("__ord_v")).over(spec.rowsBetween(0, length - 1))
+    return F.transform(rows, lambda r: r["__ord_v"])
 
 
 def blocks(
@@ -252,28 +252,28 @@ def blocks(
     keys, order = names(partition_by), names(order_by)
     require_columns(df, *keys, *order)
     narrow = df.select(
-        *dict.fromkeys([*keys, *order]), value.alias("__v"), F.struct(F.lit(True).alias("__here"), *tail).alias("__tail")
+        *dict.fromkeys([*keys, *order]), value.alias("__ord_v"), F.struct(F.lit(True).alias("__ord_here"), *tail).alias("__ord_tail")
     )
-    placed = with_position(narrow, order, keys, "__pos", max_group_rows=max_group_rows)
-    at = F.col("__pos")
+    placed = with_position(narrow, order, keys, "__ord_pos", max_group_rows=max_group_rows)
+    at = F.col("__ord_pos")
     first = F.greatest(F.ceil((at - length + 1) / stride), F.lit(0))
     last = F.floor(at / stride)
     copies = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
     return (
-        placed.select(*keys, "__pos", "__v", "__tail", F.explode(copies).alias("__block"))
-        .groupBy(*keys, "__block")
+        placed.select(*keys, "__ord_pos", "__ord_v", "__ord_tail", F.explode(copies).alias("__ord_block"))
+        .groupBy(*keys, "__ord_block")
         .agg(
-            F.collect_list(F.struct("__pos", "__v")).alias("__rows"),
-            F.max_by("__tail", "__pos").alias("__end"),
+            F.collect_list(F.struct("__ord_pos", "__ord_v")).alias("__ord_rows"),
+            F.max_by("__ord_tail", "__ord_pos").alias("__ord_end"),
         )
-        .where(F.size("__rows") == length)
+        .where(F.size("__ord_rows") == length)
         .select(
             *keys,
-            (F.col("__block") * stride).alias("pos"),
-            F.transform(F.sort_array("__rows"), lambda r: r["__v"]).alias("x"),
-            "__end.*",
+            (F.col("__ord_block") * stride).alias("pos"),
+            F.transform(F.sort_array("__ord_rows"), lambda r: r["__ord_v"]).alias("x"),
+            "__ord_end.*",
         )
-        .drop("__here")
+        .drop("__ord_here")
     )
 
 
@@ -318,24 +318,24 @@ def running(
         if series is None:
             return done
 
-    placed = rank_globally(series, [*keys, *order], "__gpos")
+    placed = rank_globally(series, [*keys, *order], "__ord_gpos")
     size = max(chunk_rows or CHUNK_ROWS, math.ceil(placed.total / MAX_CHUNKS))
-    ranked = placed.df.withColumn("__chunk", F.floor(F.col("__gpos") / size))
-    group = [*keys, "__chunk"]
-    before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = placed.df.withColumn("__ord_chunk", F.floor(F.col("__ord_gpos") / size))
+    group = [*keys, "__ord_chunk"]
+    before = Window.partitionBy(*keys).orderBy("__ord_chunk").rowsBetween(Window.unboundedPreceding, -1)
     merged = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
     chunks = (
         ranked.groupBy(*group)
-        .agg(*[_RUNNING[fn][0](F.col(c)).alias(f"__c_{out}") for out, (fn, c) in values.items()])
+        .agg(*[_RUNNING[fn][0](F.col(c)).alias(f"__ord_c_{out}") for out, (fn, c) in values.items()])
         .select(
             *group,
-            *[merged[fn](f"__c_{out}").over(before).alias(f"__b_{out}") for out, (fn, _) in values.items()],
+            *[merged[fn](f"__ord_c_{out}").over(before).alias(f"__ord_b_{out}") for out, (fn, _) in values.items()],
         )
     )
-    inside = add(ranked, Window.partitionBy(*group).orderBy("__gpos"), "__i_")
+    inside = add(ranked, Window.partitionBy(*group).orderBy("__ord_gpos"), "__ord_i_")
     split = join_back(inside, chunks, group).withColumns(
         {
-            out: _RUNNING[fn][1](F.col(f"__b_{out}"), F.col(f"__i_{out}"))
+            out: _RUNNING[fn][1](F.col(f"__ord_b_{out}"), F.col(f"__ord_i_{out}"))
             for out, (fn, _) in values.items()
         }
     )

@@ -127,30 +127,30 @@ def write_lookahead(
             tail = spark.read.parquet(f"{path}/tail/batch={batch_id - 1}")
         known = tail.groupBy(key).agg(
             F.max(F.struct(*order)).alias("__last"),
-            F.min("pos").alias("__start"),
+            F.min("pos").alias("__offset"),
         )
         rows = join_stats(arrived, known, key, max_group_rows, "left").where(
             F.col("__last").isNull() | (F.struct(*order) > F.col("__last"))
         )
         both = stage(
-            rows.select(*columns, F.lit(True).alias("__new"), F.coalesce("__start", F.lit(0)).alias("__start"))
+            rows.select(*columns, F.lit(True).alias("__new"), F.coalesce("__offset", F.lit(0)).alias("__offset"))
             .unionByName(
-                join_back(tail, known.select(key, "__start"), key).select(
-                    *columns, F.lit(False).alias("__new"), "__start"
+                join_back(tail, known.select(key, "__offset"), key).select(
+                    *columns, F.lit(False).alias("__new"), "__offset"
                 )
             ),
             "micro-batch",
         )
         samples = frames(
             both, F.col("value"), seq_len, reach, order, key,
-            [F.col("value").alias("target"), F.col("__new"), F.col("__start")], max_group_rows,
+            [F.col("value").alias("target"), F.col("__new"), F.col("__offset")], max_group_rows,
         )
         samples.where("__new").select(
-            key, (F.col("pos") + F.col("__start")).alias("pos"), "x", "target"
+            key, (F.col("pos") + F.col("__offset")).alias("pos"), "x", "target"
         ).write.mode("overwrite").parquet(f"{path}/samples/batch={batch_id}")
-        placed = with_position(both, order, key, "__at", "__n", max_group_rows)
-        placed.where(F.col("__at") >= F.col("__n") - reach).select(
-            *columns, (F.col("__at") + F.col("__start")).alias("pos")
+        placed = with_position(both, order, key, "__at", "__size", max_group_rows)
+        placed.where(F.col("__at") >= F.col("__size") - reach).select(
+            *columns, (F.col("__at") + F.col("__offset")).alias("pos")
         ).write.mode("overwrite").parquet(f"{path}/tail/batch={batch_id}")
 
     return (
