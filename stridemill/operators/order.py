@@ -31,8 +31,10 @@ HOT_KEYS = 100_000
 CHUNK_ROWS = 250_000
 # A table with one row per chunk never has more rows than this.
 MAX_CHUNKS = 1_000_000
-# Up to this length a frame is read with LEAD columns, above with COLLECT_LIST.
-LEAD_LENGTH = 48
+# Up to this length a frame is read with LEAD columns, above from chunk arrays.
+LEAD_LENGTH = 8
+# Rows per chunk array.
+ARRAY_ROWS = 4096
 
 _ID = "__ord_row_id"
 _RUN_BITS = 33  # monotonically_increasing_id keeps the partition above bit 33
@@ -165,20 +167,20 @@ def frames(
     order_by: str | Sequence[str],
     partition_by: str | Sequence[str] = (),
     tail: Sequence[Column] = (),
+    stride: int = 1,
     max_group_rows: int | None = None,
     chunk_rows: int | None = None,
 ) -> DataFrame:
     """One row per start that has a row ``reach`` places after it.
 
-    Returns the keys, ``pos`` (of the start), ``x`` (``value`` of the
-    ``length`` rows from the start on, NULLs kept) and the ``tail`` columns
-    taken from the row ``reach`` places later.
-
-    Unkeyed and hot series are cut into chunks; the first ``reach`` rows of a
-    chunk are copied into the chunk before it, so each row moves at most twice.
+    Returns the keys, ``pos`` (of the start, a multiple of ``stride``), ``x``
+    (``value`` of the ``length`` rows from the start on, NULLs kept) and the
+    ``tail`` columns taken from the row ``reach`` places later.
     """
-    if length < 1 or reach < length - 1:
-        raise ValueError(f"need length >= 1 and reach >= length - 1, got {length} and {reach}")
+    if length < 1 or reach < length - 1 or stride < 1:
+        raise ValueError(
+            f"need length >= 1, reach >= length - 1 and stride >= 1, got {length}, {reach}, {stride}"
+        )
     keys, order = names(partition_by), names(order_by)
     require_columns(df, *keys, *order)
     narrow = df.select(
@@ -186,9 +188,34 @@ def frames(
         value.alias("__ord_v"),
         F.struct(F.lit(True).alias("__ord_here"), *tail).alias("__ord_tail"),
     )
+    if stride == 1 and length <= LEAD_LENGTH:
+        return _lead_frames(narrow, length, reach, order, keys, max_group_rows, chunk_rows)
+    return _array_frames(narrow, length, reach, stride, order, keys, max_group_rows, chunk_rows)
+
+
+def _with_halo(placed: DataFrame, pos: str, size: int, reach: int) -> DataFrame:
+    """Number the chunks of ``size`` rows and copy the first ``reach`` rows of
+    each into the chunk before it, so that no frame leaves its chunk."""
+    home = F.floor(F.col(pos) / size)
+    copied = (F.pmod(pos, F.lit(size)) < reach) & (home > 0)
+    targets = F.when(copied, F.array(home, home - 1)).otherwise(F.array(home))
+    return placed.withColumn("__ord_chunk", F.explode(targets))
+
+
+def _lead_frames(
+    narrow: DataFrame,
+    length: int,
+    reach: int,
+    order: list[str],
+    keys: list[str],
+    max_group_rows: int | None,
+    chunk_rows: int | None,
+) -> DataFrame:
+    """Short frames as LEAD columns of one window."""
 
     def cut(rows: DataFrame, spec: WindowSpec) -> DataFrame:
-        return rows.withColumn("__ord_x", _values(spec, length)).withColumn(
+        values = [F.lead("__ord_v", i).over(spec) if i else F.col("__ord_v") for i in range(length)]
+        return rows.withColumn("__ord_x", F.array(*values)).withColumn(
             "__ord_end", F.lead("__ord_tail", reach).over(spec)
         )
 
@@ -197,8 +224,7 @@ def frames(
             *keys, pos.alias("pos"), F.col("__ord_x").alias("x"), "__ord_end.*"
         ).drop("__ord_here")
 
-    out = None
-    series = narrow
+    out, series = None, narrow
     if keys:
         cold, series = split_hot(narrow, keys, max_group_rows)
         spec = Window.partitionBy(*keys).orderBy(*order)
@@ -214,65 +240,57 @@ def frames(
         ranked = join_back(ranked, starts, keys, small=True)
     else:
         ranked = ranked.withColumn("__ord_start", F.lit(0).cast("long"))
-    home = F.floor(F.col("__ord_gpos") / size)
-    copied = (F.pmod("__ord_gpos", F.lit(size)) < reach) & (home > 0)
-    chunked = ranked.withColumn(
-        "__ord_chunk", F.explode(F.when(copied, F.array(home, home - 1)).otherwise(F.array(home)))
-    )
+    chunked = _with_halo(ranked, "__ord_gpos", size, reach)
     spec = Window.partitionBy(*keys, "__ord_chunk").orderBy("__ord_gpos")
-    rows = cut(chunked, spec).where(F.col("__ord_chunk") == home)
+    rows = cut(chunked, spec).where(F.col("__ord_chunk") == F.floor(F.col("__ord_gpos") / size))
     split = shape(rows, F.col("__ord_gpos") - F.col("__ord_start"))
     return split if out is None else out.unionByName(split)
 
 
-def _values(spec: WindowSpec, length: int) -> Column:
-    if length <= LEAD_LENGTH:
-        return F.array(*[F.lead("__ord_v", i).over(spec) if i else F.col("__ord_v") for i in range(length)])
-    # the struct keeps NULL values, which collect_list alone would drop
-    rows = F.collect_list(F.struct("__ord_v")).over(spec.rowsBetween(0, length - 1))
-    return F.transform(rows, lambda r: r["__ord_v"])
-
-
-def blocks(
-    df: DataFrame,
-    value: Column,
+def _array_frames(
+    narrow: DataFrame,
     length: int,
+    reach: int,
     stride: int,
-    order_by: str | Sequence[str],
-    partition_by: str | Sequence[str] = (),
-    tail: Sequence[Column] = (),
-    max_group_rows: int | None = None,
+    order: list[str],
+    keys: list[str],
+    max_group_rows: int | None,
+    chunk_rows: int | None,
 ) -> DataFrame:
-    """The frames that start at multiples of ``stride``; same columns as ``frames``.
+    """Longer or strided frames as slices of one sorted array per chunk.
 
-    Rows are copied into the ``length / stride`` blocks that hold them and
-    gathered per block, which is never more than ``length`` rows. Cheaper than
-    ``frames`` unless blocks overlap many times.
+    The cost per frame does not grow with its length as a window aggregate
+    would, and frames that the stride skips are never built.
     """
-    keys, order = names(partition_by), names(order_by)
-    require_columns(df, *keys, *order)
-    narrow = df.select(
-        *dict.fromkeys([*keys, *order]), value.alias("__ord_v"), F.struct(F.lit(True).alias("__ord_here"), *tail).alias("__ord_tail")
-    )
+    size = max(chunk_rows or max(ARRAY_ROWS, 4 * reach), reach, 1)
     placed = with_position(narrow, order, keys, "__ord_pos", max_group_rows=max_group_rows)
-    at = F.col("__ord_pos")
-    first = F.greatest(F.ceil((at - length + 1) / stride), F.lit(0))
-    last = F.floor(at / stride)
-    copies = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
-    return (
-        placed.select(*keys, "__ord_pos", "__ord_v", "__ord_tail", F.explode(copies).alias("__ord_block"))
-        .groupBy(*keys, "__ord_block")
+    # at most size + reach rows per group
+    chunks = (
+        _with_halo(placed, "__ord_pos", size, reach)
+        .groupBy(*keys, "__ord_chunk")
         .agg(
-            F.collect_list(F.struct("__ord_pos", "__ord_v")).alias("__ord_rows"),
-            F.max_by("__ord_tail", "__ord_pos").alias("__ord_end"),
+            F.sort_array(F.collect_list(F.struct("__ord_pos", "__ord_v", "__ord_tail"))).alias("__ord_rows")
         )
-        .where(F.size("__ord_rows") == length)
         .select(
             *keys,
-            (F.col("__ord_block") * stride).alias("pos"),
-            F.transform(F.sort_array("__ord_rows"), lambda r: r["__ord_v"]).alias("x"),
-            "__ord_end.*",
+            (F.col("__ord_chunk") * size).alias("__ord_base"),
+            F.col("__ord_rows.__ord_v").alias("__ord_x"),
+            F.col("__ord_rows.__ord_tail").alias("__ord_tails"),
+        )
+    )
+    first = F.pmod(-F.col("__ord_base"), F.lit(stride)).cast("int")
+    last = F.least(F.size("__ord_x") - reach, F.lit(size)) - 1
+    at = F.col("__ord_at")
+    return (
+        chunks.where(first <= last)
+        .withColumn("__ord_at", F.explode(F.sequence(first, last, F.lit(stride))))
+        .select(
+            *keys,
+            (F.col("__ord_base") + at).alias("pos"),
+            F.slice("__ord_x", at + 1, F.lit(length)).alias("x"),
+            F.get("__ord_tails", at + reach).alias("__ord_end"),
         )
+        .select(*keys, "pos", "x", "__ord_end.*")
         .drop("__ord_here")
     )
 

@@ -9,12 +9,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stridemill.operators.order import blocks, frames
+from stridemill.operators.order import frames
 from stridemill.schema import ColumnLike, col, names, require_columns, require_numeric
 
-# Sliding windows that overlap up to this often are gathered per window.
-MAX_COPIES = 4
-
 
 def lookahead_samples(
     df: DataFrame,
@@ -44,8 +41,8 @@ def lookahead_samples(
         order_by,
         partition_by,
         [F.col(value).cast("double").alias("target"), *[F.col(c) for c in carry]],
-        max_group_rows,
-        chunk_rows,
+        max_group_rows=max_group_rows,
+        chunk_rows=chunk_rows,
     )
 
 
@@ -75,12 +72,9 @@ def sliding_windows(
     require_columns(df, label)
     tail = [F.col(label).alias("label")] + ([F.col(time).alias("ts")] if time else [])
     matrix = F.array(*[F.col(f).cast("double") for f in features])
-    if stride > 1 and window <= MAX_COPIES * stride:
-        rows = blocks(df, matrix, window, stride, order, partition_by, tail, max_group_rows)
-    else:
-        rows = frames(
-            df, matrix, window, window - 1, order, partition_by, tail, max_group_rows, chunk_rows
-        ).where(F.pmod("pos", F.lit(stride)) == 0)
+    rows = frames(
+        df, matrix, window, window - 1, order, partition_by, tail, stride, max_group_rows, chunk_rows
+    )
     return rows.withColumnRenamed("pos", "start")
 
 

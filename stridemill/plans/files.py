@@ -88,11 +88,12 @@ def convert_once(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _split_column() -> Column:
-    return F.when(F.pmod("vec_id", F.lit(3)) < 2, "TRAIN").otherwise("TEST")
+    """Odd labels train, even ones test."""
+    return F.when(F.pmod("label", F.lit(2)) == 1, "TRAIN").otherwise("TEST")
 
 
 @query("""
-WITH s AS (SELECT vec_id, label, CASE WHEN vec_id % 3 < 2 THEN 'train' ELSE 'test' END AS split, embedding FROM embeddings),
+WITH s AS (SELECT vec_id, label, CASE WHEN label % 2 = 1 THEN 'train' ELSE 'test' END AS split, embedding FROM embeddings),
 k AS (SELECT * FROM s WHERE NOT (split = 'test' AND vec_id = (SELECT max(vec_id) FROM s WHERE split = 'test')))
 SELECT split, label::DOUBLE AS label, count(*) AS n, min(len(embedding))::INTEGER AS width,
        round(sum(list_sum(list_transform(embedding, lambda v: floor(v::DOUBLE * 1000)))), 1) AS total
@@ -114,7 +115,7 @@ def labelled_csv_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT label, CASE WHEN vec_id % 3 < 2 THEN 'train' ELSE 'test' END AS split,
+WITH s AS (SELECT label, CASE WHEN label % 2 = 1 THEN 'train' ELSE 'test' END AS split,
            list_transform(embedding, lambda v: floor(v::DOUBLE * 1000)) AS x FROM embeddings)
 SELECT split, 'c' || label AS label, t::INTEGER AS t, sum(x[t + 1]) AS ch0, sum(x[t + 33]) AS ch1, count(*) AS n
 FROM s, generate_series(0, 31) g(t) GROUP BY ALL
@@ -194,11 +195,11 @@ WITH m AS (SELECT event_type AS run, CASE WHEN hour(ts) < 16 THEN 'training' ELS
 """
 
 
-@query(f"{_METRIC_SQL} SELECT phase, epoch, loss, peak FROM m WHERE run = 'click'")
+@query(f"{_METRIC_SQL} SELECT run || '-' || phase AS phase, epoch, loss, peak FROM m")
 def metric_log_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Two appends (early and late epochs) to the same wide log, read back."""
     root = fresh_path(spark, "metric-log")
-    rows = _metric_rows(spark, folder).where(F.col("run") == "click")
+    rows = _metric_rows(spark, folder).withColumn("phase", F.concat_ws("-", "run", "phase"))
     for part in (rows.where(F.col("epoch") <= 15), rows.where(F.col("epoch") > 15)):
         sinks.append_metrics(part, ["loss", "peak"], root)
     return sinks.read_metrics(spark, ["loss", "peak"], root).select("phase", "epoch", "loss", "peak")

@@ -141,7 +141,7 @@ m AS (SELECT event_type AS run, CASE WHEN hour(ts) < 16 THEN 'training' ELSE 'va
 
 
 def _metric_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Long metric events: two metrics per run, phase and epoch."""
+    """Long metric events: two metrics per run, phase and epoch, written once."""
     wide = (
         table(spark, folder, "events")
         .groupBy(
@@ -151,7 +151,7 @@ def _metric_rows(spark: SparkSession, folder: str) -> DataFrame:
         )
         .agg(rounded(F.sqrt(F.avg(_squared()))).alias("loss"), F.max("value").alias("peak"))
     )
-    return runlog.metric_events(wide, ["loss", "peak"], ["run", "phase", "epoch"])
+    return runlog.metric_events(stage(wide, "metric-log"), ["loss", "peak"], ["run", "phase", "epoch"])
 
 
 @query(f"WITH {_METRICS} SELECT run, phase, epoch, loss, peak FROM m")
@@ -171,14 +171,14 @@ def learning_curve(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""
 WITH {_METRICS}
 SELECT coalesce(t.run, v.run) AS run, coalesce(t.epoch, v.epoch) AS epoch, t.loss AS loss, v.peak AS peak
-FROM (SELECT * FROM m WHERE phase = 'training' AND loss > 45) t
-FULL JOIN (SELECT * FROM m WHERE phase = 'training' AND peak > 150) v ON t.run = v.run AND t.epoch = v.epoch
+FROM (SELECT * FROM m WHERE phase = 'training' AND loss < 50) t
+FULL JOIN (SELECT * FROM m WHERE phase = 'validation' AND peak > 150) v ON t.run = v.run AND t.epoch = v.epoch
 """)
 def metric_frames_joined(spark: SparkSession, folder: str) -> DataFrame:
-    """Full outer join on the epoch, with epochs missing on either side."""
-    rows = _metric_rows(spark, folder).where(F.col("phase") == "training")
-    loss = rows.where((F.col("metric") == "loss") & (F.col("value") > 45))
-    peak = rows.where((F.col("metric") == "peak") & (F.col("value") > 150))
+    """Training losses below 50 and validation peaks above 150: either may miss an epoch."""
+    rows = _metric_rows(spark, folder)
+    loss = rows.where((F.col("phase") == "training") & (F.col("metric") == "loss") & (F.col("value") < 50))
+    peak = rows.where((F.col("phase") == "validation") & (F.col("metric") == "peak") & (F.col("value") > 150))
     return joins.join_metric_frames(
         [
             loss.select("run", "epoch", F.col("value").alias("loss")),

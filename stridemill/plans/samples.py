@@ -86,7 +86,7 @@ SELECT start, round(total, 2) AS total, label, ts FROM s WHERE ts IS NOT NULL AN
 def slide_windows_global(spark: SparkSession, folder: str) -> DataFrame:
     out = windows.sliding_windows(
         table(spark, folder, "orders"), ["o_totalprice"], "o_orderstatus", 60, 20, "o_orderdate",
-        ["o_orderdate", "o_orderkey"], chunk_rows=20_000,
+        ["o_orderdate", "o_orderkey"],
     )
     total = rounded(array_sum(F.transform("x", lambda row: F.get(row, 0))), 2)
     return out.select("start", total.alias("total"), "label", "ts")

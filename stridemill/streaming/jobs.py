@@ -143,7 +143,8 @@ def write_lookahead(
         )
         samples = frames(
             both, F.col("value"), seq_len, reach, order, key,
-            [F.col("value").alias("target"), F.col("__new"), F.col("__offset")], max_group_rows,
+            [F.col("value").alias("target"), F.col("__new"), F.col("__offset")],
+            max_group_rows=max_group_rows,
         )
         samples.where("__new").select(
             key, (F.col("pos") + F.col("__offset")).alias("pos"), "x", "target"
