@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stridemill.operators.order import with_position
 from stridemill.schema import require_array, require_columns, require_numeric
+from stridemill.session import stage
 
 # Class tables up to this many rows are broadcast, larger ones joined by shuffle.
 SMALL_CLASSES = 100_000
@@ -27,11 +28,14 @@ def zero_base_labels(
 def class_table(
     df: DataFrame, label: str, split: str | None = "split", train: str = "train"
 ) -> tuple[DataFrame, bool]:
-    """Sorted distinct training labels numbered from 0, and whether they are few."""
+    """Sorted distinct training labels numbered from 0, and whether they are few.
+
+    The labels are written once, so that counting them reads no rows again.
+    """
     require_columns(df, label)
     rows = df.where(F.col(split) == train) if split else df
-    labels = rows.select(label).where(F.col(label).isNotNull()).distinct()
-    few = labels.limit(SMALL_CLASSES + 1).count() <= SMALL_CLASSES
+    labels = stage(rows.select(label).where(F.col(label).isNotNull()).distinct(), "classes")
+    few = labels.count() <= SMALL_CLASSES
     if few:
         number = F.row_number().over(Window.orderBy(label)).cast("long") - 1
         return labels.withColumn("class_id", number), True

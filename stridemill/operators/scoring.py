@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,16 +145,30 @@ def score_report(
     return evaluate(df, metrics, prediction, target, names(by))
 
 
-def iterate_predictions(df: DataFrame, batch_size: int) -> Iterator[list[tuple]]:
-    """Batches of a prediction table on the driver, one partition in flight."""
-    batch: list[tuple] = []
-    for row in df.toLocalIterator(prefetchPartitions=True):
-        batch.append(tuple(row))
-        if len(batch) == batch_size:
-            yield batch
-            batch = []
-    if batch:
-        yield batch
+def for_each_batch(
+    df: DataFrame, consume: Callable[[pd.DataFrame], None], batch_size: int
+) -> int:
+    """Hand the rows to ``consume`` in batches, inside the tasks; returns the row count.
+
+    Nothing passes through the driver. A task that is run again hands over its
+    rows again, so ``consume`` should overwrite rather than add.
+    """
+    if batch_size < 1:
+        raise ValueError("batch_size must be at least 1")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest, seen = None, 0
+        for pdf in parts:
+            seen += len(pdf)
+            rest = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            while len(rest) >= batch_size:
+                consume(rest.iloc[:batch_size])
+                rest = rest.iloc[batch_size:]
+        if rest is not None and len(rest):
+            consume(rest)
+        yield pd.DataFrame({"n": [seen]})
+
+    return df.mapInPandas(run, "n LONG").agg(F.sum("n")).first()[0] or 0
 
 
 def latent_sample(

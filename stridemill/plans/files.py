@@ -28,8 +28,7 @@ def _write_idx(vectors: DataFrame, folder: str) -> None:
         pixels = np.clip(np.floor((np.stack(group["x"].to_numpy()) + 1) * 128), 0, 255)
         contents = {"images": pixels.reshape(-1, 8, 8), "labels": group["label"].to_numpy()}
         for kind, values in contents.items():
-            uri = f"{folder}/{kind}"
-            filesystem, root = fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+            filesystem, root = fs.FileSystem.from_uri(idx.as_uri(f"{folder}/{kind}"))
             filesystem.create_dir(root, recursive=True)
             with filesystem.open_output_stream(f"{root}/part-{group['block'].iloc[0]:012d}") as out:
                 out.write(idx.idx_bytes(values))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from stridemill.functions.arrays import array_sum
 from stridemill.functions.metrics import evaluate
 from stridemill.functions.scalars import bin_label
+from stridemill.operators import order as ordered
 from stridemill.operators import sampling, splits, windows
-from stridemill.operators.order import positional_join, with_position
 from stridemill.plans.registry import micros, query, rounded, table
 
 EVENT_ORDER = ["ts", "event_id"]
@@ -151,7 +151,7 @@ SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, e
 FROM events
 """)
 def keyed_positions(spark: SparkSession, folder: str) -> DataFrame:
-    out = with_position(table(spark, folder, "events"), EVENT_ORDER, "user_id", total="total")
+    out = ordered.with_position(table(spark, folder, "events"), EVENT_ORDER, "user_id", total="total")
     return out.select("user_id", "event_id", "pos", "total")
 
 
@@ -166,7 +166,7 @@ def global_positions(spark: SparkSession, folder: str) -> DataFrame:
         "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
         "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
     ]
-    out = with_position(table(spark, folder, "lineitem"), order)
+    out = ordered.with_position(table(spark, folder, "lineitem"), order)
     return out.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "pos")
 
 
@@ -316,8 +316,8 @@ WITH c AS (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) -
 s AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal, s_suppkey) - 1 AS pos FROM supplier)
 SELECT pos, c_custkey, s_suppkey FROM c JOIN s USING (pos)
 """)
-def positional_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    out = positional_join(
+def positional_join(spark: SparkSession, folder: str) -> DataFrame:
+    out = ordered.positional_join(
         table(spark, folder, "customer").select("c_custkey", "c_acctbal"),
         table(spark, folder, "supplier").select("s_suppkey", "s_acctbal"),
         ["c_acctbal", "c_custkey"],

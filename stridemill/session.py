@@ -36,16 +36,16 @@ def build_session(app_name: str = "stridemill", master: str | None = None, **con
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+    """The folder named by ``spark.checkpoint.dir``, or set on the context.
 
     Only a ``local`` master may go without the setting; it then gets a
     temporary folder of its own. On a cluster a machine-local folder would not
     be seen by the other executors, so a missing setting is an error there.
     """
-    configured = spark.conf.get(CHECKPOINT_DIR, None)
+    context = spark.sparkContext
+    configured = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
     if context.applicationId not in _local_dirs:

@@ -28,14 +28,19 @@ PARTITION_BYTES = 64 << 20
 BATCH_BYTES = 4 << 20
 
 
+def as_uri(path: str) -> str:
+    """A path with its scheme; ``/a`` and ``file:/a`` become ``file:///a``."""
+    return path if "://" in path else f"file://{path.removeprefix('file:')}"
+
+
 def _open(path: str):
     """Random access on local and remote file systems alike."""
-    filesystem, name = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    filesystem, name = fs.FileSystem.from_uri(as_uri(path))
     return filesystem.open_input_file(name)
 
 
 def _files(path: str) -> list[str]:
-    uri = path if "://" in path else f"file://{path}"
+    uri = as_uri(path)
     filesystem, name = fs.FileSystem.from_uri(uri)
     info = filesystem.get_file_info(name)
     if info.type == fs.FileType.NotFound:

@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 from stridemill.functions.arrays import transpose
 from stridemill.operators.order import with_position
 from stridemill.schema import METRIC_EVENT
+from stridemill.session import stage
 
 # A total order of the lines of a scan: file, start of the split, line in the split.
 LINE_ORDER = ["file", "block", "line"]
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Non-empty lines with their place. Row ids grow along a split."""
+    """Non-empty lines with their place. Row ids grow along a split of a file;
+    another scan may be split differently, so the place orders the lines of one
+    scan and is no key between scans."""
     return (
         spark.read.text(path)
         .select(
@@ -50,9 +53,10 @@ def labelled_csv(
     base = f"{root.rstrip('/')}/{name}/{name}"
     test = read_lines(spark, f"{base}_TEST")
     if drop_last_test_row:
+        # written once: the place of a line may differ between two scans
+        test = stage(test, "test-lines")
         place = F.struct(*LINE_ORDER)
-        last = read_lines(spark, f"{base}_TEST").agg(F.max(place).alias("last")).scalar()
-        test = test.where(place != last)
+        test = test.where(place != test.agg(F.max(place).alias("last")).scalar())
     lines = (
         read_lines(spark, f"{base}_TRAIN")
         .withColumn("split", F.lit("train"))

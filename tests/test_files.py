@@ -33,6 +33,9 @@ def test_shared_dir_is_required_on_a_cluster():
     class Context:
         master, applicationId = "spark://host:7077", "app"
 
+        def getCheckpointDir(self):
+            return None
+
     class Session:
         conf, sparkContext = Conf(), Context()
 

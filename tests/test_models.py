@@ -76,8 +76,20 @@ def test_user_model_and_report(rows, matrix):
     assert np.isclose(report, 100 * np.mean(matrix[:, :2].argmax(1) == (matrix[:, 0] > matrix[:, 1])))
     classes = scoring.predictions(out, "prediction", "y", keep=["pos"])
     assert np.array_equal(collected(classes, "prediction"), matrix[:, :2].argmax(1))
-    batches = list(scoring.iterate_predictions(classes, 16))
-    assert [len(b) for b in batches] == [16, 16, 16, 12]
+
+
+def test_batches_are_consumed_in_the_tasks(spark, tmp_path):
+    def write(batch):
+        first = batch["id"].iloc[0]
+        (tmp_path / f"{first:04d}").write_text(" ".join(map(str, batch["id"])))
+
+    df = spark.range(0, 100, 1, 2)
+    assert scoring.for_each_batch(df, write, 16) == 100
+    sizes = [len(p.read_text().split()) for p in sorted(tmp_path.iterdir())]
+    assert sizes == [16, 16, 16, 2] * 2
+    assert scoring.for_each_batch(df.where("id < 0"), write, 16) == 0
+    with pytest.raises(ValueError):
+        scoring.for_each_batch(df, write, 0)
 
 
 def test_latent_sample(spark):
