@@ -81,28 +81,38 @@ def rank_globally(df: DataFrame, order_by: str | Sequence[str], pos: str = "pos"
     return Ranked(ranked, total)
 
 
-def split_hot(
+def hot_keys(
     df: DataFrame, keys: str | Sequence[str], max_group_rows: int | None = None
-) -> tuple[DataFrame, DataFrame | None]:
-    """``(cold, hot)``: rows of keys that fit one task, and the rest or None.
+) -> DataFrame | None:
+    """The keys with too many rows for one task, or None if there are none.
 
     Counting needs the key columns only and combines before the shuffle. A key
-    is hot above ``max(max_group_rows, total / HOT_KEYS)`` rows, so at most
-    ``HOT_KEYS`` keys are broadcast.
+    is hot above ``max(max_group_rows, total / HOT_KEYS)`` rows, so there are
+    at most ``HOT_KEYS`` of them and the table can be broadcast.
     """
     keys = names(keys)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__ord_n"))
     total, biggest = counts.agg(F.sum("__ord_n"), F.max("__ord_n")).first()
     limit = max(max_group_rows or GROUP_ROWS, math.ceil((total or 0) / HOT_KEYS))
     if not total or biggest <= limit:
+        return None
+    return stage(counts.where(F.col("__ord_n") > limit).select(*keys), "hot-keys")
+
+
+def _is_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    renamed = hot.withColumnsRenamed({k: f"__ord_hot_{k}" for k in keys})
+    return df.join(F.broadcast(renamed), same_keys(keys, "__ord_hot_"), how)
+
+
+def split_hot(
+    df: DataFrame, keys: str | Sequence[str], max_group_rows: int | None = None
+) -> tuple[DataFrame, DataFrame | None]:
+    """``(cold, hot)``: rows of keys that fit one task, and the rest or None."""
+    keys = names(keys)
+    table = hot_keys(df, keys, max_group_rows)
+    if table is None:
         return df, None
-    hot_keys = stage(
-        counts.where(F.col("__ord_n") > limit).select(*[F.col(k).alias(f"__ord_hot_{k}") for k in keys]),
-        "hot-keys",
-    )
-    on = same_keys(keys, "__ord_hot_")
-    small = F.broadcast(hot_keys)
-    return df.join(small, on, "left_anti"), df.join(small, on, "left_semi")
+    return _is_hot(df, table, keys, "left_anti"), _is_hot(df, table, keys, "left_semi")
 
 
 def join_stats(
@@ -119,12 +129,14 @@ def join_stats(
     broadcast by AQE if the whole table turns out small.
     """
     keys = names(keys)
-    cold, hot = split_hot(df, keys, max_group_rows)
-    out = join_back(cold, stats, keys, how=how)
-    if hot is None:
-        return out
-    few = join_back(stats, stage(hot.select(*keys).distinct(), "hot-keys"), keys)
-    return out.unionByName(join_back(hot, few, keys, small=True, how=how))
+    table = hot_keys(df, keys, max_group_rows)
+    if table is None:
+        return join_back(df, stats, keys, how=how)
+    cold, hot = (_is_hot(df, table, keys, side) for side in ("left_anti", "left_semi"))
+    few = _is_hot(stats, table, keys, "left_semi")
+    return join_back(cold, stats, keys, how=how).unionByName(
+        join_back(hot, few, keys, small=True, how=how)
+    )
 
 
 def with_position(
