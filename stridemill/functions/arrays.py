@@ -75,15 +75,17 @@ def dot(a: ColumnLike, b: ColumnLike) -> Column:
 
 def transpose(x: ColumnLike) -> Column:
     """Swap the two axes of an array of equally long arrays; ragged is an error."""
-    x = col(x)
-    width = F.size(F.get(x, 0))
-    ragged = F.exists(x, lambda r: F.size(r) != F.size(F.get(x, 0)))
-    swapped = let(width, lambda n: F.transform(
-        indices(n), lambda i: F.transform(x, lambda r: F.get(r, i))
-    ))
-    return F.when(
-        ragged, F.raise_error(F.lit("rows of an array to transpose differ in length"))
-    ).when(F.size(x) == 0, F.filter(x, lambda r: F.lit(False))).otherwise(swapped)
+
+    def swap(m: Column) -> Column:
+        ragged = F.exists(m, lambda r: F.size(r) != F.size(F.get(m, 0)))
+        columns = F.transform(
+            indices(F.size(F.get(m, 0))), lambda i: F.transform(m, lambda r: F.get(r, i))
+        )
+        return F.when(
+            ragged, F.raise_error(F.lit("rows of an array to transpose differ in length"))
+        ).when(F.size(m) == 0, F.filter(m, lambda r: F.lit(False))).otherwise(columns)
+
+    return let(col(x), swap)
 
 
 def stitch_channels(*channels: ColumnLike) -> Column:

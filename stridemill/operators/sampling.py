@@ -8,26 +8,40 @@ The id columns must be unique per row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridemill.functions.scalars import row_hash
 from stridemill.operators.order import with_position
 from stridemill.schema import names, require_columns
+from stridemill.session import stage
 
 # Hex digits of the digest that name a cell: 16 ** 4 = 65,536 cells at most.
 CELL_DIGITS = 4
+# Spans in which draws meet cells; a span holds about 16 cells.
+SPANS = 4096
 
 
 def _cell(digest: Column) -> Column:
     return F.substr(digest, F.lit(1), F.lit(CELL_DIGITS))
 
 
-def _cell_sizes(df: DataFrame, digest: Column) -> DataFrame:
-    return df.groupBy(_cell(digest).alias("__cell")).agg(F.count(F.lit(1)).alias("__n"))
+def _cells(df: DataFrame, digest: Column) -> DataFrame:
+    """``(__cell, __n, __base, __total)``: size and first position of each cell.
+
+    At most 65,536 rows, so the windows need no partitioning.
+    """
+    before = Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = df.groupBy(_cell(digest).alias("__cell")).agg(F.count(F.lit(1)).alias("__n"))
+    return sizes.select(
+        "__cell",
+        "__n",
+        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"),
+        F.sum("__n").over(Window.partitionBy()).alias("__total"),
+    )
 
 
 def hash_position(
@@ -41,18 +55,11 @@ def hash_position(
     ids = names(ids)
     require_columns(df, *ids)
     digest = row_hash(ids, *salt)
-    # at most 65,536 rows, so these windows need no partitioning
-    before = Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = _cell_sizes(df, digest).select(
-        "__cell",
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"),
-        F.sum("__n").over(Window.partitionBy()).alias("__total"),
-    )
     ranked = (
         df.withColumn("__h", digest)
         .withColumn("__cell", _cell(F.col("__h")))
         .withColumn("__rank", F.row_number().over(Window.partitionBy("__cell").orderBy("__h")))
-        .join(F.broadcast(offsets), "__cell")
+        .join(F.broadcast(_cells(df, digest).drop("__n")), "__cell")
         .withColumn(pos, F.col("__base") + F.col("__rank") - 1)
     )
     if total:
@@ -77,19 +84,19 @@ def random_split(
     ids = names(ids)
     require_columns(df, *ids)
     digest = row_hash(ids, seed)
-    sizes = _cell_sizes(df, digest).orderBy("__cell").collect()  # at most 65,536 rows
-    rank = int(ratio * sum(r["__n"] for r in sizes))
+    cells = stage(_cells(df, digest), "cells")
+    total = (cells.first() or {"__total": 0})["__total"]
+    rank = int(ratio * total)
     cut = None
-    for row in sizes:
-        if rank < row["__n"]:
-            inside = (
-                df.select(digest.alias("__h"))
-                .where(_cell(F.col("__h")) == row["__cell"])
-                .withColumn("__rank", F.row_number().over(Window.partitionBy(_cell(F.col("__h"))).orderBy("__h")))
-            )
-            cut = inside.where(F.col("__rank") == rank + 1).first()["__h"]
-            break
-        rank -= row["__n"]
+    if rank < total:
+        cell = cells.where((F.col("__base") <= rank) & (rank < F.col("__base") + F.col("__n"))).first()
+        spec = Window.partitionBy(_cell(F.col("__h"))).orderBy("__h")
+        inside = (
+            df.select(digest.alias("__h"))
+            .where(_cell(F.col("__h")) == cell["__cell"])
+            .withColumn("__rank", F.row_number().over(spec))
+        )
+        cut = inside.where(F.col("__rank") == rank - cell["__base"] + 1).first()["__h"]
     train = F.lit(True) if cut is None else digest < F.lit(cut)
     return df.withColumn(column, F.when(train, "train").otherwise("test"))
 
@@ -108,31 +115,27 @@ def sample_with_replacement(
     require_columns(df, *ids)
     spark = df.sparkSession
     digest = row_hash(ids, seed)
-    sizes = _cell_sizes(df, digest).orderBy("__cell").collect()  # at most 65,536 rows
-    starts, total = [], 0
-    for row in sizes:
-        starts.append(total)
-        total += row["__n"]
+    cells = stage(_cells(df, digest), "cells")
+    total = (cells.first() or {"__total": 0})["__total"]
     if total == 0:
         if n:
             raise ValueError("cannot draw from an empty table")
         return df.withColumn(draw, F.lit(0).cast("long")).limit(0)
-    cells = spark.createDataFrame(
-        [(i, r["__cell"], s) for i, (r, s) in enumerate(zip(sizes, starts))],
-        "__bucket INT, __cell STRING, __base LONG",
-    )
+    # find the cell of a position: both sides meet in spans of equal width
+    width = math.ceil(total / SPANS)
+    first = F.floor(F.col("__base") / width)
+    last = F.floor((F.col("__base") + F.col("__n") - 1) / width)
+    spans = cells.withColumn("__span", F.explode(F.sequence(first, last)))
     bits = F.conv(F.substr(row_hash(["draw"], seed), F.lit(1), F.lit(15)), 16, 10).cast("long")
     draws = (
         spark.range(n)
         .withColumnRenamed("id", "draw")
         .withColumn("__pos", F.pmod(bits, F.lit(total)))
-        .withColumn("__at", F.col("__pos").cast("double"))
+        .withColumn("__span", F.floor(F.col("__pos") / width))
     )
     located = (
-        Bucketizer(splits=[*map(float, starts), float(total), float("inf")], inputCol="__at", outputCol="__b")
-        .transform(draws)
-        .withColumn("__bucket", F.col("__b").cast("int"))
-        .join(F.broadcast(cells), "__bucket")
+        draws.join(F.broadcast(spans), "__span")
+        .where((F.col("__base") <= F.col("__pos")) & (F.col("__pos") < F.col("__base") + F.col("__n")))
         .select(F.col("draw").alias(draw), "__cell", (F.col("__pos") - F.col("__base") + 1).alias("__rank"))
     )
     drawn = located.select("__cell").distinct()
