@@ -352,13 +352,14 @@ def pad_sequences(spark: SparkSession, folder: str) -> DataFrame:
 @query("""
 WITH s AS (SELECT user_id, row_number() OVER w - 1 AS pos, value AS a, lead(value, 1) OVER w AS b
            FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-SELECT user_id, pos, CASE WHEN (b - a) / a <= -0.02 THEN 0 WHEN (b - a) / a > 0.02 THEN 2 ELSE 1 END AS bin
+SELECT user_id, pos, CASE WHEN a = 0 THEN NULL WHEN (b - a) / a <= -0.02 THEN 0 WHEN (b - a) / a > 0.02 THEN 2 ELSE 1 END AS bin
 FROM s WHERE b IS NOT NULL
 """)
 def bin_labels(spark: SparkSession, folder: str) -> DataFrame:
-    """The relative change to the next value of the series, in three classes."""
+    """The relative change to the next value, in three classes; none from a zero."""
     pairs = windows.lookahead_samples(
         table(spark, folder, "events"), "value", 1, 1, EVENT_ORDER, "user_id"
     )
     now = F.get("x", 0)
-    return pairs.select("user_id", "pos", bin_label((F.col("target") - now) / now).alias("bin"))
+    change = F.try_divide(F.col("target") - now, now)
+    return pairs.select("user_id", "pos", bin_label(change).alias("bin"))
