@@ -84,19 +84,18 @@ def random_split(
     ids = names(ids)
     require_columns(df, *ids)
     digest = row_hash(ids, seed)
-    cells = stage(_cells(df, digest), "cells")
-    total = (cells.first() or {"__total": 0})["__total"]
-    rank = int(ratio * total)
+    rank = F.floor(F.lit(float(ratio)) * F.col("__total"))
+    holds_cut = (F.col("__base") <= rank) & (rank < F.col("__base") + F.col("__n"))
+    cell = _cells(df, digest).where(holds_cut).select("__cell", (rank - F.col("__base") + 1).alias("at")).first()
     cut = None
-    if rank < total:
-        cell = cells.where((F.col("__base") <= rank) & (rank < F.col("__base") + F.col("__n"))).first()
+    if cell is not None:
         spec = Window.partitionBy(_cell(F.col("__h"))).orderBy("__h")
         inside = (
             df.select(digest.alias("__h"))
             .where(_cell(F.col("__h")) == cell["__cell"])
             .withColumn("__rank", F.row_number().over(spec))
         )
-        cut = inside.where(F.col("__rank") == rank - cell["__base"] + 1).first()["__h"]
+        cut = inside.where(F.col("__rank") == cell["at"]).first()["__h"]
     train = F.lit(True) if cut is None else digest < F.lit(cut)
     return df.withColumn(column, F.when(train, "train").otherwise("test"))
 
