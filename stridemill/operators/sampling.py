@@ -157,8 +157,8 @@ def take_positions(
 ) -> DataFrame:
     """Rows at the positions listed in ``index(ord, pos)``; repeats are kept.
 
-    ``ord`` tells the order of the list. Positions outside the table are an
-    error in the list and give no row.
+    ``ord`` tells the order of the list. A position outside the table gives no
+    row.
     """
     require_columns(index, "ord", "pos")
     return with_position(df, order_by).join(index.select("ord", "pos"), "pos")

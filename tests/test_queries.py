@@ -9,6 +9,7 @@ import re
 import duckdb
 import pytest
 
+from stridemill.operators import order
 from stridemill.plans import QUERIES, SQL
 
 ROOT = pathlib.Path(__file__).resolve().parent.parent
@@ -41,6 +42,16 @@ def test_query(spark, duck, data, name):
     assert rows[0] == rows[1]
 
 
+@pytest.mark.parametrize("name", ["lookahead_windows", "slide_windows_stride", "ordered_split_keyed", "progress",
+                                  "column_max_normalise"])
+def test_query_with_hot_keys(spark, duck, data, name, monkeypatch):
+    """The same rows when almost every key is too large for one task."""
+    monkeypatch.setattr(order, "GROUP_ROWS", 3)
+    monkeypatch.setattr(order, "CHUNK_ROWS", 11)
+    monkeypatch.setattr(order, "ARRAY_ROWS", 7)
+    test_query(spark, duck, data, name)
+
+
 def entry_module():
     spec = importlib.util.spec_from_file_location("spark_entry", ROOT / "__spark_entry__.py")
     module = importlib.util.module_from_spec(spec)
