@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +27,8 @@ LABEL_MAGIC = 2049
 PARTITION_BYTES = 64 << 20
 # Bytes of records per Arrow batch.
 BATCH_BYTES = 4 << 20
+# Headers read at a time while planning a scan.
+HEADER_THREADS = 32
 
 
 def as_uri(path: str) -> str:
@@ -98,10 +101,12 @@ class IdxReader(DataSourceReader):
         self.path, self.kind, self.partition_bytes = path, kind, partition_bytes
 
     def partitions(self) -> list[RecordRange]:
-        """Record ranges; only headers are read here."""
+        """Record ranges; only headers are read here, several at a time."""
         out, base = [], 0
-        for path in _files(self.path):
-            header = Header.read(path, self.kind)
+        paths = _files(self.path)
+        with ThreadPoolExecutor(HEADER_THREADS) as pool:
+            headers = list(pool.map(lambda path: Header.read(path, self.kind), paths))
+        for path, header in zip(paths, headers):
             step = max(1, self.partition_bytes // max(1, header.width))
             for first in range(0, header.count, step):
                 out.append(RecordRange(path, header, first, min(first + step, header.count), base))
