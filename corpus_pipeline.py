@@ -16,9 +16,7 @@ ORACLE_SQL = None
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of 20 words seen earlier are cut out of the texts; every document stays."""
     out = remove_repeated_windows(docs, window=20)
-    return out.withColumns(
-        {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    ).select(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 STAGES = [("substring_dedup", substring_dedup)]

@@ -26,9 +26,9 @@ from stridemill.schema import require_columns
 #: Odd bases of the two window hashes; fixed so that all tasks agree.
 BASES = (0x8CB92BA72F3D8DD7, 0xA24BAED4963EE407)
 #: Windows that a task sorts at a time.
-BLOCK_WINDOWS = 2_000_000
+BLOCK_WINDOWS = 500_000
 #: Bytes of text whose windows meet in one group.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 #: Bytes kept of the low hash; the high hash picks the group.
 HASH_BYTES = 7
 
@@ -128,7 +128,7 @@ def _entries(window: int, parts: int, block: int):
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            for rows in slices(batch, "text"):
+            for rows in slices(batch, "text", 2 << 20):
                 data, offsets = buffers(rows.column("text"))
                 begin, end, first = word_spans(data, offsets)
                 counts = np.maximum(np.diff(first) - window + 1, 0)
@@ -194,7 +194,7 @@ def _cut(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in slices(batch, "text"):
+            for rows in slices(batch, "text", 2 << 20):
                 data, offsets = buffers(rows.column("text"))
                 begin, end, first = word_spans(data, offsets)
                 change = np.zeros(len(begin) + 1, np.int32)
@@ -243,7 +243,7 @@ def _cut(window: int):
                         pa.array(removed),
                         spans,
                     ],
-                    ["row", "kept_text", "n_words", "n_removed", "spans"],
+                    ["row", "text", "n_words", "n_removed", "spans"],
                 )
 
     return run
@@ -267,17 +267,18 @@ def remove_repeated_windows(
     there are blocks. Repeated windows come back per document and merge into
     maximal spans.
 
-    Result: the columns of ``docs`` and ``kept_text`` (kept words joined by one
-    space), ``n_words``, ``n_removed``, ``spans`` (word positions ``start`` and
-    ``end`` of the removed runs, end exclusive). Input columns with these names
-    are replaced. Null text: no words. A null id sorts first. Rows that repeat
+    Result: the columns of ``docs``, the text replaced by the kept words joined
+    by one space, and ``n_words``, ``n_removed``, ``spans`` (word positions
+    ``start`` and ``end`` of the removed runs, end exclusive). Input columns
+    with these names are replaced. Null text: no words. A null id sorts first. Rows that repeat
     id and text are one document and get one result each; rows of one id with
     different texts are different documents.
     """
     require_columns(docs, text, id)
-    made = ["kept_text", "n_words", "n_removed", "spans"]
+    made = ["n_words", "n_removed", "spans"]
+    others = [c for c in docs.columns if c not in (text, *made)]
     base = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("row"),
         F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(_NO_ID)).alias("id"),
         F.col(f"`{text}`").alias("text"),
         F.coalesce(F.crc32(F.col(f"`{text}`").cast("binary")), F.lit(0)).alias("check"),
@@ -297,6 +298,7 @@ def remove_repeated_windows(
     kind = joined.schema["row"].dataType.simpleString()
     out = joined.mapInArrow(
         _cut(window),
-        f"row {kind}, kept_text STRING, n_words LONG, n_removed LONG, spans ARRAY<STRUCT<start: LONG, end: LONG>>",
+        f"row {kind}, text STRING, n_words LONG, n_removed LONG, spans ARRAY<STRUCT<start: LONG, end: LONG>>",
     )
-    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in made], *made)
+    kept = [F.col("text").alias(text) if c == text else F.col(f"row.`{c}`") for c in docs.columns if c not in made]
+    return out.select(*kept, *made)
