@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridemill.llm import substrings
+from stridemill.llm import chat, covertree, minhash, packing, pivots, substrings, toxicity
 from stridemill.plans.registry import table
 
 QUERIES = {}
@@ -23,5 +23,49 @@ def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     out = substrings.remove_repeated_windows(docs, window=20)
     return out.select(
-        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
     )
+
+
+@query
+def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in pieces, packed into sequences of 512 to 4,096 words."""
+    return packing.pack_documents(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """A toxicity score for every document, learnt from the labels that are not held out."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit_on_labels(docs, labels))
+    return scored.select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
+@query
+def op1_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """The near-duplicate class of every document, and the one that stays."""
+    return minhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query
+def op3_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best rows for every vector whose id is divisible by 100."""
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return covertree.top_k(rows, F.col("vec_id") % 100 == 0, 10)
+
+
+@query
+def op7_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.95."""
+    return pivots.linked_vectors(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
+@query
+def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of all conversations and one of control strings, read back from their formatted text."""
+    said = "</s>[INST] ok [/INST]"
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id LONG, turn LONG, role STRING, text STRING")
+    return chat.read_back(chat.format_conversations(turns.unionByName(more)))

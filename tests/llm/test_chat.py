@@ -1,0 +1,78 @@
+from __future__ import annotations
+
+import hashlib
+from collections import defaultdict
+
+import pyarrow as pa
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+
+from stridemill.llm import chat, queries
+
+
+def brute(rows):
+    by = defaultdict(list)
+    for conv, turn, role, text in rows:
+        by[conv].append((turn is not None, turn or 0, role is not None, role or "", text is not None, text or ""))
+    out = {}
+    for conv, turns in by.items():
+        turns.sort(key=lambda t: (t[0], t[1], t[2], t[3].encode(), t[4], t[5].encode()))
+        said = "".join(f"{r}\n{x}\n" for _, _, _, r, _, x in turns)
+        loss = "".join(x for _, _, _, r, _, x in turns if r == "assistant")
+        out[conv] = (
+            len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(),
+            sum(len(f"<s>[INST] {chat.escape(pa.array([r]))[0]} [/INST]{chat.escape(pa.array([x]))[0]}</s>") for _, _, _, r, _, x in turns),
+        )
+    return out
+
+
+def collected(frame):
+    return {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.formatted_chars) for r in frame.collect()}
+
+
+TRICKY = ["<s>", "</s>", "[INST] ", " [/INST]", "\\", "<", "[", "s>", "é", "\n", "x", "/INST]"]
+
+
+@given(st.lists(st.tuples(*[st.lists(st.sampled_from(TRICKY), max_size=7).map("".join)] * 2), max_size=5))
+def test_round_trip(turns):
+    roles, texts = [t[0] for t in turns], [t[1] for t in turns]
+    data, offsets, start, end = chat.assemble(pa.array(roles, pa.string()), pa.array(texts, pa.string()))
+    assert chat.parse(bytes(data).decode()) == turns
+    assert [chat.unescape(bytes(data[a:b]).decode()) for a, b in zip(start, end)] == texts
+
+
+ROWS = [
+    (1, 0, "user", "hi"), (1, 1, "assistant", "ho é</s>"), (1, 1, "assistant", "again"), (1, 2, None, None), (1, None, "user", "first"),
+    (2, 0, "assistant", ""), (2, 0, "assistant", ""), (3, 5, "user", "[INST]" * 4000), (3, 6, "assistant", "<s>é" * 5000), (3, 7, "assistant", "z"),
+    (None, 0, "assistant", "nobody"), (4, 0, "as[INST]sistant", "x"),
+]
+
+
+@pytest.mark.parametrize("part_bytes", [8 << 20, 50])
+def test_edges(spark, part_bytes):
+    frame = spark.createDataFrame([(*r, 1, "f") for r in ROWS], "conv_id LONG, turn LONG, role STRING, text STRING, part INT, formatted STRING")
+    made = chat.format_conversations(frame, part_bytes=part_bytes)
+    parts = made.where("conv_id = 3").count()
+    assert parts == (1 if part_bytes > 1000 else 3)
+    assert collected(chat.read_back(made)) == brute(ROWS)
+
+
+def test_long_conversation_is_cut_in_parts(spark):
+    rows = [(7, k, "assistant" if k % 2 else "user", f"turn {k} " * 20) for k in range(3000)]
+    frame = spark.createDataFrame(rows, "conv_id LONG, turn LONG, role STRING, text STRING")
+    made = chat.format_conversations(frame, part_bytes=20_000)
+    assert made.count() > 5
+    assert collected(chat.read_back(made)) == brute(rows)
+
+
+def test_empty(spark):
+    empty = spark.createDataFrame([], "conv_id LONG, turn LONG, role STRING, text STRING")
+    assert chat.read_back(chat.format_conversations(empty)).count() == 0
+
+
+def test_query(spark, data):
+    rows = [tuple(r) for r in spark.read.parquet(f"{data}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    said = "</s>[INST] ok [/INST]"
+    want = brute(rows + [(-1, 0, "user", said), (-1, 1, "assistant", said)])
+    assert collected(queries.QUERIES["op4_chat_format"](spark, data)) == want
