@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridemill.llm import chat, covertree, minhash, packing, pivots, substrings, toxicity
+from stridemill.llm import bpe, chat, covertree, huffman, minhash, packing, pivots, substrings, toxicity
 from stridemill.plans.registry import table
 
 QUERIES = {}
@@ -69,3 +70,22 @@ def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id LONG, turn LONG, role STRING, text STRING")
     return chat.read_back(chat.format_conversations(turns.unionByName(more)))
+
+
+@query
+def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents encoded, then decoded again from their ids."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), path)
+    return bpe.decode(coded, path).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of all documents with an end mark, written to Huffman-coded files and read back."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    out = huffman.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -30,7 +30,7 @@ PATTERNS = (
     r"\b(\w)\W(\w)\W(\w)\W(\w)\b",
 )
 #: Bytes of a word's beginning that count as its stem.
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8, 9)
 #: Most labelled rows that the voters and the classifier are fitted on.
 FIT_ROWS = 20_000
 #: Most voters mined from the labelled rows.
@@ -185,7 +185,7 @@ def _features(rows: np.ndarray, voters: np.ndarray, times: np.ndarray, n: int, m
     return x
 
 
-def _fit_line(x: np.ndarray, target: np.ndarray, strength: float = 1.0, rounds: int = 60) -> tuple[np.ndarray, float]:
+def _fit_line(x: np.ndarray, target: np.ndarray, strength: float = 0.1, rounds: int = 60) -> tuple[np.ndarray, float]:
     """Logistic regression on soft targets: Newton steps with a small ridge."""
     design = np.c_[x, np.ones(len(x))]
     ridge = np.r_[np.full(x.shape[1], strength), 1e-3]
@@ -204,7 +204,7 @@ def _fit_line(x: np.ndarray, target: np.ndarray, strength: float = 1.0, rounds:
 def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic", mined: int = MINED) -> Model:
     """Voters, label model and classifier from labelled texts (a bounded number of rows).
 
-    Terms (words and stems of 4 to 6 bytes) that stand in at least three toxic
+    Terms (words and stems of 4 to 9 bytes) that stand in at least three toxic
     texts and clearly more often there are mined as voters beside the fixed
     lexicon and patterns. Votes are made in tasks; the fit of at most
     ``mined`` voters runs on the driver. Rows without a label of 0 or 1 are

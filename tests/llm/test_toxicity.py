@@ -18,7 +18,7 @@ def test_held_out_rule(spark):
 def test_terms_are_lower_case_words_and_stems():
     rows, hashes, lower = toxicity._terms(pa.array(["Idiot! x", None, "idiotisch ÉTÉ"]))
     assert lower.to_pylist() == ["idiot! x", "", "idiotisch été"]
-    words, stems4 = hashes[:4], hashes[4:7]
+    words, stems4 = hashes[:4], hashes[4:7]  # of idiot, idiotisch, été
     assert list(rows[:4]) == [0, 0, 2, 2] and len(set(words.tolist())) == 4
     assert stems4[0] == stems4[1]  # both begin with idio
 
