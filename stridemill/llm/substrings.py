@@ -34,7 +34,7 @@ HASH_BYTES = 7
 
 _NO_ID = -(2**63)
 _ENTRIES = "part INT, ids BINARY, checks BINARY, counts BINARY, starts BINARY, hashes BINARY"
-_FOUND = "id LONG, check LONG, starts BINARY"
+_FOUND = "id LONG, check LONG, found BINARY"
 
 
 def _rows(part, ids, checks, starts, hashes=None) -> list[dict]:
@@ -157,25 +157,44 @@ _SCHEMA = pa.schema(
 )
 
 
-def _repeats(table: pa.Table) -> pa.Table:
-    """The windows of one hash range that stand after an equal one, by document."""
-    found, held = [], []
-    for row in table.to_pylist():
-        ids, checks, starts, hashes = _unpack(row)
-        (held if len(hashes) else found).append((hashes, ids, checks, starts))
-    if held:
-        hashes, ids, checks, starts = (np.concatenate(x) for x in zip(*held))
-        held.clear()
-        order = np.argsort(hashes, kind="stable")
-        s = hashes[order]
-        twice = np.zeros(len(s), bool)
-        twice[1:] = s[1:] == s[:-1]
-        twice[:-1] |= twice[1:].copy()
-        at = order[twice]
-        _, after = _later([hashes[at]], ids[at], checks[at], starts[at])
-        at = at[after]
-        found.append((None, ids[at], checks[at], starts[at]))
-    ids, checks, starts = (np.concatenate([x[k] for x in found]) for k in (1, 2, 3))
+def _repeats(targets: int):
+    """The windows of one hash range that stand after an equal one, packed by target group of documents."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found, held = [], []
+        for row in table.to_pylist():
+            ids, checks, starts, hashes = _unpack(row)
+            (held if len(hashes) else found).append((hashes, ids, checks, starts))
+        if held:
+            hashes, ids, checks, starts = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            order = np.argsort(hashes, kind="stable")
+            s = hashes[order]
+            twice = np.zeros(len(s), bool)
+            twice[1:] = s[1:] == s[:-1]
+            twice[:-1] |= twice[1:].copy()
+            at = order[twice]
+            _, after = _later([hashes[at]], ids[at], checks[at], starts[at])
+            at = at[after]
+            found.append((None, ids[at], checks[at], starts[at]))
+        ids, checks, starts = (np.concatenate([x[k] for x in found]) for k in (1, 2, 3))
+        target = (mix(ids.view(np.uint64)) >> np.uint64(32)) * np.uint64(targets) >> np.uint64(32)
+        order = np.lexsort((starts, checks, ids, target))
+        target = target[order]
+        cuts = np.flatnonzero(np.r_[np.ones(min(1, len(order)), bool), target[1:] != target[:-1]])
+        rows = []
+        for a, b in zip(cuts, np.r_[cuts[1:], len(order)]):
+            k = order[a:b]
+            rows += _rows(int(target[a]), ids[k], checks[k], starts[k])
+        return pa.Table.from_pylist(rows, _SCHEMA)
+
+    return run
+
+
+def _by_document(table: pa.Table) -> pa.Table:
+    """The repeated windows of a target group of documents, one row per document."""
+    found = [_unpack(row)[:3] for row in table.to_pylist()]
+    ids, checks, starts = (np.concatenate(x) for x in zip(*found))
     order = np.lexsort((starts, checks, ids))
     ids, checks, starts = ids[order], checks[order], starts[order].astype(np.int32)
     new = np.flatnonzero(np.r_[np.ones(min(1, len(ids)), bool), (ids[1:] != ids[:-1]) | (checks[1:] != checks[:-1])])
@@ -183,9 +202,9 @@ def _repeats(table: pa.Table) -> pa.Table:
         {
             "id": ids[new],
             "check": checks[new],
-            "starts": to_array(starts.view(np.uint8), np.r_[new, len(ids)] * 4, pa.binary()),
+            "found": to_array(starts.view(np.uint8), np.r_[new, len(ids)] * 4, pa.binary()),
         },
-        schema=pa.schema([("id", pa.int64()), ("check", pa.int64()), ("starts", pa.binary())]),
+        schema=pa.schema([("id", pa.int64()), ("check", pa.int64()), ("found", pa.binary())]),
     )
 
 
@@ -198,15 +217,11 @@ def _cut(window: int):
                 data, offsets = buffers(rows.column("text"))
                 begin, end, first = word_spans(data, offsets)
                 change = np.zeros(len(begin) + 1, np.int32)
-                lists = rows.column("found")
-                owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-                blobs = lists.flatten()
-                if len(blobs):
-                    raw, places = buffers(blobs)
-                    starts = np.ascontiguousarray(raw).view(np.int32).astype(np.int64)
-                    starts += np.repeat(first[owner], np.diff(places) // 4)
-                    np.add.at(change, starts, 1)
-                    np.add.at(change, starts + window, -1)
+                raw, places = buffers(rows.column("found"))
+                starts = np.ascontiguousarray(raw).view(np.int32).astype(np.int64)
+                starts += np.repeat(first[:-1], np.diff(places) // 4)
+                np.add.at(change, starts, 1)
+                np.add.at(change, starts + window, -1)
                 gone = np.cumsum(change[:-1]) > 0
                 edge = np.diff(np.r_[0, gone.astype(np.int8), 0])
                 edge_at = np.zeros(len(begin) + 1, bool)
@@ -288,13 +303,11 @@ def remove_repeated_windows(
     entries = base.select("id", "check", "text").mapInArrow(_entries(window, parts, block_windows), _ENTRIES)
     found = (
         entries.groupBy("part")
-        .applyInArrow(_repeats, _FOUND)
-        .groupBy("id", "check")
-        .agg(F.collect_list("starts").alias("found"))
-    )
-    joined = base.join(found, ["id", "check"], "left").select(
-        "row", "text", F.coalesce("found", F.array().cast("array<binary>")).alias("found")
+        .applyInArrow(_repeats(parts), _ENTRIES)
+        .groupBy("part")
+        .applyInArrow(_by_document, _FOUND)
     )
+    joined = base.join(found, ["id", "check"], "left").select("row", "text", "found")
     kind = joined.schema["row"].dataType.simpleString()
     out = joined.mapInArrow(
         _cut(window),
