@@ -32,6 +32,20 @@ _LATIN = re.compile(
     + r"|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xffA-Z\xc0-\xd6\xd8-\xde]+|[0-9\xb2\xb3\xb9\xbc-\xbe]"
     + r"|[^\t-\r \x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xffA-Z\xc0-\xd6\xd8-\xde0-9\xb2\xb3\xb9\xbc-\xbe]+"
 )
+#: Letters and digits that Unicode 16 added to 15.1 (the properties in use are those of 16).
+_ADDED = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D65), (0x10D6F, 0x10D85),
+    (0x10EC2, 0x10EC4), (0x11380, 0x113B7), (0x113D1, 0x113D3), (0x11BC0, 0x11BE0), (0x11BF0, 0x11BF9),
+    (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16130, 0x16139), (0x16D40, 0x16D6C), (0x16D70, 0x16D79),
+    (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5FA),
+)
+#: Capitals that Unicode 16 added, with their small letters.
+_SMALL = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B} | {
+    c: c + 0x20 for c in range(0x10D50, 0x10D66)
+}
+_CAPITAL = re.compile("[" + "".join(map(chr, _SMALL)) + "]")
+#: Stands for characters assigned later or never: no letter, number or space.
+_OTHER = "\ue000"
 _WIDE = re.compile(r"[^\x00-\xff]")
 _UNICODE = regex.compile(_CONTRACTIONS + r"|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 
@@ -166,7 +180,17 @@ class WordBpe:
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         lower = text.replace("Σ", "σ").lower()
-        return (_UNICODE if _WIDE.search(lower) else _LATIN).findall(lower)
+        if not _WIDE.search(lower):
+            return _LATIN.findall(lower)
+        if _CAPITAL.search(lower):
+            lower = lower.translate(_SMALL)
+        odd = {
+            ord(c): _OTHER for c in set(lower)
+            if c > "\xff" and unicodedata.category(c) == "Cn" and not any(a <= ord(c) <= b for a, b in _ADDED)
+        }
+        if not odd:
+            return _UNICODE.findall(lower)
+        return [lower[m.start() : m.end()] for m in _UNICODE.finditer(lower.translate(odd))]
 
     def pieces(self, text: str) -> list[tuple[str, bool]]:
         """The text in runs of plain text and special tokens (which are marked)."""

@@ -136,15 +136,15 @@ def unpack(payload: bytes, checkpoints: np.ndarray, n: int, ids: np.ndarray, siz
     return out.reshape(-1)[:n]
 
 
-_BLOCK = struct.Struct("<IIIQ")  # documents, checkpoints, (reserved), payload bytes
-_ENTRY = struct.Struct("<QQQQ")  # offset, size, ids, documents of a block
-_HEAD = struct.Struct("<8sII")  # magic, width, bytes of the packed code lengths
+_BLOCK = "<IIIQ"  # documents, checkpoints, (reserved), payload bytes
+_ENTRY = "<QQQQ"  # offset, size, ids, documents of a block
+_HEAD = "<8sII"  # magic, width, bytes of the packed code lengths
 
 
 def _block(docs: np.ndarray, counts: np.ndarray, ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> bytes:
     payload, checkpoints = pack(ids, codes, lengths)
     body = [
-        _BLOCK.pack(len(docs), len(checkpoints), 0, len(payload)),
+        struct.pack(_BLOCK, len(docs), len(checkpoints), 0, len(payload)),
         docs.astype("<i8").tobytes(), counts.astype("<u8").tobytes(), checkpoints.astype("<u8").tobytes(), payload,
     ]
     return b"".join(body)
@@ -152,8 +152,8 @@ def _block(docs: np.ndarray, counts: np.ndarray, ids: np.ndarray, codes: np.ndar
 
 def _read_block(raw: bytes, packed: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents, their numbers of ids, and all ids."""
-    n, steps, _, size = _BLOCK.unpack_from(raw)
-    at = _BLOCK.size
+    n, steps, _, size = struct.unpack_from(_BLOCK, raw)
+    at = struct.calcsize(_BLOCK)
     docs = np.frombuffer(raw, "<i8", n, at)
     counts = np.frombuffer(raw, "<u8", n, at + 8 * n).astype(np.int64)
     checkpoints = np.frombuffer(raw, "<u8", steps, at + 16 * n)
@@ -189,7 +189,7 @@ class _File:
         self.at += len(raw)
 
     def close(self) -> None:
-        self.out.write(b"".join(_ENTRY.pack(*e) for e in self.entries) + struct.pack("<Q8s", len(self.entries), MAGIC))
+        self.out.write(b"".join(struct.pack(_ENTRY, *e) for e in self.entries) + struct.pack("<Q8s", len(self.entries), MAGIC))
         self.out.close()
         self.system.move(self.open_path, self.path)
 
@@ -203,9 +203,9 @@ def read_footer(path: str) -> list[tuple[int, int, int, int]]:
         n, magic = struct.unpack("<Q8s", f.read(16))
         if magic != MAGIC:
             raise ValueError(f"{path} is no whole file of ids")
-        f.seek(size - 16 - n * _ENTRY.size)
-        raw = f.read(n * _ENTRY.size)
-    return [_ENTRY.unpack_from(raw, k * _ENTRY.size) for k in range(n)]
+        f.seek(size - 16 - n * struct.calcsize(_ENTRY))
+        raw = f.read(n * struct.calcsize(_ENTRY))
+    return [struct.unpack_from(_ENTRY, raw, k * struct.calcsize(_ENTRY)) for k in range(n)]
 
 
 # --- the tokenizer ----------------------------------------------------------------
@@ -331,7 +331,7 @@ def write_ids(
             size = 0
 
         for rows, coded in _coded(batches, content, end):
-            out = out or _File(name, _HEAD.pack(MAGIC, width, len(packed)) + packed)
+            out = out or _File(name, struct.pack(_HEAD, MAGIC, width, len(packed)) + packed)
             for doc, ids in zip(rows.column("id").to_pylist(), coded):
                 held_docs.append(doc)
                 held.append(ids)
@@ -349,6 +349,8 @@ def write_ids(
     rows = docs.select(
         F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(_NO_ID)).alias("id"), F.col(f"`{text}`").alias("text")
     )
+    system, place = _place(path)
+    system.create_dir(place, recursive=True)  # also for no documents
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     files = max(1, -(-size // file_bytes))
     dealt = rows.repartitionByRange(files, "id", F.xxhash64("text")).sortWithinPartitions("id", "text")
@@ -400,7 +402,7 @@ def read_ids(blocks: DataFrame, id: str = "doc_id") -> DataFrame:
             for row in batch.to_pylist():
                 system, place = _place(row["path"])
                 with system.open_input_file(place) as f:
-                    magic, width, size = _HEAD.unpack(f.read(_HEAD.size))
+                    magic, width, size = struct.unpack(_HEAD, f.read(struct.calcsize(_HEAD)))
                     if magic != MAGIC:
                         raise ValueError(f"{row['path']} is no file of ids")
                     packed = f.read(size)

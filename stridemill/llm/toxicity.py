@@ -11,8 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridemill.llm.text import SLICE_BYTES, buffers, hash_spans, mix, slices
+from stridemill.llm.text import SLICE_BYTES, buffers, hash_spans, mix, slices, window_hashes, word_spans
 from stridemill.schema import require_columns
+from stridemill.session import stage
 
 #: Insults that vote before any label has been seen.
 LEXICON = (
@@ -31,8 +32,18 @@ PATTERNS = (
 )
 #: Bytes of a word's beginning that count as its stem.
 STEMS = (4, 5, 6, 7, 8, 9)
+#: Occurrences in one text that make a term a voter of its own.
+REPEATED = 3
+#: Bounds of how often the annotator says toxic of a clean and of a toxic text: least and most sure.
+ANNOTATOR = (np.array([[0.001], [0.95]]), np.array([[0.02], [0.999]]))
+#: Votes that every voter is taken to have cast on clean and on toxic texts beforehand.
+_PRIOR = np.array([[2.0], [0.5]])
+#: Weight of the label model's word on a single voter, in rows.
+SINGLE_WEIGHT = 1.0
 #: Most labelled rows that the voters and the classifier are fitted on.
 FIT_ROWS = 20_000
+#: Share of the toxic labelled rows that a mined voter stands in at least.
+LEAST_SHARE = 0.02
 #: Most voters mined from the labelled rows.
 MINED = 600
 
@@ -42,9 +53,14 @@ _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 @dataclass
 class Model:
-    """Sorted hashes of the mined and listed terms, and the classifier's weights."""
+    """Sorted hashes of the terms, how often each voter wants its term, and the classifier's weights.
+
+    ``voter_of`` has a row for a single and one for a repeated occurrence:
+    the voter of each term, or -1.
+    """
 
     terms: np.ndarray
+    voter_of: np.ndarray
     weights: np.ndarray
     bias: float
     accuracies: dict[int, tuple[float, float]] = field(default_factory=dict)
@@ -52,7 +68,7 @@ class Model:
 
     @property
     def voters(self) -> int:
-        return len(self.terms) + len(PATTERNS) + 1
+        return int(self.voter_of.max(initial=-1)) + 1 + len(PATTERNS) + 1
 
 
 def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -81,55 +97,88 @@ def _listed() -> np.ndarray:
     return hashes[: len(LEXICON)][first[: len(LEXICON)]]
 
 
+def _copy_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two smallest-shingle hashes of each text, which copies of a text mostly share."""
+    for batch in batches:
+        for rows in slices(batch, "text"):
+            data, offsets = buffers(rows.column("text"))
+            begin, end, first = word_spans(data, offsets)
+            words = hash_spans(data, begin, end)
+            keys = np.full((2, rows.num_rows), np.iinfo(np.int64).max)
+            for k, salt in enumerate((np.uint64(1), np.uint64(2))):
+                each = mix(words + salt)
+                for row in np.flatnonzero(np.diff(first)):
+                    own = each[first[row] : first[row + 1]]
+                    keys[k, row] = int(window_hashes(own, min(5, len(own)), 0x9E6C63D0876A9A45).min() >> np.uint64(1))
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("text"), rows.column("toxic"), pa.array(keys[0]), pa.array(keys[1])], ["text", "toxic", "key1", "key2"]
+            )
+
+
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Toxic and other texts with each term, summed over a slice of rows."""
     for batch in batches:
         for rows in slices(batch, "text"):
             row, term, _ = _terms(rows.column("text"))
-            key = np.unique(np.stack([term, row.astype(np.uint64)]), axis=1) if len(row) else np.zeros((2, 0), np.uint64)
-            toxic = rows.column("toxic").to_numpy().astype(np.int64)[key[1].astype(np.int64)]
-            new = np.flatnonzero(np.r_[np.ones(min(1, key.shape[1]), bool), key[0][1:] != key[0][:-1]])
-            if not len(new):
+            if not len(row):
                 continue
-            n1 = np.add.reduceat(toxic, new)
-            n = np.diff(np.r_[new, key.shape[1]])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key[0][new].view(np.int64)), pa.array(n1), pa.array(n - n1)], ["term", "n1", "n0"]
-            )
+            order = np.lexsort((row, term))
+            row, term = row[order], term[order]
+            new = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (row[1:] != row[:-1])])
+            times = np.diff(np.r_[new, len(row)])
+            row, term = row[new], term[new]
+            toxic = rows.column("toxic").to_numpy()[row] == 1
+            for least in (1, REPEATED):
+                some = np.flatnonzero(times >= least)
+                if not len(some):
+                    continue
+                first = np.flatnonzero(np.r_[True, term[some][1:] != term[some][:-1]])
+                n1 = np.add.reduceat(toxic[some].astype(np.int64), first)
+                n = np.diff(np.r_[first, len(some)])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(term[some][first].view(np.int64)), pa.array(np.full(len(n), least, np.int32)), pa.array(n1), pa.array(n - n1)],
+                    ["term", "least", "n1", "n0"],
+                )
 
 
-def _votes(lower: pa.Array, row: np.ndarray, term: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, voter and count of the votes; the last voter says how many terms stand in the text."""
+def _votes(
+    lower: pa.Array, row: np.ndarray, term: np.ndarray, terms: np.ndarray, voter_of: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, voter and count of the votes; the last voter says how many voters fired in the text."""
     rough = np.zeros(1 << 16, bool)
     rough[terms >> np.uint64(48)] = True
-    maybe = np.flatnonzero(rough[term >> np.uint64(48)]) if len(terms) else np.zeros(0, np.int64)
-    at = np.searchsorted(terms, term[maybe])
-    hit = terms[np.minimum(at, len(terms) - 1)] == term[maybe] if len(terms) else np.zeros(0, bool)
-    rows, voters = [row[maybe][hit]], [at[hit]]
+    maybe = np.flatnonzero(rough[term >> np.uint64(48)])
+    at = np.minimum(np.searchsorted(terms, term[maybe]), len(terms) - 1)
+    hit = terms[at] == term[maybe]
+    key, times = np.unique(row[maybe][hit] * len(terms) + at[hit], return_counts=True)
+    which, each = key // len(terms), key % len(terms)
+    rows, voters, counts = [], [], []
+    for kind, least in enumerate((1, REPEATED)):
+        voter = voter_of[kind][each]
+        fires = (voter >= 0) & (times >= least)
+        rows.append(which[fires])
+        voters.append(voter[fires])
+        counts.append(times[fires])
+    first = int(voter_of.max(initial=-1)) + 1
+    distinct = np.bincount(np.concatenate(rows), minlength=len(lower))
     for k, pattern in enumerate(PATTERNS):
         found = np.flatnonzero(pc.match_substring_regex(lower, pattern).to_numpy(zero_copy_only=False))
         rows.append(found)
-        voters.append(np.full(len(found), len(terms) + k))
-    rows, voters = np.concatenate(rows), np.concatenate(voters)
-    width = len(terms) + len(PATTERNS) + 1
-    key, times = np.unique(rows * width + voters, return_counts=True)
-    rows, voters = key // width, key % width
-    listed = voters < len(terms)
-    distinct = np.bincount(rows[listed], minlength=0)
+        voters.append(np.full(len(found), first + k))
+        counts.append(np.ones(len(found), np.int64))
     some = np.flatnonzero(distinct)
-    return (
-        np.r_[rows, some],
-        np.r_[voters, np.full(len(some), width - 1)],
-        np.r_[times, distinct[some]],
-    )
+    rows.append(some)
+    voters.append(np.full(len(some), first + len(PATTERNS)))
+    counts.append(distinct[some])
+    return np.concatenate(rows), np.concatenate(voters), np.concatenate(counts)
 
 
-def _vote_rows(terms: np.ndarray):
+def _vote_rows(terms: np.ndarray, voter_of: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in slices(batch, "text"):
                 row, term, lower = _terms(rows.column("text"))
-                at, voter, times = _votes(lower, row, term, terms)
+                at, voter, times = _votes(lower, row, term, terms, voter_of)
                 order = np.argsort(at, kind="stable")
                 first = np.searchsorted(at[order], np.arange(rows.num_rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -152,28 +201,30 @@ def label_model(votes: np.ndarray, annotated: np.ndarray, rounds: int = 25) -> t
     maximisation estimates for every voter how often it fires under either
     label, the annotator being one more voter. Voters whose firing is
     correlated given the label are no independent evidence: each one's weight
-    is divided by one plus its summed positive residual correlations.
+    is divided by one plus its summed residual correlations above a half. A voter
+    that abstains says nothing; only a row without any vote is a vote for clean.
     """
     n, m = votes.shape
     posterior = np.where(annotated == 1, 0.95, 0.05)
     discounts = np.ones(m)
     theta = np.zeros((2, m))
+    none = (votes.sum(1) == 0).astype(float)
     for step in range(rounds):
         weight = np.stack([1 - posterior, posterior])
         total = weight.sum(1, keepdims=True)
-        theta = (weight @ votes + 0.05) / (total + 1.0)
-        agree = (weight @ annotated[:, None] + 0.5) / (total + 1.0)
+        theta = (weight @ votes + _PRIOR) / (total + 2 * _PRIOR)
+        agree = np.clip((weight @ annotated[:, None] + 0.5) / (total + 1.0), *ANNOTATOR)
         prior = (posterior.mean() * n + 0.5) / (n + 1)
         if step in (2, 10):
             residual = votes - (posterior[:, None] * theta[1] + (1 - posterior[:, None]) * theta[0])
             spread = residual.std(0) + 1e-6
             correlation = (residual.T @ residual) / n / np.outer(spread, spread)
             np.fill_diagonal(correlation, 0)
-            discounts = 1 / (1 + np.where(correlation > 0.1, correlation, 0).sum(1))
+            discounts = 1 / (1 + np.where(correlation > 0.5, correlation, 0).sum(1))
         fire = np.log(theta[1] / theta[0]) * discounts
-        rest = np.log((1 - theta[1]) / (1 - theta[0])) * discounts
+        silent = (weight @ none[:, None] + 0.5) / (total + 1.0)
         said = np.where(annotated == 1, np.log(agree[1, 0] / agree[0, 0]), np.log((1 - agree[1, 0]) / (1 - agree[0, 0])))
-        logit = np.log(prior / (1 - prior)) + said + votes @ (fire - rest) + rest.sum()
+        logit = np.log(prior / (1 - prior)) + said + votes @ fire + none * np.log(silent[1, 0] / silent[0, 0])
         posterior = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     return posterior, theta, discounts
 
@@ -185,15 +236,15 @@ def _features(rows: np.ndarray, voters: np.ndarray, times: np.ndarray, n: int, m
     return x
 
 
-def _fit_line(x: np.ndarray, target: np.ndarray, strength: float = 0.1, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft targets: Newton steps with a small ridge."""
+def _fit_line(x: np.ndarray, target: np.ndarray, weight: np.ndarray, strength: float = 0.1, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """Logistic regression on weighted soft targets: Newton steps with a small ridge."""
     design = np.c_[x, np.ones(len(x))]
     ridge = np.r_[np.full(x.shape[1], strength), 1e-3]
     w = np.zeros(design.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        gradient = design.T @ (p - target) + ridge * w
-        curve = (design * (p * (1 - p))[:, None]).T @ design + np.diag(ridge)
+        gradient = design.T @ (weight * (p - target)) + ridge * w
+        curve = (design * (weight * p * (1 - p))[:, None]).T @ design + np.diag(ridge)
         step = np.linalg.solve(curve, gradient)
         w -= step
         if np.abs(step).max() < 1e-6:
@@ -201,50 +252,81 @@ def _fit_line(x: np.ndarray, target: np.ndarray, strength: float = 0.1, rounds:
     return w[:-1], float(w[-1])
 
 
+def _single_votes(
+    votes: np.ndarray, posterior: np.ndarray, theta: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """For every voter, a row in which it fires alone with those that nearly always fire with it,
+    and the label model's posterior of such a row.
+
+    Labelled texts mostly hold several signs at once; these rows tell the
+    classifier what the label model says of one.
+    """
+    fired = votes.sum(0)
+    together = (votes.T @ votes) / np.maximum(fired, 1)[:, None] >= 0.9
+    together &= (fired > 0)[:, None]
+    together[np.arange(len(fired)), np.arange(len(fired))] = fired > 0
+    x = np.c_[together.astype(float), np.log1p(together.sum(1))][fired > 0]
+    prior = np.clip(posterior.mean(), 1e-3, 1 - 1e-3)
+    strongest = np.where(together[fired > 0], np.log(theta[1] / theta[0]), -np.inf).max(1, initial=-30)
+    logit = np.log(prior / (1 - prior)) + strongest  # they say the same, so the strongest speaks
+    return x, 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+
+
 def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic", mined: int = MINED) -> Model:
     """Voters, label model and classifier from labelled texts (a bounded number of rows).
 
-    Terms (words and stems of 4 to 9 bytes) that stand in at least three toxic
-    texts and clearly more often there are mined as voters beside the fixed
+    Terms (words and stems of 4 to 9 bytes) that stand, once or repeatedly, in at least
+    2 of 100 toxic texts (and four) and clearly more often there are mined as voters beside the fixed
     lexicon and patterns. Votes are made in tasks; the fit of at most
     ``mined`` voters runs on the driver. Rows without a label of 0 or 1 are
-    left out. Without labels of both kinds the lexicon decides.
+    left out, and of near copies one is kept. Without labels of both kinds the lexicon decides.
     """
     rows = labelled.select(F.col(f"`{text}`").alias("text"), F.col(f"`{toxic}`").cast("int").alias("toxic"))
-    rows = rows.where("toxic IN (0, 1)")
+    rows = rows.where("toxic IN (0, 1)").mapInArrow(_copy_keys, "text STRING, toxic INT, key1 LONG, key2 LONG")
+    # copies of a text would make each of its words look like a sign
+    rows = stage(rows.dropDuplicates(["key1", "toxic"]).dropDuplicates(["key2", "toxic"]).select("text", "toxic"), "labelled")
     listed = np.unique(_listed())
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
-        weights = np.r_[np.full(len(listed), 2.0), np.zeros(len(PATTERNS)), 1.0]
-        return Model(listed, weights, -2.5)
-    counts = rows.mapInArrow(_term_counts, "term LONG, n1 LONG, n0 LONG").groupBy("term").agg(
+        voter_of = np.stack([np.arange(len(listed)), np.full(len(listed), -1)])
+        return Model(listed, voter_of, np.r_[np.full(len(listed), 2.0), np.zeros(len(PATTERNS)), 1.0], -2.5)
+    counts = rows.mapInArrow(_term_counts, "term LONG, least INT, n1 LONG, n0 LONG").groupBy("term", "least").agg(
         F.sum("n1").alias("n1"), F.sum("n0").alias("n0")
     )
     gain = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
     best = (
-        counts.where("n1 >= 3")
+        counts.where(F.col("n1") >= max(4, LEAST_SHARE * n1))
         .withColumn("gain", gain)
-        .where(f"gain > {np.log(4)}")
-        .orderBy(F.desc(F.col("gain") * F.sqrt("n1")), "term")
+        .where(f"gain > {np.log(8)}")
+        .orderBy(F.desc(F.col("gain") * F.sqrt("n1")), "least", "term")
         .limit(mined)
-        .select("term")
+        .select("term", "least")
         .toArrow()
     )
-    terms = np.unique(np.r_[listed, best.column("term").to_numpy().view(np.uint64)])
-    table = rows.mapInArrow(_vote_rows(terms), "toxic INT, voters ARRAY<INT>, times ARRAY<INT>").toArrow().combine_chunks()
+    found = best.column("term").to_numpy().view(np.uint64)
+    terms = np.unique(np.r_[listed, found])
+    wanted = np.zeros((2, len(terms)), bool)
+    wanted[0, np.searchsorted(terms, listed)] = True
+    wanted[(best.column("least").to_numpy() > 1).astype(int), np.searchsorted(terms, found)] = True
+    voter_of = np.where(wanted, np.cumsum(wanted.reshape(-1)).reshape(2, -1) - 1, -1)
+    table = rows.mapInArrow(_vote_rows(terms, voter_of), "toxic INT, voters ARRAY<INT>, times ARRAY<INT>").toArrow().combine_chunks()
     annotated = table.column("toxic").to_numpy()
     lists = table.column("voters").combine_chunks()
     per_row = pc.list_value_length(lists).to_numpy()
     at = np.repeat(np.arange(len(annotated)), per_row)
     voters = lists.flatten().to_numpy()
     times = table.column("times").combine_chunks().flatten().to_numpy()
-    m = len(terms) + len(PATTERNS) + 1
+    m = int(wanted.sum()) + len(PATTERNS) + 1
     x = _features(at, voters, times, len(annotated), m)
-    posterior, theta, discounts = label_model((x[:, :-1] > 0).astype(float), annotated)
-    weights, bias = _fit_line(x, posterior)
+    votes = (x[:, :-1] > 0).astype(float)
+    posterior, theta, discounts = label_model(votes, annotated)
+    alone, said = _single_votes(votes, posterior, theta)
+    weights, bias = _fit_line(
+        np.r_[x, alone], np.r_[posterior, said], np.r_[np.ones(len(x)), np.full(len(alone), SINGLE_WEIGHT)]
+    )
     accuracies = {k: (float(theta[0, k]), float(theta[1, k])) for k in range(m - 1)}
-    return Model(terms, weights, bias, accuracies, discounts)
+    return Model(terms, voter_of, weights, bias, accuracies, discounts)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", output: str = "score") -> DataFrame:
@@ -259,7 +341,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", output: str = "scor
         for batch in batches:
             for rows in slices(batch, "text", SLICE_BYTES):
                 row, term, lower = _terms(rows.column("text"))
-                at, voter, times = _votes(lower, row, term, model.terms)
+                at, voter, times = _votes(lower, row, term, model.terms, model.voter_of)
                 value = np.where(voter == model.voters - 1, np.log1p(times), np.minimum(1 + np.log(times) / 4, 2))
                 logit = np.bincount(at, value * model.weights[voter], minlength=rows.num_rows) + model.bias
                 made = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
