@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridemill.llm import bpe, chat, covertree, huffman, minhash, packing, pivots, substrings, toxicity
+from stridemill.llm import bpe, chat, covertree, huffman, minhash, packing, pivots, substrings, suffixes, toxicity
 from stridemill.plans.registry import table
 
 QUERIES = {}
@@ -89,3 +89,12 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     out = huffman.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes left after the removal of strings of 200 bytes that stand elsewhere too, all documents."""
+    out = suffixes.remove_repeated_bytes(table(spark, folder, "documents").select("doc_id", "text"), length=200)
+    return out.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
