@@ -326,12 +326,12 @@ def near_duplicates(
     first = F.when(
         (F.col("blocks") > 1) & (F.col("id") == F.col("low")), F.sequence(F.lit(0), F.col("blocks") - 1)
     ).otherwise(F.array("block"))
-    bodies = rows.where("text IS NOT NULL").join(
-        texts.select(F.col("rep").alias("id"), "digest", "samples"), ["id", "digest"]
-    ).dropDuplicates(["id", "digest"]) if _repeated(signed) else rows.join(
-        texts.select(F.col("rep").alias("id"), "digest", "samples"), ["id", "digest"]
-    )
-    bodies = bodies.select("id", "text", "samples")
+    # the texts that share a bucket with another one: moved once, then kept beside their samples
+    known = texts.select(F.col("rep").alias("id"), "digest", "samples").join(members.select("id").distinct(), "id")
+    bodies = rows.join(known, ["id", "digest"]).select("id", "text", "samples")
+    if _repeated(signed):
+        bodies = bodies.dropDuplicates(["id"])
+    bodies = stage(bodies, "bodies")
     links = stage(
         _compare(
             members.select("id", F.col("id").alias("label"), "bucket", F.explode(first).alias("block"), F.lit(-1).alias("side")),
