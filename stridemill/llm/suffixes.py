@@ -18,9 +18,9 @@ GROUP_BYTES = 8 << 20
 BLOCK_ANCHORS = 200_000
 BLOCK_BYTES = 8 << 20
 #: Bytes of distinct segments in one suffix array, if a single anchor does not have more.
-ARRAY_BYTES = 4 << 20
+ARRAY_BYTES = 1 << 20
 #: Window starts looked at together in a long text.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Largest alphabet that is sorted by induction.
 INDUCED = 1024
 _BASE = 0xB5026F5AA96619E9
@@ -254,7 +254,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     """Runs of window starts that have the same anchor: row, first start, number, hash.
 
     The anchor of a window of ``length`` bytes is its leftmost ``gram`` bytes
-    of least hash, so equal windows have equal anchors wherever they stand.
+    of least hash, so equal windows have equal anchors wherever they stand. The
+    hash that is returned is mixed once more: least ones are all small.
     """
     span = length - gram + 1
     parts = []
@@ -281,7 +282,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
         new = np.flatnonzero(good & np.r_[True, (place[1:] != place[:-1]) | (row[1:] != row[:-1]) | ~good[:-1]])
         total = np.cumsum(good)
         number = np.diff(np.r_[total[new] - 1, total[-1]]) if len(new) else new
-        parts.append((row[new], new + low - offsets[row[new]], number, hashes[place[new]]))
+        parts.append((row[new], new + low - offsets[row[new]], number, mix(hashes[place[new]] + np.uint64(1))))
     return tuple(np.concatenate(p) for p in zip(*parts))
 
 
@@ -634,7 +635,7 @@ def remove_repeated_bytes(
     )
     segments = (
         base.join(marked, ["id", "check"])
-        .select("id", "check", "text", "start", "size", "hash")
+        .select("row", "id", "check", "text", "start", "size", "hash")  # as below: one exchange for both joins
         .mapInArrow(_cut_segments(length, parts, block_bytes), _schema(*_SEGMENTS)[0])
     )
     found = (
