@@ -14,21 +14,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stridemill.functions.arrays import argmax
+from stridemill.operators.joins import join_back
 from stridemill.schema import ColumnLike, col, names
 
 State = dict[str, Column]
 
 
-def _sum_states(states: Iterable[str]) -> State:
-    return {s: F.sum(s) for s in states}
+def _sum_states(states: State, centres: State) -> State:
+    return {s: F.sum(c) for s, c in states.items()}
 
 
 @dataclass(frozen=True)
 class Metric:
+    """State columns over rows, their merge, and a final expression.
+
+    In tables a state is called ``name__state``, so metrics never share or
+    overwrite one. ``centre`` gives aggregates of the parts (pooled means) that
+    ``merge`` may use as constants of the group.
+    """
+
     name: str
     update: Callable[[Column, Column], State]
     finish: Callable[[State], Column]
-    merge: Callable[[Iterable[str]], State] = _sum_states
+    merge: Callable[[State, State], State] = _sum_states
+    centre: Callable[[State], State] | None = None
+
+    def column(self, state: str) -> str:
+        return f"{self.name}__{state}"
+
+    def read(self, states: Iterable[str]) -> State:
+        return {s: F.col(f"`{self.column(s)}`") for s in states}
 
 
 def mse() -> Metric:
@@ -93,8 +108,9 @@ def accuracy_bar() -> Metric:
 def r2() -> Metric:
     """Squared Pearson correlation, from centred second moments.
 
-    A constant column gives NULL. Merging adds the spread of the part means to
-    the centred moments.
+    A constant column gives NULL. The state holds means, not sums: merging adds
+    the distances of the part means from the pooled mean, so large means cost
+    no digits.
     """
 
     def update(yhat, y):
@@ -103,25 +119,31 @@ def r2() -> Metric:
         n = F.count(p)
         return {
             "np": n,
-            "sp": F.sum(p),
-            "st": F.sum(t),
+            "mp": F.avg(p),
+            "mt": F.avg(t),
             "mpp": F.var_pop(p) * n,
             "mtt": F.var_pop(t) * n,
             "mpt": F.covar_pop(p, t) * n,
         }
 
-    def merge(_):
-        def centred(m: str, a: str, b: str) -> Column:
-            between = F.sum(F.try_divide(F.col(a) * F.col(b), F.col("np")))
-            return F.sum(m) + between - F.try_divide(F.sum(a) * F.sum(b), F.sum("np"))
+    def pooled(s: State, m: str) -> Column:
+        return F.try_divide(F.sum(s["np"] * s[m]), F.sum(s["np"]))
+
+    def centre(s):
+        return {"mp": pooled(s, "mp"), "mt": pooled(s, "mt")}
+
+    def merge(s, c):
+        def centred(moment: str, a: str, b: str) -> Column:
+            between = F.sum(s["np"] * (s[a] - c[a]) * (s[b] - c[b]))
+            return F.sum(s[moment]) + F.coalesce(between, F.lit(0.0))
 
         return {
-            "np": F.sum("np"),
-            "sp": F.sum("sp"),
-            "st": F.sum("st"),
-            "mpp": centred("mpp", "sp", "sp"),
-            "mtt": centred("mtt", "st", "st"),
-            "mpt": centred("mpt", "sp", "st"),
+            "np": F.sum(s["np"]),
+            "mp": F.first(c["mp"], ignorenulls=True) + F.coalesce(pooled({**s, "d": s["mp"] - c["mp"]}, "d"), F.lit(0.0)),
+            "mt": F.first(c["mt"], ignorenulls=True) + F.coalesce(pooled({**s, "d": s["mt"] - c["mt"]}, "d"), F.lit(0.0)),
+            "mpp": centred("mpp", "mp", "mp"),
+            "mtt": centred("mtt", "mt", "mt"),
+            "mpt": centred("mpt", "mp", "mt"),
         }
 
     def finish(s):
@@ -129,7 +151,7 @@ def r2() -> Metric:
             s["np"] > 1, F.try_divide(s["mpt"] * s["mpt"], s["mpp"] * s["mtt"])
         )
 
-    return Metric("r2", update, finish, merge)
+    return Metric("r2", update, finish, merge, centre)
 
 
 BUILT_IN: dict[str, Callable[[], Metric]] = {
@@ -144,7 +166,10 @@ BUILT_IN: dict[str, Callable[[], Metric]] = {
 
 
 def resolve(metrics: Iterable[str | Metric]) -> list[Metric]:
-    """Names become built-in metrics; a ``Metric`` of the user's own is kept."""
+    """Names become built-in metrics; a ``Metric`` of the user's own is kept.
+
+    Two metrics of one name are an error: their columns would be the same.
+    """
     out = []
     for m in metrics:
         if isinstance(m, Metric):
@@ -153,9 +178,16 @@ def resolve(metrics: Iterable[str | Metric]) -> list[Metric]:
             out.append(BUILT_IN[m]())
         else:
             raise ValueError(f"unknown metric {m!r}, expected one of {sorted(BUILT_IN)}")
+    twice = {m.name for m in out if sum(o.name == m.name for o in out) > 1}
+    if twice:
+        raise ValueError(f"several metrics are called {sorted(twice)}")
     return out
 
 
+def _states(metric: Metric) -> list[str]:
+    return list(metric.update(F.lit(0.0), F.lit(0.0)))
+
+
 def partial_states(
     df: DataFrame,
     metrics: Iterable[str | Metric],
@@ -164,28 +196,44 @@ def partial_states(
     by: str | list[str] = (),
 ) -> DataFrame:
     """One row of state columns per group, in one pass over the rows."""
-    states: State = {}
-    for m in resolve(metrics):
-        states.update(m.update(col(yhat), col(y)))
-    return df.groupBy(*names(by)).agg(*[c.alias(s) for s, c in states.items()])
+    columns = [
+        c.alias(m.column(s)) for m in resolve(metrics) for s, c in m.update(col(yhat), col(y)).items()
+    ]
+    return df.groupBy(*names(by)).agg(*columns)
 
 
 def merge_states(
     df: DataFrame, metrics: Iterable[str | Metric], by: str | list[str] = ()
 ) -> DataFrame:
-    """Merge state rows into one row per (coarser) group."""
-    keys = names(by)
-    states: State = {}
-    for m in resolve(metrics):
-        states.update(m.merge(m.update(F.lit(0.0), F.lit(0.0))))
-    return df.groupBy(*keys).agg(*[c.alias(s) for s, c in states.items()])
+    """Merge state rows into one row per (coarser) group.
+
+    Metrics with a ``centre`` read the state rows (few, compared with the rows
+    they stand for) twice.
+    """
+    keys, metrics = names(by), resolve(metrics)
+    centres = [
+        c.alias(f"__c_{m.column(s)}")
+        for m in metrics if m.centre
+        for s, c in m.centre(m.read(_states(m))).items()
+    ]
+    if centres and keys:
+        df = join_back(df, df.groupBy(*keys).agg(*centres), keys)
+    elif centres:
+        row = df.agg(*centres).first()
+        df = df.withColumns({name: F.lit(row[name]).cast("double") for name in row.asDict()})
+    merged = []
+    for m in metrics:
+        about = {s: F.col(f"`__c_{m.column(s)}`") for s in m.centre(m.read(_states(m)))} if m.centre else {}
+        merged += [c.alias(m.column(s)) for s, c in m.merge(m.read(_states(m)), about).items()]
+    return df.groupBy(*keys).agg(*merged)
 
 
 def finish_states(
     df: DataFrame, metrics: Iterable[str | Metric], keep: str | list[str] = ()
 ) -> DataFrame:
-    state = {c: F.col(c) for c in df.columns}
-    return df.select(*names(keep), *[m.finish(state).alias(m.name) for m in resolve(metrics)])
+    return df.select(
+        *[F.col(f"`{k}`") for k in names(keep)], *[m.finish(m.read(_states(m))).alias(m.name) for m in resolve(metrics)]
+    )
 
 
 def evaluate(
@@ -197,7 +245,10 @@ def evaluate(
 ) -> DataFrame:
     """One column per metric and one row per group."""
     metrics = resolve(metrics)
-    return finish_states(partial_states(df, metrics, yhat, y, by), metrics, names(by))
+    states = partial_states(df, metrics, yhat, y, by)
+    return states.select(
+        *names(by), *[m.finish(m.read(_states(m))).alias(m.name) for m in metrics]
+    )
 
 
 def explode_elements(df: DataFrame, yhat: str, y: str) -> DataFrame:

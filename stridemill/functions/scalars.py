@@ -67,8 +67,13 @@ def row_hash(ids: Sequence[ColumnLike], *salt: object) -> Column:
     """Hex digest of the id columns and a salt; the pseudo-random order key.
 
     It depends on the row alone, so a recomputed task gives the same value.
+    Colons and backslashes of a value are escaped and NULL is ``\\N``, so
+    different ids never give the same text.
     """
-    parts = [col(c).cast("string") for c in ids] + [F.lit(str(s)) for s in salt]
+    escaped = [
+        F.replace(F.replace(col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit(":"), F.lit("\\:")) for c in ids
+    ]
+    parts = [F.coalesce(p, F.lit("\\N")) for p in escaped] + [F.lit(str(s)) for s in salt]
     return F.md5(F.concat_ws(":", *parts))
 
 

@@ -16,7 +16,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Observation, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from stridemill.operators.joins import join_back, same_keys
@@ -31,6 +31,8 @@ HOT_KEYS = 100_000
 CHUNK_ROWS = 250_000
 # A table with one row per chunk never has more rows than this.
 MAX_CHUNKS = 1_000_000
+# Bytes of a range partition, as the plan estimates them.
+RANGE_BYTES = 128 << 20
 # Up to this length a frame is read with LEAD columns, above from chunk arrays.
 LEAD_LENGTH = 8
 # Rows per chunk array.
@@ -48,6 +50,18 @@ class Ranked:
     total: int
 
 
+def range_partitions(df: DataFrame) -> int | None:
+    """Partitions for a sort of ``df`` by the plan's estimate of its size.
+
+    None, which leaves the number to the session and AQE, if that is enough or
+    the size is unknown.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    wanted = -(-size // RANGE_BYTES)
+    default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return None if wanted <= default or size >= 1 << 60 else int(wanted)
+
+
 def rank_globally(df: DataFrame, order_by: str | Sequence[str], pos: str = "pos") -> Ranked:
     """0-based position over all rows, without a single-partition window.
 
@@ -57,8 +71,9 @@ def rank_globally(df: DataFrame, order_by: str | Sequence[str], pos: str = "pos"
     """
     order = names(order_by)
     require_columns(df, *order)
+    parts = range_partitions(df)
     staged = stage(
-        df.repartitionByRange(*order)
+        (df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order))
         .sortWithinPartitions(*order)
         .withColumn(_ID, F.monotonically_increasing_id()),
         "ranked",
@@ -86,56 +101,45 @@ def hot_keys(
 ) -> DataFrame | None:
     """The keys with too many rows for one task, or None if there are none.
 
-    Counting needs the key columns only and combines before the shuffle. A key
+    Counting needs the key columns only, combines before the shuffle and is one
+    job, which also writes the keys that may be hot. A key
     is hot above ``max(max_group_rows, total / HOT_KEYS)`` rows, so there are
     at most ``HOT_KEYS`` of them and the table can be broadcast.
     """
     keys = names(keys)
+    least, seen = max_group_rows or GROUP_ROWS, Observation()
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__ord_n"))
-    total, biggest = counts.agg(F.sum("__ord_n"), F.max("__ord_n")).first()
-    limit = max(max_group_rows or GROUP_ROWS, math.ceil((total or 0) / HOT_KEYS))
-    if not total or biggest <= limit:
+    counts = counts.observe(seen, F.sum("__ord_n").alias("total"), F.max("__ord_n").alias("biggest"))
+    large = stage(counts.where(F.col("__ord_n") > least), "hot-keys")
+    limit = max(least, math.ceil((seen.get["total"] or 0) / HOT_KEYS))
+    if (seen.get["biggest"] or 0) <= limit:
         return None
-    return stage(counts.where(F.col("__ord_n") > limit).select(*keys), "hot-keys")
-
-
-def _is_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    renamed = hot.withColumnsRenamed({k: f"__ord_hot_{k}" for k in keys})
-    return df.join(F.broadcast(renamed), same_keys(keys, "__ord_hot_"), how)
+    return large.where(F.col("__ord_n") > limit).select(*keys)
 
 
 def split_hot(
-    df: DataFrame, keys: str | Sequence[str], max_group_rows: int | None = None
+    df: DataFrame, keys: str | Sequence[str], max_group_rows: int | None = None, hot: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame | None]:
-    """``(cold, hot)``: rows of keys that fit one task, and the rest or None."""
-    keys = names(keys)
-    table = hot_keys(df, keys, max_group_rows)
-    if table is None:
-        return df, None
-    return _is_hot(df, table, keys, "left_anti"), _is_hot(df, table, keys, "left_semi")
+    """``(cold, hot)``: rows of keys that fit one task, and the rest or None.
 
-
-def join_stats(
-    df: DataFrame,
-    stats: DataFrame,
-    keys: str | Sequence[str],
-    max_group_rows: int | None = None,
-    how: str = "inner",
-) -> DataFrame:
-    """Add one row of statistics per key to all rows of that key.
-
-    Statistics of hot keys, at most ``HOT_KEYS`` rows, are broadcast, so the
-    rows of a frequent key stay where they are. The others are shuffled, or
-    broadcast by AQE if the whole table turns out small.
+    The rows are read twice at most: once for counting the keys, and once more,
+    if there are hot ones, to mark and write them. ``hot`` is a table of hot
+    keys that is known already; then nothing is counted.
     """
     keys = names(keys)
-    table = hot_keys(df, keys, max_group_rows)
+    table = hot_keys(df, keys, max_group_rows) if hot is None else hot
     if table is None:
-        return join_back(df, stats, keys, how=how)
-    cold, hot = (_is_hot(df, table, keys, side) for side in ("left_anti", "left_semi"))
-    few = _is_hot(stats, table, keys, "left_semi")
-    return join_back(cold, stats, keys, how=how).unionByName(
-        join_back(hot, few, keys, small=True, how=how)
+        return df, None
+    renamed = table.withColumnsRenamed({k: f"__ord_hot_{k}" for k in keys}).withColumn("__ord_is_hot", F.lit(True))
+    marked = stage(
+        df.join(F.broadcast(renamed), same_keys(keys, "__ord_hot_"), "left")
+        .drop(*[f"__ord_hot_{k}" for k in keys])
+        .withColumn("__ord_is_hot", F.col("__ord_is_hot").isNotNull()),
+        "marked",
+    )
+    return (
+        marked.where(~F.col("__ord_is_hot")).drop("__ord_is_hot"),
+        marked.where("__ord_is_hot").drop("__ord_is_hot"),
     )
 
 
@@ -323,15 +327,18 @@ def running(
     inclusive: bool = True,
     max_group_rows: int | None = None,
     chunk_rows: int | None = None,
+    totals: dict[str, str] | None = None,
 ) -> DataFrame:
     """Add running aggregates, ``{output: (sum|count|max|min, column)}``.
 
+    ``totals`` adds whole-group sums, ``{output: column}``, from the same pass.
     With ``inclusive=False`` the current row is left out. Hot and unkeyed
     series are folded per chunk first; the chunk totals are then accumulated
     (one row per chunk) and added to the running value inside the chunk.
     """
     keys, order = names(partition_by), names(order_by)
-    require_columns(df, *keys, *order, *[c for _, c in values.values()])
+    totals = totals or {}
+    require_columns(df, *keys, *order, *[c for _, c in values.values()], *totals.values())
     end = Window.currentRow if inclusive else -1
 
     def add(rows: DataFrame, spec: WindowSpec, prefix: str = "") -> DataFrame:
@@ -345,6 +352,8 @@ def running(
     if keys:
         cold, series = split_hot(df, keys, max_group_rows)
         done = add(cold, Window.partitionBy(*keys).orderBy(*order))
+        whole = Window.partitionBy(*keys)
+        done = done.withColumns({out: F.sum(c).over(whole) for out, c in totals.items()})
         if series is None:
             return done
 
@@ -356,10 +365,14 @@ def running(
     merged = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
     chunks = (
         ranked.groupBy(*group)
-        .agg(*[_RUNNING[fn][0](F.col(c)).alias(f"__ord_c_{out}") for out, (fn, c) in values.items()])
+        .agg(
+            *[_RUNNING[fn][0](F.col(c)).alias(f"__ord_c_{out}") for out, (fn, c) in values.items()],
+            *[F.sum(c).alias(f"__ord_t_{out}") for out, c in totals.items()],
+        )
         .select(
             *group,
             *[merged[fn](f"__ord_c_{out}").over(before).alias(f"__ord_b_{out}") for out, (fn, _) in values.items()],
+            *[F.sum(f"__ord_t_{out}").over(Window.partitionBy(*keys)).alias(out) for out in totals],
         )
     )
     inside = add(ranked, Window.partitionBy(*group).orderBy("__ord_gpos"), "__ord_i_")
@@ -369,7 +382,7 @@ def running(
             for out, (fn, _) in values.items()
         }
     )
-    split = split.select(*df.columns, *values)
+    split = split.select(*df.columns, *values, *totals)
     return split if done is None else done.unionByName(split)
 
 

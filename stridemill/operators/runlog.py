@@ -13,15 +13,30 @@ from stridemill.schema import names, require_array, require_columns
 
 
 def metrics_wide(
-    events: DataFrame, metrics: Sequence[str], by: Sequence[str] = ("phase", "epoch")
+    events: DataFrame,
+    metrics: Sequence[str],
+    by: Sequence[str] = ("phase", "epoch"),
+    newest: str | None = None,
 ) -> DataFrame:
     """One row per phase and epoch, one column per listed metric.
 
     The list is fixed by the caller, so the columns do not drift between
-    appends and no extra job looks for distinct names.
+    appends and no extra job looks for distinct names; an event of another
+    metric is an error. Of several values the one with the highest ``newest``
+    counts (``ts`` if there is such a column); without such a column a second
+    value is an error.
     """
     require_columns(events, *by, "metric", "value")
-    return events.groupBy(*by).pivot("metric", list(metrics)).agg(F.first("value", ignorenulls=True))
+    newest = newest or ("ts" if "ts" in events.columns else None)
+    listed = F.col("metric").isin(*metrics) if metrics else F.lit(False)
+    unknown = F.raise_error(F.concat(F.lit("metric that is not listed: "), F.coalesce("metric", F.lit("NULL"))))
+    known = events.withColumn("metric", F.when(listed, F.col("metric")).otherwise(unknown.cast("string")))
+    if newest:
+        value = F.max_by("value", F.when(F.col("value").isNotNull(), F.struct(newest, "value")))
+    else:
+        second = F.raise_error(F.lit("two values of one metric and no column that orders them")).cast("double")
+        value = F.when(F.count("value") > 1, second).otherwise(F.max("value"))
+    return known.groupBy(*by).pivot("metric", list(metrics)).agg(value)
 
 
 def history_rows(

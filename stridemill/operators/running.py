@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stridemill.operators.order import join_stats, running
+from stridemill.operators.joins import join_back
+from stridemill.operators.order import running
 from stridemill.schema import names, require_columns
 
 
@@ -85,19 +86,16 @@ def progress(
     chunk_rows: int | None = None,
 ) -> DataFrame:
     """Add ``seen``, ``total`` and ``percent`` per group."""
-    keys = names(partition_by)
-    totals = df.groupBy(*keys).agg(F.sum(n).alias("total"))
     out = running(
         df,
         {"seen": ("sum", n)},
         order_by,
-        keys,
+        partition_by,
         max_group_rows=max_group_rows,
         chunk_rows=chunk_rows,
+        totals={"total": n},
     )
-    return join_stats(out, totals, keys, max_group_rows).withColumn(
-        "percent", 100.0 * F.try_divide(F.col("seen"), F.col("total"))
-    )
+    return out.withColumn("percent", 100.0 * F.try_divide(F.col("seen"), F.col("total")))
 
 
 def latest_values(df: DataFrame, value: str, step: str, by: str | Sequence[str]) -> DataFrame:
@@ -107,17 +105,15 @@ def latest_values(df: DataFrame, value: str, step: str, by: str | Sequence[str])
     )
 
 
-def column_max_normalise(
-    df: DataFrame, value: str, by: str | Sequence[str], max_group_rows: int | None = None
-) -> DataFrame:
+def column_max_normalise(df: DataFrame, value: str, by: str | Sequence[str]) -> DataFrame:
     """Divide by the largest value of the same key; a zero maximum gives NULL.
 
-    The maxima are a partial aggregate joined back; the rows of a frequent key
-    are not gathered in a task.
+    The maxima are a partial aggregate joined back; AQE splits the rows of a
+    frequent key over several tasks.
     """
     keys = names(by)
     tops = df.groupBy(*keys).agg(F.max(value).alias("__top"))
-    return join_stats(df, tops, keys, max_group_rows).withColumn(
+    return join_back(df, tops, keys).withColumn(
         value, F.try_divide(F.col(value), F.col("__top"))
     ).drop("__top")
 
@@ -131,12 +127,12 @@ def latest_checkpoint(df: DataFrame, name: str = "name") -> DataFrame:
 def best_epoch(
     df: DataFrame, metric: str, by: str | Sequence[str] = "run", trigger: str = "increase"
 ) -> DataFrame:
-    """The epoch with the best metric, the first one on a tie."""
+    """The epoch with the best metric, the first one on a tie; NaN is never best."""
     if trigger not in ("increase", "decrease"):
         raise ValueError("trigger must be 'increase' or 'decrease'")
     up = trigger == "increase"
     m = F.col(metric).cast("double")
     rank: Column = F.struct((m if up else -m).alias("m"), (-F.col("epoch")).alias("e"))
-    return df.where(m.isNotNull()).groupBy(*names(by)).agg(
+    return df.where(m.isNotNull() & ~F.isnan(m)).groupBy(*names(by)).agg(
         F.max_by("epoch", rank).alias("epoch"), F.max_by(metric, rank).alias(metric)
     )

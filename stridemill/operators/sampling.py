@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridemill.functions.scalars import row_hash
-from stridemill.operators.order import with_position
+from stridemill.operators.order import rank_globally, with_position
 from stridemill.schema import names, require_columns
 from stridemill.session import stage
 
@@ -78,6 +78,8 @@ def random_split(
 
     Only the hash at the cut is looked for: sizes of all cells, then a ranking
     of the one cell that holds the cut. The rows themselves are not shuffled.
+    If the cut would fall between rows of equal ids, no exact split exists and
+    an error says so.
     """
     if not 0 <= ratio <= 1:
         raise ValueError("ratio must be between 0 and 1")
@@ -95,7 +97,10 @@ def random_split(
             .where(_cell(F.col("__h")) == cell["__cell"])
             .withColumn("__rank", F.row_number().over(spec))
         )
-        cut = inside.where(F.col("__rank") == cell["at"]).first()["__h"]
+        around = inside.where(F.col("__rank").between(cell["at"] - 1, cell["at"])).orderBy("__rank").collect()
+        cut = around[-1]["__h"]
+        if len(around) == 2 and around[0]["__h"] == cut:
+            raise ValueError(f"rows with equal {ids} on both sides of the cut: the ids must be unique")
     train = F.lit(True) if cut is None else digest < F.lit(cut)
     return df.withColumn(column, F.when(train, "train").otherwise("test"))
 
@@ -164,14 +169,26 @@ def take_positions(
     return with_position(df, order_by).join(index.select("ord", "pos"), "pos")
 
 
-def concat_sources(
-    sources: Sequence[DataFrame], order_by: str | Sequence[str], pos: str = "pos"
-) -> DataFrame:
-    """One table after the other; ``loader_ix`` numbers the source."""
+def union_sources(sources: Sequence[DataFrame]) -> DataFrame:
+    """All tables, unordered; ``loader_ix`` numbers the source."""
     if not sources:
         raise ValueError("nothing to concatenate")
     numbered = [df.withColumn("loader_ix", F.lit(i)) for i, df in enumerate(sources)]
     out = numbered[0]
     for df in numbered[1:]:
         out = out.unionByName(df)
-    return with_position(out, ["loader_ix", *names(order_by)], pos=pos)
+    return out
+
+
+def concat_sources(
+    sources: Sequence[DataFrame], order_by: str | Sequence[str], pos: str = "pos"
+) -> DataFrame:
+    """One table after the other: each is sorted alone and put behind those before it."""
+    if not sources:
+        raise ValueError("nothing to concatenate")
+    placed, before = [], 0
+    for df in sources:
+        ranked = rank_globally(df, order_by, pos)
+        placed.append(ranked.df.withColumn(pos, F.col(pos) + F.lit(before)))
+        before += ranked.total
+    return union_sources(placed)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridemill.functions.arrays import pad_to
-from stridemill.operators.order import Ranked, join_stats, rank_globally, with_position
+from stridemill.operators.order import Ranked, rank_globally, with_position
 from stridemill.operators.sampling import hash_position
 from stridemill.schema import names, require_array, require_columns
 
@@ -92,6 +92,21 @@ def batches(
     return _batch(placed, size, drop_last)
 
 
+def ordered_batches(
+    df: DataFrame, order_by: str | Sequence[str], size: int = DEFAULT_BATCH, columns: Sequence[str] = ()
+) -> DataFrame:
+    """One row per batch of consecutive rows: ``batch_ix`` and each column as an array in order.
+
+    For callers that go through scored rows in order, for instance by
+    ``toLocalIterator`` over the sorted batches; only the last batch is short.
+    """
+    columns = list(columns) or df.columns
+    placed = batches(df, order_by, size)
+    rows = F.array_sort(F.collect_list(F.struct("pos", *columns)))
+    out = placed.groupBy("batch_ix").agg(rows.alias("__rows"))
+    return out.select("batch_ix", *[F.col(f"__rows.{c}").alias(c) for c in columns])
+
+
 def shuffled_batches(
     df: DataFrame,
     ids: str | Sequence[str],
@@ -104,20 +119,41 @@ def shuffled_batches(
     return _batch(hash_position(df, ids, seed, epoch, total="__total"), size, drop_last)
 
 
-def pad_batches(
-    df: DataFrame,
-    x: str,
-    batch: str | Sequence[str] = "batch_ix",
-    max_group_rows: int | None = None,
-) -> DataFrame:
-    """Zero-pad ``x`` to the longest of its batch and keep its length in ``len``."""
+def pad_batches(df: DataFrame, x: str, batch: str | Sequence[str] = "batch_ix") -> DataFrame:
+    """Zero-pad ``x`` to the longest of its batch and keep its length in ``len``.
+
+    A batch has as many rows as the batch size says, so it is gathered: the
+    arrays move once.
+    """
     keys = names(batch)
     require_columns(df, *keys)
     require_array(df, x)
-    longest = df.groupBy(*keys).agg(F.max(F.size(x)).alias("__longest"))
+    longest = F.max(F.size(x)).over(Window.partitionBy(*keys))
     return (
-        join_stats(df, longest, keys, max_group_rows)
+        df.withColumn("__longest", longest)
         .withColumn("len", F.size(x))
         .withColumn(x, pad_to(F.col(x).cast("array<double>"), "__longest"))
         .drop("__longest")
     )
+
+
+def padded_batches(
+    df: DataFrame, x: str, id: str, size: int = DEFAULT_BATCH, order_by: str | Sequence[str] = ()
+) -> DataFrame:
+    """``batches`` and ``pad_batches`` of rows with a unique ``id`` (the order, unless given).
+
+    Positions and longest lengths come from ids and lengths alone; the arrays
+    are moved once, to meet them.
+    """
+    order = names(order_by) or [id]
+    require_columns(df, id, *order)
+    require_array(df, x)
+    narrow = df.select(*dict.fromkeys([id, *order]), F.size(x).alias("__n"))
+    placed = batches(narrow, order, size)
+    placed = placed.withColumn("__longest", F.max("__n").over(Window.partitionBy("batch_ix")))
+    placed = placed.select(F.col(id).alias("__id"), "pos", "batch_ix", F.col("__n").alias("len"), "__longest")
+    return (
+        df.join(placed, F.col(id).eqNullSafe(F.col("__id")))
+        .withColumn(x, pad_to(F.col(x).cast("array<double>"), "__longest"))
+        .drop("__longest", "__id")
+    )

@@ -112,11 +112,15 @@ class SliceGrid:
     def ordinals(self, time: Column) -> Column:
         """The slices that hold a time, as an array (empty in a gap)."""
         since = time - F.lit(self.t0)
-        last = F.least(F.floor(since / F.lit(self.stride)), F.lit(self.count - 1))
-        first = F.greatest(
-            F.floor((since - F.lit(self.length)) / F.lit(self.stride)) + 1, F.lit(0)
-        )
-        return F.when(first <= last, F.sequence(first, last)).otherwise(
+        # the division may round across an edge: one more slice on each side, then the edges decide
+        last = F.least(F.floor(since / F.lit(self.stride)) + 1, F.lit(self.count - 1))
+        first = F.greatest(F.floor((since - F.lit(self.length)) / F.lit(self.stride)), F.lit(0))
+
+        def holds(k: Column) -> Column:
+            start = F.lit(self.t0) + k * F.lit(self.stride)
+            return (start <= time) & (time < start + F.lit(self.length))
+
+        return F.when(first <= last, F.filter(F.sequence(first, last), holds)).otherwise(
             F.array().cast("array<bigint>")
         )
 

@@ -13,7 +13,7 @@ from stridemill.functions.losses import squared_error_sum
 from stridemill.functions.scalars import drop_suffix, file_name, file_stem, merge_maps
 from stridemill.operators import joins, labels, projection, scaling, scoring, transforms
 from stridemill.plans.registry import query, rounded, table
-from stridemill.session import fresh_path
+from stridemill.session import fresh_path, stage
 
 
 def _vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -269,7 +269,8 @@ def user_transforms(spark: SparkSession, folder: str) -> DataFrame:
     """A sample transform in numpy and a target transform as a column."""
 
     def rescale(values: pd.Series) -> pd.Series:
-        return values.map(lambda a: (a - 0.5) * 2)
+        whole = (np.stack(values.to_numpy()) - 0.5) * 2  # all rows of the batch at once
+        return pd.Series(list(whole), index=values.index)
 
     out = transforms.apply_transforms(
         labels.as_samples(_vectors(spark, folder), "x", "label"),
@@ -290,11 +291,73 @@ def covariance_matrix(spark: SparkSession, folder: str) -> DataFrame:
     return projection.covariance(_vectors(spark, folder), "x").withColumn("value", rounded("value", 9))
 
 
-@query()
+_SPREAD = """
+WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+f AS (SELECT i, avg(v) AS m FROM e GROUP BY i),
+s AS (SELECT vec_id, label, sum(power(v - m, 2)) AS energy FROM e JOIN f USING (i) GROUP BY vec_id, label)
+"""
+
+
+@query(_SPREAD + """
+SELECT vec_id, label, round(energy, 6) AS energy, 0.0::DOUBLE AS overlap, 0.0::DOUBLE AS order_faults FROM s
+""")
 def pca_project(spark: SparkSession, folder: str) -> DataFrame:
+    """Three components: what they keep of a row and what they leave add up to its distance
+    from the mean; the scores of the components are uncorrelated and fall in variance."""
+    vectors = _vectors(spark, folder)
+    model = projection.fit_pca(vectors, "x", 3)
+    out = model.reconstruct(model.transform(vectors, "x"), "x", "back")
+    facts = out.agg(
+        *[F.corr(F.get("z", i), F.get("z", j)).alias(f"c{i}{j}") for i, j in ((0, 1), (0, 2), (1, 2))],
+        *[F.var_samp(F.get("z", i)).alias(f"v{i}") for i in range(3)],
+    ).first()
+    overlap = max(abs(facts[c]) for c in ("c01", "c02", "c12"))
+    faults = float(facts["v0"] < facts["v1"]) + float(facts["v1"] < facts["v2"])
+    return out.select(
+        "vec_id", "label",
+        rounded(arrays.dot("z", "z") + squared_error_sum("x", "back")).alias("energy"),
+        rounded(F.lit(overlap)).alias("overlap"), F.lit(faults).alias("order_faults"),
+    )
+
+
+@query(_SPREAD + """
+SELECT label, round(avg(energy), 6) AS energy, true AS smaller FROM s GROUP BY label
+""")
+def pca_reconstruct_error(spark: SparkSession, folder: str) -> DataFrame:
+    """Sixteen components: kept variance plus reconstruction error is the whole, per label,
+    and sixteen leave a smaller error than three."""
+    vectors = _vectors(spark, folder)
+    model = projection.fit_pca(vectors, "x", 16)
+    out = model.reconstruct(model.transform(vectors, "x"), "x", "back")
+    out = projection.fit_pca(vectors, "x", 3).reconstruct(out, "x", "rough")
+    error = squared_error_sum("x", "back")
+    return out.groupBy("label").agg(
+        rounded(F.avg(error + arrays.dot("z", "z"))).alias("energy"),
+        (F.avg(error) < F.avg(squared_error_sum("x", "rough"))).alias("smaller"),
+    )
+
+
+@query("""
+WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v FROM embeddings)
+SELECT vec_id, round(sum(v * v), 6) AS energy, true AS orthonormal, true AS longest FROM e GROUP BY vec_id
+""")
+def svd_project(spark: SparkSession, folder: str) -> DataFrame:
+    """Three right singular vectors: orthonormal, of the largest gain, and a row's scores and
+    residual add up to its length."""
     vectors = _vectors(spark, folder)
-    out = projection.fit_pca(vectors, "x", 3).transform(vectors, "x")
-    return out.select("vec_id", "label", *[F.abs(F.get("z", i)).alias(f"z{i}") for i in range(3)])
+    model = projection.fit_svd(vectors, "x", 3)
+    v = model.components
+    out = vectors.withColumn("z", model.transform("x"))
+    back = scoring.dense([(v.T, np.zeros(v.shape[0]))], F.col("z"))
+    out = out.withColumn("back", back)
+    gains = out.agg(*[F.sum(F.get("z", i) * F.get("z", i)).alias(f"g{i}") for i in range(3)]).first()
+    gains = np.array([gains[f"g{i}"] for i in range(3)])
+    orthonormal = bool(np.abs(v.T @ v - np.eye(3)).max() < 1e-8)
+    longest = bool(np.allclose(gains, model.singular_values**2) and (np.diff(gains) <= 1e-9).all())
+    return out.select(
+        "vec_id", rounded(arrays.dot("z", "z") + squared_error_sum("x", "back")).alias("energy"),
+        F.lit(orthonormal).alias("orthonormal"), F.lit(longest).alias("longest"),
+    )
 
 
 @query("""
@@ -314,20 +377,6 @@ def pca_full_rank(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query()
-def pca_reconstruct_error(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = _vectors(spark, folder)
-    out = projection.fit_pca(vectors, "x", 16).reconstruct(vectors, "x", "back")
-    return out.groupBy("label").agg(rounded(F.avg(squared_error_sum("x", "back"))).alias("error"))
-
-
-@query()
-def svd_project(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = _vectors(spark, folder)
-    out = vectors.withColumn("z", projection.fit_svd(vectors, "x", 3).transform("x"))
-    return out.select("vec_id", "label", *[F.abs(F.get("z", i)).alias(f"z{i}") for i in range(3)])
-
-
 @query("""
 SELECT vec_id, round(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE)), 6) AS energy FROM embeddings
 """)
@@ -432,20 +481,36 @@ def user_scorer(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query()
+_CLASSES = """
+WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label)
+SELECT label, n, true AS in_range, true AS beats_majority FROM c
+"""
+
+
+def _classified(scored: DataFrame, classes: int) -> DataFrame:
+    """Rows per label, whether all predictions are classes, and whether as many are right
+    as guessing the most frequent class would get."""
+    hit = (F.col("prediction") == F.col("label")).cast("long")
+    per = scored.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(hit).alias("hits"),
+        F.min(F.col("prediction").between(0, classes - 1)).alias("in_range"),
+    )
+    best = per.agg((F.sum("hits") >= F.max("n")).alias("beats_majority")).first()["beats_majority"]
+    return per.select("label", "n", "in_range", F.lit(bool(best)).alias("beats_majority"))
+
+
+@query(_CLASSES)
 def compress_then_classify(spark: SparkSession, folder: str) -> DataFrame:
     vectors = _vectors(spark, folder)
     model = projection.CompressedClassifier.fit(vectors, "x", "label", latents=3, hidden=8, classes=10)
-    return model.transform(vectors, "x").select("vec_id", "label", "prediction")
+    return _classified(stage(model.transform(vectors, "x").select("label", "prediction"), "classified"), 10)
 
 
-@query()
+@query(_CLASSES)
 def mlp_fit(spark: SparkSession, folder: str) -> DataFrame:
     vectors = _vectors(spark, folder)
     model = projection.fit_classifier(vectors, "x", "label", hidden=8, classes=10)
-    scored = projection.classify(model, vectors, "x")
-    hit = (F.col("prediction") == F.col("label")).cast("double")
-    return scored.groupBy("label").agg(F.avg(hit).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+    return _classified(stage(projection.classify(model, vectors, "x").select("label", "prediction"), "classified"), 10)
 
 
 _NOISE = """

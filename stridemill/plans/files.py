@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -190,7 +191,7 @@ def archive_catalogue(spark: SparkSession, folder: str) -> DataFrame:
 
 _METRIC_SQL = """
 WITH m AS (SELECT event_type AS run, CASE WHEN hour(ts) < 16 THEN 'training' ELSE 'validation' END AS phase,
-                  day(ts)::INTEGER AS epoch, round(sqrt(avg(power(value - 50, 2))), 6) AS loss, max(value) AS peak FROM events GROUP BY ALL)
+                  date_diff('day', DATE '1970-01-01', ts::DATE)::INTEGER AS epoch, round(sqrt(avg(power(value - 50, 2))), 6) AS loss, max(value) AS peak FROM events GROUP BY ALL)
 """
 
 
@@ -300,3 +301,46 @@ def run_parameters(spark: SparkSession, folder: str) -> DataFrame:
     return merged.select(
         F.col("event_type").alias("run"), *[F.col("p")[k].alias(k) for k in ("optimizer", "batch_size", "n_rows")]
     )
+
+
+@query("""
+SELECT count(*) AS first_rows, true AS refused, max(event_id) AS last_rows, count(DISTINCT user_id) AS users FROM events
+""")
+def run_record(spark: SparkSession, folder: str) -> DataFrame:
+    """A run record written, refused for an existing run, and overridden by a debug run."""
+    root = fresh_path(spark, "run-record")
+    counts = table(spark, folder, "events").agg(
+        F.count(F.lit(1)).alias("rows"), F.max("event_id").alias("last"), F.count_distinct("user_id").alias("users")
+    ).first()
+    params = {"rows": counts["rows"], "users": counts["users"]}
+    schema = "rows STRING, users STRING"
+
+    def recorded() -> DataFrame:
+        return spark.read.text(f"{root}/params").select(F.from_json("value", schema).alias("p")).select("p.*")
+
+    sinks.write_parameters(spark, root, params, {})
+    first = recorded().first()["rows"]
+    try:
+        sinks.write_parameters(spark, root, params, {"rows": 0})
+        refused = False
+    except AnalysisException:
+        refused = True
+    sinks.write_parameters(spark, root, params, {"rows": counts["last"]}, project="debug")
+    return recorded().select(
+        F.lit(first).cast("long").alias("first_rows"), F.lit(refused).alias("refused"),
+        F.col("rows").cast("long").alias("last_rows"), F.col("users").cast("long").alias("users"),
+    )
+
+
+@query("""
+SELECT event_type AS run, 'training' AS phase, user_id::INTEGER AS epoch, 'value' AS metric, value::DOUBLE AS value FROM events
+""")
+def metric_log_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Metric events as CSV, read back with the declared schema."""
+    path = fresh_path(spark, "metric-events")
+    events = table(spark, folder, "events").select(
+        F.col("event_type").alias("run"), F.lit("training").alias("phase"), F.col("user_id").cast("int").alias("epoch"),
+        F.lit("value").alias("metric"), F.col("value").cast("double").alias("value"), F.col("ts").cast("timestamp").alias("ts"),
+    )
+    events.write.option("header", True).csv(path)
+    return text.metric_log(spark, path).drop("ts")

@@ -15,7 +15,7 @@ def _squared() -> Column:
 
 
 _DAYS = """
-d AS (SELECT event_type AS run, day(ts)::INTEGER AS epoch, round(sqrt(avg(power(value - 50, 2))), 6) AS metric
+d AS (SELECT event_type AS run, date_diff('day', DATE '1970-01-01', ts::DATE)::INTEGER AS epoch, round(sqrt(avg(power(value - 50, 2))), 6) AS metric
       FROM events GROUP BY ALL)
 """
 
@@ -28,7 +28,7 @@ def _days(spark: SparkSession, folder: str) -> DataFrame:
     """
     return stage(
         table(spark, folder, "events")
-        .groupBy(F.col("event_type").alias("run"), F.dayofmonth("ts").alias("epoch"))
+        .groupBy(F.col("event_type").alias("run"), F.unix_date(F.to_date("ts")).alias("epoch"))
         .agg(rounded(F.sqrt(F.avg(_squared()))).alias("metric")),
         "run-log",
     )
@@ -74,7 +74,7 @@ def latest_checkpoint(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _BATCHES = """
-b AS (SELECT day(ts)::INTEGER AS epoch, event_type AS phase, hour(ts)::INTEGER AS batch_ix,
+b AS (SELECT date_diff('day', DATE '1970-01-01', ts::DATE)::INTEGER AS epoch, event_type AS phase, hour(ts)::INTEGER AS batch_ix,
              sum(power(value - 50, 2)) AS sse, count(*) AS n FROM events GROUP BY ALL)
 """
 
@@ -83,7 +83,7 @@ def _batches(spark: SparkSession, folder: str) -> DataFrame:
     return stage(
         table(spark, folder, "events")
         .groupBy(
-            F.dayofmonth("ts").alias("epoch"),
+            F.unix_date(F.to_date("ts")).alias("epoch"),
             F.col("event_type").alias("phase"),
             F.hour("ts").alias("batch_ix"),
         )
@@ -135,7 +135,7 @@ def every_n(spark: SparkSession, folder: str) -> DataFrame:
 
 _METRICS = """
 m AS (SELECT event_type AS run, CASE WHEN hour(ts) < 16 THEN 'training' ELSE 'validation' END AS phase,
-             day(ts)::INTEGER AS epoch, round(sqrt(avg(power(value - 50, 2))), 6) AS loss, max(value) AS peak
+             date_diff('day', DATE '1970-01-01', ts::DATE)::INTEGER AS epoch, round(sqrt(avg(power(value - 50, 2))), 6) AS loss, max(value) AS peak
       FROM events GROUP BY ALL)
 """
 
@@ -147,7 +147,7 @@ def _metric_rows(spark: SparkSession, folder: str) -> DataFrame:
         .groupBy(
             F.col("event_type").alias("run"),
             F.when(F.hour("ts") < 16, "training").otherwise("validation").alias("phase"),
-            F.dayofmonth("ts").alias("epoch"),
+            F.unix_date(F.to_date("ts")).alias("epoch"),
         )
         .agg(rounded(F.sqrt(F.avg(_squared()))).alias("loss"), F.max("value").alias("peak"))
     )
@@ -205,12 +205,12 @@ def history_explode(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""
 WITH h AS (SELECT date_trunc('hour', ts) AS t, event_type AS scale, sum(value) AS power FROM events GROUP BY ALL)
-SELECT day(t)::INTEGER AS day, hour(t)::INTEGER AS hour, scale, round(power / max(power) OVER (PARTITION BY t), 6) AS power FROM h
+SELECT date_diff('day', DATE '1970-01-01', t::DATE)::INTEGER AS day, hour(t)::INTEGER AS hour, scale, round(power / max(power) OVER (PARTITION BY t), 6) AS power FROM h
 """)
 def column_max_normalise(spark: SparkSession, folder: str) -> DataFrame:
     hours = stage(
         table(spark, folder, "events")
-        .groupBy(F.dayofmonth("ts").alias("day"), F.hour("ts").alias("hour"), F.col("event_type").alias("scale"))
+        .groupBy(F.unix_date(F.to_date("ts")).alias("day"), F.hour("ts").alias("hour"), F.col("event_type").alias("scale"))
         .agg(F.sum("value").alias("power")),
         "spectrum",
     )

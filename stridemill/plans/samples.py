@@ -34,7 +34,9 @@ def lookahead_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""
 WITH s AS (
-  SELECT row_number() OVER w - 1 AS pos, o_totalprice AS x0, lead(o_totalprice, 5) OVER w AS x5,
+  SELECT row_number() OVER w - 1 AS pos, o_totalprice AS x0, lead(o_totalprice, 1) OVER w AS x1,
+         lead(o_totalprice, 2) OVER w AS x2, lead(o_totalprice, 3) OVER w AS x3, lead(o_totalprice, 4) OVER w AS x4,
+         lead(o_totalprice, 5) OVER w AS x5,
          lead(o_totalprice, 8) OVER w AS target, lead(o_orderkey, 8) OVER w AS o_orderkey
   FROM orders WINDOW w AS (ORDER BY o_orderdate, o_orderkey))
 SELECT * FROM s WHERE target IS NOT NULL
@@ -45,7 +47,7 @@ def lookahead_windows_global(spark: SparkSession, folder: str) -> DataFrame:
         carry=["o_orderkey"], chunk_rows=20_000,
     )
     return samples.select(
-        "pos", F.get("x", 0).alias("x0"), F.get("x", 5).alias("x5"), "target", "o_orderkey"
+        "pos", *[F.get("x", i).alias(f"x{i}") for i in range(6)], "target", "o_orderkey"
     )
 
 
@@ -206,8 +208,8 @@ WITH p AS (
          (PARTITION BY user_id ORDER BY ts, event_id) <= 40 THEN 'train' ELSE 'test' END AS split
   FROM events),
 s AS (
-  SELECT user_id, split, row_number() OVER w - 1 AS pos, value AS x0, lead(value, 3) OVER w AS x3,
-         lead(value, 4) OVER w AS target
+  SELECT user_id, split, row_number() OVER w - 1 AS pos, value AS x0, lead(value) OVER w AS x1,
+         lead(value, 2) OVER w AS x2, lead(value, 3) OVER w AS x3, lead(value, 4) OVER w AS target
   FROM p WINDOW w AS (PARTITION BY user_id, split ORDER BY ts, event_id))
 SELECT * FROM s WHERE target IS NOT NULL
 """)
@@ -216,7 +218,7 @@ def fixed_cut_windows(spark: SparkSession, folder: str) -> DataFrame:
     cut = splits.fixed_split(events, 40, EVENT_ORDER, "user_id")
     out = windows.lookahead_samples(cut, "value", 4, 1, EVENT_ORDER, ["user_id", "split"])
     return out.select(
-        "user_id", "split", "pos", F.get("x", 0).alias("x0"), F.get("x", 3).alias("x3"), "target"
+        "user_id", "split", "pos", *[F.get("x", i).alias(f"x{i}") for i in range(4)], "target"
     )
 
 
@@ -293,8 +295,7 @@ WITH p AS (SELECT *, row_number() OVER (PARTITION BY loader_ix ORDER BY key) - 1
 SELECT loader_ix, key, pos, pos // 32 AS batch_ix FROM p
 """)
 def loader_batches(spark: SparkSession, folder: str) -> DataFrame:
-    both = sampling.concat_sources(_parties(spark, folder), "key").drop("pos")
-    out = splits.batches(both, "key", 32, partition_by="loader_ix")
+    out = splits.batches(sampling.union_sources(_parties(spark, folder)), "key", 32, partition_by="loader_ix")
     return out.select("loader_ix", "key", "pos", "batch_ix")
 
 
@@ -338,7 +339,7 @@ def pad_sequences(spark: SparkSession, folder: str) -> DataFrame:
     """Word lengths of whole documents, padded to the longest of 16."""
     lengths = F.transform(F.split("text", " "), lambda w: F.length(w).cast("double"))
     docs = table(spark, folder, "documents").select("doc_id", lengths.alias("x"))
-    padded = splits.pad_batches(splits.batches(docs, "doc_id", 16), "x")
+    padded = splits.padded_batches(docs, "x", "doc_id", 16)
     return padded.select(
         "doc_id",
         "batch_ix",
@@ -363,3 +364,40 @@ def bin_labels(spark: SparkSession, folder: str) -> DataFrame:
     now = F.get("x", 0)
     change = F.try_divide(F.col("target") - now, now)
     return pairs.select("user_id", "pos", bin_label(change).alias("bin"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CASE WHEN row_number() OVER (ORDER BY md5(concat_ws(':', l_orderkey, l_linenumber, 11))) - 1
+       < floor(0.8::DOUBLE * count(*) OVER ()) THEN 'train' ELSE 'test' END AS split
+FROM lineitem
+""")
+def random_split_composite_id(spark: SparkSession, folder: str) -> DataFrame:
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber")
+    return sampling.random_split(lines, 0.8, ["l_orderkey", "l_linenumber"], seed=11)
+
+
+@query("""
+WITH k AS (SELECT unnest(generate_series(0, 997)) AS slice)
+SELECT slice, count(*) AS n FROM k JOIN events ON value >= 0.0::DOUBLE + slice * 0.1::DOUBLE
+                                AND value < 0.0::DOUBLE + slice * 0.1::DOUBLE + 0.3::DOUBLE
+GROUP BY slice
+""")
+def hopping_slices_fractional(spark: SparkSession, folder: str) -> DataFrame:
+    """Slices of 0.3 every 0.1, whose edges no floating division finds exactly."""
+    values = table(spark, folder, "events").select("value")
+    grid = windows.SliceGrid(0.0, 0.3, 0.1, 998)
+    return windows.assign_slices(values, "value", grid).groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+WITH p AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS pos FROM orders)
+SELECT pos // 50 AS batch_ix, (pos % 50)::INTEGER AS place, o_orderkey, round(o_totalprice * 0.5, 4) AS prediction FROM p
+""")
+def scored_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """Scored rows handed to the caller in batches of 50 consecutive rows."""
+    orders = table(spark, folder, "orders").select(
+        "o_orderkey", "o_orderdate", rounded(F.col("o_totalprice").cast("double") * 0.5, 4).alias("prediction")
+    )
+    out = splits.ordered_batches(orders, ["o_orderdate", "o_orderkey"], 50, ["o_orderkey", "prediction"])
+    rows = F.posexplode(F.arrays_zip("o_orderkey", "prediction")).alias("place", "r")
+    return out.select("batch_ix", rows).select("batch_ix", "place", "r.o_orderkey", "r.prediction")

@@ -32,7 +32,7 @@ def mse_state_merge(spark: SparkSession, folder: str) -> DataFrame:
     """States per flag and status, merged to states per flag."""
     parts = partial_states(_regression(spark, folder), ["mse"], by=["l_returnflag", "l_linestatus"])
     merged = merge_states(parts, ["mse"], "l_returnflag")
-    out = finish_states(merged, ["mse"], ["l_returnflag", "nobs"])
+    out = finish_states(merged, ["mse"], ["l_returnflag", "mse__nobs"]).withColumnRenamed("mse__nobs", "nobs")
     return out.withColumn("mse", rounded("mse"))
 
 
@@ -329,3 +329,38 @@ def user_criterion(spark: SparkSession, folder: str) -> DataFrame:
     rows = evaluation.apply_criterion(_regression(spark, folder), huber)
     out = losses.reduce_loss(rows, "loss", "mean", "l_returnflag")
     return out.withColumn("loss", rounded("loss"))
+
+
+@query("""
+SELECT l_returnflag, round(avg(abs(l_quantity - l_extendedprice / 1000)), 6) AS mean_distance,
+       round(100.0 * avg((l_quantity > l_extendedprice / 1000)::INTEGER), 6) AS above,
+       round(100 * avg(abs((l_quantity - l_extendedprice / 1000) / (l_extendedprice / 1000 + 1e-6))), 6) AS mape
+FROM lineitem GROUP BY l_returnflag
+""")
+def user_metrics_together(spark: SparkSession, folder: str) -> DataFrame:
+    """Two user metrics whose states have the same names, beside a built-in one."""
+    distance = Metric(
+        "mean_distance",
+        lambda p, t: {"total": F.sum(F.abs(p - t)), "rows": F.count(F.lit(1))},
+        lambda s: F.try_divide(s["total"], s["rows"]),
+    )
+    above = Metric(
+        "above",
+        lambda p, t: {"total": F.sum((p > t).cast("double")), "rows": F.count(F.lit(1))},
+        lambda s: 100 * F.try_divide(s["total"], s["rows"]),
+    )
+    out = evaluate(_regression(spark, folder), [distance, above, "mape"], by="l_returnflag")
+    return out.select("l_returnflag", *[rounded(c).alias(c) for c in ("mean_distance", "above", "mape")])
+
+
+@query("""
+SELECT l_linestatus, round(power(corr(l_quantity, l_extendedprice), 2), 4) AS r2 FROM lineitem GROUP BY l_linestatus
+""")
+def r2_merged_large_mean(spark: SparkSession, folder: str) -> DataFrame:
+    """Merged states of values around a thousand million."""
+    far = _regression(spark, folder).withColumns(
+        {c: F.col(c).cast("double") + F.lit(1e9) for c in ("prediction", "target")}
+    )
+    parts = partial_states(far, ["r2"], by=["l_returnflag", "l_linestatus"])
+    out = finish_states(merge_states(parts, ["r2"], "l_linestatus"), ["r2"], "l_linestatus")
+    return out.select("l_linestatus", rounded("r2", 4).alias("r2"))

@@ -10,12 +10,26 @@ from stridemill.session import fresh_path
 from stridemill.streaming import jobs
 
 
-def _event_stream(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
-    """The table rewritten as several files, so that there can be micro-batches."""
+FILES, FILES_PER_BATCH = 6, 2
+
+
+def _event_stream(spark: SparkSession, folder: str, closing: bool = False) -> DataFrame:
+    """The table rewritten as six files in order of ``event_id``, two per micro-batch.
+
+    Event times come in any order then. ``closing`` adds a last file with one
+    row of no user, years later, which moves the watermark past all others.
+    """
     path = fresh_path(spark, "event-files")
     events = table(spark, folder, "events")
-    events.repartitionByRange("event_id").write.parquet(path)
-    return jobs.read_files(spark, path, events.schema, files_per_batch)
+    events.repartitionByRange(FILES, "event_id").write.parquet(path)
+    if closing:
+        end = events.agg(F.max("ts").alias("ts"), F.max("event_id").alias("event_id")).select(
+            (F.col("ts") + F.expr("INTERVAL 10 YEARS")).alias("ts"), (F.col("event_id") + 1).alias("event_id")
+        )
+        empty = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema.fields}
+        row = end.select(*[F.col(c) if c in ("ts", "event_id") else empty[c] for c in events.columns])
+        row.coalesce(1).write.mode("append").parquet(path)
+    return jobs.read_files(spark, path, events.schema, FILES_PER_BATCH)
 
 
 @query("""
@@ -24,7 +38,7 @@ FROM events GROUP BY event_type
 """)
 def stream_running_mse(spark: SparkSession, folder: str) -> DataFrame:
     """Two files per micro-batch; the last update of each group counts."""
-    rows = _event_stream(spark, folder, 2).select(
+    rows = _event_stream(spark, folder).select(
         F.col("event_type").alias("run"), F.lit(50.0).alias("prediction"), F.col("value").alias("target")
     )
     out, metrics = fresh_path(spark, "running-mse"), ["mse", "mae"]
@@ -55,19 +69,21 @@ def stream_hopping(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-SELECT user_id, row_number() OVER w - 1 AS pos, value AS x0, lead(value, 3) OVER w AS x3,
+SELECT user_id, row_number() OVER w - 1 AS pos,
+       value AS x0, lead(value) OVER w AS x1, lead(value, 2) OVER w AS x2, lead(value, 3) OVER w AS x3,
        lead(value, 4) OVER w AS target
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
 QUALIFY lead(event_id, 4) OVER w IS NOT NULL
 """)
 def stream_lookahead(spark: SparkSession, folder: str) -> DataFrame:
-    """The whole table is one micro-batch: files of one folder arrive unordered."""
+    """Samples in event-time order from files in order of arrival, over several micro-batches."""
+    samples = jobs.lookahead_samples(
+        _event_stream(spark, folder, closing=True), "value", 4, 1, "user_id", "ts", "event_id", "31 days"
+    )
     out = fresh_path(spark, "samples")
-    jobs.write_lookahead(
-        _event_stream(spark, folder), "value", 4, 1, "user_id", ["ts", "event_id"], out, fresh_path(spark, "checkpoint")
-    ).awaitTermination()
-    return spark.read.parquet(f"{out}/samples").select(
-        "user_id", "pos", F.get("x", 0).alias("x0"), F.get("x", 3).alias("x3"), "target"
+    jobs.write_append(samples, out, fresh_path(spark, "checkpoint")).awaitTermination()
+    return spark.read.parquet(out).select(
+        "user_id", "pos", *[F.get("x", i).alias(f"x{i}") for i in range(4)], "target"
     )
 
 
@@ -77,7 +93,7 @@ SELECT event_type, count(*) AS n_rows, round(sum(value), 4) AS logged FROM event
 def stream_multi_sink(spark: SparkSession, folder: str) -> DataFrame:
     """Every micro-batch to a row table and to a metric log."""
     root = fresh_path(spark, "multi-sink")
-    stream = _event_stream(spark, folder, 2).select("event_id", "event_type", "value")
+    stream = _event_stream(spark, folder).select("event_id", "event_type", "value")
     jobs.write_fan_out(
         stream,
         [

@@ -27,8 +27,10 @@ LABEL_MAGIC = 2049
 PARTITION_BYTES = 64 << 20
 # Bytes of records per Arrow batch.
 BATCH_BYTES = 4 << 20
-# Headers read at a time while planning a scan.
+# Headers read at a time while planning a scan of the data source.
 HEADER_THREADS = 32
+# Most tasks that read headers.
+HEADER_TASKS = 256
 
 
 def as_uri(path: str) -> str:
@@ -174,9 +176,97 @@ def read_idx(
     return reader.option("partitionBytes", partition_bytes).load(path)
 
 
-def read_labelled_images(spark: SparkSession, images: str, labels: str) -> DataFrame:
-    """Images and labels zipped by position."""
-    return read_idx(spark, images, "images").join(read_idx(spark, labels, "labels"), "pos")
+@dataclass(frozen=True)
+class Located:
+    """The header of a file, and the position of its first record among all files."""
+
+    path: str
+    header: Header
+    base: int
+
+
+def locate(spark: SparkSession, path: str, kind: str) -> list[Located]:
+    """Headers of all files in name order, read in tasks; one row per file comes back."""
+    paths = _files(path)
+    if not paths:
+        return []
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [
+                {"ix": r["ix"], "count": h.count, "rows": h.rows, "cols": h.cols, "start": h.offset}
+                for r in batch.to_pylist()
+                for h in [Header.read(r["path"], kind)]
+            ]
+            kinds = pa.schema([(c, pa.int64()) for c in ("ix", "count", "rows", "cols", "start")])
+            yield pa.RecordBatch.from_pylist(rows, kinds)
+
+    listed = spark.createDataFrame(list(enumerate(paths)), "ix LONG, path STRING")
+    tasks = min(len(paths), HEADER_TASKS)
+    found = listed.repartition(tasks).mapInArrow(read, "ix LONG, count LONG, rows LONG, cols LONG, start LONG")
+    out, base = [], 0
+    for row in sorted(found.collect()):
+        ix, count, rows, cols, start = row
+        out.append(Located(paths[ix], Header(count, rows, cols, start), base))
+        base += count
+    return out
+
+
+def read_labelled_images(
+    spark: SparkSession, images: str, labels: str, partition_bytes: int = PARTITION_BYTES
+) -> DataFrame:
+    """Images with the labels at the same positions; both are read by the same task.
+
+    The files of the two kinds may be cut differently, but must hold as many
+    records. Ranges are dealt evenly over as many tasks as the bytes ask for,
+    so many small files do not make many tasks.
+    """
+    pictures, marks = locate(spark, images, "images"), locate(spark, labels, "labels")
+    counts = [sum(f.header.count for f in fs) for fs in (pictures, marks)]
+    if counts[0] != counts[1]:
+        raise ValueError(f"{counts[0]} images and {counts[1]} labels")
+    ends = np.cumsum([f.header.count for f in marks])
+    ranges, size = [], 0
+    for f in pictures:
+        step = max(1, partition_bytes // max(1, f.header.width))
+        for first in range(0, f.header.count, step):
+            n = min(step, f.header.count - first)
+            low, parts = f.base + first, []
+            k = int(np.searchsorted(ends, low, "right"))
+            while low < f.base + first + n:
+                take = min(int(ends[k]), f.base + first + n) - low
+                parts.append((marks[k].path, marks[k].header.offset + low - marks[k].base, take))
+                low, k = low + take, k + 1
+            ranges.append((f.path, f.header.offset + first * f.header.width, n, f.header.rows, f.header.cols, f.base + first, parts))
+            size += n * f.header.width
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = IdxReader(images, "images", partition_bytes)
+        for batch in batches:
+            for row in batch.to_pylist():
+                with _open(row["path"]) as handle:
+                    label = np.concatenate([_bytes(p["path"], p["start"], p["n"]) for p in row["labels"]])
+                    header = Header(row["n"], row["rows"], row["cols"], row["start"])
+                    step = max(1, BATCH_BYTES // max(1, header.width))
+                    for first in range(0, row["n"], step):
+                        n = min(step, row["n"] - first)
+                        data = handle.read_at(n * header.width, header.offset + first * header.width)
+                        pixels = reader._column(np.frombuffer(data, np.uint8), n, header)
+                        pos = pa.array(np.arange(n, dtype=np.int64) + row["pos"] + first)
+                        own = pa.array(label[first : first + n].astype(np.int64))
+                        yield pa.RecordBatch.from_arrays([pos, pixels, own], ["pos", "image", "label"])
+
+    schema = (
+        "path STRING, start LONG, n LONG, rows INT, cols INT, pos LONG, "
+        "labels ARRAY<STRUCT<path: STRING, start: LONG, n: LONG>>"
+    )
+    table = spark.createDataFrame(ranges, schema).repartition(max(1, -(-size // partition_bytes)))
+    return table.mapInArrow(read, f"{IDX_IMAGES}, label LONG")
+
+
+def _bytes(path: str, start: int, n: int) -> np.ndarray:
+    with _open(path) as handle:
+        return np.frombuffer(handle.read_at(n, start), np.uint8)
 
 
 def idx_bytes(records: np.ndarray) -> bytes:
@@ -197,10 +287,13 @@ def convert_once(
 ) -> DataFrame:
     """Parse ``{split: (images, labels)}`` the first time, reuse parquet later.
 
-    The copy is used only if every split is there; the ``split`` column is the
-    partition column on disk.
+    The copy is used only if the write was committed (its ``_SUCCESS`` mark) and
+    every split is there; the ``split`` column is the partition column on disk.
     """
-    if not all(_readable(spark, f"{processed}/split={split}") for split in raw):
+    finished = _there(spark, f"{processed}/_SUCCESS") and all(
+        _there(spark, f"{processed}/split={split}") for split in raw
+    )
+    if not finished:
         parsed = None
         for split, (images, labels) in raw.items():
             part = read_labelled_images(spark, images, labels).withColumn("split", F.lit(split))
@@ -209,13 +302,6 @@ def convert_once(
     return spark.read.parquet(processed)
 
 
-def _readable(spark: SparkSession, path: str) -> bool:
-    from pyspark.errors import AnalysisException
-
-    try:
-        spark.read.parquet(path)
-        return True
-    except AnalysisException as problem:
-        if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return False
-        raise
+def _there(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

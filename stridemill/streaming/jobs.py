@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from stridemill.functions.metrics import Metric, finish_states, partial_states, resolve
-from stridemill.operators.joins import join_back
-from stridemill.operators.order import frames, join_stats, with_position
 from stridemill.schema import names
-from stridemill.session import stage
 
 
 def read_files(
@@ -95,70 +94,79 @@ def hopping_slices(
     )
 
 
-def write_lookahead(
+def lookahead_samples(
     stream: DataFrame,
     value: str,
     seq_len: int,
     look_ahead: int,
     key: str,
-    order_by: str | Sequence[str],
-    path: str,
-    checkpoint: str,
-    max_group_rows: int | None = None,
-) -> StreamingQuery:
-    """Look-ahead samples per key as the values arrive, under ``path/samples``.
-
-    Each micro-batch is put behind the last ``seq_len + look_ahead - 1`` values
-    of its keys, kept under ``path/tail``, and cut by the batch operator, which
-    splits hot keys. New samples are those that end on a new row. A row that is
-    not after the last one of its key is late and left out. A micro-batch that
-    is run again reads the same tail and overwrites its folders.
+    time: str,
+    tie: str | None = None,
+    delay: str = "0 seconds",
+) -> DataFrame:
+    """Look-ahead samples per key in event-time order, whatever order rows arrive in.
+
+    A row waits until the watermark (latest ``time`` less ``delay``) has passed
+    it; then the rows of its key that are ready are sorted by ``time`` and
+    ``tie`` (a number) and cut. The state of a key is the last ``seq_len +
+    look_ahead - 1`` values and the rows that wait; only keys with new or ready
+    rows are touched. Rows later than the watermark are left out and counted
+    (``late_rows``). Rows inside the last ``delay`` stay in the state until a
+    later row of any key moves the watermark on: a closing row in the far
+    future ends all series. Returns ``key, pos, x, target``.
     """
-    order = names(order_by)
+    if seq_len < 1 or look_ahead < 0:
+        raise ValueError("seq_len must be at least 1 and look_ahead not negative")
     reach = seq_len + look_ahead - 1
-    columns = [key, *[c for c in order if c != key], "value"]
-
-    def cut(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        arrived = batch.select(key, *[c for c in order if c != key], F.col(value).cast("double").alias("value"))
-        if batch_id == 0:
-            tail = spark.createDataFrame([], arrived.schema).withColumn("pos", F.lit(0).cast("long"))
-        else:
-            tail = spark.read.parquet(f"{path}/tail/batch={batch_id - 1}")
-        known = tail.groupBy(key).agg(
-            F.max(F.struct(*order)).alias("__last"),
-            F.min("pos").alias("__offset"),
-        )
-        rows = join_stats(arrived, known, key, max_group_rows, "left").where(
-            F.col("__last").isNull() | (F.struct(*order) > F.col("__last"))
-        )
-        both = stage(
-            rows.select(*columns, F.lit(True).alias("__new"), F.coalesce("__offset", F.lit(0)).alias("__offset"))
-            .unionByName(
-                join_back(tail, known.select(key, "__offset"), key).select(
-                    *columns, F.lit(False).alias("__new"), "__offset"
-                )
-            ),
-            "micro-batch",
-        )
-        samples = frames(
-            both, F.col("value"), seq_len, reach, order, key,
-            [F.col("value").alias("target"), F.col("__new"), F.col("__offset")],
-            max_group_rows=max_group_rows,
+    rows = stream.select(
+        F.col(key).alias("key"),
+        F.col(time).cast("timestamp").alias("at"),
+        F.unix_micros(F.col(time).cast("timestamp")).alias("micros"),
+        (F.col(tie).cast("long") if tie else F.lit(0).cast("long")).alias("tie"),
+        F.col(value).cast("double").alias("value"),
+    ).withWatermark("at", delay)
+    kind = rows.schema["key"].dataType.simpleString()
+
+    def step(group, parts, state):
+        micros, ties, values, tail, seen = state.get if state.exists else ([], [], [], [], 0)
+        new = list(parts)
+        rank = np.concatenate([np.asarray(micros, np.int64), *[p["micros"].to_numpy() for p in new]])
+        second = np.concatenate([np.asarray(ties, np.int64), *[p["tie"].to_numpy() for p in new]])
+        data = np.concatenate([np.asarray(values, float), *[p["value"].to_numpy(dtype=float) for p in new]])
+        order = np.lexsort((second, rank))
+        rank, second, data = rank[order], second[order], data[order]
+        mark = state.getCurrentWatermarkMs()
+        ready = int(np.searchsorted(rank, mark * 1000, "right"))
+        series = np.concatenate([np.asarray(tail, float), data[:ready]])
+        ends = np.arange(max(reach, len(tail)), len(series))
+        samples = pd.DataFrame(
+            {
+                "key": [group[0]] * len(ends),
+                "pos": seen - len(tail) + ends - reach,
+                "x": [[None if np.isnan(v) else v for v in series[e - reach : e - reach + seq_len]] for e in ends],
+                "target": series[ends],
+            }
         )
-        samples.where("__new").select(
-            key, (F.col("pos") + F.col("__offset")).alias("pos"), "x", "target"
-        ).write.mode("overwrite").parquet(f"{path}/samples/batch={batch_id}")
-        placed = with_position(both, order, key, "__at", "__size", max_group_rows)
-        placed.where(F.col("__at") >= F.col("__size") - reach).select(
-            *columns, (F.col("__at") + F.col("__offset")).alias("pos")
-        ).write.mode("overwrite").parquet(f"{path}/tail/batch={batch_id}")
+        keep = series[max(0, len(series) - reach) :] if reach else series[:0]
+        state.update((rank[ready:].tolist(), second[ready:].tolist(), data[ready:].tolist(), keep.tolist(), seen + ready))
+        if ready < len(rank):
+            state.setTimeoutTimestamp(max(int(rank[ready] // 1000), mark) + 1)
+        yield samples
+
+    out = rows.groupBy("key").applyInPandasWithState(
+        step,
+        f"key {kind}, pos LONG, x ARRAY<DOUBLE>, target DOUBLE",
+        "micros ARRAY<LONG>, ties ARRAY<LONG>, vals ARRAY<DOUBLE>, tail ARRAY<DOUBLE>, seen LONG",
+        "append",
+        "EventTimeTimeout",
+    )
+    return out.select(F.col("key").alias(key), "pos", "x", F.nanvl("target", F.lit(None)).alias("target"))
 
-    return (
-        stream.writeStream.option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(cut)
-        .start()
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a query left out because they came behind its watermark."""
+    return sum(
+        op["numRowsDroppedByWatermark"] for progress in query.recentProgress for op in progress["stateOperators"]
     )
 
 

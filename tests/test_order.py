@@ -145,11 +145,20 @@ def test_running_unkeyed(spark):
     assert all(r["s"] == sum(i % 5 for i in range(r["t"] + 1)) for r in out)
 
 
-def test_join_stats_keeps_all_rows(skewed):
-    stats = skewed.groupBy("k").agg(F.max("t").alias("top"))
-    for limit in LIMITS:
-        out = order.join_stats(skewed, stats, "k", limit).groupBy("k").agg(F.count("*").alias("n"), F.max("top").alias("m"))
-        assert all(r["n"] == r["m"] + 1 for r in out.collect())
+def test_known_hot_keys_are_not_counted_again(skewed, monkeypatch):
+    hot = order.hot_keys(skewed, "k", 50)
+    monkeypatch.setattr(order, "hot_keys", None)
+    cold, rest = order.split_hot(skewed, "k", 50, hot)
+    assert {r["k"] for r in rest.select("k").distinct().collect()} == {0, 2, 6}
+    assert cold.count() + rest.count() == skewed.count()
+
+
+def test_range_partitions_follow_the_size(spark, monkeypatch):
+    monkeypatch.setattr(order, "RANGE_BYTES", 4000)
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("v"))
+    ranked = order.rank_globally(df, "v")
+    assert ranked.total == 5000 and all(r["pos"] == r["v"] for r in ranked.df.collect())
+    assert order.range_partitions(df) == 10
 
 
 def test_positional_join_trims_to_the_shorter(spark):

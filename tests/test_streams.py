@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from stridemill.functions.metrics import evaluate
-from stridemill.operators import order
 from stridemill.operators.windows import lookahead_samples
+from stridemill.plans import QUERIES
 from stridemill.streaming import jobs
 
 
@@ -25,32 +25,54 @@ def drop_files(spark, folder, parts, schema):
     return f"{folder}/*"
 
 
-SERIES = "k INT, t INT, v DOUBLE"
+SERIES = "k INT, ts TIMESTAMP, v DOUBLE"
+BASE = 1_704_067_200
 
 
-def test_lookahead_over_micro_batches(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(order, "HOT_KEYS", 1000)
-    rows = [(k, t, float((t * 7 + k) % 13)) for k, n in ((0, 50), (1, 9), (2, 23)) for t in range(n)]
-    parts = [[r for r in rows if r[1] % 60 < 3], [r for r in rows if 3 <= r[1] < 20], [r for r in rows if r[1] >= 20]]
-    source = drop_files(spark, tmp_path / "in", parts, SERIES)
-    stream = jobs.read_files(spark, source, SERIES, 1)
-    jobs.write_lookahead(
-        stream, "v", 4, 2, "k", "t", f"{tmp_path}/out", f"{tmp_path}/check", max_group_rows=15
-    ).awaitTermination()
-    got = spark.read.parquet(f"{tmp_path}/out/samples")
-    assert got.select("batch").distinct().count() == 2  # the first part is too short for a sample
-    want = lookahead_samples(spark.createDataFrame(rows, SERIES), "v", 4, 2, "t", "k")
-    columns = ["k", "pos", "x", "target"]
-    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+def timed(spark, rows):
+    frame = spark.createDataFrame(rows, "k INT, s INT, v DOUBLE")
+    return [tuple(r) for r in frame.select("k", F.timestamp_seconds(F.lit(BASE) + F.col("s")).alias("ts"), "v").collect()]
 
 
-def test_late_rows_are_left_out(spark, tmp_path):
-    parts = [[(0, t, float(t)) for t in (0, 1, 2, 3)], [(0, 2, 99.0), (0, 4, 4.0)]]
-    source = drop_files(spark, tmp_path / "in", parts, SERIES)
+def run_lookahead(spark, tmp_path, parts, seq_len, look_ahead, delay):
+    source = drop_files(spark, tmp_path / "in", [timed(spark, p) for p in parts], SERIES)
     stream = jobs.read_files(spark, source, SERIES, 1)
-    jobs.write_lookahead(stream, "v", 2, 1, "k", "t", f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
-    got = spark.read.parquet(f"{tmp_path}/out/samples").orderBy("pos").collect()
-    assert [(r["pos"], r["x"], r["target"]) for r in got] == [(0, [0, 1], 2), (1, [1, 2], 3), (2, [2, 3], 4)]
+    samples = jobs.lookahead_samples(stream, "v", seq_len, look_ahead, "k", "ts", delay=delay)
+    query = jobs.write_append(samples, f"{tmp_path}/out", f"{tmp_path}/check")
+    query.awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").select("k", "pos", "x", "target").collect()
+    return sorted(map(tuple, got), key=lambda r: (r[0] is not None, r[0] or 0, r[1])), query
+
+
+def test_lookahead_out_of_order_over_micro_batches(spark, tmp_path):
+    rows = [(k, t, None if t % 11 == 5 else float((t * 7 + (k or 5)) % 13)) for k, n in ((0, 50), (1, 9), (2, 23), (None, 7)) for t in range(n)]
+    mixed = sorted(rows, key=lambda r: (r[1] * 17 + (r[0] or 0)) % 50)
+    parts = [mixed[:30], mixed[30:31], mixed[31:60], mixed[60:], [(9, 100_000, 0.0)]]
+    got, query = run_lookahead(spark, tmp_path, parts, 4, 2, "1 hour")
+    assert query.lastProgress["batchId"] >= len(parts) - 1
+    assert jobs.late_rows(query) == 0
+    want = lookahead_samples(spark.createDataFrame(timed(spark, rows), SERIES), "v", 4, 2, "ts", "k")
+    want = want.select("k", "pos", "x", "target").collect()
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    assert sorted(got, key=key) == sorted(map(tuple, want), key=key)
+
+
+def test_rows_behind_the_watermark_are_counted(spark, tmp_path):
+    parts = [[(0, t, float(t)) for t in (0, 1, 2, 30)], [(0, 31, 31.0)], [(0, 3, 99.0), (0, 32, 32.0)], [(0, 100, 0.0)]]
+    got, query = run_lookahead(spark, tmp_path, parts, 2, 1, "5 seconds")
+    assert [(r[1], r[2], r[3]) for r in got] == [(0, [0, 1], 2), (1, [1, 2], 30), (2, [2, 30], 31), (3, [30, 31], 32)]
+    assert jobs.late_rows(query) == 1
+
+
+@pytest.mark.parametrize("name", ["stream_running_mse", "stream_hopping", "stream_lookahead", "stream_multi_sink"])
+def test_queries_run_over_several_micro_batches(spark, data, name, monkeypatch):
+    seen = []
+    for writer in ("write_latest", "write_append", "write_fan_out"):
+        real = getattr(jobs, writer)
+        monkeypatch.setattr(jobs, writer, lambda *a, real=real, **k: seen.append(real(*a, **k)) or seen[-1])
+    QUERIES[name](spark, data)
+    assert all(sum(p["numInputRows"] > 0 for p in q.recentProgress) >= 3 for q in seen) and seen
+    assert all(jobs.late_rows(q) == 0 for q in seen)
 
 
 def test_running_metric(spark, tmp_path):
