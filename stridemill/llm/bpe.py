@@ -27,11 +27,11 @@ CACHE_WORDS = 400_000
 
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 #: Letters and digits below 0x100 spelled out; all other texts go by Unicode property.
-_LATIN = re.compile(
-    _CONTRACTIONS
-    + r"|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xffA-Z\xc0-\xd6\xd8-\xde]+|[0-9\xb2\xb3\xb9\xbc-\xbe]"
+_PLAIN = (
+    r"[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xffA-Z\xc0-\xd6\xd8-\xde]+|[0-9\xb2\xb3\xb9\xbc-\xbe]"
     + r"|[^\t-\r \x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xffA-Z\xc0-\xd6\xd8-\xde0-9\xb2\xb3\xb9\xbc-\xbe]+"
 )
+_LATIN, _PLAIN = re.compile(f"{_CONTRACTIONS}|{_PLAIN}"), re.compile(_PLAIN)
 #: Letters and digits that Unicode 16 added to 15.1 (the properties in use are those of 16).
 _ADDED = (
     (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D65), (0x10D6F, 0x10D85),
@@ -181,7 +181,7 @@ class WordBpe:
             text = unicodedata.normalize("NFC", text)
         lower = text.replace("Σ", "σ").lower()
         if not _WIDE.search(lower):
-            return _LATIN.findall(lower)
+            return (_LATIN if "'" in lower else _PLAIN).findall(lower)
         if _CAPITAL.search(lower):
             lower = lower.translate(_SMALL)
         odd = {

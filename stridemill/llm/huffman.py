@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -13,12 +14,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark import Broadcast, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from stridemill.llm.bpe import WordBpe, load
-from stridemill.llm.text import buffers, slices, to_array
+from stridemill.llm.text import from_planes, planes, slices, to_array
 from stridemill.schema import require_columns
 from stridemill.session import fresh_path, stage
 
@@ -28,8 +30,8 @@ LONGEST = 16
 #: Ids after which a block is closed (with its document), and ids from one checkpoint to the next.
 BLOCK_IDS = 1 << 18
 STEP = 256
-#: Bytes of text per file.
-FILE_BYTES = 32 << 20
+#: Ids per file.
+FILE_IDS = 12_000_000
 CACHE_WORDS = 400_000
 _NO_ID = -(2**63)
 
@@ -212,32 +214,52 @@ def read_footer(path: str) -> list[tuple[int, int, int, int]]:
 
 
 class _Words(dict):
-    """Ids of words by the tokenizers library, asked once for each word; bounded."""
+    """Ids of words by the tokenizers library, asked once for each word; bounded.
+
+    New words are asked for together, with spaces between: no token reaches
+    across a space, and each word's last token carries the end of the word.
+    """
 
     def __init__(self, content: str):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import json
-
-        from tokenizers import Tokenizer
-
         self.split = WordBpe(json.loads(content), matcher=False)
         self.library = Tokenizer.from_str(content)
         self.library.no_truncation()
         self.library.no_padding()
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(self.split.suffix)]] = True
+        self.special = {t: np.array([i], "<u4").tobytes() for t, i in self.split.special.items()}
+        self.update(self.special)
+
+    def learn(self, words: set[str]) -> None:
+        new = list(words)
+        ids = np.array(self.library.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(new):
+            raise ValueError("words and tokens do not fit together")
+        raw = ids.tobytes()
+        at = np.r_[0, stops * 4].tolist()
+        self.update(zip(new, [raw[i:j] for i, j in zip(at[:-1], at[1:])]))
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of whole texts."""
+        lists = []
+        for text in texts:
+            words: list[str] = []
+            for piece, special in self.split.pieces(text):
+                words += [piece] if special else self.split.words(piece)
+            lists.append(words)
+        met = set().union(*lists)
+        new = met - self.keys()
+        if new and len(self) + len(new) > CACHE_WORDS:
             self.clear()
-        ids = self.library.encode(word, add_special_tokens=False).ids
-        made = self[word] = np.array(ids, "<u4").tobytes()
-        return made
-
-    def ids(self, text: str) -> bytes:
-        out = []
-        for piece, special in self.split.pieces(text):
-            out += [self[piece]] if special else [self[w] for w in self.split.words(piece)]
-        return b"".join(out)
+            self.update(self.special)
+            new = met - self.keys()
+        if new:
+            self.learn(new)
+        return [b"".join(map(self.__getitem__, words)) for words in lists]
 
 
 @lru_cache(maxsize=1)
@@ -245,32 +267,57 @@ def _words(content: str) -> _Words:
     return _Words(content)
 
 
-def _coded(batches, content: Broadcast, end: int | None) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    words = _words(content.value)
-    last = b"" if end is None else np.array([end], "<u4").tobytes()
-    for batch in batches:
-        for rows in slices(batch, "text", 1 << 20):
-            yield rows, [words.ids(t or "") + last for t in rows.column("text").to_pylist()]
+def _squeeze(ids: bytes) -> bytes:
+    """Ids for a table between two steps: byte planes, compressed."""
+    return pa.compress(planes(np.frombuffer(ids, "<u4")), "zstd", asbytes=True) if ids else b""
+
+
+def _unsqueeze(raw: bytes, n: int) -> np.ndarray:
+    return from_planes(pa.decompress(raw, 4 * n, "zstd", asbytes=True), "<u4") if n else np.zeros(0, "<u4")
 
 
 # --- jobs -------------------------------------------------------------------------
 
 
-def id_counts(docs: DataFrame, tokenizer: str, text: str = "text", end: int | None = 1) -> np.ndarray:
-    """How often each id occurs in all documents; as long as the vocabulary."""
+def encode(docs: DataFrame, tokenizer: str, text: str = "text", id: str = "doc_id", end: int | None = 1) -> DataFrame:
+    """``id``, ``tie`` (a hash of the text), ``n`` and the compressed ids of every document, written once."""
     content = docs.sparkSession.sparkContext.broadcast(load(tokenizer))
+    last = b"" if end is None else np.array([end], "<u4").tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _words(content.value)
+        for batch in batches:
+            for rows in slices(batch, "text", 2 << 20):
+                coded = [x + last for x in words.ids([t or "" for t in rows.column("text").to_pylist()])]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        rows.column("id"), rows.column("tie"), pa.array([len(x) // 4 for x in coded], pa.int64()),
+                        pa.array([_squeeze(x) for x in coded], pa.binary()),
+                    ],
+                    ["id", "tie", "n", "ids"],
+                )
+
+    rows = docs.select(
+        F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(_NO_ID)).alias("id"),
+        F.xxhash64(F.col(f"`{text}`").cast("binary")).alias("tie"), F.col(f"`{text}`").alias("text"),
+    )
+    return stage(rows.mapInArrow(run, "id LONG, tie LONG, n LONG, ids BINARY"), "coded")
+
+
+def id_counts(coded: DataFrame) -> np.ndarray:
+    """How often each id occurs in all documents; as long as the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
-        for _, coded in _coded(batches, content, end):
-            seen = np.bincount(np.frombuffer(b"".join(coded), "<u4"), minlength=len(total))
-            seen[: len(total)] += total
-            total = seen
+        for batch in batches:
+            for ids, n in zip(batch.column("ids").to_pylist(), batch.column("n").to_pylist()):
+                seen = np.bincount(_unsqueeze(ids, n), minlength=len(total))
+                seen[: len(total)] += total
+                total = seen
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["token", "n"])
 
-    rows = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "token LONG, n LONG")
-    found = rows.groupBy("token").agg(F.sum("n").alias("n")).toArrow()
+    found = coded.select("ids", "n").mapInArrow(run, "token LONG, n LONG").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
     tokens = found.column("token").to_numpy()
     counts = np.zeros(int(tokens.max()) + 1 if len(tokens) else 1, np.int64)
     counts[tokens] = found.column("n").to_numpy()
@@ -284,32 +331,31 @@ def write_ids(
     text: str = "text",
     id: str = "doc_id",
     end: int | None = 1,
-    file_bytes: int = FILE_BYTES,
+    file_ids: int = FILE_IDS,
     block_ids: int = BLOCK_IDS,
 ) -> DataFrame:
     """Write the ids of all documents in ascending order of ``id`` to files below ``path``.
 
     Ids come from the tokenizers library (no special tokens added), ``end`` is
-    put behind each document. A first pass counts all ids; the code lengths are
-    the best of at most 16 bits (more if the number of ids asks for it) and
-    stand in every file. Documents are dealt by range of id, about
-    ``file_bytes`` of text each, and sorted; a task writes one file in blocks
+    put behind each document. They are written once, unordered, and counted;
+    the code lengths are the best of at most 16 bits (more if the number of ids
+    asks for it) and stand in every file. Documents are dealt by range of id,
+    about ``file_ids`` ids each, and sorted; a task writes one file in blocks
     of whole documents, about ``block_ids`` ids each. A block has a checkpoint
     (bit offset) every 256 ids and can be decoded alone; the file ends with the
-    places of its blocks. Rows of one id are ordered by text; a null id comes
-    first; null text has no ids but the end.
+    places of its blocks. Rows of one id are ordered by a hash of their text; a
+    null id comes first; null text has no ids but the end.
 
     Returns the index, one row per block: ``shard``, ``path``, ``offset``,
     ``size``, ``n_ids``, ``n_docs``, ``before`` (ids of the shard before it).
     """
     require_columns(docs, text, id)
     spark = docs.sparkSession
-    counts = id_counts(docs, tokenizer, text, end)
+    coded = encode(docs, tokenizer, text, id, end)
+    counts = id_counts(coded)
     width = max(LONGEST, int(np.count_nonzero(counts)).bit_length() + 1)
-    lengths = code_lengths(counts, width)
-    packed = zlib.compress(lengths.tobytes())
+    packed = zlib.compress(code_lengths(counts, width).tobytes())
     shared = spark.sparkContext.broadcast((packed, width))
-    content = spark.sparkContext.broadcast(load(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed, width = shared.value
@@ -321,8 +367,8 @@ def write_ids(
 
         def flush():
             nonlocal size, before
-            ids = np.frombuffer(b"".join(held), "<u4")
-            raw = _block(np.array(held_docs, np.int64), np.array([len(h) // 4 for h in held], np.int64), ids, codes, lengths)
+            ids = np.concatenate(held)
+            raw = _block(np.array(held_docs, np.int64), np.array([len(h) for h in held], np.int64), ids, codes, lengths)
             index.append((shard, name, out.at, len(raw), len(ids), len(held), before))
             out.add(raw, len(ids), len(held))
             before += len(ids)
@@ -330,12 +376,12 @@ def write_ids(
             held.clear()
             size = 0
 
-        for rows, coded in _coded(batches, content, end):
+        for batch in batches:
             out = out or _File(name, struct.pack(_HEAD, MAGIC, width, len(packed)) + packed)
-            for doc, ids in zip(rows.column("id").to_pylist(), coded):
+            for doc, n, ids in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "ids"))):
                 held_docs.append(doc)
-                held.append(ids)
-                size += len(ids) // 4
+                held.append(_unsqueeze(ids, n))
+                size += n
                 if size >= block_ids:
                     flush()
         if out:
@@ -346,14 +392,10 @@ def write_ids(
             [pa.array(list(c), t) for c, t in zip(zip(*index) if index else [()] * 7, _INDEX.types)], schema=_INDEX
         )
 
-    rows = docs.select(
-        F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(_NO_ID)).alias("id"), F.col(f"`{text}`").alias("text")
-    )
     system, place = _place(path)
     system.create_dir(place, recursive=True)  # also for no documents
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    files = max(1, -(-size // file_bytes))
-    dealt = rows.repartitionByRange(files, "id", F.xxhash64("text")).sortWithinPartitions("id", "text")
+    files = max(1, -(-int(counts.sum()) // file_ids))
+    dealt = coded.repartitionByRange(files, "id", "tie").sortWithinPartitions("id", "tie")
     return stage(
         dealt.mapInArrow(run, "shard INT, path STRING, offset LONG, size LONG, n_ids LONG, n_docs LONG, before LONG"), "index"
     )
