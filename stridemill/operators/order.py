@@ -38,6 +38,8 @@ LEAD_LENGTH = 8
 # Rows per chunk array.
 ARRAY_ROWS = 4096
 
+Hot = DataFrame | bool | None
+
 _ID = "__ord_row_id"
 _RUN_BITS = 33  # monotonically_increasing_id keeps the partition above bit 33
 
@@ -118,18 +120,19 @@ def hot_keys(
 
 
 def split_hot(
-    df: DataFrame, keys: str | Sequence[str], max_group_rows: int | None = None, hot: DataFrame | None = None
+    df: DataFrame, keys: str | Sequence[str], max_group_rows: int | None = None, hot: Hot = None
 ) -> tuple[DataFrame, DataFrame | None]:
     """``(cold, hot)``: rows of keys that fit one task, and the rest or None.
 
     The rows are read twice at most: once for counting the keys, and once more,
     if there are hot ones, to mark and write them. ``hot`` is a table of hot
-    keys that is known already; then nothing is counted.
+    keys (or of a part of the key columns) that is known already, or False if
+    there are none; then nothing is counted.
     """
-    keys = names(keys)
     table = hot_keys(df, keys, max_group_rows) if hot is None else hot
-    if table is None:
+    if table is None or table is False:
         return df, None
+    keys = table.columns
     renamed = table.withColumnsRenamed({k: f"__ord_hot_{k}" for k in keys}).withColumn("__ord_is_hot", F.lit(True))
     marked = stage(
         df.join(F.broadcast(renamed), same_keys(keys, "__ord_hot_"), "left")
@@ -150,6 +153,7 @@ def with_position(
     pos: str = "pos",
     total: str | None = None,
     max_group_rows: int | None = None,
+    hot: Hot = None,
 ) -> DataFrame:
     """Add the 0-based position, and on request the row count of the group."""
     keys, order = names(partition_by), names(order_by)
@@ -157,7 +161,7 @@ def with_position(
     if not keys:
         ranked = rank_globally(df, order, pos)
         return ranked.df.withColumn(total, F.lit(ranked.total)) if total else ranked.df
-    cold, hot = split_hot(df, keys, max_group_rows)
+    cold, hot = split_hot(df, keys, max_group_rows, hot)
     spec = Window.partitionBy(*keys)
     out = cold.withColumn(pos, F.row_number().over(spec.orderBy(*order)).cast("long") - 1)
     if total:
@@ -186,6 +190,7 @@ def frames(
     stride: int = 1,
     max_group_rows: int | None = None,
     chunk_rows: int | None = None,
+    hot: Hot = None,
 ) -> DataFrame:
     """One row per start that has a row ``reach`` places after it.
 
@@ -205,8 +210,8 @@ def frames(
         F.struct(F.lit(True).alias("__ord_here"), *tail).alias("__ord_tail"),
     )
     if stride == 1 and length <= LEAD_LENGTH:
-        return _lead_frames(narrow, length, reach, order, keys, max_group_rows, chunk_rows)
-    return _array_frames(narrow, length, reach, stride, order, keys, max_group_rows, chunk_rows)
+        return _lead_frames(narrow, length, reach, order, keys, max_group_rows, chunk_rows, hot)
+    return _array_frames(narrow, length, reach, stride, order, keys, max_group_rows, chunk_rows, hot)
 
 
 def _with_halo(placed: DataFrame, pos: str, size: int, reach: int) -> DataFrame:
@@ -226,6 +231,7 @@ def _lead_frames(
     keys: list[str],
     max_group_rows: int | None,
     chunk_rows: int | None,
+    hot: Hot,
 ) -> DataFrame:
     """Short frames as LEAD columns of one window."""
 
@@ -242,7 +248,7 @@ def _lead_frames(
 
     out, series = None, narrow
     if keys:
-        cold, series = split_hot(narrow, keys, max_group_rows)
+        cold, series = split_hot(narrow, keys, max_group_rows, hot)
         spec = Window.partitionBy(*keys).orderBy(*order)
         rows = cut(cold, spec).withColumn("__ord_pos", F.row_number().over(spec).cast("long") - 1)
         out = shape(rows, F.col("__ord_pos"))
@@ -272,6 +278,7 @@ def _array_frames(
     keys: list[str],
     max_group_rows: int | None,
     chunk_rows: int | None,
+    hot: Hot,
 ) -> DataFrame:
     """Longer or strided frames as slices of one sorted array per chunk.
 
@@ -279,7 +286,7 @@ def _array_frames(
     would, and frames that the stride skips are never built.
     """
     size = max(chunk_rows or max(ARRAY_ROWS, 4 * reach), reach, 1)
-    placed = with_position(narrow, order, keys, "__ord_pos", max_group_rows=max_group_rows)
+    placed = with_position(narrow, order, keys, "__ord_pos", max_group_rows=max_group_rows, hot=hot)
     # at most size + reach rows per group
     chunks = (
         _with_halo(placed, "__ord_pos", size, reach)

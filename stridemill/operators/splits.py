@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridemill.functions.arrays import pad_to
-from stridemill.operators.order import Ranked, rank_globally, with_position
+from stridemill.operators.order import Hot, Ranked, rank_globally, with_position
 from stridemill.operators.sampling import hash_position
 from stridemill.schema import names, require_array, require_columns
 
@@ -60,13 +60,14 @@ def fixed_split(
     partition_by: str | Sequence[str] = (),
     column: str = "split",
     max_group_rows: int | None = None,
+    hot: Hot = None,
 ) -> DataFrame:
     """The first ``n_train`` rows (of each series) are training rows."""
     keys, order = names(partition_by), names(order_by)
     require_columns(df, *keys, *order)
     if not keys:
         return _cut_at(df, rank_globally(df.select(*order), order), n_train, order, column)
-    placed = with_position(df, order, keys, "__pos", None, max_group_rows)
+    placed = with_position(df, order, keys, "__pos", None, max_group_rows, hot)
     return placed.withColumn(column, _label(F.col("__pos") < n_train)).drop("__pos")
 
 

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stridemill.operators.order import frames
+from stridemill.operators.order import Hot, frames
 from stridemill.schema import ColumnLike, col, names, require_columns, require_numeric
 
 
@@ -23,11 +23,13 @@ def lookahead_samples(
     carry: Sequence[str] = (),
     max_group_rows: int | None = None,
     chunk_rows: int | None = None,
+    hot: Hot = None,
 ) -> DataFrame:
     """``x = v[i : i+seq_len]``, ``target = v[i+seq_len+look_ahead-1]``.
 
     A series of N values gives ``N - seq_len - look_ahead + 1`` samples, NULL
-    values included. ``carry`` columns come from the target's row.
+    values included. ``carry`` columns come from the target's row; ``hot`` are
+    hot keys that are known already (``order.split_hot``).
     """
     if seq_len < 1 or look_ahead < 0:
         raise ValueError("seq_len must be at least 1 and look_ahead not negative")
@@ -43,6 +45,7 @@ def lookahead_samples(
         [F.col(value).cast("double").alias("target"), *[F.col(c) for c in carry]],
         max_group_rows=max_group_rows,
         chunk_rows=chunk_rows,
+        hot=hot,
     )
 
 

@@ -215,8 +215,9 @@ SELECT * FROM s WHERE target IS NOT NULL
 """)
 def fixed_cut_windows(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events").select("user_id", *EVENT_ORDER, "value")
-    cut = splits.fixed_split(events, 40, EVENT_ORDER, "user_id")
-    out = windows.lookahead_samples(cut, "value", 4, 1, EVENT_ORDER, ["user_id", "split"])
+    hot = ordered.hot_keys(events, "user_id") or False  # counted once for both
+    cut = splits.fixed_split(events, 40, EVENT_ORDER, "user_id", hot=hot)
+    out = windows.lookahead_samples(cut, "value", 4, 1, EVENT_ORDER, ["user_id", "split"], hot=hot)
     return out.select(
         "user_id", "split", "pos", *[F.get("x", i).alias(f"x{i}") for i in range(4)], "target"
     )

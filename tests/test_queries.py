@@ -42,7 +42,7 @@ def test_query(spark, duck, data, name):
     assert rows[0] == rows[1]
 
 
-@pytest.mark.parametrize("name", ["lookahead_windows", "slide_windows_stride", "ordered_split_keyed", "progress",
+@pytest.mark.parametrize("name", ["lookahead_windows", "slide_windows_stride", "ordered_split_keyed", "progress", "fixed_cut_windows",
                                   "column_max_normalise"])
 def test_query_with_hot_keys(spark, duck, data, name, monkeypatch):
     """The same rows when almost every key is too large for one task."""
