@@ -17,8 +17,8 @@ from stridemill.schema import require_columns
 #: Rows that a task indexes at a time, and bytes of queries that are broadcast at a time.
 BLOCK = 4096
 QUERY_BYTES = 16 << 20
-LEAF = 32
-QUERY_LEAF = 8
+LEAF = 256
+QUERY_LEAF = 32
 CHILDREN = 16
 _MOST = 2**63 - 1
 
@@ -77,7 +77,16 @@ class TopK:
         self.ids = np.full((queries, k), _MOST)
 
     def merge(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        """Scores of candidates (columns) for some queries (rows); -inf is no candidate."""
+        """Scores of candidates (columns) for some queries (rows); -inf is no candidate.
+
+        Only queries and candidates with a score as high as the query's k-th
+        one are sorted in.
+        """
+        high = (scores >= self.scores[rows, -1][:, None]) & (scores > -np.inf)
+        some, columns = high.any(1), high.any(0)
+        if not some.any():
+            return
+        rows, scores, ids = rows[some], scores[np.ix_(some, columns)], ids[columns]
         all_scores = np.concatenate([self.scores[rows], scores], 1)
         all_ids = np.concatenate([self.ids[rows], np.broadcast_to(ids, scores.shape)], 1)
         order = np.lexsort((all_ids, -all_scores), axis=1)[:, : self.k]

@@ -59,7 +59,7 @@ def test_pruning_leaves_pairs_out(monkeypatch):
     real = covertree.TopK.merge
     monkeypatch.setattr(covertree.TopK, "merge", lambda s, r, sc, i: (merged.append(sc.size), real(s, r, sc, i)))
     own = np.arange(0, 1800, 50)
-    covertree.search(covertree.cover_tree(data), data, np.arange(1800), covertree.cover_tree(points, 8), points, own, best)
+    covertree.search(covertree.cover_tree(data, 32), data, np.arange(1800), covertree.cover_tree(points, 8), points, own, best)
     assert sum(merged) < 0.5 * len(points) * len(data)
     scores = points @ data.T
     scores[np.arange(len(points)), own] = -np.inf
