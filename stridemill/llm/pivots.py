@@ -21,6 +21,8 @@ NEAREST = 8
 SHARED = 2
 #: Fewest and most pivots; between them twice the square root of the number of vectors.
 PIVOTS = (64, 1024)
+#: Candidates that are drawn for each pivot wanted.
+CANDIDATES = 4
 #: Members of an inverted list that meet in one task.
 BLOCK = 2048
 
@@ -37,6 +39,19 @@ def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, count: int) -> np.nd
     return np.argsort(-(vectors @ pivots.T), axis=1, kind="stable")[:, :count].astype(np.int32)
 
 
+def far_apart(candidates: np.ndarray, count: int, cosine: float) -> np.ndarray:
+    """The first ``count`` candidates at less than ``cosine`` to all chosen before them."""
+    chosen = np.zeros((min(count, len(candidates)), candidates.shape[1]))
+    n = 0
+    for point in candidates:
+        if n == len(chosen):
+            break
+        if n == 0 or (chosen[:n] @ point).max() < cosine:
+            chosen[n] = point
+            n += 1
+    return chosen[:n]
+
+
 def _describe(pivots: Broadcast, width: int, count: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,7 +74,7 @@ def _describe(pivots: Broadcast, width: int, count: int):
     return run
 
 
-def _linked(least: float, shared: int, pivots: int, width: int):
+def _linked(least: float, shared: int, width: int):
     """Verified links of one block pair of one inverted list.
 
     A pair meets in the list of every pivot that it shares; it is looked at
@@ -77,22 +92,17 @@ def _linked(least: float, shared: int, pivots: int, width: int):
         raw = table.column("vector").combine_chunks()
         vectors = np.frombuffer(b"".join(raw.to_pylist()), np.float64).reshape(len(ids), width)
         vectors = _unit(vectors)
-        member = np.zeros((len(ids), pivots), np.float32)
         weight = np.where(order < pivot, 1000, 1).astype(np.float32)
-        member[np.arange(len(ids))[:, None], order] = weight
+        used, column = np.unique(order, return_inverse=True)  # members of a hot group have few pivots
+        member = np.zeros((len(ids), len(used)), np.float32)
+        member[np.arange(len(ids))[:, None], column.reshape(order.shape)] = weight
         if (side >= 0).any():
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         else:
             left = right = np.arange(len(ids))
-        links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        links, tree = np.zeros(len(ids), np.int64), np.arange(len(ids))
         forest: list[tuple[int, int]] = []
 
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
         for at in range(0, len(left), 512):
             rows = left[at : at + 512]
             counts = member[rows] @ member[right].T
@@ -113,11 +123,12 @@ def _linked(least: float, shared: int, pivots: int, width: int):
             links += np.bincount(a, copies[b], len(ids)).astype(np.int64)
             links += np.bincount(b, copies[a], len(ids)).astype(np.int64)
             # rows already of one tree need no link; the rest is few
-            for x, y in zip(a.tolist(), b.tolist()):
-                x, y = find(x), find(y)
-                if x != y:
-                    root[max(x, y)] = min(x, y)
-                    forest.append((x, y))
+            heads = np.flatnonzero(np.r_[np.ones(min(1, len(a)), bool), a[1:] != a[:-1]])
+            for x, mates in zip(a[heads].tolist(), np.split(b, heads[1:])):
+                mates = mates[tree[mates] != tree[x]]
+                for other, k in zip(*(v.tolist() for v in np.unique(tree[mates], return_index=True))):
+                    forest.append((x, int(mates[k])))
+                    tree[tree == other] = tree[x]
         some = np.flatnonzero(links)
         ends = np.array(forest, np.int64).reshape(-1, 2)
         return pa.table(
@@ -147,8 +158,10 @@ def linked_vectors(
     """``id``, ``n_links``, ``component_id``, ``kept`` for every row.
 
     Reference points (pivots) are a sample of the distinct vectors, chosen by
-    hash: twice the square root of their number, 64 to 1,024. Each vector is
-    described by its ``nearest`` pivots in order. Vectors that share ``shared``
+    hash: twice the square root of their number, 64 to 1,024, or as many as are
+    found among ``CANDIDATES`` times as many. No two lie within twice the angle
+    of ``cosine``, so that a hot group has few of them and its members are told
+    by the same ones. Each vector is described by its ``nearest`` pivots in order. Vectors that share ``shared``
     of them meet in the inverted list of the smallest shared one and are linked
     if their cosine, in double precision, is ``cosine`` or more. Equal vectors
     are put together first and counted with their number. Lists above ``block``
@@ -180,8 +193,8 @@ def linked_vectors(
     total, width = distinct.agg(F.count("*"), F.max(F.size("vector"))).first()
     if total:
         wanted = int(min(max(PIVOTS[0], 2 * total**0.5), PIVOTS[1], total))
-        sample = distinct.orderBy(F.xxhash64("h1", "h2"), "id").limit(wanted).select("vector").toArrow()
-        points = _unit(padded(sample.column("vector"), width)[0])
+        drawn = distinct.orderBy(F.xxhash64("h1", "h2"), "id").limit(CANDIDATES * wanted).select("vector").toArrow()
+        points = far_apart(_unit(padded(drawn.column("vector"), width)[0]), wanted, 2 * max(cosine, 0) ** 2 - 1)
         shared = min(shared, nearest, len(points))
         described = stage(
             distinct.select("id", "copies", "vector").mapInArrow(
@@ -202,7 +215,7 @@ def linked_vectors(
         )
         found = stage(
             met.groupBy("pivot", "x", "y").applyInArrow(
-                _linked(cosine, shared, len(points), width), "a LONG, b LONG, links LONG"
+                _linked(cosine, shared, width), "a LONG, b LONG, links LONG"
             ),
             "links",
         )

@@ -82,3 +82,34 @@ def test_query(spark):
     assert len(got) == len(rows)
     assert all(r.n_links <= links[r.vec_id] for r in got)
     assert sum(r.n_links for r in got) >= 0.95 * 2 * len(pairs)
+
+
+def counted(matrix, least=0.95):
+    """Links of each vector by brute force."""
+    unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    return np.concatenate([(unit[k : k + 1000] @ unit.T >= least).sum(1) for k in range(0, len(unit), 1000)]) - 1
+
+
+def around(rng, center, n, cosine):
+    """Vectors at about ``cosine`` to each other."""
+    noise = rng.normal(size=(n, len(center))) / len(center) ** 0.5
+    return center + noise * np.linalg.norm(center) * (1 / cosine - 1) ** 0.5
+
+
+def hot_third(n, cosine, d=64, seed=5):
+    rng = np.random.default_rng(seed)
+    matrix = rng.normal(size=(n, d))
+    matrix[: n // 3] = around(rng, rng.normal(size=d), n // 3, cosine)
+    return matrix[rng.permutation(n)]
+
+
+@pytest.mark.parametrize("n", [1500, 6000])
+def test_hot_group_keeps_its_links(spark, n):
+    matrix = hot_third(n, 0.98)
+    links = counted(matrix)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(matrix)], "vec_id LONG, embedding ARRAY<DOUBLE>")
+    got = {r.vec_id: r for r in pivots.linked_vectors(frame).collect()}
+    found = np.array([got[i].n_links for i in range(n)])
+    assert links.sum() > (n // 3) ** 2 // 2 and (found <= links).all()
+    assert found.sum() >= 0.99 * links.sum()
+    assert len({got[i].component_id for i in np.flatnonzero(links).tolist()}) == 1
