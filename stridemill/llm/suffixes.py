@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +18,11 @@ GROUP_BYTES = 8 << 20
 #: Anchors, and bytes of distinct segments, that a task holds at a time.
 BLOCK_ANCHORS = 200_000
 BLOCK_BYTES = 8 << 20
-#: Bytes of distinct segments in one suffix array, if a single anchor does not have more.
+#: Bytes of distinct segments in one suffix array; windows of an anchor with more go by their own hash.
 ARRAY_BYTES = 1 << 20
+#: Bytes of text, and least share of it, in which such anchors are looked for.
+SAMPLE_BYTES = 64 << 20
+SAMPLE_SHARE = 1 / 32
 #: Window starts looked at together in a long text.
 CHUNK = 1 << 19
 #: Largest alphabet that is sorted by induction.
@@ -286,6 +290,69 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     return tuple(np.concatenate(p) for p in zip(*parts))
 
 
+def _segment_sizes(length: int, gram: int):
+    """Anchor, digest and bytes of the segments of each batch, equal ones once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in slices(batch, "text", 1 << 20):
+                data, offsets = buffers(rows.column("text"))
+                row, start, number, hashes = anchors(data, offsets, length, gram)
+                raw, begin, size = data.tobytes(), offsets[row] + start, number + length - 1
+                digests = [hashlib.blake2b(raw[a : a + n], digest_size=8).digest() for a, n in zip(begin.tolist(), size.tolist())]
+                made = np.frombuffer(b"".join(digests), np.int64)
+                _, first = np.unique(made, return_index=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hashes[first].view(np.int64)), pa.array(made[first]), pa.array(size[first].astype(np.int64))],
+                    ["hash", "digest", "size"],
+                )
+
+    return run
+
+
+def hot_anchors(base: DataFrame, length: int, gram: int, size: int, limit: int) -> np.ndarray:
+    """Hashes of anchors with about ``limit`` bytes of distinct segments or more, sorted.
+
+    Counted in a sample of the documents (all up to ``SAMPLE_BYTES``). Only the
+    way of a window depends on it, never the result.
+    """
+    share = min(1.0, max(SAMPLE_SHARE, SAMPLE_BYTES / max(size, 1)))
+    chosen = base.where(F.pmod(F.xxhash64("id", "check"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
+    found = (
+        chosen.mapInArrow(_segment_sizes(length, gram), "hash LONG, digest LONG, size LONG")
+        .groupBy("hash", "digest")
+        .agg(F.first("size").alias("size"))
+        .groupBy("hash")
+        .agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+        .where((F.col("size") >= limit * share) & (F.col("n") > 1))
+        .select("hash")
+        .toArrow()
+    )
+    return np.sort(found.column("hash").to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _by_window(data: np.ndarray, offsets: np.ndarray, runs: tuple[np.ndarray, ...], length: int, hot: np.ndarray):
+    """``runs`` of anchors; each window of a hot one becomes a run of its own, by the hash of its bytes."""
+    row, start, number, hashes = runs
+    at = np.searchsorted(hot, hashes)
+    is_hot = hot[np.minimum(at, len(hot) - 1)] == hashes
+    if not is_hot.any():
+        return runs
+    values = mix(np.arange(256, dtype=np.uint64) + np.uint64(1))
+    parts = [tuple(c[~is_hot] for c in runs)]
+    where = np.flatnonzero(is_hot)
+    for low in range(0, len(where), 2048):
+        k = where[low : low + 2048]
+        sizes = number[k] + length - 1
+        heads = np.cumsum(sizes) - sizes
+        inside = np.arange(sizes.sum()) - np.repeat(heads, sizes)
+        made = mix(window_hashes(values[data[np.repeat(offsets[row[k]] + start[k], sizes) + inside]], length, _BASE))
+        good = np.flatnonzero(inside < np.repeat(number[k], sizes))
+        n = number[k]
+        parts.append((np.repeat(row[k], n), np.repeat(start[k], n) + inside[good], np.ones(len(good), np.int64), mix(made[good] + np.uint64(1))))
+    return tuple(np.concatenate(c) for c in zip(*parts))
+
+
 # --- packed rows ------------------------------------------------------------------
 
 _KINDS = {"id": np.int64, "check": np.uint32, "start": np.uint32, "size": np.uint32, "hash": np.uint64, "which": np.uint32}
@@ -305,6 +372,11 @@ def _range(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
+def _target(ids: np.ndarray, checks: np.ndarray, targets: int) -> np.ndarray:
+    """The group of a document."""
+    return _range(mix(ids.view(np.uint64) ^ mix(checks.astype(np.uint64))), targets)
+
+
 def _cuts(keys: np.ndarray) -> list[tuple[int, int]]:
     at = np.flatnonzero(np.r_[np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]])
     return list(zip(at.tolist(), np.r_[at[1:], len(keys)].tolist()))
@@ -329,8 +401,12 @@ def _send(schema: pa.Schema, part: np.ndarray, **columns: np.ndarray) -> list[di
     ]
 
 
-def _find_anchors(length: int, gram: int, parts: int, block: int):
-    """Anchors by hash range; one that repeats in the block is sent once, and all are marked at once."""
+def _find_anchors(length: int, gram: int, parts: int, block: int, hot: np.ndarray):
+    """Anchors by hash range; one that repeats in the block is sent once, and all are marked at once.
+
+    Marked ones need no other place and go by document. Windows of ``hot``
+    anchors are sent as anchors of their own.
+    """
     schema = _schema(*_ANCHORS, "sure")[1]
 
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -343,11 +419,11 @@ def _find_anchors(length: int, gram: int, parts: int, block: int):
         twice[:-1] |= ~new[1:]
         sure, alone = order[twice], order[new]
         rows = []
-        for at, flag in ((sure, b"1"), (alone, b"")):
+        for at, flag, part in (
+            (sure, b"1", _target(ids[sure], checks[sure], parts)), (alone, b"", _range(hashes[alone], parts))
+        ):
             if len(at):
-                made = _send(
-                    schema, _range(hashes[at], parts), id=ids[at], check=checks[at], start=starts[at], size=sizes[at], hash=hashes[at]
-                )
+                made = _send(schema, part, id=ids[at], check=checks[at], start=starts[at], size=sizes[at], hash=hashes[at])
                 rows += [r | {"sure": flag} for r in made]
         for k in range(0, len(rows), 64):
             yield pa.RecordBatch.from_pylist(rows[k : k + 64], schema)
@@ -357,9 +433,10 @@ def _find_anchors(length: int, gram: int, parts: int, block: int):
         for batch in batches:
             for rows in slices(batch, "text", 1 << 20):
                 data, offsets = buffers(rows.column("text"))
-                row, start, number, hashes = anchors(data, offsets, length, gram)
-                if not len(row):
+                runs = anchors(data, offsets, length, gram)
+                if not len(runs[0]):
                     continue
+                row, start, number, hashes = _by_window(data, offsets, runs, length, hot) if len(hot) else runs
                 held.append((rows.column("id").to_numpy()[row], rows.column("check").to_numpy()[row], start, number, hashes))
                 size += len(row)
                 if size >= block:
@@ -390,7 +467,7 @@ def _shared_anchors(targets: int):
             mine = [c[order[same]] for c in columns]
             found = mine if found is None else [np.concatenate(x) for x in zip(found, mine)]
         ids, checks, starts, sizes, hashes = found
-        target = _range(mix(ids.view(np.uint64)), targets)
+        target = _target(ids, checks, targets)
         return pa.Table.from_pylist(_send(schema, target, id=ids, check=checks, start=starts, size=sizes, hash=hashes), schema)
 
     return run
@@ -542,7 +619,7 @@ def _search_shard(length: int, targets: int, array_bytes: int):
         if not out:
             return schema.empty_table()
         ids, checks, starts, sizes = (np.concatenate(x) for x in zip(*out))
-        target = _range(mix(ids.view(np.uint64)), targets)
+        target = _target(ids, checks, targets)
         return pa.Table.from_pylist(_send(schema, target, id=ids, check=checks, start=starts, size=sizes), schema)
 
     return run
@@ -601,7 +678,10 @@ def remove_repeated_bytes(
     places they come from, and builds their suffix array by induced sorting (in
     runs of anchors of about ``array_bytes``); permuted common prefixes of ``length`` or more, or a second place of the
     same segment, mark repeated strings. Blocks of rows send an anchor and a
-    segment once, so no shard holds more of one than there are blocks.
+    segment once, so no shard holds more of one than there are blocks. An anchor
+    with more than about ``array_bytes`` of distinct segments (``hot_anchors``)
+    is replaced by its windows, each under the hash of its own bytes, so no
+    shard gathers the surroundings of a frequent line.
 
     Result: the columns of ``docs`` but the text, and ``kept`` (remaining
     bytes), ``n_bytes``, ``n_removed``, ``spans`` (byte positions of the maximal
@@ -624,10 +704,11 @@ def remove_repeated_bytes(
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // group_bytes))
     gram = max(8, length * 8 // 25)
+    hot = hot_anchors(base, length, gram, size, array_bytes)
     one = "id LONG, check LONG, start BINARY, size BINARY, hash BINARY"
     marked = (
         base.select("id", "check", "text")
-        .mapInArrow(_find_anchors(length, gram, parts, block_anchors), _schema(*_ANCHORS, "sure")[0])
+        .mapInArrow(_find_anchors(length, gram, parts, block_anchors, hot), _schema(*_ANCHORS, "sure")[0])
         .groupBy("part")
         .applyInArrow(_shared_anchors(parts), _schema(*_ANCHORS)[0])
         .groupBy("part")

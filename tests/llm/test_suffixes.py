@@ -4,7 +4,9 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -134,3 +136,41 @@ def test_query(spark, data):
     got = queries.QUERIES["op9_suffix_dedup"](spark, data).collect()
     want = {i: (n, gone, spans, hashlib.sha256(kept).hexdigest()) for (i, _), (kept, n, gone, spans) in results.items()}
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+
+
+def around_a_line(n=200):
+    """A line of 150 bytes with other neighbours in each text, longer in a few: those repeat."""
+    rng = np.random.default_rng(11)
+    letters = np.array(list("abcdefghij klmnop"))
+    some = lambda k: "".join(rng.choice(letters, k))
+    line, longer = some(150), some(40)
+    return [(i, some(150) + line + (longer if i % 20 == 0 else "") + some(150)) for i in range(n)]
+
+
+def test_a_frequent_line_does_not_gather_its_surroundings(spark):
+    rows = around_a_line()
+    frame = spark.createDataFrame(rows, "id LONG, text STRING").withColumn("check", F.crc32(F.col("text").cast("binary")))
+    size = sum(len(t) for _, t in rows)
+    hot = suffixes.hot_anchors(frame, 180, 57, size, 4000)
+    assert len(hot) and not len(suffixes.hot_anchors(frame, 180, 57, size, 1 << 20))
+    batch = frame.select("id", "check", "text").toArrow().combine_chunks().to_batches()[0]
+    found = pa.Table.from_batches(suffixes._find_anchors(180, 57, 1, 10**6, hot)(iter([batch])))
+    distinct = {}
+    for row in suffixes._shared_anchors(1)(found).to_pylist():
+        for i, _, start, n, h in zip(*(x.tolist() for x in suffixes._read(row, *suffixes._ANCHORS))):
+            distinct.setdefault(h, set()).add(rows[i][1][start : start + n + 179])
+    assert distinct and max(sum(map(len, texts)) for texts in distinct.values()) < 2 * 4000
+    check(spark, rows, 180, array_bytes=4000, group_bytes=5000, block_anchors=50, block_bytes=4000)
+
+
+def test_marked_anchors_go_by_document():
+    rng = np.random.default_rng(3)
+    text = "".join(rng.choice(list("abcdef"), 100))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(400)), pa.array(np.zeros(400, np.int64)), pa.array([text] * 400)], ["id", "check", "text"]
+    )
+    found = pa.Table.from_batches(suffixes._find_anchors(90, 28, 16, 10**6, np.zeros(0, np.uint64))(iter([batch]))).to_pylist()
+    sizes = Counter()
+    for row in found:
+        sizes[row["part"]] += len(suffixes._read(row, "id")[0])
+    assert max(sizes.values()) < sum(sizes.values()) // 4
