@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stridemill.llm.graph import components
@@ -286,16 +286,28 @@ def near_duplicates(
     compared once. Links leave a task as a forest, never as all pairs.
 
     Null text: alike with nothing, a class of its own. Texts without words are
-    alike only if equal. A null id counts as the smallest one; rows of one id
-    are one document and share a class, and ``kept`` is true for all of them.
+    alike only if equal. A null id counts as the smallest one. Rows that repeat
+    id and text are one document; rows of one id with different texts are
+    different documents and share a class only if their texts do. ``kept`` is
+    true for one document of each class.
     """
+    plain = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
+    return _classes(docs, text, id, settings, block).select(
+        plain("id").alias(id), plain("class_id").alias("class_id"), "kept"
+    )
+
+
+def _keys(text: str, id: str) -> tuple[Column, Column]:
+    """What tells documents apart: the id, and the digest of the text (null for a null text)."""
+    return F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(_NO_ID)), F.unhex(F.md5(F.col(f"`{text}`").cast("binary")))
+
+
+def _classes(docs: DataFrame, text: str, id: str, settings: Settings, block: int) -> DataFrame:
+    """``id`` (never null), ``digest``, ``class_id`` and ``kept`` for every row of ``docs``."""
     require_columns(docs, text, id)
     spark = docs.sparkSession
-    rows = docs.select(
-        F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(_NO_ID)).alias("id"),
-        F.col(f"`{text}`").alias("text"),
-        F.unhex(F.md5(F.col(f"`{text}`").cast("binary"))).alias("digest"),
-    )
+    key, digest = _keys(text, id)
+    rows = docs.select(key.alias("id"), F.col(f"`{text}`").alias("text"), digest.alias("digest"))
     idf = spark.sparkContext.broadcast(word_idf(rows))
     signed = stage(
         rows.where("text IS NOT NULL").mapInArrow(
@@ -303,8 +315,11 @@ def near_duplicates(
         ),
         "signatures",
     )
+    # texts are numbered: ids may be null or stand for several texts
     texts = stage(
-        signed.groupBy("digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("samples").alias("samples")),
+        signed.groupBy("digest")
+        .agg(F.min("id").alias("low"), F.first("bands").alias("bands"), F.first("samples").alias("samples"))
+        .withColumn("rep", F.monotonically_increasing_id()),
         "texts",
     )
     placed = texts.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"))
@@ -327,8 +342,8 @@ def near_duplicates(
         (F.col("blocks") > 1) & (F.col("id") == F.col("low")), F.sequence(F.lit(0), F.col("blocks") - 1)
     ).otherwise(F.array("block"))
     # the texts that share a bucket with another one: moved once, then kept beside their samples
-    known = texts.select(F.col("rep").alias("id"), "digest", "samples").join(members.select("id").distinct(), "id")
-    bodies = rows.join(known, ["id", "digest"]).select("id", "text", "samples")
+    known = texts.select(F.col("rep").alias("id"), "low", "digest", "samples").join(members.select("id").distinct(), "id")
+    bodies = rows.withColumnRenamed("id", "low").join(known, ["low", "digest"]).select("id", "text", "samples")
     if _repeated(signed):
         bodies = bodies.dropDuplicates(["id"])
     bodies = stage(bodies, "bodies")
@@ -352,17 +367,17 @@ def near_duplicates(
             F.col("block").alias("side"),
         )
         links = stage(links.unionByName(_compare(across, bodies, idf, settings)), "similar")
-    same = signed.join(texts.select("digest", "rep"), "digest").select("id", "rep").where("id != rep")
-    classes = components(
-        links.unionByName(same.select(F.col("id").alias("a"), F.col("rep").alias("b"))).distinct()
+    classes = components(links)
+    grouped = texts.join(classes, texts["rep"] == classes["node"], "left").select(
+        "digest", "low", F.coalesce("component", "rep").alias("class")
     )
-    out = rows.select("id").join(classes, F.col("id") == F.col("node"), "left").select(
-        "id", F.coalesce("component", "id").alias("class_id")
-    )
-    plain = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
-    return out.select(
-        plain("id").alias(id), plain("class_id").alias("class_id"), (F.col("id") == F.col("class_id")).alias("kept")
+    first_of = grouped.groupBy("class").agg(F.min(F.struct("low", "digest")).alias("first"))
+    named = grouped.join(first_of, "class").select("digest", "first")
+    worded = signed.select("id", "digest").join(named, "digest").select(
+        "id", "digest", F.col("first.low").alias("class_id"), (F.struct("id", "digest") == F.struct("first.low", "first.digest")).alias("kept")
     )
+    without = rows.where("text IS NULL").select("id", "digest", F.col("id").alias("class_id"), F.lit(True).alias("kept"))
+    return worded.unionByName(without)
 
 
 def _repeated(signed: DataFrame) -> bool:
@@ -374,11 +389,13 @@ def drop_near_duplicates(
     docs: DataFrame, text: str = "text", id: str = "doc_id", settings: Settings = Settings()
 ) -> DataFrame:
     """``docs`` with one document of each class: the one with the smallest id, given once."""
-    kept = stage(near_duplicates(docs, text, id, settings).where("kept").select(F.col(id).alias("id")), "kept")
-    alone = F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(_NO_ID))
-    key = F.coalesce(F.col("id"), F.lit(_NO_ID)).alias("__kept")
-    wanted = kept.select(key)
-    out = docs.withColumn("__id", alone).join(wanted, F.col("__id") == F.col("__kept"), "left_semi")
-    if not kept.groupBy("id").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates(["__id"])
-    return out.drop("__id")
+    none = F.lit(b"")
+    found = _classes(docs, text, id, settings, BLOCK).where("kept")
+    kept = stage(found.select(F.col("id").alias("__kept"), F.coalesce("digest", none).alias("__text")), "kept")
+    key, digest = _keys(text, id)
+    out = docs.withColumn("__id", key).withColumn("__digest", F.coalesce(digest, none)).join(
+        kept, (F.col("__id") == F.col("__kept")) & (F.col("__digest") == F.col("__text")), "left_semi"
+    )
+    if not kept.groupBy("__kept", "__text").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates(["__id", "__digest"])
+    return out.drop("__id", "__digest")

@@ -155,6 +155,20 @@ def test_edges(spark):
     assert minhash.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_are_told_apart_by_their_texts(spark):
+    texts = [" ".join(f"{a}{k}" for k in range(60)) for a in "pqrst"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[1] + " more"), (8, texts[3]), (9, texts[2])]
+    rows += [(8, texts[4]), (8, texts[4] + " more"), (10, texts[4]), (11, None), (11, texts[3] + " more"), (None, None), (8, texts[3])]
+    frame = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    got = [tuple(r) for r in minhash.near_duplicates(frame).select("doc_id", "class_id").collect()]
+    want = [(None, None)] * 4 + [(7, None), (9, None)] + [(8, 8)] * 4 + [(10, 8), (11, 11), (11, 8)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    left = [(r.doc_id, r.text) for r in minhash.drop_near_duplicates(frame).collect()]
+    firm = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (8, texts[3]), (11, None), (None, None)]
+    assert len(left) == len(firm) + 1 and set(firm) < set(left)
+    assert (set(left) - set(firm)) < {(8, texts[4]), (8, texts[4] + " more")}
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     chain = [(k, k + 1) for k in range(100, 160)]
