@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridemill.llm import bpe, chat, covertree, huffman, minhash, packing, pivots, substrings, suffixes, toxicity
+from stridemill.llm import (
+    bpe, centroids, chat, covertree, fingerprints, huffman, minhash, packing, pivots, spelling, substrings, suffixes, toxicity,
+)
 from stridemill.plans.registry import table
 
 QUERIES = {}
@@ -18,6 +20,16 @@ def query(fn):
     return fn
 
 
+def twin(sql: str):
+    """Register a query together with SQL that gives the same rows."""
+
+    def register(fn):
+        SQL[fn.__name__] = sql
+        return query(fn)
+
+    return register
+
+
 @query
 def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words left after the removal of repeated windows of 20 words, all documents."""
@@ -98,3 +110,55 @@ def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query
+def op11_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, and how alike they and the next ones are."""
+    out = fingerprints.compare_with_next(table(spark, folder, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+    )
+
+
+@query
+def op12_spelling_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all documents, some with a letter left out, and the spelling that each belongs to."""
+    return spelling.spelling_groups(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def _cluster_sql(rounds: int) -> str:
+    """Centroid clustering with all distances compared, round by round."""
+    square = "list_sum(list_transform(list_zip(v.q, c.q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+    steps = [
+        """kept AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        """c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, q FROM kept
+  QUALIFY row_number() OVER (ORDER BY sha256('2:' || vec_id)) <= 40)""",
+    ]
+    for k in range(rounds + 1):
+        steps.append(
+            f"a{k} AS (SELECT v.vec_id, v.q, c.c, {square} AS distance FROM kept v, c{k} c "
+            "QUALIFY row_number() OVER (PARTITION BY v.vec_id ORDER BY distance, c.c) = 1)"
+        )
+        if k < rounds:
+            steps.append(
+                f"""p{k} AS (SELECT c, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM a{k}),
+m{k} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i)::BIGINT[] AS q
+  FROM (SELECT c, i, sum(x) AS s, count(*) AS n FROM p{k} GROUP BY c, i) GROUP BY c),
+c{k + 1} AS (SELECT c, coalesce(m.q, c.q) AS q FROM c{k} c LEFT JOIN m{k} m USING (c))"""
+            )
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, a.c::INTEGER AS cluster, distance, sum(distance) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia,
+       sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c USING (c)"""
+
+
+@twin(_cluster_sql(5))
+def op13_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Forty clusters of all vectors after five rounds in integers."""
+    out = centroids.cluster_vectors(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+    return out.select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", centroids.centroid_digest().alias("centroid_sha256")
+    )
