@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from stridemill.llm.text import (
     buffers,
+    digest_halves,
+    document_range,
     from_planes,
     gather,
     hash_spans,
     mix,
+    numbered,
     planes,
     slices,
     to_array,
@@ -29,49 +32,64 @@ BASES = (0x8CB92BA72F3D8DD7, 0xA24BAED4963EE407)
 BLOCK_WINDOWS = 500_000
 #: Bytes of text whose windows meet in one group.
 GROUP_BYTES = 8 << 20
-#: Bytes kept of the low hash; the high hash picks the group.
-HASH_BYTES = 7
-
 _NO_ID = -(2**63)
-_ENTRIES = "part INT, ids BINARY, checks BINARY, counts BINARY, starts BINARY, hashes BINARY"
-_FOUND = "id LONG, check LONG, found BINARY"
+_ENTRIES = "part INT, ids BINARY, checks BINARY, mores BINARY, counts BINARY, starts BINARY, hashes BINARY"
+_FOUND = "id LONG, check LONG, more LONG, found BINARY"
+_SCHEMA = pa.schema(
+    [("part", pa.int32())] + [(c, pa.binary()) for c in ("ids", "checks", "mores", "counts", "starts", "hashes")]
+)
+
+#: Ids and digest halves of documents.
+Documents = tuple[np.ndarray, np.ndarray, np.ndarray]
+
 
+def _cuts(keys: np.ndarray) -> list[tuple[int, int]]:
+    at = np.flatnonzero(np.r_[np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]])
+    return list(zip(at.tolist(), np.r_[at[1:], len(keys)].tolist()))
 
-def _rows(part, ids, checks, starts, hashes=None) -> list[dict]:
-    """One row: the entries of a part in order of document and start, packed."""
-    new = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (checks[1:] != checks[:-1])])
-    first = np.zeros(len(ids), bool)
-    first[new] = True
+
+def _row(part: int, docs: Documents, doc: np.ndarray, starts: np.ndarray, hashes: np.ndarray | None = None) -> dict:
+    """The entries of a part in order of document and start, packed; ``doc`` numbers ``docs``."""
+    first = np.r_[True, doc[1:] != doc[:-1]]
+    new = np.flatnonzero(first)
     gaps = np.where(first, starts, starts - np.r_[0, starts[:-1]])
-    return [
-        {
-            "part": part,
-            "ids": planes(np.diff(ids[new], prepend=0)),
-            "checks": planes(checks[new].astype(np.uint32)),
-            "counts": planes(np.diff(np.r_[new, len(ids)]).astype(np.uint32)),
-            "starts": planes(gaps.astype(np.uint32)),
-            "hashes": b"" if hashes is None else planes(hashes)[: HASH_BYTES * len(hashes)],
-        }
-    ]
-
-
-def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    ids, checks, mores = (x[doc[new]] for x in docs)
+    return {
+        "part": part,
+        "ids": planes(np.diff(ids, prepend=0)),
+        "checks": planes(checks),
+        "mores": planes(mores),
+        "counts": planes(np.diff(np.r_[new, len(doc)]).astype(np.uint32)),
+        "starts": planes(gaps.astype(np.uint32)),
+        "hashes": b"" if hashes is None else planes(hashes),
+    }
+
+
+def _unpack(row: dict) -> tuple[Documents, np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, how many entries each has, and the entries' starts and hashes."""
     counts = from_planes(row["counts"], np.uint32).astype(np.int64)
-    ids = np.repeat(np.cumsum(from_planes(row["ids"], np.int64)), counts)
-    checks = np.repeat(from_planes(row["checks"], np.uint32).astype(np.int64), counts)
+    docs = (np.cumsum(from_planes(row["ids"], np.int64)), from_planes(row["checks"], np.int64), from_planes(row["mores"], np.int64))
     gaps = from_planes(row["starts"], np.uint32).astype(np.int64)
     total = np.cumsum(gaps)
     before = np.cumsum(counts) - counts
     starts = total - np.repeat(total[before] - gaps[before], counts) if len(gaps) else total
-    return ids, checks, starts, from_planes(row["hashes"], np.uint64, HASH_BYTES)
+    return docs, counts, starts, from_planes(row["hashes"], np.uint64)
+
+
+def _merged(rows: list[tuple]) -> tuple[Documents, np.ndarray, np.ndarray]:
+    """The different documents of unpacked rows in order, and number and start of all entries."""
+    docs = tuple(np.concatenate([r[0][k] for r in rows]) for k in range(3))
+    chosen, number = numbered(*docs)
+    doc = np.repeat(number, np.concatenate([r[1] for r in rows]))
+    return tuple(x[chosen] for x in docs), doc, np.concatenate([r[2] for r in rows])
 
 
-def _later(hashes: list[np.ndarray], ids, checks, starts) -> tuple[np.ndarray, np.ndarray]:
+def _later(hashes: list[np.ndarray], doc: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For the entries: is it the first of its hash, and does it stand after the first.
 
     Equal entries (rows given twice) count as one position: none is after the other.
     """
-    order = np.lexsort((starts, checks, ids, *hashes))
+    order = np.lexsort((starts, doc, *hashes))
     differs = np.zeros(len(order), bool)
     for h in hashes:
         s = h[order]
@@ -79,7 +97,7 @@ def _later(hashes: list[np.ndarray], ids, checks, starts) -> tuple[np.ndarray, n
     differs[:1] = True
     head = np.maximum.accumulate(np.where(differs, np.arange(len(order)), 0))
     same = np.ones(len(order), bool)
-    for x in (ids, checks, starts):
+    for x in (doc, starts):
         s = x[order]
         same &= s == s[head]
     first, after = np.zeros(len(order), bool), np.zeros(len(order), bool)
@@ -88,45 +106,53 @@ def _later(hashes: list[np.ndarray], ids, checks, starts) -> tuple[np.ndarray, n
     return first, after
 
 
+def _twice(values: np.ndarray) -> np.ndarray:
+    """Places of values that occur more than once."""
+    order = np.argsort(values, kind="stable")
+    s = values[order]
+    twice = np.zeros(len(s), bool)
+    twice[1:] = s[1:] == s[:-1]
+    twice[:-1] |= twice[1:].copy()
+    return order[twice]
+
+
+def _by_part(part: np.ndarray, docs: Documents, doc: np.ndarray, starts: np.ndarray, hashes: np.ndarray | None = None) -> Iterator[dict]:
+    order = np.lexsort((starts, doc, part))
+    part, doc, starts = part[order], doc[order], starts[order]
+    hashes = hashes if hashes is None else hashes[order]
+    for a, b in _cuts(part):
+        yield _row(int(part[a]), docs, doc[a:b], starts[a:b], hashes if hashes is None else hashes[a:b])
+
+
 def _entries(window: int, parts: int, block: int):
-    """Windows of each block by hash range; a window that repeats in the block is sent once."""
+    """Windows of each block by hash range; a window that repeats in the block is sent once.
 
-    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        high, low, ids, checks, starts = (np.concatenate(x) for x in zip(*held))
+    Its later places in the block are settled, and go by document.
+    """
+
+    def flush(held: list[tuple], texts: list[Documents]) -> Iterator[pa.RecordBatch]:
+        high, low, row, starts = (np.concatenate(x) for x in zip(*held))
+        docs = tuple(np.concatenate(x) for x in zip(*texts))
         held.clear()
-        part = (high >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-        order = np.argsort(low, kind="stable")
-        s = low[order]
-        twice = np.zeros(len(s), bool)
-        twice[1:] = s[1:] == s[:-1]
-        twice[:-1] |= twice[1:].copy()
-        at = order[twice]
-        first, after = _later([low[at], high[at]], ids[at], checks[at], starts[at])
+        texts.clear()
+        chosen, number = numbered(*docs)
+        docs, doc = tuple(x[chosen] for x in docs), number[row]
+        at = _twice(low)
+        first, after = _later([low[at], high[at]], doc[at], starts[at])
         gone = at[after]
         keep = np.ones(len(low), bool)
         keep[at] = first
-        rows = []
-        if len(gone):
-            gone = gone[np.lexsort((starts[gone], checks[gone], ids[gone]))]
-            rows += _rows(int(part[gone[0]]), ids[gone], checks[gone], starts[gone])
         kept = np.flatnonzero(keep)
-        order = np.lexsort((starts[kept], checks[kept], ids[kept]))
-        kept = kept[order]
-        kept = kept[np.argsort(part[kept], kind="stable")]
-        p = part[kept]
-        cuts = np.flatnonzero(np.r_[True, p[1:] != p[:-1], True])
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            k = kept[a:b]
-            rows += _rows(int(p[a]), ids[k], checks[k], starts[k], low[k])
-            if len(rows) >= 64:
-                yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
+        rows = list(_by_part(document_range(docs[0], docs[1], parts)[doc[gone]], docs, doc[gone], starts[gone]))
+        part = ((high[kept] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        rows += _by_part(part, docs, doc[kept], starts[kept], low[kept])
+        for k in range(0, len(rows), 64):
+            yield pa.RecordBatch.from_pylist(rows[k : k + 64], _SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size = 0
+        texts: list[Documents] = []
+        size = known = 0
         for batch in batches:
             for rows in slices(batch, "text", 2 << 20):
                 data, offsets = buffers(rows.column("text"))
@@ -137,75 +163,50 @@ def _entries(window: int, parts: int, block: int):
                 words = hash_spans(data, begin, end)
                 starts = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
                 at = np.repeat(first[:-1], counts) + starts
-                ids = np.repeat(rows.column("id").to_numpy(), counts)
-                checks = np.repeat(rows.column("check").to_numpy(), counts)
                 low = window_hashes(words, window, BASES[0])[at]
                 high = mix(window_hashes(mix(words ^ np.uint64(BASES[1])), window, BASES[1])[at])
-                held.append((high, low, ids, checks, starts))
-                size += len(at)
+                held.append((high, low, np.repeat(np.arange(known, known + rows.num_rows), counts), starts))
+                texts.append(tuple(rows.column(c).to_numpy() for c in ("id", "check", "more")))
+                size, known = size + len(at), known + rows.num_rows
                 if size >= block:
-                    yield from flush(held)
-                    size = 0
+                    yield from flush(held, texts)
+                    size = known = 0
         if size:
-            yield from flush(held)
+            yield from flush(held, texts)
 
     return run
 
 
-_SCHEMA = pa.schema(
-    [("part", pa.int32())] + [(c, pa.binary()) for c in ("ids", "checks", "counts", "starts", "hashes")]
-)
-
-
 def _repeats(targets: int):
     """The windows of one hash range that stand after an equal one, packed by target group of documents."""
 
     def run(table: pa.Table) -> pa.Table:
-        found, held = [], []
-        for row in table.to_pylist():
-            ids, checks, starts, hashes = _unpack(row)
-            (held if len(hashes) else found).append((hashes, ids, checks, starts))
-        if held:
-            hashes, ids, checks, starts = (np.concatenate(x) for x in zip(*held))
-            held.clear()
-            order = np.argsort(hashes, kind="stable")
-            s = hashes[order]
-            twice = np.zeros(len(s), bool)
-            twice[1:] = s[1:] == s[:-1]
-            twice[:-1] |= twice[1:].copy()
-            at = order[twice]
-            _, after = _later([hashes[at]], ids[at], checks[at], starts[at])
-            at = at[after]
-            found.append((None, ids[at], checks[at], starts[at]))
-        ids, checks, starts = (np.concatenate([x[k] for x in found]) for k in (1, 2, 3))
-        target = (mix(ids.view(np.uint64)) >> np.uint64(32)) * np.uint64(targets) >> np.uint64(32)
-        order = np.lexsort((starts, checks, ids, target))
-        target = target[order]
-        cuts = np.flatnonzero(np.r_[np.ones(min(1, len(order)), bool), target[1:] != target[:-1]])
-        rows = []
-        for a, b in zip(cuts, np.r_[cuts[1:], len(order)]):
-            k = order[a:b]
-            rows += _rows(int(target[a]), ids[k], checks[k], starts[k])
-        return pa.Table.from_pylist(rows, _SCHEMA)
+        rows = [_unpack(row) for row in table.to_pylist()]
+        out = []
+        for settled in (True, False):
+            mine = [r for r in rows if (not len(r[3])) == settled]
+            if not mine:
+                continue
+            docs, doc, starts = _merged(mine)
+            if not settled:
+                hashes = np.concatenate([r[3] for r in mine])
+                at = _twice(hashes)
+                at = at[_later([hashes[at]], doc[at], starts[at])[1]]
+                doc, starts = doc[at], starts[at]
+            out += _by_part(document_range(docs[0], docs[1], targets)[doc], docs, doc, starts)
+        return pa.Table.from_pylist(out, _SCHEMA)
 
     return run
 
 
 def _by_document(table: pa.Table) -> pa.Table:
     """The repeated windows of a target group of documents, one row per document."""
-    found = [_unpack(row)[:3] for row in table.to_pylist()]
-    ids, checks, starts = (np.concatenate(x) for x in zip(*found))
-    order = np.lexsort((starts, checks, ids))
-    ids, checks, starts = ids[order], checks[order], starts[order].astype(np.int32)
-    new = np.flatnonzero(np.r_[np.ones(min(1, len(ids)), bool), (ids[1:] != ids[:-1]) | (checks[1:] != checks[:-1])])
-    return pa.table(
-        {
-            "id": ids[new],
-            "check": checks[new],
-            "found": to_array(starts.view(np.uint8), np.r_[new, len(ids)] * 4, pa.binary()),
-        },
-        schema=pa.schema([("id", pa.int64()), ("check", pa.int64()), ("found", pa.binary())]),
-    )
+    docs, doc, starts = _merged([_unpack(row) for row in table.to_pylist()])
+    order = np.lexsort((starts, doc))
+    doc, starts = doc[order], starts[order].astype(np.int32)
+    ends = np.searchsorted(doc, np.arange(len(docs[0]) + 1)) * 4
+    columns = [pa.array(x) for x in docs] + [to_array(starts.view(np.uint8), ends, pa.binary())]
+    return pa.Table.from_arrays(columns, ["id", "check", "more", "found"])
 
 
 def _cut(window: int):
@@ -276,11 +277,12 @@ def remove_repeated_windows(
 
     Earlier means in a smaller id, or before in the same document. Words are
     runs of bytes other than space and 0x09-0x0D; windows are judged on the
-    input. Every window is hashed (Rabin-Karp, 56 bits and the hash range it
+    input. Every window is hashed (Rabin-Karp, 64 bits and the hash range it
     falls in, so the hash grows with the number of ranges). Blocks of windows
     send a repeated window once, so no hash range holds more of one window than
-    there are blocks. Repeated windows come back per document and merge into
-    maximal spans.
+    there are blocks; its other places in the block are settled and go by
+    document. Repeated windows come back per document and merge into maximal
+    spans.
 
     Result: the columns of ``docs``, the text replaced by the kept words joined
     by one space, and ``n_words``, ``n_removed``, ``spans`` (word positions
@@ -291,23 +293,25 @@ def remove_repeated_windows(
     """
     require_columns(docs, text, id)
     made = ["n_words", "n_removed", "spans"]
+    if id in made or text in made:
+        raise ValueError(f"id and text cannot be named like the results {made}")
     others = [c for c in docs.columns if c not in (text, *made)]
     base = docs.select(
         F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("row"),
         F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(_NO_ID)).alias("id"),
         F.col(f"`{text}`").alias("text"),
-        F.coalesce(F.crc32(F.col(f"`{text}`").cast("binary")), F.lit(0)).alias("check"),
+        *[half.alias(c) for half, c in zip(digest_halves(text), ("check", "more"))],
     )
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // group_bytes))
-    entries = base.select("id", "check", "text").mapInArrow(_entries(window, parts, block_windows), _ENTRIES)
+    entries = base.select("id", "check", "more", "text").mapInArrow(_entries(window, parts, block_windows), _ENTRIES)
     found = (
         entries.groupBy("part")
         .applyInArrow(_repeats(parts), _ENTRIES)
         .groupBy("part")
         .applyInArrow(_by_document, _FOUND)
     )
-    joined = base.join(found, ["id", "check"], "left").select("row", "text", "found")
+    joined = base.join(found, ["id", "check", "more"], "left").select("row", "text", "found")
     kind = joined.schema["row"].dataType.simpleString()
     out = joined.mapInArrow(
         _cut(window),

@@ -7,10 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridemill.llm.text import buffers, from_planes, mix, planes, slices, to_array, window_hashes
+from stridemill.llm.text import (
+    buffers, digest_halves, document_range, from_planes, mix, numbered, planes, slices, to_array, window_hashes,
+)
 from stridemill.schema import require_columns
 
 #: Bytes of text whose anchors, and later segments, meet in one group.
@@ -23,6 +26,8 @@ ARRAY_BYTES = 1 << 20
 #: Bytes of text, and least share of it, in which such anchors are looked for.
 SAMPLE_BYTES = 64 << 20
 SAMPLE_SHARE = 1 / 32
+#: Most anchors that can be replaced by their windows; their hashes are broadcast (16 MB).
+MOST_HOT = 1 << 21
 #: Window starts looked at together in a long text.
 CHUNK = 1 << 19
 #: Largest alphabet that is sorted by induction.
@@ -314,8 +319,11 @@ def hot_anchors(base: DataFrame, length: int, gram: int, size: int, limit: int)
     """Hashes of anchors with about ``limit`` bytes of distinct segments or more, sorted.
 
     Counted in a sample of the documents (all up to ``SAMPLE_BYTES``). Only the
-    way of a window depends on it, never the result.
+    way of a window depends on it, never the result. At most ``MOST_HOT``
+    anchors can have that many bytes, because the limit grows with the corpus
+    where it must.
     """
+    limit = max(limit, size // MOST_HOT)
     share = min(1.0, max(SAMPLE_SHARE, SAMPLE_BYTES / max(size, 1)))
     chosen = base.where(F.pmod(F.xxhash64("id", "check"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
     found = (
@@ -355,7 +363,7 @@ def _by_window(data: np.ndarray, offsets: np.ndarray, runs: tuple[np.ndarray, ..
 
 # --- packed rows ------------------------------------------------------------------
 
-_KINDS = {"id": np.int64, "check": np.uint32, "start": np.uint32, "size": np.uint32, "hash": np.uint64, "which": np.uint32}
+_KINDS = {"id": np.int64, "check": np.int64, "more": np.int64, "start": np.uint32, "size": np.uint32, "hash": np.uint64, "which": np.uint32}
 
 
 def _dump(**columns: np.ndarray) -> dict[str, bytes]:
@@ -372,11 +380,6 @@ def _range(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def _target(ids: np.ndarray, checks: np.ndarray, targets: int) -> np.ndarray:
-    """The group of a document."""
-    return _range(mix(ids.view(np.uint64) ^ mix(checks.astype(np.uint64))), targets)
-
-
 def _cuts(keys: np.ndarray) -> list[tuple[int, int]]:
     at = np.flatnonzero(np.r_[np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]])
     return list(zip(at.tolist(), np.r_[at[1:], len(keys)].tolist()))
@@ -387,8 +390,10 @@ def _schema(*names: str) -> tuple[str, pa.Schema]:
     return text, pa.schema([("part", pa.int32())] + [(n, pa.binary()) for n in names])
 
 
-_ANCHORS = ("id", "check", "start", "size", "hash")
-_SEGMENTS = ("id", "check", "start", "size", "which", "hash", "contents", "lengths")
+_DOCUMENT = ["id", "check", "more"]
+_PLACES = ("id", "check", "more", "start", "size")
+_ANCHORS = ("id", "check", "more", "start", "size", "hash")
+_SEGMENTS = ("id", "check", "more", "start", "size", "which", "hash", "contents", "lengths")
 
 
 def _send(schema: pa.Schema, part: np.ndarray, **columns: np.ndarray) -> list[dict]:
@@ -401,7 +406,7 @@ def _send(schema: pa.Schema, part: np.ndarray, **columns: np.ndarray) -> list[di
     ]
 
 
-def _find_anchors(length: int, gram: int, parts: int, block: int, hot: np.ndarray):
+def _find_anchors(length: int, gram: int, parts: int, block: int, hot: Broadcast):
     """Anchors by hash range; one that repeats in the block is sent once, and all are marked at once.
 
     Marked ones need no other place and go by document. Windows of ``hot``
@@ -410,7 +415,7 @@ def _find_anchors(length: int, gram: int, parts: int, block: int, hot: np.ndarra
     schema = _schema(*_ANCHORS, "sure")[1]
 
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        ids, checks, starts, sizes, hashes = (np.concatenate(x) for x in zip(*held))
+        ids, checks, mores, starts, sizes, hashes = (np.concatenate(x) for x in zip(*held))
         held.clear()
         order = np.argsort(hashes, kind="stable")
         h = hashes[order]
@@ -420,10 +425,12 @@ def _find_anchors(length: int, gram: int, parts: int, block: int, hot: np.ndarra
         sure, alone = order[twice], order[new]
         rows = []
         for at, flag, part in (
-            (sure, b"1", _target(ids[sure], checks[sure], parts)), (alone, b"", _range(hashes[alone], parts))
+            (sure, b"1", document_range(ids[sure], checks[sure], parts)), (alone, b"", _range(hashes[alone], parts))
         ):
             if len(at):
-                made = _send(schema, part, id=ids[at], check=checks[at], start=starts[at], size=sizes[at], hash=hashes[at])
+                made = _send(
+                    schema, part, id=ids[at], check=checks[at], more=mores[at], start=starts[at], size=sizes[at], hash=hashes[at]
+                )
                 rows += [r | {"sure": flag} for r in made]
         for k in range(0, len(rows), 64):
             yield pa.RecordBatch.from_pylist(rows[k : k + 64], schema)
@@ -436,8 +443,9 @@ def _find_anchors(length: int, gram: int, parts: int, block: int, hot: np.ndarra
                 runs = anchors(data, offsets, length, gram)
                 if not len(runs[0]):
                     continue
-                row, start, number, hashes = _by_window(data, offsets, runs, length, hot) if len(hot) else runs
-                held.append((rows.column("id").to_numpy()[row], rows.column("check").to_numpy()[row], start, number, hashes))
+                row, start, number, hashes = _by_window(data, offsets, runs, length, hot.value) if len(hot.value) else runs
+                own = [rows.column(c).to_numpy()[row] for c in ("id", "check", "more")]
+                held.append((*own, start, number, hashes))
                 size += len(row)
                 if size >= block:
                     yield from flush(held)
@@ -459,41 +467,39 @@ def _shared_anchors(targets: int):
         found = [np.concatenate(x) for x in zip(*sure)] if sure else None
         if alone:
             columns = [np.concatenate(x) for x in zip(*alone)]
-            order = np.argsort(columns[4], kind="stable")
-            h = columns[4][order]
+            order = np.argsort(columns[5], kind="stable")
+            h = columns[5][order]
             same = np.zeros(len(h), bool)
             same[1:] = h[1:] == h[:-1]
             same[:-1] |= same[1:].copy()
             mine = [c[order[same]] for c in columns]
             found = mine if found is None else [np.concatenate(x) for x in zip(found, mine)]
-        ids, checks, starts, sizes, hashes = found
-        target = _target(ids, checks, targets)
-        return pa.Table.from_pylist(_send(schema, target, id=ids, check=checks, start=starts, size=sizes, hash=hashes), schema)
+        target = document_range(found[0], found[1], targets)
+        return pa.Table.from_pylist(_send(schema, target, **dict(zip(_ANCHORS, found))), schema)
 
     return run
 
 
 def _per_document(extra: str):
     """Rows (id, check, start and size or hash) of a group of documents, one per document."""
-    names = ("id", "check", "start", "size", *([extra] if extra else []))
-    schema = pa.schema([("id", pa.int64()), ("check", pa.int64()), ("start", pa.binary()), ("size", pa.binary()), ("hash", pa.binary())])
+    names = ("id", "check", "more", "start", "size", *([extra] if extra else []))
+    schema = pa.schema([(n, pa.int64()) for n in names[:3]] + [(n, pa.binary()) for n in ("start", "size", "hash")])
 
     def run(table: pa.Table) -> pa.Table:
         columns = [np.concatenate(x) for x in zip(*[_read(row, *names) for row in table.to_pylist()])]
-        order = np.lexsort((columns[2], columns[1], columns[0]))
-        columns = [c[order] for c in columns]
-        ids, checks, starts, sizes = columns[:4]
-        differs = np.r_[np.ones(min(1, len(ids)), bool), (ids[1:] != ids[:-1]) | (checks[1:] != checks[:-1])]
-        new = np.flatnonzero(differs)
+        chosen, doc = numbered(*columns[:3])
+        docs = [x[chosen] for x in columns[:3]]
+        order = np.lexsort((columns[3], doc))
+        doc, columns = doc[order], [c[order] for c in columns[3:]]
         if extra:  # an anchor sent by its block and found again here is one
-            keep = differs | np.r_[np.ones(min(1, len(ids)), bool), starts[1:] != starts[:-1]]
-            columns = [c[keep] for c in columns]
-            ids, checks, starts, sizes = columns[:4]
-            new = np.flatnonzero(differs[keep])
-        ends = np.r_[new, len(ids)]
+            starts = columns[0]
+            keep = np.r_[np.ones(min(1, len(doc)), bool), (doc[1:] != doc[:-1]) | (starts[1:] != starts[:-1])]
+            doc, columns = doc[keep], [c[keep] for c in columns]
+        ends = np.searchsorted(doc, np.arange(len(chosen) + 1))
         blob = lambda x, w: to_array(x.astype(f"<u{w}").view(np.uint8), ends * w, pa.binary())
-        last = blob(columns[4], 8) if extra else pa.array([b""] * len(new), pa.binary())
-        return pa.table({"id": ids[new], "check": checks[new], "start": blob(starts, 4), "size": blob(sizes, 4), "hash": last}, schema=schema)
+        last = blob(columns[2], 8) if extra else pa.array([b""] * len(chosen), pa.binary())
+        made = [pa.array(x) for x in docs] + [blob(columns[0], 4), blob(columns[1], 4), last]
+        return pa.Table.from_arrays(made, schema=schema)
 
     return run
 
@@ -502,7 +508,8 @@ def _cut_segments(length: int, parts: int, block: int):
     """Marked segments by hash range, equal ones of a block once.
 
     A segment that stands twice in a block is repeated from end to end: its
-    places are settled at once and only its bytes are sent, marked by no place.
+    places are settled at once and go by document, and only its bytes are sent
+    by hash range, marked by no place.
     """
     schema = _schema(*_SEGMENTS)[1]
 
@@ -514,20 +521,20 @@ def _cut_segments(length: int, parts: int, block: int):
         for key in np.unique(part).tolist():
             mine = [contents[k] for k in np.flatnonzero(part == key).tolist()]
             single = [(k, *known[c][1]) for k, c in enumerate(mine) if len(known[c]) == 2]
-            which, ids, checks, starts = (np.array(x, np.int64) for x in (zip(*single) if single else ((), (), (), ())))
+            which, ids, checks, mores, starts = (np.array(x, np.int64) for x in (zip(*single) if single else ((),) * 5))
             rows.append(
                 {"part": key, "contents": b"".join(mine), "lengths": np.array([len(c) for c in mine], "<u4").tobytes()}
                 | _dump(
-                    id=ids, check=checks, start=starts, size=np.zeros(len(ids), np.int64), which=which,
+                    id=ids, check=checks, more=mores, start=starts, size=np.zeros(len(ids), np.int64), which=which,
                     hash=hashes[part == key],
                 )
             )
         for content in contents:
             if len(known[content]) > 2:
-                settled += [(i, c, s, len(content)) for i, c, s in known[content][1:]]
+                settled += [(*place, len(content)) for place in known[content][1:]]
         if settled:
-            ids, checks, starts, sizes = (np.array(x, np.int64) for x in zip(*settled))
-            rows += _send(schema, np.full(len(ids), int(part[0])), id=ids, check=checks, start=starts, size=sizes)
+            columns = [np.array(x, np.int64) for x in zip(*settled)]
+            rows += _send(schema, document_range(columns[0], columns[1], parts), **dict(zip(_PLACES, columns)))
         known.clear()
         for k in range(0, len(rows), 16):
             yield pa.RecordBatch.from_pylist(rows[k : k + 16], schema)
@@ -539,9 +546,9 @@ def _cut_segments(length: int, parts: int, block: int):
             for rows in slices(batch, "text", 1 << 20):
                 data, offsets = buffers(rows.column("text"))
                 raw = data.tobytes()
-                ids, checks = rows.column("id").to_pylist(), rows.column("check").to_pylist()
+                docs = list(zip(*(rows.column(c).to_pylist() for c in ("id", "check", "more"))))
                 fields = [rows.column(c).to_pylist() for c in ("start", "size", "hash")]
-                for k, (i, c) in enumerate(zip(ids, checks)):
+                for k, doc in enumerate(docs):
                     starts = np.frombuffer(fields[0][k], "<u4").tolist()
                     sizes = np.frombuffer(fields[1][k], "<u4").tolist()
                     hashes = np.frombuffer(fields[2][k], "<u8").tolist()
@@ -550,10 +557,10 @@ def _cut_segments(length: int, parts: int, block: int):
                         content = raw[base + s : base + s + n + length - 1]
                         seen = known.get(content)
                         if seen is None:
-                            known[content] = [h, (i, c, s)]
+                            known[content] = [h, (*doc, s)]
                             size += len(content) + 100
-                        elif (i, c, s) != seen[1]:
-                            seen.append((i, c, s))
+                        elif (*doc, s) != seen[1]:
+                            seen.append((*doc, s))
                             size += 50
                     if size >= block:
                         yield from flush(known)
@@ -578,21 +585,21 @@ def _in_arrays(texts: list[bytes], hashes: list[int], length: int, limit: int) -
 
 def _search_shard(length: int, targets: int, array_bytes: int):
     """The suffix array of a shard's distinct segments, and the bytes it shows as repeated, by document."""
-    schema = _schema("id", "check", "start", "size")[1]
+    schema = _schema(*_PLACES)[1]
 
     def run(table: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = []
         places: dict[bytes, list] = {}
         for row in table.to_pylist():
-            ids, checks, starts, sizes = _read(row, "id", "check", "start", "size")
+            columns = _read(row, *_PLACES)
             if not row["lengths"]:
-                out.append([ids, checks, starts, sizes])
+                out.append(columns)
                 continue
             lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
             ends = np.cumsum(lengths)
             mine = [row["contents"][a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist())]
             of = [None] * len(mine)
-            for k, place in zip(_read(row, "which")[0].tolist(), zip(ids.tolist(), checks.tolist(), starts.tolist())):
+            for k, place in zip(_read(row, "which")[0].tolist(), zip(*(c.tolist() for c in columns[:4]))):
                 of[k] = place
             for content, place, h in zip(mine, of, _read(row, "hash")[0].tolist()):
                 known = places.setdefault(content, [0, [], h])
@@ -613,14 +620,14 @@ def _search_shard(length: int, targets: int, array_bytes: int):
                 runs = [(a, b - a + length - 1) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
             else:
                 continue
-            found += [(i, c, s + a, n) for i, c, s in members for a, n in runs]
+            found += [(*doc, s + a, n) for *doc, s in members for a, n in runs]
         if found:
             out.append([np.array(x, np.int64) for x in zip(*found)])
         if not out:
             return schema.empty_table()
-        ids, checks, starts, sizes = (np.concatenate(x) for x in zip(*out))
-        target = _target(ids, checks, targets)
-        return pa.Table.from_pylist(_send(schema, target, id=ids, check=checks, start=starts, size=sizes), schema)
+        columns = [np.concatenate(x) for x in zip(*out)]
+        target = document_range(columns[0], columns[1], targets)
+        return pa.Table.from_pylist(_send(schema, target, **dict(zip(_PLACES, columns))), schema)
 
     return run
 
@@ -694,20 +701,22 @@ def remove_repeated_bytes(
     if length < 16:
         raise ValueError("length must be 16 or more")
     made = ["kept", "n_bytes", "n_removed", "spans"]
+    if id in made:
+        raise ValueError(f"id cannot be named like the results {made}")
     others = [c for c in docs.columns if c not in (text, *made)]
     base = docs.select(
         F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("row"),
         F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(_NO_ID)).alias("id"),
-        F.coalesce(F.crc32(F.col(f"`{text}`").cast("binary")), F.lit(0)).alias("check"),
+        *[half.alias(c) for half, c in zip(digest_halves(text), ("check", "more"))],
         F.col(f"`{text}`").alias("text"),
     )
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // group_bytes))
     gram = max(8, length * 8 // 25)
-    hot = hot_anchors(base, length, gram, size, array_bytes)
-    one = "id LONG, check LONG, start BINARY, size BINARY, hash BINARY"
+    hot = docs.sparkSession.sparkContext.broadcast(hot_anchors(base, length, gram, size, array_bytes))
+    one = "id LONG, check LONG, more LONG, start BINARY, size BINARY, hash BINARY"
     marked = (
-        base.select("id", "check", "text")
+        base.select("id", "check", "more", "text")
         .mapInArrow(_find_anchors(length, gram, parts, block_anchors, hot), _schema(*_ANCHORS, "sure")[0])
         .groupBy("part")
         .applyInArrow(_shared_anchors(parts), _schema(*_ANCHORS)[0])
@@ -715,18 +724,18 @@ def remove_repeated_bytes(
         .applyInArrow(_per_document("hash"), one)
     )
     segments = (
-        base.join(marked, ["id", "check"])
-        .select("row", "id", "check", "text", "start", "size", "hash")  # as below: one exchange for both joins
+        base.join(marked, _DOCUMENT)
+        .select("row", *_DOCUMENT, "text", "start", "size", "hash")  # as below: one exchange for both joins
         .mapInArrow(_cut_segments(length, parts, block_bytes), _schema(*_SEGMENTS)[0])
     )
     found = (
         segments.groupBy("part")
-        .applyInArrow(_search_shard(length, parts, array_bytes), _schema("id", "check", "start", "size")[0])
+        .applyInArrow(_search_shard(length, parts, array_bytes), _schema(*_PLACES)[0])
         .groupBy("part")
         .applyInArrow(_per_document(""), one)
         .drop("hash")
     )
-    joined = base.join(found, ["id", "check"], "left").select("row", "text", "start", "size")
+    joined = base.join(found, _DOCUMENT, "left").select("row", "text", "start", "size")
     kind = joined.schema["row"].dataType.simpleString()
     out = joined.mapInArrow(
         _remove, f"row {kind}, kept BINARY, n_bytes LONG, n_removed LONG, spans ARRAY<STRUCT<start: LONG, end: LONG>>"

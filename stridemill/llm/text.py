@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: The bytes that separate words: space and 0x09-0x0D.
 SPACE = np.zeros(256, bool)
@@ -19,6 +21,31 @@ _FINISH = np.uint64(0xD6E8FEB86659FD93)
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 
 
+def digest_halves(text: str) -> tuple[Column, Column]:
+    """128 bits of a text as two longs, which tell texts of one id apart; null counts as empty."""
+    digest = F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))
+    return F.conv(F.left(digest, F.lit(16)), 16, -10).cast("long"), F.conv(F.right(digest, F.lit(16)), 16, -10).cast("long")
+
+
+def numbered(ids: np.ndarray, check: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each different document, in order, and the number of the document at every place."""
+    order = np.lexsort((more, check, ids))
+    differs = np.ones(len(order), bool)
+    differs[1:] = False
+    for x in (ids, check, more):
+        s = x[order]
+        differs[1:] |= s[1:] != s[:-1]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(differs) - 1
+    return order[differs], number
+
+
+def document_range(ids: np.ndarray, check: np.ndarray, parts: int) -> np.ndarray:
+    """The group of a document among ``parts``; texts of one id are spread."""
+    spread = mix(ids.view(np.uint64) ^ mix(np.ascontiguousarray(check).view(np.uint64)))
+    return ((spread >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Each 64-bit value scrambled; a permutation of the 64-bit values."""
     x = x * _MULTIPLY

@@ -2,8 +2,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from stridemill.llm import queries, substrings
@@ -13,8 +16,9 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def brute(rows, window):
-    """(id, text) rows to kept texts; equal rows are one document."""
-    docs = sorted({(-(2**63) if i is None else i, t or "") for i, t in rows}, key=lambda r: r[0])
+    """(id, text) rows to kept texts; equal rows are one document, texts of one id in order of their digests."""
+    halves = lambda t: [int.from_bytes(hashlib.md5(t.encode()).digest()[k : k + 8], "big", signed=True) for k in (0, 8)]
+    docs = sorted({(-(2**63) if i is None else i, t or "") for i, t in rows}, key=lambda r: (r[0], halves(r[1])))
     seen, out = {}, {}
     order = [(i, t, WORD.findall(t)) for i, t in docs]
     for i, t, words in order:
@@ -23,7 +27,7 @@ def brute(rows, window):
     for i, t, words in order:
         gone = set()
         for s in range(len(words) - window + 1):
-            if seen[tuple(words[s : s + window])][:2] < (i, s):
+            if seen[tuple(words[s : s + window])] != (i, s, t):
                 gone.update(range(s, s + window))
         out[i, t] = [w for k, w in enumerate(words) if k not in gone], len(words), len(gone)
     return out
@@ -77,6 +81,38 @@ def test_clashing_columns_and_empty(spark):
     assert substrings.remove_repeated_windows(empty).count() == 0
 
 
+def test_settled_windows_go_by_document():
+    """800 documents begin with one header: each block settles its copies, and no part gathers them."""
+    rng = np.random.default_rng(4)
+    header = " ".join(f"h{k}" for k in range(60))
+    texts = [header + " " + " ".join(f"w{i}x{k}" for k in range(30)) for i in range(800)]
+    sizes = Counter()
+    for k in range(0, 800, 100):
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(k, k + 100)), pa.array(rng.integers(0, 2**62, 100)), pa.array(np.zeros(100, np.int64)), pa.array(texts[k : k + 100])],
+            ["id", "check", "more", "text"],
+        )
+        for out in substrings._entries(20, 4000, 10**6)(iter([batch])):
+            for row in out.to_pylist():
+                if not row["hashes"]:
+                    sizes[row["part"]] += len(substrings._unpack(row)[2])
+    assert sum(sizes.values()) == 8 * 99 * 41
+    assert max(sizes.values()) < sum(sizes.values()) // 4
+
+
+def test_two_texts_of_one_id_with_equal_crc32(spark):
+    tail = " ".join(f"w{k}" for k in range(40))
+    a, b = "plumless " + tail, "buckeroo " + tail
+    assert zlib.crc32(a.encode()) == zlib.crc32(b.encode())
+    check(spark, [(7, a), (7, b), (None, "x " + a), (None, tail[40:]), (2, "w3 w4 w5 w6 w7")], 4, block_windows=30)
+
+
+def test_an_id_column_named_like_a_result_is_refused(spark):
+    frame = spark.createDataFrame([(1, "a b c")], "n_words LONG, text STRING")
+    with pytest.raises(ValueError):
+        substrings.remove_repeated_windows(frame, id="n_words")
+
+
 def test_query(spark, data):
     rows = [tuple(r) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
     want = brute(rows, 20)

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -149,28 +151,75 @@ def around_a_line(n=200):
 
 def test_a_frequent_line_does_not_gather_its_surroundings(spark):
     rows = around_a_line()
-    frame = spark.createDataFrame(rows, "id LONG, text STRING").withColumn("check", F.crc32(F.col("text").cast("binary")))
+    frame = spark.createDataFrame(rows, "id LONG, text STRING").withColumns({"check": F.xxhash64("text"), "more": F.lit(0).cast("long")})
     size = sum(len(t) for _, t in rows)
     hot = suffixes.hot_anchors(frame, 180, 57, size, 4000)
     assert len(hot) and not len(suffixes.hot_anchors(frame, 180, 57, size, 1 << 20))
-    batch = frame.select("id", "check", "text").toArrow().combine_chunks().to_batches()[0]
-    found = pa.Table.from_batches(suffixes._find_anchors(180, 57, 1, 10**6, hot)(iter([batch])))
+    batch = frame.select("id", "check", "more", "text").toArrow().combine_chunks().to_batches()[0]
+    found = pa.Table.from_batches(suffixes._find_anchors(180, 57, 1, 10**6, SimpleNamespace(value=hot))(iter([batch])))
     distinct = {}
     for row in suffixes._shared_anchors(1)(found).to_pylist():
-        for i, _, start, n, h in zip(*(x.tolist() for x in suffixes._read(row, *suffixes._ANCHORS))):
+        for i, _, _, start, n, h in zip(*(x.tolist() for x in suffixes._read(row, *suffixes._ANCHORS))):
             distinct.setdefault(h, set()).add(rows[i][1][start : start + n + 179])
     assert distinct and max(sum(map(len, texts)) for texts in distinct.values()) < 2 * 4000
     check(spark, rows, 180, array_bytes=4000, group_bytes=5000, block_anchors=50, block_bytes=4000)
 
 
+def spread(rows, names=("id",)):
+    sizes = Counter()
+    for row in rows:
+        sizes[row["part"]] += len(suffixes._read(row, *names)[0])
+    return sizes
+
+
 def test_marked_anchors_go_by_document():
     rng = np.random.default_rng(3)
     text = "".join(rng.choice(list("abcdef"), 100))
     batch = pa.RecordBatch.from_arrays(
-        [pa.array(np.arange(400)), pa.array(np.zeros(400, np.int64)), pa.array([text] * 400)], ["id", "check", "text"]
+        [pa.array(np.arange(400)), pa.array(np.zeros(400, np.int64)), pa.array(np.zeros(400, np.int64)), pa.array([text] * 400)],
+        ["id", "check", "more", "text"],
     )
-    found = pa.Table.from_batches(suffixes._find_anchors(90, 28, 16, 10**6, np.zeros(0, np.uint64))(iter([batch]))).to_pylist()
-    sizes = Counter()
-    for row in found:
-        sizes[row["part"]] += len(suffixes._read(row, "id")[0])
+    none = SimpleNamespace(value=np.zeros(0, np.uint64))
+    found = suffixes._find_anchors(90, 28, 16, 10**6, none)(iter([batch]))
+    sizes = spread([row for part in found for row in part.to_pylist()])
+    assert max(sizes.values()) < sum(sizes.values()) // 4
+
+
+def test_settled_segments_go_by_document():
+    """600 documents begin alike; in each block their equal segments are settled at once."""
+    rng = np.random.default_rng(5)
+    head = "".join(rng.choice(list("abcdefgh "), 260))
+    blob = lambda values, kind: np.array(values, kind).tobytes()
+    batches = []
+    for k in range(6):
+        ids = np.arange(100 * k, 100 * k + 100)
+        texts = [head + "".join(rng.choice(list("ijklmnop "), 50)) for _ in ids]
+        one = [blob([0, 30], "<u4"), blob([30, 31], "<u4"), blob([7, 9], "<u8")]
+        columns = [pa.array(ids), pa.array(rng.integers(0, 2**62, 100)), pa.array(np.zeros(100, np.int64)), pa.array(texts)]
+        columns += [pa.array([x] * 100, pa.binary()) for x in one]
+        batches.append(pa.RecordBatch.from_arrays(columns, ["id", "check", "more", "text", "start", "size", "hash"]))
+    rows = [r for b in batches for out in suffixes._cut_segments(200, 400, 1 << 30)(iter([b])) for r in out.to_pylist()]
+    sizes = spread([r for r in rows if not r["lengths"]])
+    assert sum(sizes.values()) == 6 * 2 * 100
     assert max(sizes.values()) < sum(sizes.values()) // 4
+
+
+def test_two_texts_of_one_id_with_equal_crc32(spark):
+    tail = "".join(chr(97 + (k * 7919 + k // 26) % 26) for k in range(70))
+    a, b = "plumless" + tail, "buckeroo" + tail
+    assert zlib.crc32(a.encode()) == zlib.crc32(b.encode())
+    check(spark, [(7, a), (7, b), (None, a + "!"), (None, "x" + b), (9, tail[:40])], 25)
+
+
+def test_a_very_long_text(spark):
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(2000)]
+    long = " ".join(rng.choice(words, 12_000))
+    check(spark, [(1, long), (2, long[30_000:30_400] + " other"), (3, "own " * 3 + long[:150])], 120, group_bytes=20_000, block_anchors=300)
+
+
+def test_the_limit_of_hot_anchors_grows_with_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "MOST_HOT", 2)
+    frame = spark.createDataFrame(around_a_line(60), "id LONG, text STRING").withColumn("check", F.xxhash64("text"))
+    size = frame.agg(F.sum(F.length("text"))).first()[0]
+    assert not len(suffixes.hot_anchors(frame, 180, 57, size * 100, 1000))
