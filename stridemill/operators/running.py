@@ -119,8 +119,8 @@ def column_max_normalise(df: DataFrame, value: str, by: str | Sequence[str]) ->
 
 
 def latest_checkpoint(df: DataFrame, name: str = "name") -> DataFrame:
-    """The highest epoch among checkpoint names; other names are ignored."""
-    digits = F.when(F.col(name).rlike(r"^[0-9]+$"), F.col(name)).cast("long")
+    """The highest epoch among checkpoint names; names that are no 64-bit number are ignored."""
+    digits = F.when(F.col(name).rlike(r"^[0-9]+$"), F.col(name)).try_cast("long")
     return df.agg(F.max(digits).alias("epoch"))
 
 

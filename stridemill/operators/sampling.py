@@ -2,13 +2,12 @@
 
 Random order is the order of a row hash. Hashes are spread evenly whatever the
 data looks like, so a prefix of the digest cuts the rows into even cells, and
-cell sizes (a small table) turn a rank inside a cell into a global position.
-The id columns must be unique per row.
+cell sizes turn a rank inside a cell into a global position. The id columns
+should be unique per row; rows of equal ids are in order of their columns.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,31 +15,50 @@ from pyspark.sql import functions as F
 
 from stridemill.functions.scalars import row_hash
 from stridemill.operators.order import rank_globally, with_position
+from stridemill.operators.selection import label_first, row_key
 from stridemill.schema import names, require_columns
 from stridemill.session import stage
 
-# Hex digits of the digest that name a cell: 16 ** 4 = 65,536 cells at most.
-CELL_DIGITS = 4
-# Spans in which draws meet cells; a span holds about 16 cells.
-SPANS = 4096
+# Rows of a cell, on average at most, and hex digits of the first level of cells.
+CELL_ROWS = 50_000
+FIRST_DIGITS = 4
+# Cells of a span, in which draws meet cells.
+SPAN_CELLS = 16
 
 
-def _cell(digest: Column) -> Column:
-    return F.substr(digest, F.lit(1), F.lit(CELL_DIGITS))
+def cell_digits(total: int) -> int:
+    """Hex digits of the digest that name a cell: as many as keep cells small, whatever the number of rows."""
+    digits = 1
+    while total > CELL_ROWS * 16**digits:
+        digits += 1
+    return digits
 
 
-def _cells(df: DataFrame, digest: Column) -> DataFrame:
-    """``(__cell, __n, __base, __total)``: size and first position of each cell.
+def _cell(digest: Column, digits: int) -> Column:
+    return F.substr(digest, F.lit(1), F.lit(digits))
 
-    At most 65,536 rows, so the windows need no partitioning.
+
+def _cells(df: DataFrame, digest: Column, digits: int) -> DataFrame:
+    """``(__cell, __n, __base)``: size and first position of each cell, in two levels.
+
+    Cells that share their first digits are added up among themselves; the sums
+    of those (at most 65,536) are added up in one task.
     """
-    before = Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = df.groupBy(_cell(digest).alias("__cell")).agg(F.count(F.lit(1)).alias("__n"))
-    return sizes.select(
-        "__cell",
-        "__n",
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"),
-        F.sum("__n").over(Window.partitionBy()).alias("__total"),
+    sizes = df.groupBy(_cell(digest, digits).alias("__cell")).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = sizes.withColumn("__first", _cell(F.col("__cell"), min(digits, FIRST_DIGITS)))
+    earlier = Window.orderBy("__first").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sizes.groupBy("__first").agg(F.sum("__n").alias("__size"))
+    firsts = firsts.select("__first", F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy("__first").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    base = F.col("__start") + F.coalesce(F.sum("__n").over(inside), F.lit(0))
+    return sizes.join(F.broadcast(firsts), "__first").select("__cell", "__n", base.alias("__base"))
+
+
+def _ranked(df: DataFrame, digest: Column, digits: int) -> DataFrame:
+    """Cell and 1-based rank in the cell; rows of equal ids in order of all their columns."""
+    spec = Window.partitionBy("__cell").orderBy("__h", row_key(df, df.columns))
+    return df.withColumn("__h", digest).withColumn("__cell", _cell(F.col("__h"), digits)).withColumn(
+        "__rank", F.row_number().over(spec)
     )
 
 
@@ -51,20 +69,19 @@ def hash_position(
     pos: str = "pos",
     total: str | None = None,
 ) -> DataFrame:
-    """0-based position in hash order: one shuffle, by cell."""
+    """0-based position in hash order: one shuffle, by cell; cells stay small however many rows there are."""
     ids = names(ids)
     require_columns(df, *ids)
-    digest = row_hash(ids, *salt)
+    digest, rows = row_hash(ids, *salt), df.count()
+    digits = cell_digits(rows)
     ranked = (
-        df.withColumn("__h", digest)
-        .withColumn("__cell", _cell(F.col("__h")))
-        .withColumn("__rank", F.row_number().over(Window.partitionBy("__cell").orderBy("__h")))
-        .join(F.broadcast(_cells(df, digest).drop("__n")), "__cell")
+        _ranked(df, digest, digits)
+        .join(_cells(df, digest, digits).drop("__n"), "__cell")
         .withColumn(pos, F.col("__base") + F.col("__rank") - 1)
     )
     if total:
-        ranked = ranked.withColumn(total, F.col("__total"))
-    return ranked.drop("__h", "__cell", "__rank", "__base", "__total")
+        ranked = ranked.withColumn(total, F.lit(rows).cast("long"))
+    return ranked.drop("__h", "__cell", "__rank", "__base")
 
 
 def random_split(
@@ -76,33 +93,17 @@ def random_split(
 ) -> DataFrame:
     """Random train/test split with exactly ``int(ratio * n)`` training rows.
 
-    Only the hash at the cut is looked for: sizes of all cells, then a ranking
-    of the one cell that holds the cut. The rows themselves are not shuffled.
-    If the cut would fall between rows of equal ids, no exact split exists and
-    an error says so.
+    The rows with the smallest hashes of their ids are training rows. Only the
+    hash at the cut is looked for, by counting; the rows are not moved. Rows of
+    equal ids are taken in order of their other columns, so the size is exact
+    on any table.
     """
     if not 0 <= ratio <= 1:
         raise ValueError("ratio must be between 0 and 1")
     ids = names(ids)
     require_columns(df, *ids)
-    digest = row_hash(ids, seed)
-    rank = F.floor(F.lit(float(ratio)) * F.col("__total"))
-    holds_cut = (F.col("__base") <= rank) & (rank < F.col("__base") + F.col("__n"))
-    cell = _cells(df, digest).where(holds_cut).select("__cell", (rank - F.col("__base") + 1).alias("at")).first()
-    cut = None
-    if cell is not None:
-        spec = Window.partitionBy(_cell(F.col("__h"))).orderBy("__h")
-        inside = (
-            df.select(digest.alias("__h"))
-            .where(_cell(F.col("__h")) == cell["__cell"])
-            .withColumn("__rank", F.row_number().over(spec))
-        )
-        around = inside.where(F.col("__rank").between(cell["at"] - 1, cell["at"])).orderBy("__rank").collect()
-        cut = around[-1]["__h"]
-        if len(around) == 2 and around[0]["__h"] == cut:
-            raise ValueError(f"rows with equal {ids} on both sides of the cut: the ids must be unique")
-    train = F.lit(True) if cut is None else digest < F.lit(cut)
-    return df.withColumn(column, F.when(train, "train").otherwise("test"))
+    total = df.count()
+    return label_first(df, int(ratio * total), [row_hash(ids, seed)], column, total)
 
 
 def sample_with_replacement(
@@ -118,15 +119,15 @@ def sample_with_replacement(
     ids = names(ids)
     require_columns(df, *ids)
     spark = df.sparkSession
-    digest = row_hash(ids, seed)
-    cells = stage(_cells(df, digest), "cells")
-    total = (cells.first() or {"__total": 0})["__total"]
+    digest, total = row_hash(ids, seed), df.count()
     if total == 0:
         if n:
             raise ValueError("cannot draw from an empty table")
         return df.withColumn(draw, F.lit(0).cast("long")).limit(0)
+    digits = cell_digits(total)
+    cells = stage(_cells(df, digest, digits), "cells")
     # find the cell of a position: both sides meet in spans of equal width
-    width = math.ceil(total / SPANS)
+    width = max(1, total * SPAN_CELLS // 16**digits)
     first = F.floor(F.col("__base") / width)
     last = F.floor((F.col("__base") + F.col("__n") - 1) / width)
     spans = cells.withColumn("__span", F.explode(F.sequence(first, last)))
@@ -138,17 +139,13 @@ def sample_with_replacement(
         .withColumn("__span", F.floor(F.col("__pos") / width))
     )
     located = (
-        draws.join(F.broadcast(spans), "__span")
+        draws.join(spans, "__span")
         .where((F.col("__base") <= F.col("__pos")) & (F.col("__pos") < F.col("__base") + F.col("__n")))
         .select(F.col("draw").alias(draw), "__cell", (F.col("__pos") - F.col("__base") + 1).alias("__rank"))
     )
     drawn = located.select("__cell").distinct()
-    ranked = (
-        df.withColumn("__h", digest)
-        .withColumn("__cell", _cell(F.col("__h")))
-        .join(F.broadcast(drawn), "__cell", "left_semi")
-        .withColumn("__rank", F.row_number().over(Window.partitionBy("__cell").orderBy("__h")))
-    )
+    chosen = df.withColumn("__c", _cell(digest, digits)).join(drawn.withColumnRenamed("__cell", "__c"), "__c", "left_semi")
+    ranked = _ranked(chosen.drop("__c"), digest, digits)
     return ranked.join(located, ["__cell", "__rank"]).drop("__h", "__cell", "__rank")
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridemill.functions.arrays import pad_to
-from stridemill.operators.order import Hot, Ranked, rank_globally, with_position
+from stridemill.operators.order import Hot, with_position
 from stridemill.operators.sampling import hash_position
+from stridemill.operators.selection import label_first
 from stridemill.schema import names, require_array, require_columns
 
 DEFAULT_BATCH = 16
@@ -19,15 +20,6 @@ def _label(train: Column) -> Column:
     return F.when(train, "train").otherwise("test")
 
 
-def _cut_at(df: DataFrame, ranked: Ranked, rank: int, order: Sequence[str], column: str) -> DataFrame:
-    """Compare every row with the one at ``rank``; the wide rows do not move."""
-    if rank >= ranked.total:
-        return df.withColumn(column, F.lit("train"))
-    key = F.struct(*order)
-    cut = ranked.df.where(F.col("pos") == rank).select(key.alias("cut")).scalar()
-    return df.withColumn(column, _label(key < cut))
-
-
 def ordered_split(
     df: DataFrame,
     ratio: float,
@@ -38,16 +30,18 @@ def ordered_split(
 ) -> DataFrame:
     """The first ``int(ratio * n)`` rows are training rows, per series if keyed.
 
-    Without a key only the order columns are sorted, to find the first test
-    row; the table itself is then labelled by comparison.
+    Without a key the first test row is looked for by counting, and the table
+    is labelled by comparison with it; nothing is sorted. Rows with equal order
+    values are then taken in order of their other columns, so the size is exact
+    on any table (``selection.label_first``).
     """
     if not 0 <= ratio <= 1:
         raise ValueError("ratio must be between 0 and 1")
     keys, order = names(partition_by), names(order_by)
     require_columns(df, *keys, *order)
     if not keys:
-        ranked = rank_globally(df.select(*order), order)
-        return _cut_at(df, ranked, int(ratio * ranked.total), order, column)
+        total = df.count()
+        return label_first(df, int(ratio * total), order, column, total)
     placed = with_position(df, order, keys, "__pos", "__total", max_group_rows)
     size = F.floor(F.lit(float(ratio)) * F.col("__total"))
     return placed.withColumn(column, _label(F.col("__pos") < size)).drop("__pos", "__total")
@@ -62,11 +56,11 @@ def fixed_split(
     max_group_rows: int | None = None,
     hot: Hot = None,
 ) -> DataFrame:
-    """The first ``n_train`` rows (of each series) are training rows."""
+    """The first ``n_train`` rows (of each series) are training rows; ties as in ``ordered_split``."""
     keys, order = names(partition_by), names(order_by)
     require_columns(df, *keys, *order)
     if not keys:
-        return _cut_at(df, rank_globally(df.select(*order), order), n_train, order, column)
+        return label_first(df, n_train, order, column)
     placed = with_position(df, order, keys, "__pos", None, max_group_rows, hot)
     return placed.withColumn(column, _label(F.col("__pos") < n_train)).drop("__pos")
 
@@ -139,22 +133,35 @@ def pad_batches(df: DataFrame, x: str, batch: str | Sequence[str] = "batch_ix")
 
 
 def padded_batches(
-    df: DataFrame, x: str, id: str, size: int = DEFAULT_BATCH, order_by: str | Sequence[str] = ()
+    df: DataFrame,
+    x: str | Column,
+    id: str,
+    size: int = DEFAULT_BATCH,
+    order_by: str | Sequence[str] = (),
+    length: Column | None = None,
+    name: str | None = None,
 ) -> DataFrame:
     """``batches`` and ``pad_batches`` of rows with a unique ``id`` (the order, unless given).
 
-    Positions and longest lengths come from ids and lengths alone; the arrays
-    are moved once, to meet them.
+    ``x`` is an array column, or an expression that makes one (named ``name``).
+    Positions and longest lengths come from ids and lengths alone (``length``,
+    if it is cheaper to tell than ``x``); the rows are moved once, to meet them,
+    and arrays are made and padded where they arrive.
     """
     order = names(order_by) or [id]
     require_columns(df, id, *order)
-    require_array(df, x)
-    narrow = df.select(*dict.fromkeys([id, *order]), F.size(x).alias("__n"))
+    if isinstance(x, str):
+        require_array(df, x)
+        name, x = x, F.col(x)
+    if name is None:
+        raise ValueError("give a name to the padded array")
+    narrow = df.select(*dict.fromkeys([id, *order]), (F.size(x) if length is None else length).alias("__n"))
     placed = batches(narrow, order, size)
     placed = placed.withColumn("__longest", F.max("__n").over(Window.partitionBy("batch_ix")))
     placed = placed.select(F.col(id).alias("__id"), "pos", "batch_ix", F.col("__n").alias("len"), "__longest")
+    fill = F.array_repeat(F.lit(0.0), F.col("__longest") - F.col("len"))
     return (
         df.join(placed, F.col(id).eqNullSafe(F.col("__id")))
-        .withColumn(x, pad_to(F.col(x).cast("array<double>"), "__longest"))
+        .withColumn(name, F.concat(x.cast("array<double>"), fill))
         .drop("__longest", "__id")
     )

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from stridemill.operators.order import Hot, frames
@@ -133,32 +132,73 @@ def assign_slices(df: DataFrame, time: ColumnLike, grid: SliceGrid, slice_col: s
     return df.withColumn(slice_col, F.explode(grid.ordinals(col(time))))
 
 
+def _passed(time: Column, grid: SliceGrid, ends: bool) -> Column:
+    """How many slices of an endless grid have begun, or with ``ends`` have ended, at or before a time.
+
+    Division gives the number up to one; the edges next to it are compared as
+    ``ordinals`` computes them.
+    """
+    t0, stride, length = F.lit(grid.t0), F.lit(grid.stride), F.lit(grid.length)
+    since = time - t0 - length if ends else time - t0
+    low = F.greatest(F.floor(since / stride).cast("long") - 1, F.lit(0).cast("long"))
+    out = low
+    for i in range(4):
+        edge = t0 + (low + i) * stride
+        out = out + ((edge + length if ends else edge) <= time).cast("long")
+    return out
+
+
 def slice_summary(
     df: DataFrame, time: ColumnLike, value: str, grid: SliceGrid, slice_col: str = "slice"
 ) -> DataFrame:
-    """Count, sum, minimum and maximum per slice; integer times only.
-
-    Rows are first folded into panes, the largest spans that never straddle a
-    slice edge; only panes are copied into the overlapping slices.
+    """Count, sum, minimum and maximum per slice, for whole or fractional grids; rows are not copied.
+
+    All slice edges cut the axis into elementary intervals: a row's is told by
+    how many slices have begun (``a``) and ended (``b``) by its time, and it
+    belongs to the slices ``b`` to ``a - 1``. Rows are folded per interval,
+    before the shuffle. Intervals are put in blocks, each from one start to the
+    ``m``-th next, where ``m`` is one less than the number of strides in a
+    length. A slice is then the end of the block it begins in and the beginnings
+    of at most three blocks behind it, so running values from both ends of each
+    block give all slices, with a few rows for each; nothing is subtracted, so
+    sums lose no digits. Times may be null or NaN (in no slice).
     """
-    if any(v != int(v) for v in (grid.t0, grid.length, grid.stride)):
-        raise ValueError("slice_summary needs an integer start, length and stride")
-    pane = math.gcd(int(grid.length), int(grid.stride))
-    t0 = F.lit(int(grid.t0))
-    start = F.floor((col(time) - t0) / F.lit(pane)) * pane + t0
-    panes = df.groupBy(start.alias("__pane")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(value).alias("total"),
-        F.min(value).alias("low"),
-        F.max(value).alias("high"),
+    require_columns(df, value)
+    m = max(1, int(grid.length // grid.stride) - 1) if grid.count else 1
+    t = col(time)
+    inside = t.isNotNull() & ~F.isnan(t.cast("double"))
+    rows = df.where(inside).select(
+        _passed(t, grid, False).alias("a"), _passed(t, grid, True).alias("b"), F.col(value).alias("v")
+    )
+    state = [F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high")]
+    intervals = (
+        rows.where((F.col("b") < F.col("a")) & (F.col("b") < grid.count))
+        .groupBy("a", "b")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"), F.min("v").alias("low"), F.max("v").alias("high"))
+        .withColumn("block", F.floor((F.col("a") - 1) / m))
     )
-    return (
-        assign_slices(panes, "__pane", grid, slice_col)
-        .groupBy(slice_col)
-        .agg(
-            F.sum("n").alias("n"),
-            F.sum("total").alias("total"),
-            F.min("low").alias("low"),
-            F.max("high").alias("high"),
+    along = Window.partitionBy("block").orderBy("a", "b")
+    upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    beyond = along.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+
+    def running(spec: WindowSpec) -> Column:
+        return F.struct(
+            F.sum("n").over(spec).alias("n"), F.sum("total").over(spec).alias("total"),
+            F.min("low").over(spec).alias("low"), F.max("high").over(spec).alias("high"),
         )
+
+    placed = intervals.select(
+        "a", "b", "block", F.lead("b").over(along).alias("next_b"), F.lag("a").over(along).alias("last_a"),
+        running(upto).alias("upto"), running(beyond).alias("beyond"),
     )
+    first = F.col("block") * m
+    # slices that began before this block (at its edge, if blocks have one start) and end behind this interval
+    last = first if m == 1 else first - 1
+    to = F.least(F.coalesce(F.col("next_b") - 1, last), last)
+    parts = [F.struct(F.col("b").alias("low"), to.alias("high"), F.col("upto").alias("s"))]
+    if m > 1:  # slices that begin in this block, at the interval or after the one before it
+        begun = F.greatest(F.coalesce("last_a", first), first)
+        parts.append(F.struct(begun.alias("low"), (F.col("a") - 1).alias("high"), F.col("beyond").alias("s")))
+    pieces = placed.select(F.explode(F.array(*parts)).alias("p")).where(F.col("p.low") <= F.col("p.high"))
+    slices = pieces.select(F.explode(F.sequence("p.low", "p.high")).alias(slice_col), "p.s.*")
+    return slices.where(F.col(slice_col) < grid.count).groupBy(slice_col).agg(*state)

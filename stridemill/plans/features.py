@@ -7,13 +7,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridemill.functions import arrays
+from stridemill.functions import arrays, losses
 from stridemill.functions.arrays import array_sum, as_doubles
 from stridemill.functions.losses import squared_error_sum
 from stridemill.functions.scalars import drop_suffix, file_name, file_stem, merge_maps
-from stridemill.operators import joins, labels, projection, scaling, scoring, transforms
+from stridemill.operators import joins, labels, network, projection, scaling, scoring, transforms
 from stridemill.plans.registry import query, rounded, table
-from stridemill.session import fresh_path, stage
+from stridemill.session import fresh_path
 
 
 def _vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -481,36 +481,104 @@ def user_scorer(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_CLASSES = """
-WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label)
-SELECT label, n, true AS in_range, true AS beats_majority FROM c
+def _training_sql(widths: list[int], rows: str, steps: int, rate: float, momentum: float) -> str:
+    """Full-batch Nesterov steps from the rule's weights, and the loss of every row after them.
+
+    ``rows`` names a table ``vec_id, label, i, v``. Weights live in
+    ``w{layer}_{step} (i, j, w)`` with the bias as row -1, speeds in ``s...``.
+    """
+    n, out = len(widths) - 1, []
+    for k, (r, c) in enumerate(zip(widths, widths[1:])):
+        rule = f"((i * {k + 2} + j * 3 + {k}) % 5 - 2) / 8.0::DOUBLE"
+        out.append(
+            f"w{k}_0 AS (SELECT i, j, CASE WHEN i < 0 THEN (j % 3 - 1) / 4.0::DOUBLE ELSE {rule} END AS w, 0::DOUBLE AS s "
+            f"FROM generate_series(-1, {r - 1}) t(i), generate_series(0, {c - 1}) u(j))"
+        )
+
+    def forward(step: str, weight: str) -> None:
+        for k in range(n):
+            source = rows if k == 0 else f"a{k}_{step}"
+            out.append(
+                f"z{k + 1}_{step} AS (SELECT x.vec_id, x.label, w.j, sum(x.v * {weight}) AS z FROM "
+                f"(SELECT vec_id, label, i, v FROM {source} UNION ALL SELECT DISTINCT vec_id, label, -1, 1::DOUBLE FROM {rows}) x "
+                f"JOIN w{k}_{step} w ON w.i = x.i GROUP BY x.vec_id, x.label, w.j)"
+            )
+            out.append(f"a{k + 1}_{step} AS (SELECT vec_id, label, j AS i, greatest(z, 0) AS v FROM z{k + 1}_{step})")
+        out.append(
+            f"p_{step} AS (SELECT vec_id, label, j, z, exp(z - max(z) OVER q) / sum(exp(z)) OVER q * exp(max(z) OVER q) AS p "
+            f"FROM z{n}_{step} WINDOW q AS (PARTITION BY vec_id))"
+        )
+
+    for t in range(steps):
+        ahead = f"(w.w + {momentum}::DOUBLE * w.s)"
+        forward(str(t), ahead)
+        out.append(
+            f"d{n}_{t} AS (SELECT vec_id, label, j, (p - (j = label)::INTEGER) / count(*) OVER (PARTITION BY j) AS d FROM p_{t})"
+        )
+        for k in reversed(range(n)):
+            source = rows if k == 0 else f"a{k}_{t}"
+            out.append(
+                f"g{k}_{t} AS (SELECT x.i, d.j, sum(x.v * d.d) AS g FROM (SELECT vec_id, i, v FROM {source} "
+                f"UNION ALL SELECT DISTINCT vec_id, -1, 1::DOUBLE FROM {rows}) x JOIN d{k + 1}_{t} d USING (vec_id) GROUP BY x.i, d.j)"
+            )
+            if k:
+                out.append(
+                    f"d{k}_{t} AS (SELECT d.vec_id, d.label, w.i AS j, sum(d.d * {ahead}) * any_value((a.v > 0)::INTEGER) AS d "
+                    f"FROM d{k + 1}_{t} d JOIN w{k}_{t} w ON w.j = d.j AND w.i >= 0 JOIN a{k}_{t} a ON a.vec_id = d.vec_id AND a.i = w.i "
+                    "GROUP BY d.vec_id, d.label, w.i)"
+                )
+        for k in range(n):
+            speed = f"{momentum}::DOUBLE * w.s - {rate}::DOUBLE * g.g"
+            out.append(
+                f"w{k}_{t + 1} AS (SELECT w.i, w.j, w.w + {speed} AS w, {speed} AS s FROM w{k}_{t} w JOIN g{k}_{t} g USING (i, j))"
+            )
+    forward(str(steps), "w.w")
+    return ", ".join(out)
+
+
+_AFTER = """
+, r AS (SELECT vec_id, label, -ln(max(p) FILTER (j = label)) AS loss, arg_max(j, z) AS best FROM p_{0} GROUP BY vec_id, label)
+SELECT label, count(*) AS n, round(avg(loss), 6) AS loss, count(*) FILTER (best = label) AS hits FROM r GROUP BY label
 """
+_FEATURES = "f AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)"
+_NET, _SMALL_NET = [64, 8, 8, 10], [4, 8, 8, 10]
 
 
-def _classified(scored: DataFrame, classes: int) -> DataFrame:
-    """Rows per label, whether all predictions are classes, and whether as many are right
-    as guessing the most frequent class would get."""
-    hit = (F.col("prediction") == F.col("label")).cast("long")
-    per = scored.groupBy("label").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(hit).alias("hits"),
-        F.min(F.col("prediction").between(0, classes - 1)).alias("in_range"),
+def _after(model: network.Classifier, df: DataFrame, x: str) -> DataFrame:
+    """Rows, mean cross-entropy and right answers of each class."""
+    scored = df.withColumn("scores", scoring.dense(model.layers, x))
+    scored = scored.select(
+        "label", losses.cross_entropy("scores", "label").alias("loss"), (arrays.argmax("scores") == F.col("label")).alias("hit")
+    )
+    return scored.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), rounded(F.avg("loss")).alias("loss"), F.count_if("hit").alias("hits")
     )
-    best = per.agg((F.sum("hits") >= F.max("n")).alias("beats_majority")).first()["beats_majority"]
-    return per.select("label", "n", "in_range", F.lit(bool(best)).alias("beats_majority"))
 
 
-@query(_CLASSES)
-def compress_then_classify(spark: SparkSession, folder: str) -> DataFrame:
+@query(f"WITH {_FEATURES}, {_training_sql(_NET, 'f', 1, 0.5, 0.0)}{_AFTER.format(1)}")
+def classifier_step(spark: SparkSession, folder: str) -> DataFrame:
+    """Loss per class of fixed weights after one step down the gradient of all rows."""
     vectors = _vectors(spark, folder)
-    model = projection.CompressedClassifier.fit(vectors, "x", "label", latents=3, hidden=8, classes=10)
-    return _classified(stage(model.transform(vectors, "x").select("label", "prediction"), "classified"), 10)
+    model = network.train(vectors, "x", "label", _rule_layers(_NET), 1, "nesterov", 0.5, 0.0)
+    return _after(model, vectors, "x")
 
 
-@query(_CLASSES)
+@query(f"WITH {_FEATURES}, {_training_sql(_NET, 'f', 3, 0.2, 0.9)}{_AFTER.format(3)}")
 def mlp_fit(spark: SparkSession, folder: str) -> DataFrame:
+    """Loss and right answers per class after three Nesterov steps over all rows."""
     vectors = _vectors(spark, folder)
-    model = projection.fit_classifier(vectors, "x", "label", hidden=8, classes=10)
-    return _classified(stage(projection.classify(model, vectors, "x").select("label", "prediction"), "classified"), 10)
+    model = network.train(vectors, "x", "label", _rule_layers(_NET), 3, "nesterov", 0.2, 0.9)
+    return _after(model, vectors, "x")
+
+
+@query(f"""
+WITH {_rule_sql(_AE[:4], [True, True, False])}, f AS (SELECT vec_id, label, i, v FROM h3),
+{_training_sql(_SMALL_NET, 'f', 2, 0.1, 0.9)}{_AFTER.format(2)}""")
+def compress_then_classify(spark: SparkSession, folder: str) -> DataFrame:
+    """A classifier fitted for two steps on the latents of a given encoder."""
+    latents = _vectors(spark, folder).select("label", scoring.encode(_rule_layers(_AE), "x").alias("z"))
+    model = network.train(latents, "z", "label", _rule_layers(_SMALL_NET), 2, "nesterov", 0.1, 0.9)
+    return _after(model, latents, "z")
 
 
 _NOISE = """

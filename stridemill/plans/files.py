@@ -236,14 +236,34 @@ def text_log_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return back.select("text", *[F.col("extra")[k].alias(k) for k in ("event_id", "value")])
 
 
-@query("SELECT l_quantity AS prediction, l_linenumber AS target FROM lineitem")
+@query("""
+SELECT row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_quantity) - 1 AS pos,
+       l_quantity AS prediction, l_linenumber AS target FROM lineitem
+""")
 def prediction_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Predictions written in order of their rows and read back with their positions."""
     root = fresh_path(spark, "predictions")
     rows = table(spark, folder, "lineitem").select(
-        F.col("l_quantity").alias("prediction"), F.col("l_linenumber").alias("target"), "l_tax"
+        F.col("l_quantity").alias("prediction"), F.col("l_linenumber").alias("target"), "l_shipdate", "l_orderkey"
+    )
+    written = sinks.write_predictions(rows, root, order_by=["l_shipdate", "l_orderkey", "target", "prediction"], file_rows=7_000)
+    return sinks.read_predictions(spark, written, "prediction DOUBLE, target INT")
+
+
+@query("""
+WITH p AS (SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS pos, o_totalprice AS prediction,
+                  o_orderkey AS target, count(*) OVER () AS n FROM orders)
+SELECT pos, prediction, target FROM p WHERE pos >= n // 2 AND pos < n // 2 + n // 5
+""")
+def predictions_from_the_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """A fifth of an ordered prediction table, read from its middle on."""
+    root = fresh_path(spark, "predictions")
+    rows = table(spark, folder, "orders").select(
+        F.col("o_totalprice").alias("prediction"), F.col("o_orderkey").alias("target"), "o_orderdate"
     )
-    written = sinks.write_predictions(rows, root)
-    return spark.read.schema("prediction DOUBLE, target INT").option("header", True).csv(written)
+    n = rows.count()
+    written = sinks.write_predictions(rows, root, order_by=["o_orderdate", "target"], file_rows=1_000)
+    return sinks.read_predictions(spark, written, "prediction DOUBLE, target LONG", n // 2, n // 5)
 
 
 @query("SELECT c_custkey, c_mktsegment FROM customer")

@@ -338,9 +338,9 @@ FROM d JOIN m USING (batch_ix)
 """)
 def pad_sequences(spark: SparkSession, folder: str) -> DataFrame:
     """Word lengths of whole documents, padded to the longest of 16."""
-    lengths = F.transform(F.split("text", " "), lambda w: F.length(w).cast("double"))
-    docs = table(spark, folder, "documents").select("doc_id", lengths.alias("x"))
-    padded = splits.padded_batches(docs, "x", "doc_id", 16)
+    words = F.transform(F.split("text", " "), lambda w: F.length(w).cast("double"))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    padded = splits.padded_batches(docs, words, "doc_id", 16, length=F.size(F.split("text", " ")), name="x")
     return padded.select(
         "doc_id",
         "batch_ix",
@@ -379,15 +379,28 @@ def random_split_composite_id(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""
 WITH k AS (SELECT unnest(generate_series(0, 997)) AS slice)
-SELECT slice, count(*) AS n FROM k JOIN events ON value >= 0.0::DOUBLE + slice * 0.1::DOUBLE
-                                AND value < 0.0::DOUBLE + slice * 0.1::DOUBLE + 0.3::DOUBLE
+SELECT slice, count(*) AS n, round(sum(value), 6) AS total, min(value) AS low, max(value) AS high
+FROM k JOIN events ON value >= 0.0::DOUBLE + slice * 0.1::DOUBLE
+                  AND value < 0.0::DOUBLE + slice * 0.1::DOUBLE + 0.3::DOUBLE
 GROUP BY slice
 """)
 def hopping_slices_fractional(spark: SparkSession, folder: str) -> DataFrame:
     """Slices of 0.3 every 0.1, whose edges no floating division finds exactly."""
     values = table(spark, folder, "events").select("value")
-    grid = windows.SliceGrid(0.0, 0.3, 0.1, 998)
-    return windows.assign_slices(values, "value", grid).groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
+    out = windows.slice_summary(values, "value", "value", windows.SliceGrid(0.0, 0.3, 0.1, 998))
+    return out.select("slice", "n", rounded("total").alias("total"), "low", "high")
+
+
+@query("""
+WITH k AS (SELECT unnest(generate_series(0, 7999)) AS slice)
+SELECT slice, count(*) AS n FROM k JOIN events ON value >= 1.7::DOUBLE + slice * 0.0125::DOUBLE
+                                AND value < 1.7::DOUBLE + slice * 0.0125::DOUBLE + 0.7::DOUBLE
+GROUP BY slice
+""")
+def hopping_slices_overlapping(spark: SparkSession, folder: str) -> DataFrame:
+    """Each value lies in 56 slices, but is counted in one interval."""
+    values = table(spark, folder, "events").select("value")
+    return windows.slice_summary(values, "value", "value", windows.SliceGrid(1.7, 0.7, 0.0125, 8000)).select("slice", "n")
 
 
 @query("""
@@ -402,3 +415,28 @@ def scored_batches(spark: SparkSession, folder: str) -> DataFrame:
     out = splits.ordered_batches(orders, ["o_orderdate", "o_orderkey"], 50, ["o_orderkey", "prediction"])
     rows = F.posexplode(F.arrays_zip("o_orderkey", "prediction")).alias("place", "r")
     return out.select("batch_ix", rows).select("batch_ix", "place", "r.o_orderkey", "r.prediction")
+
+
+@query("""
+SELECT o_orderkey, o_orderdate, o_totalprice, CASE WHEN row_number() OVER (
+         ORDER BY o_orderdate NULLS FIRST, o_orderkey NULLS FIRST, o_totalprice NULLS FIRST) - 1
+       < floor(0.35::DOUBLE * count(*) OVER ()) THEN 'train' ELSE 'test' END AS split
+FROM orders
+""")
+def ordered_split_ties(spark: SparkSession, folder: str) -> DataFrame:
+    """Ordered by a date that many orders share: the cut falls inside a day."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    return splits.ordered_split(orders, 0.35, "o_orderdate")
+
+
+@query("""
+WITH n AS (SELECT count(*) // 3 AS cut FROM lineitem)
+SELECT l_returnflag, l_linestatus, l_linenumber, CASE WHEN row_number() OVER (
+         ORDER BY l_returnflag NULLS FIRST, l_linestatus NULLS FIRST, l_linenumber NULLS FIRST) - 1
+       < cut THEN 'train' ELSE 'test' END AS split
+FROM lineitem, n
+""")
+def fixed_split_ties(spark: SparkSession, folder: str) -> DataFrame:
+    """A cut after a third of the rows, through rows that are equal in every column."""
+    lines = table(spark, folder, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber")
+    return splits.fixed_split(lines, lines.count() // 3, "l_returnflag")

@@ -5,23 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridemill.plans.registry import query, rounded, table
+from stridemill.operators.order import range_partitions
+from stridemill.plans.registry import micros, query, rounded, table
 from stridemill.session import fresh_path
 from stridemill.streaming import jobs
+from stridemill.streaming.latest import LatestTable
 
 
 FILES, FILES_PER_BATCH = 6, 2
+DAY = 86_400_000_000
+#: Rows reach a stream up to six hours late, in four batches of eight days; one in fifty is two batches late.
+DISORDER, SPAN, DELAY = 21_600, 8 * DAY, "6 hours"
 
 
-def _event_stream(spark: SparkSession, folder: str, closing: bool = False) -> DataFrame:
+def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The table rewritten as six files in order of ``event_id``, two per micro-batch.
 
-    Event times come in any order then. ``closing`` adds a last file with one
-    row of no user, years later, which moves the watermark past all others.
+    Event times come in any order then.
     """
     path = fresh_path(spark, "event-files")
     events = table(spark, folder, "events")
     events.repartitionByRange(FILES, "event_id").write.parquet(path)
+    return jobs.read_files(spark, path, events.schema, FILES_PER_BATCH)
+
+
+def _arrivals(spark: SparkSession, folder: str, closing: bool = False) -> DataFrame:
+    """The table as a stream in order of arrival, one micro-batch for each eight days.
+
+    ``closing`` adds a last batch with one row of no user, years later, which
+    moves the watermark past all others.
+    """
+    path = fresh_path(spark, "arrivals")
+    events = table(spark, folder, "events")
+    first, last = events.agg(F.min(micros()), F.max(micros())).first()
+    top = (last + DISORDER * 1_000_000 - first) // SPAN
+    usual = F.expr(f"(unix_micros(CAST(ts AS timestamp)) + event_id * 7919 % {DISORDER} * 1000000 - {first}) div {SPAN}")
+    number = F.when(F.col("event_id") % 50 == 0, F.least(usual + 2, F.lit(top))).otherwise(usual)
+    files = range_partitions(events) or 1
+    for k in range(top + 1):
+        events.where(number == k).repartition(files).write.mode("append").parquet(path)
     if closing:
         end = events.agg(F.max("ts").alias("ts"), F.max("event_id").alias("event_id")).select(
             (F.col("ts") + F.expr("INTERVAL 10 YEARS")).alias("ts"), (F.col("event_id") + 1).alias("event_id")
@@ -29,7 +51,18 @@ def _event_stream(spark: SparkSession, folder: str, closing: bool = False) -> Da
         empty = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema.fields}
         row = end.select(*[F.col(c) if c in ("ts", "event_id") else empty[c] for c in events.columns])
         row.coalesce(1).write.mode("append").parquet(path)
-    return jobs.read_files(spark, path, events.schema, FILES_PER_BATCH)
+    return jobs.read_files(spark, path, events.schema, files)
+
+
+#: Each event with its batch, and the watermark that decides there what is late: the latest time of
+#: the batches before the one before, less the delay, in milliseconds.
+_ARRIVALS = f"""
+  e AS (SELECT *, epoch_us(ts) AS t, min(epoch_us(ts)) OVER () AS first, max(epoch_us(ts)) OVER () AS last FROM events),
+  n AS (SELECT *, (t + event_id * 7919 % {DISORDER} * 1000000 - first) // {SPAN} AS usual,
+               (last + {DISORDER * 1_000_000} - first) // {SPAN} AS top FROM e),
+  b AS (SELECT *, CASE WHEN event_id % 50 = 0 THEN least(usual + 2, top) ELSE usual END AS batch FROM n),
+  m AS (SELECT batch, max(t) // 1000 AS top_ms FROM b GROUP BY batch),
+  l AS (SELECT b.*, coalesce((SELECT max(top_ms) FROM m WHERE m.batch <= b.batch - 2) - 21600000, 0) * 1000 AS mark FROM b)"""
 
 
 @query("""
@@ -43,47 +76,46 @@ def stream_running_mse(spark: SparkSession, folder: str) -> DataFrame:
     )
     out, metrics = fresh_path(spark, "running-mse"), ["mse", "mae"]
     states = jobs.running_metric_states(rows, metrics, by="run")
-    jobs.write_latest(states, out, fresh_path(spark, "checkpoint")).awaitTermination()
+    jobs.write_latest(states, "run", out, fresh_path(spark, "checkpoint")).awaitTermination()
     latest = jobs.read_latest(spark, out, metrics, "run")
     return latest.select("run", rounded("mse").alias("mse"), rounded("mae").alias("mae"))
 
 
-@query("""
-WITH w AS (
-  SELECT epoch_us(time_bucket(INTERVAL 30 MINUTE, ts)) // 1000000 AS slice_start, value FROM events
-  UNION ALL SELECT epoch_us(time_bucket(INTERVAL 30 MINUTE, ts)) // 1000000 - 1800, value FROM events)
-SELECT slice_start, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY slice_start
+@query(f"""
+WITH {_ARRIVALS},
+w AS (
+  SELECT epoch_us(time_bucket(INTERVAL 30 MINUTE, ts)) // 1000000 AS slice_start, value, mark FROM l
+  UNION ALL SELECT epoch_us(time_bucket(INTERVAL 30 MINUTE, ts)) // 1000000 - 1800, value, mark FROM l)
+SELECT slice_start, count(*) AS n, round(sum(value), 4) AS total FROM w
+WHERE (slice_start + 3600) * 1000000 > mark GROUP BY slice_start
 """)
 def stream_hopping(spark: SparkSession, folder: str) -> DataFrame:
-    """Event-time slices of one hour every half hour, last update of each slice."""
-    stream = _event_stream(spark, folder).select("ts", "value")
-    slices = jobs.hopping_slices(stream, "ts", "value", "1 hour", "30 minutes", "31 days")
+    """Event-time slices of one hour every half hour, last update of each slice; late rows change none."""
+    stream = _arrivals(spark, folder).select("ts", "value")
+    slices = jobs.hopping_slices(stream, "ts", "value", "1 hour", "30 minutes", DELAY)
     out = fresh_path(spark, "slices")
-    jobs.write_latest(slices, out, fresh_path(spark, "checkpoint")).awaitTermination()
-    newest = spark.read.parquet(out).groupBy("slice_start").agg(
-        F.max_by(F.struct("n", "total"), "batch").alias("s")
-    )
-    return newest.select(
-        F.unix_seconds("slice_start").alias("slice_start"), "s.n", rounded("s.total", 4).alias("total")
-    )
+    jobs.write_latest(slices, "slice_start", out, fresh_path(spark, "checkpoint")).awaitTermination()
+    newest = LatestTable(spark, out, ["slice_start"]).read()
+    return newest.select(F.unix_seconds("slice_start").alias("slice_start"), "n", rounded("total", 4).alias("total"))
 
 
-@query("""
+@query(f"""
+WITH {_ARRIVALS}
 SELECT user_id, row_number() OVER w - 1 AS pos,
        value AS x0, lead(value) OVER w AS x1, lead(value, 2) OVER w AS x2, lead(value, 3) OVER w AS x3,
-       lead(value, 4) OVER w AS target
-FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+       lead(value, 4) OVER w AS target, (SELECT count(*) FROM l WHERE t <= mark) AS late_rows
+FROM l WHERE t > mark WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
 QUALIFY lead(event_id, 4) OVER w IS NOT NULL
 """)
 def stream_lookahead(spark: SparkSession, folder: str) -> DataFrame:
-    """Samples in event-time order from files in order of arrival, over several micro-batches."""
-    samples = jobs.lookahead_samples(
-        _event_stream(spark, folder, closing=True), "value", 4, 1, "user_id", "ts", "event_id", "31 days"
-    )
+    """Samples in event-time order from rows in order of arrival, and how many rows came too late."""
+    samples = jobs.lookahead_samples(_arrivals(spark, folder, closing=True), "value", 4, 1, "user_id", "ts", "event_id", DELAY)
     out = fresh_path(spark, "samples")
-    jobs.write_append(samples, out, fresh_path(spark, "checkpoint")).awaitTermination()
+    run = jobs.write_append(samples, out, fresh_path(spark, "checkpoint"))
+    run.awaitTermination()
     return spark.read.parquet(out).select(
-        "user_id", "pos", *[F.get("x", i).alias(f"x{i}") for i in range(4)], "target"
+        "user_id", "pos", *[F.get("x", i).alias(f"x{i}") for i in range(4)], "target",
+        F.lit(jobs.late_rows(run)).cast("long").alias("late_rows"),
     )
 
 

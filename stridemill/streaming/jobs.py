@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from stridemill.functions.metrics import Metric, finish_states, partial_states, resolve
 from stridemill.schema import names
+from stridemill.streaming.latest import LatestTable
+
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, which writes changes only."""
+    before = spark.conf.get(_STORE)
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(_STORE, before)
 
 
 def read_files(
@@ -39,22 +55,20 @@ def running_metric_states(
     return partial_states(stream, metrics, yhat, y, by)
 
 
-def write_latest(states: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Update-mode sink: changed groups of each micro-batch in its own folder.
+def write_latest(states: DataFrame, keys: str | Sequence[str], path: str, checkpoint: str) -> StreamingQuery:
+    """Update-mode sink: the newest row of each key, in a ``LatestTable``.
 
-    A batch that is run again overwrites its folder, so the result is exact.
+    A batch that is run again changes nothing, so the result is exact.
     """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return (
-        states.writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(write)
-        .start()
-    )
+    table = LatestTable(states.sparkSession, path, names(keys))
+    with rocksdb(states.sparkSession):
+        return (
+            states.writeStream.outputMode("update")
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .foreachBatch(table.commit)
+            .start()
+        )
 
 
 def read_latest(
@@ -62,12 +76,7 @@ def read_latest(
 ) -> DataFrame:
     """The metrics of each group as of its last update."""
     keys = names(by)
-    rows = spark.read.parquet(path)
-    others = [c for c in rows.columns if c not in (*keys, "batch")]
-    newest = rows.groupBy(*keys).agg(
-        F.max_by(F.struct(*others), "batch").alias("s")
-    ).select(*keys, "s.*")
-    return finish_states(newest, resolve(metrics), keys)
+    return finish_states(LatestTable(spark, path, keys).read(), resolve(metrics), keys)
 
 
 def hopping_slices(
@@ -94,6 +103,72 @@ def hopping_slices(
     )
 
 
+def _millis(spark: SparkSession, span: str) -> int:
+    """Milliseconds of an interval such as ``6 hours``."""
+    epoch = F.timestamp_seconds(F.lit(0))
+    return spark.range(1).select(F.unix_millis(epoch + F.expr(f"INTERVAL {span}"))).first()[0]
+
+
+class _Lookahead(StatefulProcessor):
+    """Rows of a key wait in buckets of event time; a bucket's timer sorts and cuts it.
+
+    State: chunks of waiting rows by (bucket, number), the number of chunks of
+    each bucket, and the last values with their nulls. New rows add chunks, and
+    only the bucket whose timer has passed is read and removed, so a batch costs
+    what is new and what is ready.
+    """
+
+    def __init__(self, seq_len: int, look_ahead: int, bucket: int, output: T.StructType):
+        self.seq_len, self.reach, self.bucket, self.names = seq_len, seq_len + look_ahead - 1, bucket, output.names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        rows = "micros ARRAY<LONG>, ties ARRAY<LONG>, vals ARRAY<DOUBLE>, gone ARRAY<BOOLEAN>"
+        self.chunks = handle.getMapState("chunks", "bucket LONG, number INT", rows)
+        self.counts = handle.getMapState("counts", "bucket LONG", "n INT")
+        self.tail = handle.getValueState("tail", "vals ARRAY<DOUBLE>, gone ARRAY<BOOLEAN>, seen LONG")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))
+        bucket = (new["micros"] // (self.bucket * 1000)).to_numpy()
+        for at in np.unique(bucket).tolist():
+            mine = new[bucket == at]
+            n = (self.counts.getValue((at,)) or (0,))[0]
+            self.chunks.updateValue((at, n), tuple(mine[c].tolist() for c in ("micros", "tie", "value", "gone")))
+            self.counts.updateValue((at,), (n + 1,))
+            if not n:
+                self.handle.registerTimer((at + 1) * self.bucket)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs() // self.bucket - 1
+        parts = []
+        for number in range(self.counts.getValue((at,))[0]):
+            parts.append(self.chunks.getValue((at, number)))
+            self.chunks.removeKey((at, number))
+        self.counts.removeKey((at,))
+        rank, second, data, gone = (np.concatenate([np.asarray(p[k]) for p in parts]) for k in range(4))
+        order = np.lexsort((second, rank))
+        vals, lost, seen = self.tail.get() if self.tail.exists() else ([], [], 0)
+        series = np.concatenate([np.asarray(vals, float), data[order]])
+        holes = np.concatenate([np.asarray(lost, bool), gone[order].astype(bool)])
+        kept = max(0, len(series) - self.reach)
+        self.tail.update((series[kept:].tolist(), holes[kept:].tolist(), seen + len(order)))
+        ends = np.arange(max(self.reach, len(vals)), len(series))
+        if not len(ends):
+            return iter([])
+        # null and NaN are told by a code, since pandas cannot tell them apart
+        code = np.where(holes, 1, np.where(np.isnan(series), 2, 0)).astype(np.int8)
+        plain = np.where(code > 0, 0.0, series)
+        view = np.lib.stride_tricks.sliding_window_view
+        frames = [list(view(a, self.seq_len)[ends - self.reach]) for a in (plain, code)]
+        made = [[key[0]] * len(ends), seen - len(vals) + ends - self.reach, *frames, plain[ends], code[ends]]
+        return iter([pd.DataFrame(dict(zip(self.names, made)))])
+
+    def close(self) -> None:
+        pass
+
+
 def lookahead_samples(
     stream: DataFrame,
     value: str,
@@ -103,64 +178,47 @@ def lookahead_samples(
     time: str,
     tie: str | None = None,
     delay: str = "0 seconds",
+    bucket: str | None = None,
 ) -> DataFrame:
     """Look-ahead samples per key in event-time order, whatever order rows arrive in.
 
-    A row waits until the watermark (latest ``time`` less ``delay``) has passed
-    it; then the rows of its key that are ready are sorted by ``time`` and
-    ``tie`` (a number) and cut. The state of a key is the last ``seq_len +
-    look_ahead - 1`` values and the rows that wait; only keys with new or ready
-    rows are touched. Rows later than the watermark are left out and counted
-    (``late_rows``). Rows inside the last ``delay`` stay in the state until a
-    later row of any key moves the watermark on: a closing row in the far
-    future ends all series. Returns ``key, pos, x, target``.
+    A row waits with the other rows of its key and ``bucket`` of event time
+    (eight times the delay, at least a second, unless given) until the
+    watermark (latest ``time`` less ``delay``) has passed the bucket's end;
+    then they are sorted by ``time`` and ``tie`` (a number) and cut. Beside
+    waiting rows, a key keeps its last ``seq_len + look_ahead - 1`` values.
+    Rows later than the watermark are left out and counted (``late_rows``).
+    Rows of the last buckets stay in the state until a later row of any key
+    moves the watermark on: a closing row in the far future ends all series.
+    Start it by ``write_append``, which sets the state store that it needs. The
+    key is of a type that a string can hold.
+    Returns ``key, pos, x, target``.
     """
     if seq_len < 1 or look_ahead < 0:
         raise ValueError("seq_len must be at least 1 and look_ahead not negative")
-    reach = seq_len + look_ahead - 1
+    spark = stream.sparkSession
+    width = _millis(spark, bucket) if bucket else max(1000, 8 * _millis(spark, delay))
     rows = stream.select(
-        F.col(key).alias("key"),
+        # state tells keys apart by value; a null integer would be taken for zero
+        F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")).alias("key"),
         F.col(time).cast("timestamp").alias("at"),
         F.unix_micros(F.col(time).cast("timestamp")).alias("micros"),
         (F.col(tie).cast("long") if tie else F.lit(0).cast("long")).alias("tie"),
-        F.col(value).cast("double").alias("value"),
+        F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("value"),
+        F.col(value).isNull().alias("gone"),
     ).withWatermark("at", delay)
-    kind = rows.schema["key"].dataType.simpleString()
-
-    def step(group, parts, state):
-        micros, ties, values, tail, seen = state.get if state.exists else ([], [], [], [], 0)
-        new = list(parts)
-        rank = np.concatenate([np.asarray(micros, np.int64), *[p["micros"].to_numpy() for p in new]])
-        second = np.concatenate([np.asarray(ties, np.int64), *[p["tie"].to_numpy() for p in new]])
-        data = np.concatenate([np.asarray(values, float), *[p["value"].to_numpy(dtype=float) for p in new]])
-        order = np.lexsort((second, rank))
-        rank, second, data = rank[order], second[order], data[order]
-        mark = state.getCurrentWatermarkMs()
-        ready = int(np.searchsorted(rank, mark * 1000, "right"))
-        series = np.concatenate([np.asarray(tail, float), data[:ready]])
-        ends = np.arange(max(reach, len(tail)), len(series))
-        samples = pd.DataFrame(
-            {
-                "key": [group[0]] * len(ends),
-                "pos": seen - len(tail) + ends - reach,
-                "x": [[None if np.isnan(v) else v for v in series[e - reach : e - reach + seq_len]] for e in ends],
-                "target": series[ends],
-            }
-        )
-        keep = series[max(0, len(series) - reach) :] if reach else series[:0]
-        state.update((rank[ready:].tolist(), second[ready:].tolist(), data[ready:].tolist(), keep.tolist(), seen + ready))
-        if ready < len(rank):
-            state.setTimeoutTimestamp(max(int(rank[ready] // 1000), mark) + 1)
-        yield samples
-
-    out = rows.groupBy("key").applyInPandasWithState(
-        step,
-        f"key {kind}, pos LONG, x ARRAY<DOUBLE>, target DOUBLE",
-        "micros ARRAY<LONG>, ties ARRAY<LONG>, vals ARRAY<DOUBLE>, tail ARRAY<DOUBLE>, seen LONG",
-        "append",
-        "EventTimeTimeout",
+    columns = "key STRING, pos LONG, x ARRAY<DOUBLE>, x_code ARRAY<TINYINT>, target DOUBLE, target_code TINYINT"
+    output = T.StructType.fromDDL(columns)
+    out = rows.groupBy("key").transformWithStateInPandas(
+        _Lookahead(seq_len, look_ahead, width, output), output, "Append", "EventTime"
+    )
+
+    def told(value: Column, code: Column) -> Column:
+        return F.when(code == 0, value).when(code == 2, F.lit(float("nan")))
+
+    return out.select(
+        F.when(F.col("key") != "", F.substr("key", F.lit(2))).cast(stream.schema[key].dataType).alias(key), "pos", F.zip_with("x", "x_code", told).alias("x"), told(F.col("target"), F.col("target_code")).alias("target")
     )
-    return out.select(F.col("key").alias(key), "pos", "x", F.nanvl("target", F.lit(None)).alias("target"))
 
 
 def late_rows(query: StreamingQuery) -> int:
@@ -171,13 +229,15 @@ def late_rows(query: StreamingQuery) -> int:
 
 
 def write_append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    return (
-        stream.writeStream.outputMode("append")
-        .format("parquet")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start(path)
-    )
+    """Append-mode files; state is kept in RocksDB."""
+    with rocksdb(stream.sparkSession):
+        return (
+            stream.writeStream.outputMode("append")
+            .format("parquet")
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start(path)
+        )
 
 
 def write_fan_out(

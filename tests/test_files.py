@@ -274,3 +274,27 @@ def test_convert_by_stem(spark, tmp_path):
     sinks.convert_by_stem(df, "path", str(tmp_path / "out"))
     out = spark.read.option("header", True).csv(str(tmp_path / "out"))
     assert rows(out, "stem", "v") == [("a", "1"), ("a", "3"), ("b", "2")]
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_ordered_predictions_from_any_position(spark, tmp_path, size):
+    rows = [(float((i * 37) % 50), i % 3, i) for i in range(50)]
+    df = spark.createDataFrame(rows, "prediction DOUBLE, target INT, i INT").repartition(6)
+    path = sinks.write_predictions(df, str(tmp_path), order_by=["prediction"], file_rows=size)
+    want = [(k, *r[:2]) for k, r in enumerate(sorted(rows))]
+    schema = "prediction DOUBLE, target INT"
+    got = sinks.read_predictions(spark, path, schema)
+    assert got.columns == ["pos", "prediction", "target"] and sorted(map(tuple, got.collect())) == want
+    for first, n in ((0, 1), (13, 20), (49, 5), (50, 3), (20, 0), (-4, 10)):
+        part = sorted(map(tuple, sinks.read_predictions(spark, path, schema, first, n).collect()))
+        low = max(0, first)
+        assert part == want[low : low + n]
+    # each file alone is in order, and only the wanted ones are read
+    frame = sinks.read_predictions(spark, path, schema, 13, 3)
+    assert "PartitionFilters: [isnotnull(block" in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ordered_predictions_of_no_rows(spark, tmp_path):
+    df = spark.createDataFrame([], "prediction DOUBLE, target INT")
+    path = sinks.write_predictions(df, str(tmp_path), order_by="prediction")
+    assert spark.read.schema(sinks.MANIFEST).json(f"{path}/_manifest").first()["n_rows"] == 0

@@ -52,12 +52,14 @@ def test_row_hash_tells_ids_apart(spark):
     assert df.distinct().count() == len(rows)
 
 
-def test_random_split_is_exact_or_refused(spark):
+def test_random_split_is_exact_on_any_ids(spark):
     df = spark.createDataFrame([(None, "a"), ("a", None), ("x:y", "z"), ("x", "y:z")], "a STRING, b STRING")
     got = sampling.random_split(df, 0.5, ["a", "b"]).groupBy("split").count().collect()
     assert {r["split"]: r["count"] for r in got} == {"train": 2, "test": 2}
-    with pytest.raises(ValueError):
-        sampling.random_split(spark.range(10).select(F.lit(1).alias("id")), 0.5, "id")
+    same = spark.range(10).select(F.lit(1).alias("id"))
+    for ratio, train in ((0, 0), (0.25, 2), (0.5, 5), (0.99, 9), (1, 10)):
+        got = sampling.random_split(same, ratio, "id").groupBy("split").count().collect()
+        assert {r["split"]: r["count"] for r in got} == {k: n for k, n in (("train", train), ("test", 10 - train)) if n}
 
 
 @pytest.mark.parametrize("trigger, epoch", [("increase", 3), ("decrease", 1)])

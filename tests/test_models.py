@@ -140,3 +140,58 @@ def test_classifiers(rows):
     out = both.transform(rows, "x")
     assert out.columns == ["pos", "x", "y", "prediction"] and out.count() == 60
     assert out.agg(F.countDistinct("prediction")).first()[0] == 2
+
+
+@pytest.mark.parametrize("k", [1, 5, 6])
+def test_singular_vectors_have_a_fixed_sign(rows, matrix, k):
+    values, vectors = projection.right_singular(rows, "x", k)
+    _, s, vt = np.linalg.svd(matrix, full_matrices=False)
+    assert np.allclose(values, s[:k])
+    assert np.allclose(np.abs(vectors), np.abs(vt[:k].T))
+    assert (vectors[np.abs(vectors).argmax(0), np.arange(k)] > 0).all()
+
+
+def test_wide_vectors(spark, monkeypatch):
+    """20,000 components: neither a square of them nor the rows come to the driver."""
+    rng = np.random.default_rng(12)
+    shape = rng.normal(size=(50, 24)) * 0.7 ** np.arange(24)
+    matrix = shape @ rng.normal(size=(24, 20_000)) + rng.normal(size=(50, 20_000)) * 1e-4
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(matrix)], "pos INT, x ARRAY<DOUBLE>").repartition(4)
+    largest = []
+    real = projection.added
+    monkeypatch.setattr(projection, "added", lambda states: largest.append((v := real(states)).size) or v)
+    model = projection.fit_svd(df, "x", 16)
+    _, s, vt = np.linalg.svd(matrix, full_matrices=False)
+    assert np.allclose(model.singular_values, s[:16], rtol=1e-6)
+    assert np.allclose(np.abs((model.components * vt[:16].T).sum(0)), 1, atol=1e-5)
+    assert largest and max(largest) <= 20_000 * 32
+    centred = matrix - matrix.mean(0)
+    pca = projection.fit_pca(df, "x", 8)
+    _, s, vt = np.linalg.svd(centred, full_matrices=False)
+    assert np.allclose(pca.explained, (s**2 / (s**2).sum())[:8], rtol=1e-6)
+    z = collected(pca.transform(df, "x"), "z")
+    assert np.allclose(np.abs(z), np.abs(centred @ vt[:8].T), rtol=1e-3, atol=1e-3)
+
+
+def test_directions_agree_with_all_directions(spark, monkeypatch):
+    """At 64 components the few directions find what all directions find."""
+    rng = np.random.default_rng(3)
+    matrix = rng.normal(size=(300, 64)) * 0.8 ** np.arange(64)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(matrix)], "pos INT, x ARRAY<DOUBLE>")
+    exact = projection.fit_svd(df, "x", 6)
+    monkeypatch.setattr(projection, "WHOLE_WIDTH", 8)
+    few = projection.fit_svd(df, "x", 6)
+    assert np.allclose(few.singular_values, exact.singular_values, rtol=1e-9)
+    assert np.allclose(few.components, exact.components, atol=1e-5)
+
+
+def test_fewer_rows_than_directions_and_bad_input(spark):
+    df = spark.createDataFrame([(0, [3.0, 0.0, 4.0]), (1, None)], "pos INT, x ARRAY<DOUBLE>")
+    model = projection.fit_svd(df, "x", 3)
+    assert np.allclose(model.singular_values, [5, 0, 0]) and np.allclose(np.abs(model.components[:, 0]), [0.6, 0, 0.8])
+    assert np.allclose(model.components.T @ model.components, np.eye(3))
+    for bad in (0, 4):
+        with pytest.raises(ValueError):
+            projection.fit_svd(df, "x", bad)
+    with pytest.raises(ValueError):
+        projection.fit_svd(df.where("x IS NULL"), "x", 1)

@@ -455,3 +455,34 @@ def test_history(spark):
 def test_run_parameters(spark):
     out = runlog.run_parameters(spark, {"lr": 1, "id": "x"}, {"lr": 2}).first()["params"]
     assert out == {"lr": "2", "id": "x"}
+
+
+def test_cells_stay_small_whatever_the_number_of_rows():
+    for rows in (0, 1, 10**5, 10**9, 10**12, 10**15):
+        assert rows / 16 ** sampling.cell_digits(rows) <= sampling.CELL_ROWS
+    assert sampling.cell_digits(10**9) == 4 and sampling.cell_digits(10**12) > 4
+
+
+@pytest.mark.parametrize("limit", [50_000, 3])
+def test_hash_order_in_two_levels(spark, limit, monkeypatch):
+    """Small cells and a short first level give the same positions as one sort."""
+    monkeypatch.setattr(sampling, "CELL_ROWS", limit)
+    monkeypatch.setattr(sampling, "FIRST_DIGITS", 1)
+    df = spark.range(500).selectExpr("id % 450 AS id", "id AS v")
+    got = sampling.hash_position(df, "id", 4, total="n").collect()
+    keys = {r["id"]: r["h"] for r in df.select("id", row_hash(["id"], 4).alias("h")).collect()}
+    want = sorted(df.collect(), key=lambda r: (keys[r["id"]], r["id"], r["v"]))
+    assert [(r["id"], r["v"]) for r in sorted(got, key=lambda r: r["pos"])] == [tuple(r) for r in want]
+    assert {r["n"] for r in got} == {500}
+    drawn = sampling.sample_with_replacement(df, 200, "id", 4).collect()
+    assert len(drawn) == 200 and sorted(r["draw"] for r in drawn) == list(range(200))
+
+
+def test_padded_batches_of_an_expression(spark):
+    df = spark.createDataFrame([(i, " ".join("ab" * i)) for i in range(1, 8)], "id INT, text STRING")
+    words = F.transform(F.split("text", " "), lambda w: F.length(w).cast("double"))
+    out = splits.padded_batches(df, words, "id", 3, length=F.size(F.split("text", " ")), name="x").orderBy("id").collect()
+    assert [len(r["x"]) for r in out] == [6, 6, 6, 12, 12, 12, 14]
+    assert [r["len"] for r in out] == [2 * i for i in range(1, 8)] and all(sum(r["x"]) == r["len"] for r in out)
+    with pytest.raises(ValueError):
+        splits.padded_batches(df, words, "id", 3)
