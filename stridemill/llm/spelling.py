@@ -10,10 +10,11 @@ from stridemill.session import stage
 
 #: A word: letters of ASCII and Latin-1 (with the two signs that lie between them).
 WORD = "[A-Za-zÀ-ÿ]+"
-#: Letters are hashed to this many symbols.
-SYMBOLS = 8
-#: Words up to this length meet by neighbourhoods of their reduced forms, longer ones by halves.
-SHORT = 32
+#: Letters are hashed to eight symbols of three bits.
+BITS = 3
+SYMBOLS = 1 << BITS
+#: Words up to this length meet by neighbourhoods of their reduced forms (in 64 bits), longer ones by halves.
+SHORT = 20
 
 _LETTERS = "".join(map(chr, [*range(ord("a"), ord("z") + 1), *range(0xC0, 0x100)]))
 
@@ -47,17 +48,31 @@ def vocabulary(words: DataFrame, least_length: int = 5, least_count: int = 3) ->
 
 
 def reduced(word: str = "word") -> Column:
-    """The word in ``SYMBOLS`` symbols: a letter's symbol is its code point modulo their number."""
-    return F.translate(word, _LETTERS, "".join(str(ord(c) % SYMBOLS) for c in _LETTERS))
+    """A word of at most ``SHORT`` letters in ``SYMBOLS`` symbols, as a number: a one, then three bits for each letter.
 
-
-def neighbourhood(r: str) -> Column:
-    """A reduced word and all that differ from it by one symbol left out, put in or replaced, each once."""
-    symbols = ", ".join(f"'{s}'" for s in range(SYMBOLS))
-    front, back = f"substring({r}, 1, i - 1)", f"substring({r}, i + 1)"
-    without = f"transform(sequence(1, length({r})), i -> concat({front}, {back}))"
-    other = f"flatten(transform(sequence(1, length({r})), i -> transform(array({symbols}), s -> concat({front}, s, {back}))))"
-    more = f"flatten(transform(sequence(1, length({r}) + 1), i -> transform(array({symbols}), s -> concat({front}, s, substring({r}, i)))))"
+    A letter's symbol is its code point modulo their number.
+    """
+    symbols = F.translate(word, _LETTERS, "".join(str(ord(c) % SYMBOLS) for c in _LETTERS))
+    return F.conv(F.concat(F.lit("1"), symbols), SYMBOLS, -10).cast("long")
+
+
+def neighbourhood(r: str, length: str) -> Column:
+    """A reduced word of ``length`` symbols and all that differ from it by one symbol left out, put in or
+    replaced, each once."""
+    symbols = ", ".join(f"{s}L" for s in range(SYMBOLS))
+
+    def joined(above: str, symbol: str | None = None) -> str:
+        """The symbols from place ``above`` up, one more if given, and those below place i."""
+        below = f"({r} & (shiftleft(1L, {BITS} * i) - 1))"
+        kept = f"shiftright({r}, {BITS} * {above})"
+        if symbol is None:
+            return f"shiftleft({kept}, {BITS} * i) | {below}"
+        return f"shiftleft({kept}, {BITS} * (i + 1)) | shiftleft({symbol}, {BITS} * i) | {below}"
+
+    places = f"sequence(0, {length} - 1)"
+    without = f"transform({places}, i -> {joined('(i + 1)')})"
+    other = f"flatten(transform({places}, i -> transform(array({symbols}), s -> {joined('(i + 1)', 's')})))"
+    more = f"flatten(transform(sequence(0, {length}), i -> transform(array({symbols}), s -> {joined('i', 's')})))"
     return F.expr(f"array_distinct(concat(array({r}), {without}, {other}, {more}))")
 
 
@@ -69,10 +84,12 @@ def _one_edit(a: str, b: str) -> Column:
 def _short_pairs(words: DataFrame) -> DataFrame:
     """Near words of at most ``SHORT`` code points, in both directions."""
     short = words.where(F.length("word") <= SHORT).withColumn("r", reduced())
-    forms = short.select("r").distinct()
-    probes = forms.select(F.col("r").alias("r1"), F.explode(neighbourhood("r")).alias("r"))
+    # spread again, because each form becomes some hundred rows
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    forms = short.select("r", F.length("word").alias("length")).distinct().repartition(tasks, "r")
+    probes = forms.select(F.col("r").alias("r1"), F.explode(neighbourhood("r", "length")).alias("r"))
     # only reduced words that occur are kept, before any word meets another
-    linked = probes.join(forms, "r").select("r1", F.col("r").alias("r2"))
+    linked = probes.join(forms.select("r"), "r").select("r1", F.col("r").alias("r2"))
     ours = short.select(F.col("r").alias("r1"), "word")
     theirs = short.select(F.col("r").alias("r2"), F.col("word").alias("near"), F.col("n").alias("near_n"))
     met = ours.join(linked, "r1").join(theirs, "r2")
@@ -140,8 +157,8 @@ def group_variants(words: DataFrame, ratio: int = 2) -> DataFrame:
     Letters are hashed to eight symbols. Every reduced word gives its full
     neighbourhood of one edit, which is joined with the reduced words that
     occur; words under linked reduced forms are then compared in full. Words of
-    more than 32 code points (long runs of letters) meet by equal halves
-    instead, since a neighbourhood grows with the square of the length.
+    more than 20 code points (long runs of letters) meet by equal halves
+    instead.
 
     Returns ``word``, ``n``, ``form``, ``root``, ``n_near``, ``form_n``.
     """
