@@ -68,58 +68,57 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return out, offsets, start, end
 
 
-class _Part:
-    """The part of a conversation that is being filled."""
-
-    def __init__(self, conv, number: int):
-        self.conv, self.number = conv, number
-        self.pieces: list[np.ndarray] = []
-        self.size = self.chars = self.turns = 0
-        self.spans: list[dict] = []
-
-    def row(self) -> dict:
-        text = b"".join(p.tobytes() for p in self.pieces).decode()
-        return {"conv": self.conv, "part": self.number, "n_turns": self.turns, "formatted": text, "loss_spans": self.spans}
+_ROWS = pa.schema([("conv", pa.int64()), ("role", pa.string()), ("text", pa.string())])
+_SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+
+
+def _columns(rows: pa.Table, cuts: np.ndarray, numbers: np.ndarray, loss_role: str) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The parts that begin at the rows ``cuts`` (with the end last), all columns made from offsets
+    into the one buffer of their text; and the bytes of each part."""
+    data, offsets, start, end = assemble(rows.column("role"), rows.column("text"))
+    # code points before each byte: bytes that begin a character
+    chars = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
+    roles = rows.column("role").combine_chunks()
+    mask = pc.fill_null(pc.equal(roles, loss_role), False).to_numpy(zero_copy_only=False)
+    part = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))[mask]
+    before = chars[offsets[cuts[:-1]]][part]
+    spans = pa.StructArray.from_arrays([pa.array(chars[x[mask]] - before) for x in (start, end)], fields=list(_SPAN))
+    lists = np.searchsorted(part, np.arange(len(cuts))).astype(np.int32)
+    made = pa.RecordBatch.from_arrays(
+        [
+            rows.column("conv").combine_chunks().take(pa.array(cuts[:-1])), pa.array(numbers, pa.int32()), pa.array(np.diff(cuts)),
+            to_array(data, offsets[cuts], pa.string()), pa.ListArray.from_arrays(pa.array(lists), spans),
+        ],
+        ["conv", "part", "n_turns", "formatted", "loss_spans"],
+    )
+    return made, np.diff(offsets[cuts])
 
 
 def _format(loss_role: str, part_bytes: int):
-    """Rows come sorted by conversation and turn; a conversation may go over many batches."""
-    schema = pa.schema(
-        [
-            ("conv", pa.int64()), ("part", pa.int32()), ("n_turns", pa.int64()), ("formatted", pa.string()),
-            ("loss_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-        ]
-    )
+    """Rows come sorted by conversation and turn; a conversation may go over many batches.
+
+    The rows of the last conversation of a slice wait for the next slice, unless
+    they make a whole part.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part: _Part | None = None
+        waiting, conv, number = _ROWS.empty_table(), None, 0
         for batch in batches:
             for rows in slices(batch, "text", min(SLICE_BYTES, part_bytes)):
-                data, offsets, start, end = assemble(rows.column("role"), rows.column("text"))
-                # code points before each byte: bytes that begin a character
-                chars = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
-                convs = rows.column("conv").to_pylist()
-                mask = pc.fill_null(pc.equal(rows.column("role"), loss_role), False).to_numpy(zero_copy_only=False)
-                done: list[dict] = []
-                cuts = [0] + [k for k in range(1, len(convs)) if convs[k] != convs[k - 1]] + [len(convs)]
-                for i, j in zip(cuts[:-1], cuts[1:]):
-                    if part is not None and (part.conv != convs[i] or part.size >= part_bytes):
-                        done.append(part.row())
-                        part = _Part(convs[i], part.number + 1 if part.conv == convs[i] else 0)
-                    part = part or _Part(convs[i], 0)
-                    shift = part.chars - int(chars[offsets[i]])
-                    part.spans += [
-                        {"start": int(chars[start[k]]) + shift, "end": int(chars[end[k]]) + shift}
-                        for k in range(i, j) if mask[k]
-                    ]
-                    part.pieces.append(data[offsets[i] : offsets[j]])
-                    part.size += int(offsets[j] - offsets[i])
-                    part.chars += int(chars[offsets[j]] - chars[offsets[i]])
-                    part.turns += j - i
-                if done:
-                    yield pa.RecordBatch.from_pylist(done, schema)
-        if part is not None:
-            yield pa.RecordBatch.from_pylist([part.row()], schema)
+                table = pa.concat_tables([waiting, pa.Table.from_batches([rows]).cast(_ROWS)])
+                convs = table.column("conv").to_pylist()
+                cuts = np.array([k for k in range(len(convs)) if k == 0 or convs[k] != convs[k - 1]] + [len(convs)])
+                numbers = np.zeros(len(cuts) - 1, np.int32)
+                if number and convs[0] == conv:
+                    numbers[0] = number
+                made, sizes = _columns(table, cuts, numbers, loss_role)
+                whole = len(sizes) if sizes[-1] >= part_bytes else len(sizes) - 1
+                if whole:
+                    yield made.slice(0, whole)
+                conv, number = convs[-1], int(numbers[-1]) + (whole == len(sizes))
+                waiting = table.slice(cuts[whole])
+        if waiting.num_rows:
+            yield _columns(waiting, np.array([0, waiting.num_rows]), np.array([number]), loss_role)[0]
 
     return run
 
@@ -148,6 +147,8 @@ def format_conversations(
     conversation and streamed, so a task holds one part, not a conversation.
     """
     require_columns(turns, conv, turn, role, text)
+    if conv in ("part", "n_turns", "formatted", "loss_spans"):
+        raise ValueError(f"the conversation column cannot be named {conv}")
     rows = turns.select(
         F.col(f"`{conv}`").cast("long").alias("conv"), F.col(f"`{turn}`").alias("turn"),
         F.col(f"`{role}`").alias("role"), F.col(f"`{text}`").alias("text"),

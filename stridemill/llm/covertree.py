@@ -217,19 +217,22 @@ def top_k(
     searches its rows for it, so no row of data is moved: only k rows per query
     and task are. Vectors that are null or hold null or non-finite components,
     and rows without an id, take no part. Vectors meet only vectors of their
-    length. A repeated candidate row counts as often as it is there; a repeated
-    query row once. Components and scores outside the range of a long become its
+    length. A repeated candidate row counts as often as it is there; an id that
+    stands for several query vectors asks once, with the smallest (component by
+    component). Components and scores outside the range of a long become its
     ends before they are ranked.
 
     Result: ``query_id``, ``rank`` (from 1), ``id``, ``score``.
     """
     require_columns(rows, vector, id)
+    if id in ("query_id", "rank", "score"):
+        raise ValueError(f"the id column cannot be named {id}")
     spark = rows.sparkSession
     marked = rows.withColumn("__query", is_query).where(usable(vector) & F.col(f"`{id}`").isNotNull())
     data = marked.select(
         F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("vector"), "__query"
     )
-    queries = data.where("__query").select("id", "vector").distinct()
+    queries = data.where("__query").groupBy("id").agg(F.min("vector").alias("vector"))
     size = queries.agg(F.sum(F.size("vector") * 8 + 16)).first()[0] or 0
     blocks = max(1, -(-size // query_bytes))
     parts = []

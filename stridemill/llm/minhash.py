@@ -270,6 +270,40 @@ def _compare(members: DataFrame, texts: DataFrame, idf: Broadcast, settings: Set
     )
 
 
+def _strangers(labelled: DataFrame, block: int) -> DataFrame:
+    """Members (id, label, bucket, block, side) of the second round: who meets whom among the members of cut buckets.
+
+    The class that holds most of a bucket needs no comparison within itself:
+    its members stay in their blocks, and only the others, the strangers, are
+    dealt to blocks of their own. Every stranger block meets every block of the
+    bucket and every other stranger block; a group holds two blocks at most.
+    Buckets of one class are left out.
+    """
+    sizes = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    per = sizes.groupBy("bucket").agg(
+        F.sum("n").alias("all"), F.max(F.struct("n", (-F.col("label")).alias("less"))).alias("top")
+    ).select("bucket", (-F.col("top.less")).alias("main"), (F.col("all") - F.col("top.n")).alias("strangers"))
+    rows = labelled.join(per.where("strangers > 0"), "bucket")
+    count = F.ceil(F.col("strangers") / block)  # blocks of strangers
+    own = F.pmod(F.xxhash64(F.lit(2), "id"), count)
+    half = F.lit(1 << 31)
+    # the block of a group: resident block and stranger block, or below zero two stranger blocks
+    residents = rows.where("label = main").select(
+        "id", "label", "bucket", F.col("block").cast("long").alias("home"), F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("other")
+    ).select("id", "label", "bucket", (F.col("home") * half + F.col("other")).alias("block"), F.lit(0).alias("side"))
+    strangers = rows.where("label != main").withColumn("own", own).withColumn("count", count)
+    homes = rows.where("label = main").select("bucket", "block").distinct()
+    visits = strangers.join(homes.withColumnRenamed("block", "home"), "bucket").select(
+        "id", "label", "bucket", (F.col("home").cast("long") * half + F.col("own")).alias("block"), F.lit(1).alias("side")
+    )
+    among = strangers.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1))).select(
+        "id", "label", "bucket",
+        (-(F.least("own", "other") * half + F.greatest("own", "other")) - 1).alias("block"),
+        F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
+    )
+    return residents.unionByName(visits).unionByName(among)
+
+
 def near_duplicates(
     docs: DataFrame, text: str = "text", id: str = "doc_id", settings: Settings = Settings(), block: int = BLOCK
 ) -> DataFrame:
@@ -281,8 +315,8 @@ def near_duplicates(
     bucketed by bands, and all members of a bucket whose samples agree well
     enough are compared exactly, unless they are known to be of one class. A
     bucket above ``block`` members is cut into blocks that share its first
-    member; members of different blocks that are still in different classes are
-    compared block by block in a second round. Buckets of the same members are
+    member; in a second round, members that are not of the class holding most of
+    their bucket are compared with all its blocks (``_strangers``). Buckets of the same members are
     compared once. Links leave a task as a forest, never as all pairs.
 
     Null text: alike with nothing, a class of its own. Texts without words are
@@ -291,6 +325,8 @@ def near_duplicates(
     different documents and share a class only if their texts do. ``kept`` is
     true for one document of each class.
     """
+    if id in ("class_id", "kept"):
+        raise ValueError(f"the id column cannot be named {id}")
     plain = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
     return _classes(docs, text, id, settings, block).select(
         plain("id").alias(id), plain("class_id").alias("class_id"), "kept"
@@ -354,19 +390,13 @@ def _classes(docs: DataFrame, text: str, id: str, settings: Settings, block: int
         ),
         "similar",
     )
-    cut = members.where("blocks > 1")
+    cut = members.where("blocks > 1").select("bucket", "id", "block")
     if not cut.isEmpty():
         known = components(links)
-        labelled = cut.join(known, cut["id"] == known["node"], "left").withColumn("label", F.coalesce("component", "id"))
-        open_buckets = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
-        across = labelled.join(open_buckets.select("bucket"), "bucket", "left_semi").withColumn(
-            "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        ).where("other != block").select(
-            "id", "label", "bucket",
-            (F.least("block", "other").cast("long") * F.lit(1 << 31) + F.greatest("block", "other")).alias("block"),
-            F.col("block").alias("side"),
+        labelled = cut.join(known, cut["id"] == known["node"], "left").select(
+            "bucket", "block", "id", F.coalesce("component", "id").alias("label")
         )
-        links = stage(links.unionByName(_compare(across, bodies, idf, settings)), "similar")
+        links = stage(links.unionByName(_compare(_strangers(labelled, block), bodies, idf, settings)), "similar")
     classes = components(links)
     grouped = texts.join(classes, texts["rep"] == classes["node"], "left").select(
         "digest", "low", F.coalesce("component", "rep").alias("class")
@@ -393,9 +423,10 @@ def drop_near_duplicates(
     found = _classes(docs, text, id, settings, BLOCK).where("kept")
     kept = stage(found.select(F.col("id").alias("__kept"), F.coalesce("digest", none).alias("__text")), "kept")
     key, digest = _keys(text, id)
-    out = docs.withColumn("__id", key).withColumn("__digest", F.coalesce(digest, none)).join(
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # so that no name of theirs is met
+    out = docs.select(row, key.alias("__id"), F.coalesce(digest, none).alias("__digest")).join(
         kept, (F.col("__id") == F.col("__kept")) & (F.col("__digest") == F.col("__text")), "left_semi"
     )
     if not kept.groupBy("__kept", "__text").count().where("count > 1").isEmpty():
         out = out.dropDuplicates(["__id", "__digest"])
-    return out.drop("__id", "__digest")
+    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns])

@@ -17,10 +17,12 @@ from stridemill.schema import require_columns
 from stridemill.session import stage
 
 #: Nearest pivots that describe a vector, and how many two linked vectors must share.
-NEAREST = 8
+NEAREST = 12
 SHARED = 2
-#: Fewest and most pivots; between them twice the square root of the number of vectors.
-PIVOTS = (64, 1024)
+#: Fewest and most pivots (16 MB of 64 components); between them twice the square root of the number of vectors.
+PIVOTS = (64, 1 << 15)
+#: Least cosine under which linked vectors may appear from the mean.
+LEAST_SEEN = 0.6
 #: Candidates that are drawn for each pivot wanted.
 CANDIDATES = 4
 #: Members of an inverted list that meet in one task.
@@ -52,13 +54,41 @@ def far_apart(candidates: np.ndarray, count: int, cosine: float) -> np.ndarray:
     return chosen[:n]
 
 
+def choose_pivots(sample: np.ndarray, wanted: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """The mean of a sample of unit vectors, and pivots among its directions from that mean.
+
+    Seen from their mean, vectors that all point one way are as far apart as
+    any. No two pivots lie within twice the angle under which linked vectors
+    appear from there, so a hot group has few of them and its members are told
+    by the same ones. Where links reach so far that hardly any pivots are left,
+    the distance is halved until there are ``PIVOTS[0]`` of them. Where links
+    reach so far that two linked vectors look unlike from the mean, directions
+    are taken from the origin instead: that finds the links, but leaves more to
+    compare.
+    """
+    center = sample.mean(0)
+    apart = sample - center
+    size = float(np.median(np.sqrt((apart * apart).sum(1))))
+    seen = 1 - (1 - cosine) / max(size * size, 1e-12)  # the cosine of two linked directions
+    if seen < LEAST_SEEN:
+        center, apart, seen = np.zeros_like(center), sample, cosine
+    limit = max(-1.0, 2 * max(seen, 0.0) ** 2 - 1)
+    directions = _unit(apart)
+    points = far_apart(directions, wanted, limit)
+    while len(points) < min(wanted, PIVOTS[0]) and limit < 0.999:
+        limit = (limit + 1) / 2
+        points = far_apart(directions, wanted, limit)
+    return center, points
+
+
 def _describe(pivots: Broadcast, width: int, count: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 vectors, sizes = padded(part.column("vector"), width)
-                order = nearest_pivots(_unit(vectors), pivots.value, count)
+                center, points = pivots.value
+                order = nearest_pivots(_unit(_unit(vectors) - center), points, count)
                 lists = np.arange(len(order) + 1, dtype=np.int32) * order.shape[1]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -78,13 +108,14 @@ def _linked(least: float, shared: int, width: int):
     """Verified links of one block pair of one inverted list.
 
     A pair meets in the list of every pivot that it shares; it is looked at
-    only in the one with the smallest number. Shared pivots are counted by one
-    product of the membership matrices in which pivots below this list's weigh
+    only in the one with the smallest number, or in the part of it that belongs
+    to the second smallest. Shared pivots are counted by one product of the
+    membership matrices in which pivots that should not be shared here weigh
     1,000: a pair that shares one of them counts a million or more.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        pivot = table.column("pivot")[0].as_py()
+        pivot, second = (table.column(c)[0].as_py() for c in ("pivot", "second"))
         order = np.stack(table.column("order").to_numpy())
         side = table.column("side").to_numpy()
         ids, copies = table.column("id").to_numpy(), table.column("copies").to_numpy()
@@ -92,7 +123,8 @@ def _linked(least: float, shared: int, width: int):
         raw = table.column("vector").combine_chunks()
         vectors = np.frombuffer(b"".join(raw.to_pylist()), np.float64).reshape(len(ids), width)
         vectors = _unit(vectors)
-        weight = np.where(order < pivot, 1000, 1).astype(np.float32)
+        barred = (order < max(pivot, second)) & (order != pivot)
+        weight = np.where(barred, 1000, 1).astype(np.float32)
         used, column = np.unique(order, return_inverse=True)  # members of a hot group have few pivots
         member = np.zeros((len(ids), len(used)), np.float32)
         member[np.arange(len(ids))[:, None], column.reshape(order.shape)] = weight
@@ -146,6 +178,39 @@ def _linked(least: float, shared: int, width: int):
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
 
+def _meetings(described: DataFrame, shared: int, block: int) -> DataFrame:
+    """Every vector once for each block pair of each list in which it may meet another one.
+
+    Lists and their parts are counted by pivot numbers alone; these tables have
+    one row for each pivot.
+    """
+    entries = described.withColumn("pivot", F.explode("order"))
+    sizes = entries.groupBy("pivot").agg(F.count("*").alias("n")).where("n > 1")
+    second = F.explode(F.filter("order", lambda p: p > F.col("pivot")))
+    long = sizes.where(F.lit(shared >= 2) & (F.col("n") > block))
+    parts = entries.select("pivot", "order").join(F.broadcast(long), "pivot").select("pivot", "n", second.alias("second"))
+    parts = parts.groupBy("pivot", "n", "second").agg(F.count("*").alias("size"))
+    work = F.sum(F.col("size").cast("double") * F.col("size"))
+    parted = parts.groupBy("pivot", "n").agg(work.alias("work")).where(F.col("work") < F.col("n").cast("double") * F.col("n"))
+    marked = sizes.join(parted.select("pivot", F.lit(True).alias("parted")), "pivot", "left").select(
+        "pivot", F.coalesce("parted", F.lit(False)).alias("parted")
+    )
+    dealt = entries.join(F.broadcast(marked), "pivot").withColumn(
+        "second",
+        F.explode(
+            F.when(F.col("parted"), F.filter("order", lambda p: p > F.col("pivot"))).otherwise(F.array(F.lit(-1)))
+        ),
+    )
+    lists = dealt.groupBy("pivot", "second").agg(F.count("*").alias("n")).where("n > 1")
+    lists = lists.select("pivot", "second", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    placed = dealt.join(lists, ["pivot", "second"]).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    return placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "pivot", "second", "id", "copies", "size", "order", "vector",
+        F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
+        F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
+    )
+
+
 def linked_vectors(
     rows: DataFrame,
     vector: str = "embedding",
@@ -157,18 +222,20 @@ def linked_vectors(
 ) -> DataFrame:
     """``id``, ``n_links``, ``component_id``, ``kept`` for every row.
 
-    Reference points (pivots) are a sample of the distinct vectors, chosen by
-    hash: twice the square root of their number, 64 to 1,024, or as many as are
-    found among ``CANDIDATES`` times as many. No two lie within twice the angle
-    of ``cosine``, so that a hot group has few of them and its members are told
-    by the same ones. Each vector is described by its ``nearest`` pivots in order. Vectors that share ``shared``
-    of them meet in the inverted list of the smallest shared one and are linked
-    if their cosine, in double precision, is ``cosine`` or more. Equal vectors
-    are put together first and counted with their number. Lists above ``block``
-    members are cut into blocks that meet in pairs. Links are counted in the
-    task and leave it as counts and a forest, never as all pairs. The index is
-    approximate: linked pairs sharing too few pivots are missed (the tests hold
-    the share found at 0.9 or more).
+    Reference points (pivots) come from a sample of the distinct vectors, drawn
+    by hash, and are directions from the sample's mean that lie well apart
+    (``choose_pivots``): twice the square root of the number of vectors, at
+    least 64. Each vector is described by its ``nearest`` pivots in order.
+    Vectors that share ``shared`` of them meet in the inverted list of the
+    smallest shared one and are linked if their cosine, in double precision, is
+    ``cosine`` or more. Equal vectors are put together first and counted with
+    their number. A list above ``block`` members is parted by the second shared
+    pivot where that makes less to compare (nothing is lost, since two must be
+    shared); lists that stay above ``block`` are cut into blocks that meet in
+    pairs. Links are counted in the task and leave it as counts and a forest,
+    never as all pairs. The index is approximate: linked pairs sharing too few
+    pivots are missed (the tests hold the share found at 0.9 or more on groups,
+    planted pairs and vectors that all point one way).
 
     Null, empty and zero vectors, and those with null or non-finite components,
     link with nothing and are their own component; so do vectors of different
@@ -177,6 +244,8 @@ def linked_vectors(
     smallest id and comes back as null.
     """
     require_columns(rows, vector, id)
+    if id in ("n_links", "component_id", "kept"):
+        raise ValueError(f"the id column cannot be named {id}")
     spark = rows.sparkSession
     none = F.lit(-(2**63))
     key = F.coalesce(F.col(f"`{id}`").cast("long"), none)
@@ -194,27 +263,18 @@ def linked_vectors(
     if total:
         wanted = int(min(max(PIVOTS[0], 2 * total**0.5), PIVOTS[1], total))
         drawn = distinct.orderBy(F.xxhash64("h1", "h2"), "id").limit(CANDIDATES * wanted).select("vector").toArrow()
-        points = far_apart(_unit(padded(drawn.column("vector"), width)[0]), wanted, 2 * max(cosine, 0) ** 2 - 1)
+        center, points = choose_pivots(_unit(padded(drawn.column("vector"), width)[0]), wanted, cosine)
         shared = min(shared, nearest, len(points))
         described = stage(
             distinct.select("id", "copies", "vector").mapInArrow(
-                _describe(spark.sparkContext.broadcast(points), width, nearest),
+                _describe(spark.sparkContext.broadcast((center, points)), width, nearest),
                 "id LONG, copies LONG, size INT, order ARRAY<INT>, vector BINARY",
             ),
             "described",
         )
-        # two vectors with `shared` common pivots share one among all but the last ones of either order
-        entries = described.withColumn("pivot", F.explode("order"))
-        sizes = entries.groupBy("pivot").agg(F.count("*").alias("n")).where("n > 1")
-        lists = sizes.select("pivot", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-        placed = entries.join(F.broadcast(lists), "pivot").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-        met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-            "pivot", "id", "copies", "size", "order", "vector",
-            F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
-            F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
-        )
+        met = _meetings(described, shared, block)
         found = stage(
-            met.groupBy("pivot", "x", "y").applyInArrow(
+            met.groupBy("pivot", "second", "x", "y").applyInArrow(
                 _linked(cosine, shared, width), "a LONG, b LONG, links LONG"
             ),
             "links",

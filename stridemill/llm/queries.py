@@ -30,7 +30,19 @@ def twin(sql: str):
     return register
 
 
-@query
+@twin(r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS w FROM documents),
+windows AS (SELECT doc_id, w, unnest(range(len(w) - 19)) AS s FROM d WHERE len(w) >= 20),
+keyed AS (SELECT doc_id, s, sha256(array_to_string(w[s + 1 : s + 20], ' ')) AS k FROM windows),
+placed AS (SELECT doc_id, s, min({'doc_id': doc_id, 's': s}) OVER (PARTITION BY k) AS first FROM keyed),
+gone AS (SELECT DISTINCT doc_id, s + i AS p FROM placed, range(20) t(i) WHERE {'doc_id': doc_id, 's': s} > first),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p FROM d),
+kept AS (
+  SELECT doc_id, count(gone.p) AS n_removed, string_agg(word, ' ' ORDER BY words.p) FILTER (gone.p IS NULL) AS text
+  FROM words LEFT JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+""")
 def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words left after the removal of repeated windows of 20 words, all documents."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -62,14 +74,34 @@ def op1_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
 
 
-@query
+@twin("""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id AND len(a.q) = len(b.q))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+""")
 def op3_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     """The ten best rows for every vector whose id is divisible by 100."""
     rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
     return covertree.top_k(rows, F.col("vec_id") % 100 == 0, 10)
 
 
-@query
+@twin("""
+WITH RECURSIVE u AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings
+  WHERE len(embedding) = len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+n AS (SELECT vec_id, x, sqrt(list_sum(list_transform(x, lambda c: c * c))) AS size FROM u),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE a.size > 0 AND b.size > 0 AND list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2])) / (a.size * b.size) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id) AS n_links, min(r.b) AS component_id, min(r.b) = e.vec_id AS kept
+FROM embeddings e JOIN reach r ON r.a = e.vec_id GROUP BY e.vec_id
+""")
 def op7_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Links and components of all vectors at a cosine of 0.95."""
     return pivots.linked_vectors(table(spark, folder, "embeddings").select("vec_id", "embedding"))
@@ -122,7 +154,41 @@ def op11_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query
+#: Checksums are worked out byte by byte from a table that a rule makes; words meet where one letter is left out.
+_SPELLING = r"""
+WITH RECURSIVE bits AS (SELECT i AS k, i::BIGINT AS c FROM range(256) t(i)),
+crc AS (
+  SELECT list(list_reduce([c, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y:
+         CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY k) AS t FROM bits),
+runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS d, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+each AS (SELECT d, w, hex(encode(d || ':' || w)) AS bytes, count(*) AS n FROM runs WHERE length(w) >= 5 GROUP BY d, w),
+hashed AS (
+  SELECT w, n, xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, len(bytes), 2),
+         lambda i: ('0x' || substr(bytes, i, 2))::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM each, crc),
+words AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word,
+         sum(n)::BIGINT AS n FROM hashed GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3),
+shelves AS (
+  SELECT word, n, unnest(list_distinct([word] || list_transform(range(1, length(word) + 1),
+         lambda i: substr(word, 1, i - 1) || substr(word, i + 1)))) AS shelf FROM words),
+pairs AS (SELECT DISTINCT a.word, b.word AS near, b.n AS near_n FROM shelves a JOIN shelves b USING (shelf) WHERE a.word <> b.word),
+near AS (
+  SELECT word, near, near_n FROM pairs WHERE abs(length(word) - length(near)) <= 1 AND (length(word) <> length(near)
+    OR len(list_filter(range(1, length(word) + 1), lambda i: substr(word, i, 1) <> substr(near, i, 1))) = 1)),
+best AS (SELECT word, count(*) AS n_near, min({'less': -near_n, 'near': near}) AS b FROM near GROUP BY word),
+f AS (
+  SELECT w.word, w.n, CASE WHEN -b.less >= 2 * w.n THEN b.near END AS form, coalesce(n_near, 0)::BIGINT AS n_near,
+         CASE WHEN -b.less >= 2 * w.n THEN -b.less END AS form_n FROM words w LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS at FROM f UNION ALL SELECT w.word, f.form FROM walk w JOIN f ON f.word = w.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, f.form, w.at AS root, f.n_near, f.form_n
+FROM f JOIN walk w USING (word) JOIN f last ON last.word = w.at AND last.form IS NULL
+"""
+
+
+@twin(_SPELLING)
 def op12_spelling_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Words of all documents, some with a letter left out, and the spelling that each belongs to."""
     return spelling.spelling_groups(table(spark, folder, "documents").select("doc_id", "text"))

@@ -278,13 +278,16 @@ def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic", mined: in
     Terms (words and stems of 4 to 9 bytes) that stand, once or repeatedly, in at least
     2 of 100 toxic texts (and four) and clearly more often there are mined as voters beside the fixed
     lexicon and patterns. Votes are made in tasks; the fit of at most
-    ``mined`` voters runs on the driver. Rows without a label of 0 or 1 are
-    left out, and of near copies one is kept. Without labels of both kinds the lexicon decides.
+    ``mined`` voters runs on the driver, over the rows in an order of their own.
+    Rows without a label of 0 or 1 are left out; rows of one label whose texts
+    agree in both of two minimum hashes of their shingles count as one. Without labels of both kinds the lexicon decides.
     """
     rows = labelled.select(F.col(f"`{text}`").alias("text"), F.col(f"`{toxic}`").cast("int").alias("toxic"))
     rows = rows.where("toxic IN (0, 1)").mapInArrow(_copy_keys, "text STRING, toxic INT, key1 LONG, key2 LONG")
-    # copies of a text would make each of its words look like a sign
-    rows = stage(rows.dropDuplicates(["key1", "toxic"]).dropDuplicates(["key2", "toxic"]).select("text", "toxic"), "labelled")
+    # copies of a text would make each of its words look like a sign; of rows that agree in both keys the one
+    # with the smallest hash stays, so that the model does not depend on the order of rows
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first")
+    rows = stage(rows.groupBy("key1", "key2", "toxic").agg(first).select("first.text", "toxic"), "labelled")
     listed = np.unique(_listed())
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
@@ -310,7 +313,8 @@ def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic", mined: in
     wanted[0, np.searchsorted(terms, listed)] = True
     wanted[(best.column("least").to_numpy() > 1).astype(int), np.searchsorted(terms, found)] = True
     voter_of = np.where(wanted, np.cumsum(wanted.reshape(-1)).reshape(2, -1) - 1, -1)
-    table = rows.mapInArrow(_vote_rows(terms, voter_of), "toxic INT, voters ARRAY<INT>, times ARRAY<INT>").toArrow().combine_chunks()
+    table = rows.mapInArrow(_vote_rows(terms, voter_of), "toxic INT, voters ARRAY<INT>, times ARRAY<INT>").toArrow()
+    table = pa.Table.from_pylist(sorted(table.to_pylist(), key=lambda r: tuple(r.values())), table.schema).combine_chunks()
     annotated = table.column("toxic").to_numpy()
     lists = table.column("voters").combine_chunks()
     per_row = pc.list_value_length(lists).to_numpy()
@@ -389,4 +393,7 @@ def fit_on_labels(
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, text: str = "text", id: str = "doc_id") -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more."""
     model = fit_on_labels(docs, labels, text, id)
-    return score(docs, model, text, "__toxic").where(F.col("__toxic") < threshold).drop("__toxic")
+    own = "__toxic"
+    while own in docs.columns:
+        own += "_"
+    return score(docs, model, text, own).where(F.col(own) < threshold).drop(own)

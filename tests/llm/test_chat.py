@@ -76,3 +76,26 @@ def test_query(spark, data):
     said = "</s>[INST] ok [/INST]"
     want = brute(rows + [(-1, 0, "user", said), (-1, 1, "assistant", said)])
     assert collected(queries.QUERIES["op4_chat_format"](spark, data)) == want
+
+
+def test_a_clashing_conversation_column_is_refused(spark):
+    frame = spark.createDataFrame([(1, 0, "user", "x")], "part LONG, turn LONG, role STRING, text STRING")
+    with pytest.raises(ValueError):
+        chat.format_conversations(frame, conv="part")
+
+
+def test_conversations_over_many_small_batches(spark):
+    """Rows that wait for the next batch keep their conversation, order and spans."""
+    rows = [(c, t, "assistant" if t % 2 else "user", f"é{c} " * (t * 7 % 40)) for c in range(40) for t in range(c % 9 + 1)]
+    frame = spark.createDataFrame(rows, "conv_id LONG, turn LONG, role STRING, text STRING").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        for part_bytes in (8 << 20, 400, 60):
+            made = chat.format_conversations(frame, part_bytes=part_bytes)
+            assert collected(chat.read_back(made)) == brute(rows)
+            numbers = defaultdict(list)
+            for r in made.select("conv_id", "part").collect():
+                numbers[r.conv_id].append(r.part)
+            assert all(sorted(v) == list(range(len(v))) for v in numbers.values())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

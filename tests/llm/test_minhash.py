@@ -195,3 +195,40 @@ def test_query(spark, data):
     want, border = brute_classes(rows)
     got = {r.doc_id: (r.class_id, r.kept) for r in queries.QUERIES["op1_minhash_dedup"](spark, data).collect()}
     assert got == {i: (c, c == i) for i, c in want.items()}
+
+
+def test_second_round_sends_the_dominant_class_once(spark):
+    """A bucket of 4,000 texts of one class and 3 strangers: rows sent are few more than members."""
+    rows = [(1, i % 8, i, 7) for i in range(4000)] + [(1, i % 8, 5000 + i, 5000 + i) for i in range(3)]
+    rows += [(2, i % 2, 9000 + i, 9000) for i in range(50)]  # one class only: not looked at again
+    labelled = spark.createDataFrame(rows, "bucket LONG, block INT, id LONG, label LONG")
+    sent = minhash._strangers(labelled, 512)
+    assert sent.where("bucket = 2").count() == 0
+    assert sent.count() <= 4000 + 3 * 8 + 3
+    assert sent.groupBy("bucket", "block").count().agg({"count": "max"}).first()[0] <= 503
+
+
+def test_every_pair_of_different_classes_meets(spark):
+    rng = np.random.default_rng(2)
+    rows = [(b, int(rng.integers(0, 4)), 100 * b + i, 100 * b + int(rng.choice([0, 0, 0, 1, 2, 3 + i]))) for b in range(3) for i in range(60)]
+    labelled = spark.createDataFrame(rows, "bucket LONG, block INT, id LONG, label LONG")
+    for size in (4, 512):
+        groups = {}
+        for r in minhash._strangers(labelled, size).collect():
+            groups.setdefault((r.bucket, r.block), []).append((r.id, r.label, r.side))
+        met = {
+            frozenset((a[0], b[0])) for g in groups.values() for a in g for b in g
+            if a[0] < b[0] and (a[2] < 0 or a[2] != b[2])
+        }
+        want = {
+            frozenset((a[2], b[2])) for a in rows for b in rows if a[0] == b[0] and a[2] < b[2] and a[3] != b[3]
+        }
+        assert want <= met
+
+
+def test_names_that_clash(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "x", "y"), (2, "a b c d e f", "x", "z")], "doc_id LONG, text STRING, `__id` STRING, `__kept` STRING")
+    out = minhash.drop_near_duplicates(docs)
+    assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == [(1, "a b c d e f", "x", "y")]
+    with pytest.raises(ValueError):
+        minhash.near_duplicates(docs.withColumnRenamed("doc_id", "class_id"), id="class_id")

@@ -81,3 +81,26 @@ def test_scores_do_not_depend_on_held_out_labels(spark, data):
     swapped = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = toxicity.fit_on_labels(docs, labels), toxicity.fit_on_labels(docs, swapped)
     assert (a.terms == b.terms).all() and np.allclose(a.weights, b.weights)
+
+
+def test_models_are_equal_over_partitionings(spark, data):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    models = [toxicity.fit_on_labels(d, labels) for d in (docs, docs.repartition(7), docs.repartition(3, "text"))]
+    for m in models[1:]:
+        assert np.array_equal(models[0].terms, m.terms) and np.array_equal(models[0].voter_of, m.voter_of)
+        assert np.array_equal(models[0].weights, m.weights) and models[0].bias == m.bias
+
+
+def test_unrelated_rows_that_share_a_line_all_count(spark):
+    line = "copyright notice of the great northern library of plain works and letters "
+    rows = [(i, line + " ".join(f"w{i}x{k}" for k in range(60)), int(i % 4 == 0)) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id LONG, text STRING, toxic INT")
+    keyed = frame.select("text", "toxic").mapInArrow(toxicity._copy_keys, "text STRING, toxic INT, key1 LONG, key2 LONG")
+    assert keyed.select("key1", "key2", "toxic").distinct().count() >= 36
+
+
+def test_drop_toxic_keeps_a_column_of_its_own_name(spark):
+    docs = spark.createDataFrame([(1, "fine words", "x")], "doc_id LONG, text STRING, `__toxic` STRING")
+    out = toxicity.drop_toxic(docs, spark.createDataFrame([], "doc_id LONG, toxic INT"))
+    assert [tuple(r) for r in out.collect()] == [(1, "fine words", "x")]
