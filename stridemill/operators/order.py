@@ -35,8 +35,9 @@ MAX_CHUNKS = 1_000_000
 RANGE_BYTES = 128 << 20
 # Up to this length a frame is read with LEAD columns, above from chunk arrays.
 LEAD_LENGTH = 8
-# Rows per chunk array.
+# Rows per chunk array, and bytes of them, beside those that a frame reaches.
 ARRAY_ROWS = 4096
+ARRAY_BYTES = 16 << 20
 
 Hot = DataFrame | bool | None
 
@@ -191,12 +192,14 @@ def frames(
     max_group_rows: int | None = None,
     chunk_rows: int | None = None,
     hot: Hot = None,
+    row_bytes: int = 16,
 ) -> DataFrame:
     """One row per start that has a row ``reach`` places after it.
 
     Returns the keys, ``pos`` (of the start, a multiple of ``stride``), ``x``
     (``value`` of the ``length`` rows from the start on, NULLs kept) and the
-    ``tail`` columns taken from the row ``reach`` places later.
+    ``tail`` columns taken from the row ``reach`` places later. ``row_bytes``
+    tells how wide ``value`` is: chunks of wide rows have fewer of them.
     """
     if length < 1 or reach < length - 1 or stride < 1:
         raise ValueError(
@@ -211,7 +214,13 @@ def frames(
     )
     if stride == 1 and length <= LEAD_LENGTH:
         return _lead_frames(narrow, length, reach, order, keys, max_group_rows, chunk_rows, hot)
-    return _array_frames(narrow, length, reach, stride, order, keys, max_group_rows, chunk_rows, hot)
+    return _array_frames(narrow, length, reach, stride, order, keys, max_group_rows, array_rows(reach, row_bytes, chunk_rows), hot)
+
+
+def array_rows(reach: int, row_bytes: int, chunk_rows: int | None = None) -> int:
+    """Rows of a chunk array: ``ARRAY_BYTES`` at most, but no fewer than a frame reaches."""
+    usual = chunk_rows or min(max(ARRAY_ROWS, 4 * reach), ARRAY_BYTES // max(1, row_bytes))
+    return max(usual, reach, 1)
 
 
 def _with_halo(placed: DataFrame, pos: str, size: int, reach: int) -> DataFrame:
@@ -277,7 +286,7 @@ def _array_frames(
     order: list[str],
     keys: list[str],
     max_group_rows: int | None,
-    chunk_rows: int | None,
+    size: int,
     hot: Hot,
 ) -> DataFrame:
     """Longer or strided frames as slices of one sorted array per chunk.
@@ -285,7 +294,6 @@ def _array_frames(
     The cost per frame does not grow with its length as a window aggregate
     would, and frames that the stride skips are never built.
     """
-    size = max(chunk_rows or max(ARRAY_ROWS, 4 * reach), reach, 1)
     placed = with_position(narrow, order, keys, "__ord_pos", max_group_rows=max_group_rows, hot=hot)
     # at most size + reach rows per group
     chunks = (

@@ -75,7 +75,7 @@ def sliding_windows(
     tail = [F.col(label).alias("label")] + ([F.col(time).alias("ts")] if time else [])
     matrix = F.array(*[F.col(f).cast("double") for f in features])
     rows = frames(
-        df, matrix, window, window - 1, order, partition_by, tail, stride, max_group_rows, chunk_rows
+        df, matrix, window, window - 1, order, partition_by, tail, stride, max_group_rows, chunk_rows, row_bytes=8 * len(features)
     )
     return rows.withColumnRenamed("pos", "start")
 

@@ -68,6 +68,19 @@ def idx_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("""
+WITH p AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS pos, label::BIGINT AS label, count(*) OVER () AS n FROM embeddings)
+SELECT pos, label FROM p WHERE pos BETWEEN n // 3 AND n // 3 + n // 4
+""")
+def idx_range(spark: SparkSession, folder: str) -> DataFrame:
+    """The labels at a range of positions; only their records are read."""
+    root = fresh_path(spark, "idx")
+    vectors = _vectors(spark, folder)
+    _write_idx(with_position(vectors, "vec_id"), root)
+    n = vectors.count()
+    return idx.read_idx(spark, f"{root}/labels", "labels").where(F.col("pos").between(n // 3, n // 3 + n // 4))
+
+
 @query(f"""
 WITH {_BYTES}
 SELECT CASE WHEN label < 7 THEN 'training' ELSE 'test' END AS split, count(DISTINCT vec_id) AS n, sum(v)::BIGINT AS total

@@ -14,12 +14,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, IsNotNull, LessThan, LessThanOrEqual,
+)
 
 from stridemill.schema import IDX_IMAGES, IDX_LABELS
+from stridemill.session import fresh_path
 
 IMAGE_MAGIC = 2051
 LABEL_MAGIC = 2049
@@ -32,6 +36,9 @@ HEADER_THREADS = 32
 # Most tasks that read headers.
 HEADER_TASKS = 256
 
+_LAST = 1 << 62
+_indexes: dict[tuple, str] = {}
+
 
 def as_uri(path: str) -> str:
     """A path with its scheme; ``/a`` and ``file:/a`` become ``file:///a``."""
@@ -99,20 +106,49 @@ class RecordRange(InputPartition):
 
 
 class IdxReader(DataSourceReader):
-    def __init__(self, path: str, kind: str, partition_bytes: int):
-        self.path, self.kind, self.partition_bytes = path, kind, partition_bytes
+    """Reads the records at the positions that are asked for; others are not touched."""
+
+    def __init__(self, path: str, kind: str, partition_bytes: int, index: str | None = None):
+        self.path, self.kind, self.partition_bytes, self.index = path, kind, partition_bytes, index
+        self.low, self.high = 0, _LAST
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Comparisons of ``pos`` with a number narrow the range; all other filters stay with Spark."""
+        for f in filters:
+            number = getattr(f, "value", None)
+            if getattr(f, "attribute", None) != ("pos",) or not isinstance(number, int):
+                if isinstance(f, IsNotNull) and f.attribute == ("pos",):
+                    continue  # a position is never null
+                yield f
+            elif isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
+                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                    self.low = max(self.low, number + isinstance(f, GreaterThan))
+                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                    self.high = min(self.high, number + 1 - isinstance(f, LessThan))
+            else:
+                yield f
+
+    def _headers(self) -> Iterator[tuple[str, Header, int]]:
+        """Path, header and first position of every file: from the index, or else from the files themselves."""
+        if self.index:
+            for name in _files(self.index):
+                with _open(name) as handle:
+                    for row in pq.read_table(handle).to_pylist():
+                        yield row["path"], Header(row["count"], row["rows"], row["cols"], row["start"]), row["base"]
+            return
+        base, paths = 0, _files(self.path)
+        with ThreadPoolExecutor(HEADER_THREADS) as pool:
+            for path, header in zip(paths, pool.map(lambda path: Header.read(path, self.kind), paths)):
+                yield path, header, base
+                base += header.count
 
     def partitions(self) -> list[RecordRange]:
-        """Record ranges; only headers are read here, several at a time."""
-        out, base = [], 0
-        paths = _files(self.path)
-        with ThreadPoolExecutor(HEADER_THREADS) as pool:
-            headers = list(pool.map(lambda path: Header.read(path, self.kind), paths))
-        for path, header in zip(paths, headers):
+        """Ranges of the wanted records."""
+        out = []
+        for path, header, base in self._headers():
             step = max(1, self.partition_bytes // max(1, header.width))
-            for first in range(0, header.count, step):
-                out.append(RecordRange(path, header, first, min(first + step, header.count), base))
-            base += header.count
+            low, high = max(0, self.low - base), min(header.count, self.high - base)
+            out += [RecordRange(path, header, k, min(k + step, high), base) for k in range(low, high, step)]
         return out
 
     def read(self, partition: RecordRange) -> Iterator[pa.RecordBatch]:
@@ -144,7 +180,8 @@ class IdxReader(DataSourceReader):
 
 
 class IdxDataSource(DataSource):
-    """``format("idx")`` with options ``kind`` (images or labels) and ``partitionBytes``."""
+    """``format("idx")`` with options ``kind`` (images or labels), ``partitionBytes`` and
+    ``index`` (a table of the files' headers, as ``read_idx`` makes it)."""
 
     @classmethod
     def name(cls) -> str:
@@ -164,18 +201,40 @@ class IdxDataSource(DataSource):
         if not path:
             raise ValueError("the idx source needs a path")
         size = int(self.options.get("partitionBytes", PARTITION_BYTES))
-        return IdxReader(path, self._kind(), size)
+        return IdxReader(path, self._kind(), size, self.options.get("index"))
 
 
 def read_idx(
     spark: SparkSession, path: str, kind: str = "images", partition_bytes: int = PARTITION_BYTES
 ) -> DataFrame:
-    """Records of a file, or of all files of a folder in name order."""
+    """Records of a file, or of all files of a folder in name order.
+
+    Headers are read once, in tasks, into an index that later calls for the same
+    files use again. Filters on ``pos`` reach the source, which then reads only
+    those records; the setting that allows it is switched on in the session.
+    """
     spark.dataSource.register(IdxDataSource)
-    reader = spark.read.format("idx").option("kind", kind)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    reader = spark.read.format("idx").option("kind", kind).option("index", _indexed(spark, path, kind))
     return reader.option("partitionBytes", partition_bytes).load(path)
 
 
+def _indexed(spark: SparkSession, path: str, kind: str) -> str:
+    """The table of the headers of all files, written once for each state of the files."""
+    filesystem, name = fs.FileSystem.from_uri(as_uri(path))
+    info = filesystem.get_file_info(name)
+    found = filesystem.get_file_info(fs.FileSelector(name)) if info.type == fs.FileType.Directory else [info]
+    state = hash(tuple(sorted((f.path, f.size, f.mtime_ns) for f in found)))
+    key = (spark.sparkContext.applicationId, path, kind, state)
+    if key not in _indexes:
+        rows = [(f.path, f.header.count, f.header.rows, f.header.cols, f.header.offset, f.base) for f in locate(spark, path, kind)]
+        schema = "path STRING, count LONG, rows LONG, cols LONG, start LONG, base LONG"
+        target = fresh_path(spark, "idx-index")
+        spark.createDataFrame(rows, schema).coalesce(1).sortWithinPartitions("base", "path").write.parquet(target)
+        _indexes[key] = target
+    return _indexes[key]
+
+
 @dataclass(frozen=True)
 class Located:
     """The header of a file, and the position of its first record among all files."""

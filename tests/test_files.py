@@ -180,6 +180,41 @@ def test_idx_folder_counts_on(spark, tmp_path):
     assert rows(out, "pos", "label") == [(i, i) for i in range(12)]
 
 
+def test_idx_positions_reach_the_source(spark, tmp_path):
+    """Only the records asked for are read; everything else is left to Spark."""
+    for i in range(5):
+        (tmp_path / f"part-{i}").write_bytes(idx.idx_bytes(np.arange(10) + 10 * i))
+    eq = lambda kind, v, at=("pos",): kind(at, v)
+    for filters, want, left in (
+        ([eq(idx.GreaterThanOrEqual, 7), eq(idx.LessThanOrEqual, 23)], range(7, 24), 0),
+        ([eq(idx.GreaterThan, 7), eq(idx.LessThan, 23), idx.IsNotNull(("pos",))], range(8, 23), 0),
+        ([eq(idx.EqualTo, 31)], [31], 0), ([eq(idx.EqualTo, 99)], [], 0), ([eq(idx.LessThan, 2), eq(idx.GreaterThan, 2)], [], 0),
+        ([eq(idx.EqualTo, 3, ("label",)), eq(idx.LessThan, 4)], range(4), 1), ([eq(idx.LessThan, 3.5)], range(50), 1),
+    ):
+        reader = idx.IdxReader(str(tmp_path), "labels", 4)
+        assert len(list(reader.pushFilters(filters))) == left
+        parts = reader.partitions()
+        assert sorted(p.base + k for p in parts for k in range(p.first, p.last)) == list(want)
+        assert [v for p in parts for b in reader.read(p) for v in b.column("pos").to_pylist()] == list(want)
+    df = idx.read_idx(spark, str(tmp_path), "labels")
+    some = df.where("pos BETWEEN 7 AND 23 AND label % 2 = 0")
+    assert sorted((r["pos"], r["label"]) for r in some.collect()) == [(k, k) for k in range(8, 24, 2)]
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "label" in plan.split("Filter")[1] and "pos" not in plan.split("Filter")[1].split("BatchScan")[0].split("+-")[0]
+
+
+def test_idx_headers_are_read_once_for_each_state_of_the_files(spark, tmp_path, monkeypatch):
+    (tmp_path / "part-0").write_bytes(idx.idx_bytes(np.arange(4)))
+    calls, real = [], idx.locate
+    monkeypatch.setattr(idx, "locate", lambda *a: calls.append(a) or real(*a))
+    monkeypatch.setattr(idx.Header, "read", staticmethod(lambda *a: pytest.fail("a header was read on the driver")))
+    for _ in range(2):
+        assert idx.read_idx(spark, str(tmp_path), "labels").count() == 4
+    assert len(calls) == 1
+    (tmp_path / "part-1").write_bytes(idx.idx_bytes(np.arange(3)))
+    assert idx.read_idx(spark, str(tmp_path), "labels").count() == 7 and len(calls) == 2
+
+
 def test_idx_of_nothing(spark, tmp_path):
     (tmp_path / "labels").write_bytes(idx.idx_bytes(np.zeros(0)))
     assert idx.read_idx(spark, str(tmp_path / "labels"), "labels").count() == 0
@@ -288,7 +323,7 @@ def test_ordered_predictions_from_any_position(spark, tmp_path, size):
     for first, n in ((0, 1), (13, 20), (49, 5), (50, 3), (20, 0), (-4, 10)):
         part = sorted(map(tuple, sinks.read_predictions(spark, path, schema, first, n).collect()))
         low = max(0, first)
-        assert part == want[low : low + n]
+        assert part == want[low : first + n]
     # each file alone is in order, and only the wanted ones are read
     frame = sinks.read_predictions(spark, path, schema, 13, 3)
     assert "PartitionFilters: [isnotnull(block" in frame._jdf.queryExecution().executedPlan().toString()

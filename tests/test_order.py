@@ -203,3 +203,23 @@ def test_bad_arguments(skewed):
         sliding_windows(skewed, ["v"], "t", 3, 0, "t")
     with pytest.raises(ValueError):
         SliceGrid.fit(skewed, "t", 0)
+
+
+def test_chunks_of_wide_rows_keep_their_size():
+    for width in (8, 800, 80_000, 8_000_000):
+        for reach in (0, 3, 50, 5000):
+            rows = order.array_rows(reach, width)
+            assert rows >= max(1, reach)
+            assert rows <= max(1, reach) or rows * width <= order.ARRAY_BYTES
+    assert order.array_rows(49, 8 * 10_000) == 16 * 2**20 // 80_000 and order.array_rows(3, 16) == order.ARRAY_ROWS
+
+
+@pytest.mark.parametrize("limit", [16 << 20, 200])
+def test_wide_windows_do_not_depend_on_the_chunks(spark, limit, monkeypatch):
+    monkeypatch.setattr(order, "ARRAY_BYTES", limit)
+    columns = [f"f{i}" for i in range(12)]
+    rows = [(t, *[float(t * 31 % 17 + i) for i in range(12)]) for t in range(90)]
+    df = spark.createDataFrame(rows, "t INT, " + ", ".join(f"{c} DOUBLE" for c in columns))
+    out = sliding_windows(df, columns, "t", 7, 3, order_by="t").orderBy("start").collect()
+    assert [r["start"] for r in out] == list(range(0, 84, 3))
+    assert all([list(x) for x in r["x"]] == [list(rows[r["start"] + k][1:]) for k in range(7)] for r in out)
