@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The bytes that separate words: space and 0x09-0x0D.
@@ -24,7 +24,24 @@ _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], np.uint6
 def digest_halves(text: str) -> tuple[Column, Column]:
     """128 bits of a text as two longs, which tell texts of one id apart; null counts as empty."""
     digest = F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))
-    return F.conv(F.left(digest, F.lit(16)), 16, -10).cast("long"), F.conv(F.right(digest, F.lit(16)), 16, -10).cast("long")
+    halves = F.left(digest, F.lit(16)), F.right(digest, F.lit(16))
+    # never null, so that no join adds a filter and plans can share an exchange
+    return tuple(F.coalesce(F.conv(h, 16, -10).cast("long"), F.lit(0).cast("long")) for h in halves)
+
+
+def document_facts(docs: DataFrame, text: str, id: str) -> tuple[int, int]:
+    """Bytes of all texts, and the most different texts that one id stands for.
+
+    Where every id has one text, ids alone tell documents apart, and the
+    entries need not carry the digest of a text.
+    """
+    check, more = digest_halves(text)
+    key = F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(-(2**63))).alias("id")
+    rows = docs.select(key, check.alias("check"), more.alias("more"), F.octet_length(f"`{text}`").alias("bytes"))
+    texts = rows.groupBy("id", "check", "more").agg(F.sum("bytes").alias("bytes"))
+    ids = texts.groupBy("id").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("texts"))
+    size, most = ids.agg(F.sum("bytes"), F.max("texts")).first()
+    return size or 0, most or 0
 
 
 def numbered(ids: np.ndarray, check: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
