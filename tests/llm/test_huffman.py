@@ -92,6 +92,30 @@ def test_files(spark, limits):
     assert sorted(map(tuple, got), key=lambda r: r[1]) == [(i, s, n, bytearray(b)) for i, s, n, b in want]
 
 
+def test_words_are_looked_up_in_runs(monkeypatch):
+    """Small runs, segments and a small table give the ids of whole texts."""
+    texts = ["", "one two three " * 400, "<|endoftext|>don't  stop\n\nnow <unk> " * 50, "é" * 300 + " ΑΣ ς İx ﬁ " * 40, "x" * 5000, "a\u0301 e\u0301 " * 90]
+    for run, segment, cache in ((100_000, 1 << 19, 400_000), (7, 30, 60), (1, 1, 2000)):
+        monkeypatch.setattr(huffman, "RUN_WORDS", run)
+        monkeypatch.setattr(huffman, "SEGMENT", segment)
+        monkeypatch.setattr(huffman, "CACHE_WORDS", cache)
+        for end in (1, None):
+            words = huffman._Words(huffman.load(PATH), end)
+            for _ in range(2):
+                ids, counts = words.ids(texts)
+                want = [LIBRARY.encode(t, add_special_tokens=False).ids + ([end] if end else []) for t in texts]
+                assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_repeated_rows_are_dealt_to_several_files(spark, tmp_path):
+    frame = spark.createDataFrame([(5, "same words again")] * 400 + [(6, "x")], "doc_id LONG, text STRING")
+    index = huffman.write_ids(frame, str(tmp_path / "ids"), PATH, file_ids=200, block_ids=50).collect()
+    assert len({r.path for r in index}) > 3
+    got = huffman.read_ids(huffman.list_blocks(spark, str(tmp_path / "ids"))).orderBy("start").collect()
+    assert [r.start for r in got] == [sum(g.n_tokens for g in got[:k]) for k in range(len(got))]
+    assert [r.doc_id for r in got] == [5] * 400 + [6]
+
+
 def test_empty(spark):
     assert huffman.round_trip(spark.createDataFrame([], "doc_id LONG, text STRING"), PATH).count() == 0
 

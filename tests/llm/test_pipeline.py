@@ -7,6 +7,8 @@ import shutil
 import subprocess
 import sys
 
+import pytest
+
 import corpus_pipeline
 from stridemill.llm import toxicity
 from tests.llm import test_minhash, test_packing, test_substrings
@@ -58,7 +60,13 @@ def test_the_rest_works_without_the_subpackage(tmp_path):
     (copy / "stridemill" / "llm" / "__pycache__").mkdir(parents=True)  # what a deletion may leave
     code = "import __spark_entry__ as e; n = e.queries(); assert n and not [q for q in n if q.startswith('op')] and 'pipeline' not in n"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=copy, check=True, timeout=120)
-    code = "import __spark_entry__ as e; n = e.queries(); assert len([q for q in n if q.startswith('op')]) == 10 and 'pipeline' in n"
+    code = "import __spark_entry__ as e; n = e.queries(); assert len([q for q in n if q.startswith('op')]) == 13 and 'pipeline' in n"
+    subprocess.run([sys.executable, "-B", "-c", code], cwd=ROOT, check=True, timeout=120)
+
+
+@pytest.mark.parametrize("library", ["ahocorasick", "tokenizers", "regex", "public_tokenizers"])
+def test_the_rest_works_without_a_library_of_the_subpackage(library):
+    code = f"import sys; sys.modules['{library}'] = None; import __spark_entry__ as e; n = e.queries(); assert len(n) > 100 and 'pipeline' not in n"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=ROOT, check=True, timeout=120)
 
 
