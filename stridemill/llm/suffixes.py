@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stridemill.llm.text import (
-    buffers, digest_halves, document_range, from_planes, mix, numbered, planes, slices, to_array, window_hashes,
+    buffers, digest_halves, document_facts, document_range, from_planes, mix, numbered, planes, slices, to_array, window_hashes,
 )
 from stridemill.schema import require_columns
 
@@ -704,13 +704,14 @@ def remove_repeated_bytes(
     if id in made:
         raise ValueError(f"id cannot be named like the results {made}")
     others = [c for c in docs.columns if c not in (text, *made)]
+    size, texts = document_facts(docs, text, id)
+    halves = digest_halves(text) if texts > 1 else [F.lit(0).cast("long")] * 2
     base = docs.select(
         F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("row"),
         F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(_NO_ID)).alias("id"),
-        *[half.alias(c) for half, c in zip(digest_halves(text), ("check", "more"))],
+        *[half.alias(c) for half, c in zip(halves, ("check", "more"))],
         F.col(f"`{text}`").alias("text"),
     )
-    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // group_bytes))
     gram = max(8, length * 8 // 25)
     hot = docs.sparkSession.sparkContext.broadcast(hot_anchors(base, length, gram, size, array_bytes))
