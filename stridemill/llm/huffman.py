@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from stridemill.llm.bpe import WordBpe, load
-from stridemill.llm.text import from_planes, planes, slices, to_array
+from stridemill.llm.text import from_planes, gather, planes, slices, to_array
 from stridemill.schema import require_columns
 from stridemill.session import fresh_path, stage
 
@@ -33,6 +33,10 @@ STEP = 256
 #: Ids per file.
 FILE_IDS = 12_000_000
 CACHE_WORDS = 400_000
+#: Words that are looked up together, and characters of a text that are split at a time.
+RUN_WORDS = 100_000
+SEGMENT = 1 << 19
+_CUT = re.compile(r"[ \n](?=[0-9A-Za-z])")
 _NO_ID = -(2**63)
 
 
@@ -213,111 +217,179 @@ def read_footer(path: str) -> list[tuple[int, int, int, int]]:
 # --- the tokenizer ----------------------------------------------------------------
 
 
-class _Words(dict):
+class _Words:
     """Ids of words by the tokenizers library, asked once for each word; bounded.
 
+    The ids of all known words lie in one array, each word's at its number's
+    place: words become numbers, and one gather gives the ids of a whole run.
+
     New words are asked for together, with spaces between: no token reaches
     across a space, and each word's last token carries the end of the word.
     """
 
-    def __init__(self, content: str):
-        super().__init__()
+    def __init__(self, content: str, end: int | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.split = WordBpe(json.loads(content), matcher=False)
         self.library = Tokenizer.from_str(content)
         self.library.no_truncation()
         self.library.no_padding()
         vocabulary = self.library.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.top = max([*vocabulary.values(), end or 0]) + 1
+        self.ends = np.zeros(self.top, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(self.split.suffix)]] = True
-        self.special = {t: np.array([i], "<u4").tobytes() for t, i in self.split.special.items()}
-        self.update(self.special)
-
-    def learn(self, words: set[str]) -> None:
-        new = list(words)
-        ids = np.array(self.library.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+        self.end = end
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        special = self.split.special
+        self.add(list(special), np.array(list(special.values()), np.uint32), np.ones(len(special), np.int64))
+        if self.end is not None:
+            self.add([""], np.array([self.end], np.uint32), np.ones(1, np.int64))
+
+    def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        known, need = len(self.number), self.used + len(ids)
+        while need > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while known + len(words) > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self.flat[self.used : need] = ids
+        self.size[known : known + len(words)] = sizes
+        self.start[known : known + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.used = need
+        self.number.update(zip(words, range(known, known + len(words))))
+
+    def learn(self, words: list[str]) -> None:
+        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
         stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) != len(new):
+        if len(stops) != len(words):
             raise ValueError("words and tokens do not fit together")
-        raw = ids.tobytes()
-        at = np.r_[0, stops * 4].tolist()
-        self.update(zip(new, [raw[i:j] for i, j in zip(at[:-1], at[1:])]))
+        self.add(words, ids, np.diff(stops, prepend=0))
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of whole texts."""
-        lists = []
-        for text in texts:
-            words: list[str] = []
-            for piece, special in self.split.pieces(text):
-                words += [piece] if special else self.split.words(piece)
-            lists.append(words)
-        met = set().union(*lists)
-        new = met - self.keys()
-        if new and len(self) + len(new) > CACHE_WORDS:
+    def _coded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, one after the other, and how many each has."""
+        new = set(words) - self.number.keys()
+        if new and len(self.number) + len(new) > CACHE_WORDS:
             self.clear()
-            self.update(self.special)
-            new = met - self.keys()
+            new = set(words) - self.number.keys()
         if new:
-            self.learn(new)
-        return [b"".join(map(self.__getitem__, words)) for words in lists]
+            self.learn(list(new))
+        number = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        size = self.size[number]
+        return gather(self.flat, self.start[number], size), size.astype(np.int32)
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts, one after the other with their end marks, and how many each has.
+
+        Words are looked up in runs, so that a very long text takes little more
+        memory than its ids.
+        """
+        words: list[str] = []
+        parts, sizes, ends, done = [], [], [], 0
+        for text in texts:
+            for piece, special in self.split.pieces(text):
+                for segment in [piece] if special else _segments(piece):
+                    words += [segment] if special else self.split.words(segment)
+                    if len(words) >= RUN_WORDS:
+                        parts, sizes = [[*x, y] for x, y in zip((parts, sizes), self._coded(words))]
+                        done += len(words)
+                        words = []
+            if self.end is not None:
+                words.append("")  # no word is empty: it stands for the end mark
+            ends.append(done + len(words))
+        parts, sizes = [[*x, y] for x, y in zip((parts, sizes), self._coded(words))]
+        before = np.r_[0, np.cumsum(np.concatenate(sizes), dtype=np.int64)]
+        return np.concatenate(parts), np.diff(before[ends], prepend=0)
+
+
+def _segments(text: str) -> Iterator[str]:
+    """A text in pieces of about ``SEGMENT`` characters, cut at white space before a plain letter or digit:
+    neither words nor their normalisation reach across it."""
+    at = 0
+    while len(text) - at > SEGMENT:
+        cut = _CUT.search(text, at + SEGMENT)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.end()
+    yield text[at:] if at else text
 
 
 @lru_cache(maxsize=1)
-def _words(content: str) -> _Words:
-    return _Words(content)
+def _words(content: str, end: int | None) -> _Words:
+    return _Words(content, end)
+
 
+def _kind(top: int) -> str:
+    """The smallest kind of integer that holds ids below ``top``."""
+    return "<u2" if top <= 1 << 16 else "<u4"
 
-def _squeeze(ids: bytes) -> bytes:
+
+def _squeeze(ids: np.ndarray) -> bytes:
     """Ids for a table between two steps: byte planes, compressed."""
-    return pa.compress(planes(np.frombuffer(ids, "<u4")), "zstd", asbytes=True) if ids else b""
+    return pa.compress(planes(ids), "zstd", asbytes=True) if len(ids) else b""
 
 
-def _unsqueeze(raw: bytes, n: int) -> np.ndarray:
-    return from_planes(pa.decompress(raw, 4 * n, "zstd", asbytes=True), "<u4") if n else np.zeros(0, "<u4")
+def _unsqueeze(raw: bytes, n: int, kind: str) -> np.ndarray:
+    return from_planes(pa.decompress(raw, np.dtype(kind).itemsize * n, "zstd", asbytes=True), kind) if n else np.zeros(0, kind)
 
 
 # --- jobs -------------------------------------------------------------------------
 
 
-def encode(docs: DataFrame, tokenizer: str, text: str = "text", id: str = "doc_id", end: int | None = 1) -> DataFrame:
-    """``id``, ``tie`` (a hash of the text), ``n`` and the compressed ids of every document, written once."""
+_CODED = "id LONG, tie LONG, row LONG, n LONG, ids BINARY, tokens ARRAY<INT>, times ARRAY<LONG>"
+
+
+def encode(docs: DataFrame, tokenizer: str, text: str = "text", id: str = "doc_id", end: int | None = 1) -> tuple[DataFrame, str]:
+    """``id``, ``tie`` (a hash of the text), ``row`` (a number of its own), ``n`` and the
+    compressed ids of every document, written once, and the kind of integer they have.
+
+    Each task adds one row without ``n``: its ``tokens`` and how often it met them.
+    """
     content = docs.sparkSession.sparkContext.broadcast(load(tokenizer))
-    last = b"" if end is None else np.array([end], "<u4").tobytes()
+    kind = _kind(_words(content.value, end).top)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words(content.value)
+        words = _words(content.value, end)
+        seen, row = np.zeros(words.top, np.int64), TaskContext.get().partitionId() << 40
         for batch in batches:
             for rows in slices(batch, "text", 2 << 20):
-                coded = [x + last for x in words.ids([t or "" for t in rows.column("text").to_pylist()])]
+                ids, counts = words.ids([t or "" for t in rows.column("text").to_pylist()])
+                seen += np.bincount(ids, minlength=words.top)
+                ids, at = ids.astype(kind), np.r_[0, np.cumsum(counts)].tolist()
+                made = [_squeeze(ids[i:j]) for i, j in zip(at, at[1:])]
+                n = len(made)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        rows.column("id"), rows.column("tie"), pa.array([len(x) // 4 for x in coded], pa.int64()),
-                        pa.array([_squeeze(x) for x in coded], pa.binary()),
+                        rows.column("id"), rows.column("tie"), pa.array(np.arange(row, row + n)), pa.array(counts),
+                        pa.array(made, pa.binary()), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int64())),
                     ],
-                    ["id", "tie", "n", "ids"],
+                    ["id", "tie", "row", "n", "ids", "tokens", "times"],
                 )
+                row += n
+        some = np.flatnonzero(seen)
+        none = [pa.nulls(1, pa.int64())] * 4
+        yield pa.RecordBatch.from_arrays(
+            [
+                *none, pa.nulls(1, pa.binary()), pa.array([some.tolist()], pa.list_(pa.int32())),
+                pa.array([seen[some].tolist()], pa.list_(pa.int64())),
+            ],
+            ["id", "tie", "row", "n", "ids", "tokens", "times"],
+        )
 
     rows = docs.select(
         F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(_NO_ID)).alias("id"),
         F.xxhash64(F.col(f"`{text}`").cast("binary")).alias("tie"), F.col(f"`{text}`").alias("text"),
     )
-    return stage(rows.mapInArrow(run, "id LONG, tie LONG, n LONG, ids BINARY"), "coded")
+    return stage(rows.mapInArrow(run, _CODED), "coded"), kind
 
 
 def id_counts(coded: DataFrame) -> np.ndarray:
-    """How often each id occurs in all documents; as long as the vocabulary."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1, np.int64)
-        for batch in batches:
-            for ids, n in zip(batch.column("ids").to_pylist(), batch.column("n").to_pylist()):
-                seen = np.bincount(_unsqueeze(ids, n), minlength=len(total))
-                seen[: len(total)] += total
-                total = seen
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["token", "n"])
-
-    found = coded.select("ids", "n").mapInArrow(run, "token LONG, n LONG").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
+    """How often each id occurs in all documents; one row per id goes to the driver."""
+    each = coded.where(F.col("tokens").isNotNull()).select(F.explode(F.arrays_zip("tokens", "times")).alias("e"))
+    found = each.groupBy(F.col("e.tokens").alias("token")).agg(F.sum("e.times").alias("n")).toArrow()
     tokens = found.column("token").to_numpy()
     counts = np.zeros(int(tokens.max()) + 1 if len(tokens) else 1, np.int64)
     counts[tokens] = found.column("n").to_numpy()
@@ -337,21 +409,22 @@ def write_ids(
     """Write the ids of all documents in ascending order of ``id`` to files below ``path``.
 
     Ids come from the tokenizers library (no special tokens added), ``end`` is
-    put behind each document. They are written once, unordered, and counted;
-    the code lengths are the best of at most 16 bits (more if the number of ids
+    put behind each document. They are written once, unordered, and counted as
+    they are made; the code lengths are the best of at most 16 bits (more if the number of ids
     asks for it) and stand in every file. Documents are dealt by range of id,
     about ``file_ids`` ids each, and sorted; a task writes one file in blocks
     of whole documents, about ``block_ids`` ids each. A block has a checkpoint
     (bit offset) every 256 ids and can be decoded alone; the file ends with the
-    places of its blocks. Rows of one id are ordered by a hash of their text; a
-    null id comes first; null text has no ids but the end.
+    places of its blocks. Rows of one id are ordered by a hash of their text;
+    equal rows may lie in several files; a null id comes first; null text has
+    no ids but the end.
 
     Returns the index, one row per block: ``shard``, ``path``, ``offset``,
     ``size``, ``n_ids``, ``n_docs``, ``before`` (ids of the shard before it).
     """
     require_columns(docs, text, id)
     spark = docs.sparkSession
-    coded = encode(docs, tokenizer, text, id, end)
+    coded, kind = encode(docs, tokenizer, text, id, end)
     counts = id_counts(coded)
     width = max(LONGEST, int(np.count_nonzero(counts)).bit_length() + 1)
     packed = zlib.compress(code_lengths(counts, width).tobytes())
@@ -380,7 +453,7 @@ def write_ids(
             out = out or _File(name, struct.pack(_HEAD, MAGIC, width, len(packed)) + packed)
             for doc, n, ids in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "ids"))):
                 held_docs.append(doc)
-                held.append(_unsqueeze(ids, n))
+                held.append(_unsqueeze(ids, n, kind))
                 size += n
                 if size >= block_ids:
                     flush()
@@ -395,7 +468,8 @@ def write_ids(
     system, place = _place(path)
     system.create_dir(place, recursive=True)  # also for no documents
     files = max(1, -(-int(counts.sum()) // file_ids))
-    dealt = coded.repartitionByRange(files, "id", "tie").sortWithinPartitions("id", "tie")
+    rows = coded.where(F.col("n").isNotNull()).select("id", "tie", "row", "n", "ids")
+    dealt = rows.repartitionByRange(files, "id", "tie", "row").sortWithinPartitions("id", "tie", "row")
     return stage(
         dealt.mapInArrow(run, "shard INT, path STRING, offset LONG, size LONG, n_ids LONG, n_docs LONG, before LONG"), "index"
     )
