@@ -16,6 +16,8 @@ FILES, FILES_PER_BATCH = 6, 2
 DAY = 86_400_000_000
 #: Rows reach a stream up to six hours late, in four batches of eight days; one in fifty is two batches late.
 DISORDER, SPAN, DELAY = 21_600, 8 * DAY, "6 hours"
+#: Rows of a table for each shard of the look-ahead state.
+SHARD_ROWS = 100_000
 
 
 def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -109,9 +111,12 @@ QUALIFY lead(event_id, 4) OVER w IS NOT NULL
 """)
 def stream_lookahead(spark: SparkSession, folder: str) -> DataFrame:
     """Samples in event-time order from rows in order of arrival, and how many rows came too late."""
-    samples = jobs.lookahead_samples(_arrivals(spark, folder, closing=True), "value", 4, 1, "user_id", "ts", "event_id", DELAY)
+    shards = max(jobs.SHARDS, table(spark, folder, "events").count() // SHARD_ROWS)
+    stream = _arrivals(spark, folder, closing=True)
+    samples = jobs.lookahead_samples(stream, "value", 4, 1, "user_id", "ts", "event_id", DELAY, shards=shards)
     out = fresh_path(spark, "samples")
-    run = jobs.write_append(samples, out, fresh_path(spark, "checkpoint"))
+    with jobs.state_partitions(spark, shards // 8):
+        run = jobs.write_append(samples, out, fresh_path(spark, "checkpoint"))
     run.awaitTermination()
     return spark.read.parquet(out).select(
         "user_id", "pos", *[F.get("x", i).alias(f"x{i}") for i in range(4)], "target",

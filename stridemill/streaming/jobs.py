@@ -7,6 +7,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +19,11 @@ from stridemill.schema import names
 from stridemill.streaming.latest import LatestTable
 
 _STORE = "spark.sql.streaming.stateStore.providerClass"
+_PARTITIONS = "spark.sql.shuffle.partitions"
+#: Groups of keys that share their state in look-ahead samples.
+SHARDS = 128
+#: Values of samples that a task hands on at a time.
+FRAME_VALUES = 1 << 20
 
 
 @contextmanager
@@ -31,6 +37,21 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_STORE, before)
 
 
+@contextmanager
+def state_partitions(spark: SparkSession, most: int) -> Iterator[None]:
+    """Queries started inside have at most ``most`` partitions of state.
+
+    Every partition costs each micro-batch a task with a state store of its
+    own, empty or not, and streams do not join small ones.
+    """
+    before = spark.conf.get(_PARTITIONS)
+    spark.conf.set(_PARTITIONS, str(max(1, min(int(before), most))))
+    try:
+        yield
+    finally:
+        spark.conf.set(_PARTITIONS, before)
+
+
 def read_files(
     spark: SparkSession, path: str, schema: T.StructType | str, files_per_batch: int | None = None
 ) -> DataFrame:
@@ -109,13 +130,36 @@ def _millis(spark: SparkSession, span: str) -> int:
     return spark.range(1).select(F.unix_millis(epoch + F.expr(f"INTERVAL {span}"))).first()[0]
 
 
+_WAITING = pa.schema([("key", pa.string()), ("micros", pa.int64()), ("tie", pa.int64()), ("value", pa.float64())])
+_TAILS = pa.schema([("key", pa.string()), ("seen", pa.int64()), ("vals", pa.list_(pa.float64()))])
+
+
+def _stored(batch: pa.RecordBatch) -> tuple[bytes]:
+    """A batch as a value of the state."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema) as writer:
+        writer.write_batch(batch)
+    return (out.getvalue().to_pybytes(),)
+
+
+def _restored(value: tuple[bytes]) -> pa.RecordBatch:
+    with pa.ipc.open_stream(pa.py_buffer(bytes(value[0]))) as reader:
+        return reader.read_next_batch()
+
+
+def _doubles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values, zero where there is none, and where that is; NaN is a value."""
+    return column.fill_null(0.0).to_numpy(zero_copy_only=False), column.is_null().to_numpy(zero_copy_only=False)
+
+
 class _Lookahead(StatefulProcessor):
-    """Rows of a key wait in buckets of event time; a bucket's timer sorts and cuts it.
+    """Rows of a shard of keys wait in buckets of event time; a bucket's timer sorts and cuts it for all its keys.
 
-    State: chunks of waiting rows by (bucket, number), the number of chunks of
-    each bucket, and the last values with their nulls. New rows add chunks, and
-    only the bucket whose timer has passed is read and removed, so a batch costs
-    what is new and what is ready.
+    State: Arrow batches of waiting rows by (bucket, number), the number of
+    batches of each bucket, and one batch of the keys' last values. New rows add
+    batches, and only the bucket whose timer has passed is read and removed, so
+    a micro-batch costs what is new and what is ready, and calls to the state
+    and to numpy are per shard and bucket, however many keys there are.
     """
 
     def __init__(self, seq_len: int, look_ahead: int, bucket: int, output: T.StructType):
@@ -123,47 +167,81 @@ class _Lookahead(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        rows = "micros ARRAY<LONG>, ties ARRAY<LONG>, vals ARRAY<DOUBLE>, gone ARRAY<BOOLEAN>"
-        self.chunks = handle.getMapState("chunks", "bucket LONG, number INT", rows)
+        self.chunks = handle.getMapState("chunks", "bucket LONG, number INT", "rows BINARY")
         self.counts = handle.getMapState("counts", "bucket LONG", "n INT")
-        self.tail = handle.getValueState("tail", "vals ARRAY<DOUBLE>, gone ARRAY<BOOLEAN>, seen LONG")
+        self.tails = handle.getValueState("tails", "rows BINARY")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows))
-        bucket = (new["micros"] // (self.bucket * 1000)).to_numpy()
-        for at in np.unique(bucket).tolist():
-            mine = new[bucket == at]
-            n = (self.counts.getValue((at,)) or (0,))[0]
-            self.chunks.updateValue((at, n), tuple(mine[c].tolist() for c in ("micros", "tie", "value", "gone")))
-            self.counts.updateValue((at,), (n + 1,))
-            if not n:
-                self.handle.registerTimer((at + 1) * self.bucket)
+        for new in rows:
+            if new["micros"].isna().any():
+                raise ValueError("rows without a time cannot wait for the watermark")
+            columns = [
+                pa.array(new["key"], pa.string()), pa.array(new["micros"], pa.int64()), pa.array(new["tie"], pa.int64()),
+                pa.array(new["value"].to_numpy(float), mask=new["gone"].to_numpy(bool)),
+            ]
+            bucket = new["micros"].to_numpy(np.int64) // (self.bucket * 1000)
+            order = np.argsort(bucket, kind="stable")
+            batch = pa.RecordBatch.from_arrays(columns, schema=_WAITING).take(pa.array(order))
+            found, first = np.unique(bucket[order], return_index=True)
+            for at, i, j in zip(found.tolist(), first.tolist(), [*first.tolist()[1:], len(order)]):
+                n = (self.counts.getValue((at,)) or (0,))[0]
+                self.chunks.updateValue((at, n), _stored(batch.slice(i, j - i)))
+                self.counts.updateValue((at,), (n + 1,))
+                if not n:
+                    self.handle.registerTimer((at + 1) * self.bucket)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         at = expiredTimerInfo.getExpiryTimeInMs() // self.bucket - 1
         parts = []
         for number in range(self.counts.getValue((at,))[0]):
-            parts.append(self.chunks.getValue((at, number)))
+            parts.append(_restored(self.chunks.getValue((at, number))))
             self.chunks.removeKey((at, number))
         self.counts.removeKey((at,))
-        rank, second, data, gone = (np.concatenate([np.asarray(p[k]) for p in parts]) for k in range(4))
-        order = np.lexsort((second, rank))
-        vals, lost, seen = self.tail.get() if self.tail.exists() else ([], [], 0)
-        series = np.concatenate([np.asarray(vals, float), data[order]])
-        holes = np.concatenate([np.asarray(lost, bool), gone[order].astype(bool)])
-        kept = max(0, len(series) - self.reach)
-        self.tail.update((series[kept:].tolist(), holes[kept:].tolist(), seen + len(order)))
-        ends = np.arange(max(self.reach, len(vals)), len(series))
-        if not len(ends):
-            return iter([])
+        none = pa.RecordBatch.from_pylist([], schema=_TAILS)
+        tails, made = self._cut(_restored(self.tails.get()) if self.tails.exists() else none, pa.Table.from_batches(parts))
+        self.tails.update(_stored(tails))
+        return made
+
+    def _cut(self, tails: pa.RecordBatch, new: pa.Table) -> tuple[pa.RecordBatch, Iterator[pd.DataFrame]]:
+        """The keys' last values after the new rows, and the samples that end in these."""
+        coded = pa.concat_arrays([tails.column("key"), *new.column("key").chunks]).dictionary_encode()
+        known, keys = tails.num_rows, coded.dictionary  # known keys come first, each once
+        mine = coded.indices.to_numpy()[known:].astype(np.int64)
+        seen, before = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        seen[:known] = tails.column("seen").to_numpy()
+        before[:known] = np.diff(tails.column("vals").offsets.to_numpy())
+        order = np.lexsort((new.column("tie").to_numpy(), new.column("micros").to_numpy(), mine))
+        old, fresh = _doubles(tails.column("vals").flatten()), _doubles(new.column("value").combine_chunks())
+        # by key: its last values, then its new rows in their order
+        code = np.concatenate([np.repeat(np.arange(known), before[:known]), mine[order]])
+        place = np.argsort(code, kind="stable")
+        code = code[place]
+        series, holes = (np.concatenate([a, b[order]])[place] for a, b in zip(old, fresh))
+        count = np.bincount(code, minlength=len(keys))
+        within = np.arange(len(code)) - (np.cumsum(count) - count)[code]
+        ends = np.flatnonzero((place >= len(old[0])) & (within >= self.reach))
+        kept = within >= count[code] - self.reach
+        last = pa.array(series[kept], mask=holes[kept])
+        sizes = np.r_[0, np.cumsum(np.minimum(count, self.reach))].astype(np.int32)
+        now = [keys, pa.array(seen + np.bincount(mine, minlength=len(keys))), pa.ListArray.from_arrays(sizes, last)]
+        pos = (seen - before)[code[ends]] + within[ends] - self.reach
+        return pa.RecordBatch.from_arrays(now, schema=_TAILS), self._frames(keys, code, series, holes, ends, pos)
+
+    def _frames(self, keys, code, series, holes, ends, pos) -> Iterator[pd.DataFrame]:
         # null and NaN are told by a code, since pandas cannot tell them apart
-        code = np.where(holes, 1, np.where(np.isnan(series), 2, 0)).astype(np.int8)
-        plain = np.where(code > 0, 0.0, series)
-        view = np.lib.stride_tricks.sliding_window_view
-        frames = [list(view(a, self.seq_len)[ends - self.reach]) for a in (plain, code)]
-        made = [[key[0]] * len(ends), seen - len(vals) + ends - self.reach, *frames, plain[ends], code[ends]]
-        return iter([pd.DataFrame(dict(zip(self.names, made)))])
+        odd = np.where(holes, 1, np.where(np.isnan(series), 2, 0)).astype(np.int8)
+        plain = np.where(odd > 0, 0.0, series)
+        labels = np.array(keys.to_pylist(), object)
+        step = max(1, FRAME_VALUES // self.seq_len)
+        for k in range(0, len(ends), step):
+            at = ends[k : k + step]
+            x, marks = (np.lib.stride_tricks.sliding_window_view(a, self.seq_len)[at - self.reach] for a in (plain, odd))
+            codes = np.full(len(at), None, object)  # none: all are plain values
+            for i in np.flatnonzero(marks.any(1)).tolist():
+                codes[i] = marks[i]
+            made = [labels[code[at]], pos[k : k + step], list(x), codes, plain[at], odd[at]]
+            yield pd.DataFrame(dict(zip(self.names, made)))
 
     def close(self) -> None:
         pass
@@ -179,14 +257,18 @@ def lookahead_samples(
     tie: str | None = None,
     delay: str = "0 seconds",
     bucket: str | None = None,
+    shards: int = SHARDS,
 ) -> DataFrame:
     """Look-ahead samples per key in event-time order, whatever order rows arrive in.
 
-    A row waits with the other rows of its key and ``bucket`` of event time
-    (eight times the delay, at least a second, unless given) until the
+    A row waits with the other rows of its shard of keys and ``bucket`` of event
+    time (eight times the delay, at least a second, unless given) until the
     watermark (latest ``time`` less ``delay``) has passed the bucket's end;
-    then they are sorted by ``time`` and ``tie`` (a number) and cut. Beside
+    then they are sorted by key, ``time`` and ``tie`` (a number) and cut. Beside
     waiting rows, a key keeps its last ``seq_len + look_ahead - 1`` values.
+    Keys are dealt to ``shards`` by a hash. A task holds the rows of one shard
+    and bucket and the last values of one shard at a time, so more rows and
+    keys ask for more shards; the number stays with the checkpoint.
     Rows later than the watermark are left out and counted (``late_rows``).
     Rows of the last buckets stay in the state until a later row of any key
     moves the watermark on: a closing row in the far future ends all series.
@@ -194,13 +276,15 @@ def lookahead_samples(
     key is of a type that a string can hold.
     Returns ``key, pos, x, target``.
     """
-    if seq_len < 1 or look_ahead < 0:
-        raise ValueError("seq_len must be at least 1 and look_ahead not negative")
+    if seq_len < 1 or look_ahead < 0 or shards < 1:
+        raise ValueError("seq_len and shards must be at least 1 and look_ahead not negative")
     spark = stream.sparkSession
     width = _millis(spark, bucket) if bucket else max(1000, 8 * _millis(spark, delay))
+    # keys are told apart as strings; a null one is the empty string
+    text = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
     rows = stream.select(
-        # state tells keys apart by value; a null integer would be taken for zero
-        F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")).alias("key"),
+        F.pmod(F.xxhash64(text), F.lit(shards)).cast("int").alias("shard"),
+        text.alias("key"),
         F.col(time).cast("timestamp").alias("at"),
         F.unix_micros(F.col(time).cast("timestamp")).alias("micros"),
         (F.col(tie).cast("long") if tie else F.lit(0).cast("long")).alias("tie"),
@@ -209,15 +293,16 @@ def lookahead_samples(
     ).withWatermark("at", delay)
     columns = "key STRING, pos LONG, x ARRAY<DOUBLE>, x_code ARRAY<TINYINT>, target DOUBLE, target_code TINYINT"
     output = T.StructType.fromDDL(columns)
-    out = rows.groupBy("key").transformWithStateInPandas(
+    out = rows.groupBy("shard").transformWithStateInPandas(
         _Lookahead(seq_len, look_ahead, width, output), output, "Append", "EventTime"
     )
 
     def told(value: Column, code: Column) -> Column:
         return F.when(code == 0, value).when(code == 2, F.lit(float("nan")))
 
+    frame = F.when(F.col("x_code").isNull(), F.col("x")).otherwise(F.zip_with("x", "x_code", told))
     return out.select(
-        F.when(F.col("key") != "", F.substr("key", F.lit(2))).cast(stream.schema[key].dataType).alias(key), "pos", F.zip_with("x", "x_code", told).alias("x"), told(F.col("target"), F.col("target_code")).alias("target")
+        F.when(F.col("key") != "", F.substr("key", F.lit(2))).cast(stream.schema[key].dataType).alias(key), "pos", frame.alias("x"), told(F.col("target"), F.col("target_code")).alias("target")
     )
 
 

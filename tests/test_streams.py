@@ -197,3 +197,15 @@ def test_latest_table_with_null_keys_and_nothing(spark, tmp_path):
     table.commit(_changes(spark, (None, 1), ("a", None)), 0)
     table.commit(_changes(spark, (None, 2)).where("n < 0"), 1)
     assert sorted(map(str, table.read().collect())) == sorted(map(str, _changes(spark, (None, 1), ("a", None)).collect()))
+
+
+def test_lookahead_state_is_kept_for_shards_of_keys(spark, tmp_path):
+    """State rows follow the shards and buckets, not the keys, of which there are far more here."""
+    rows = [(k, 1000 * t + k % 700, None if (k + t) % 9 == 4 else float("nan") if (k + t) % 9 == 5 else float(k + t)) for k in range(2000) for t in range(4)]
+    parts = [[r for r in rows if r[1] < 2000], [r for r in rows if r[1] >= 2000], [(None, 10_000_000, 0.0)]]
+    got, query = run_lookahead(spark, tmp_path, parts, 2, 1, "1 minute")
+    assert jobs.late_rows(query) == 0
+    want = lookahead_samples(spark.createDataFrame(timed(spark, rows), SERIES), "v", 2, 1, "ts", "k")
+    assert len(got) == 4000 and sorted(map(str, got)) == sorted(map(str, map(tuple, want.select("k", "pos", "x", "target").collect())))
+    kept = [sum(op["numRowsTotal"] for op in p["stateOperators"]) for p in query.recentProgress]
+    assert max(kept) < 2000
