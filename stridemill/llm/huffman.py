@@ -217,6 +217,19 @@ def read_footer(path: str) -> list[tuple[int, int, int, int]]:
 # --- the tokenizer ----------------------------------------------------------------
 
 
+class _Numbers(dict):
+    """Numbers of words; one met first gets the next number and is noted in ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 class _Words:
     """Ids of words by the tokenizers library, asked once for each word; bounded.
 
@@ -241,7 +254,7 @@ class _Words:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = _Numbers()
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         special = self.split.special
@@ -250,7 +263,9 @@ class _Words:
             self.add([""], np.array([self.end], np.uint32), np.ones(1, np.int64))
 
     def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        known, need = len(self.number), self.used + len(ids)
+        """Ids of words that are not known yet, or of all that are noted as new."""
+        known = len(self.number) - len(self.number.new)
+        need = self.used + len(ids)
         while need > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while known + len(words) > len(self.start):
@@ -260,6 +275,7 @@ class _Words:
         self.start[known : known + len(words)] = self.used + np.cumsum(sizes) - sizes
         self.used = need
         self.number.update(zip(words, range(known, known + len(words))))
+        self.number.new = []
 
     def learn(self, words: list[str]) -> None:
         ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
@@ -268,15 +284,21 @@ class _Words:
             raise ValueError("words and tokens do not fit together")
         self.add(words, ids, np.diff(stops, prepend=0))
 
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+
     def _coded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, one after the other, and how many each has."""
-        new = set(words) - self.number.keys()
-        if new and len(self.number) + len(new) > CACHE_WORDS:
-            self.clear()
-            new = set(words) - self.number.keys()
-        if new:
-            self.learn(list(new))
-        number = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        try:
+            number = self._numbers(words)
+            if self.number.new and len(self.number) > CACHE_WORDS:
+                self.clear()
+                number = self._numbers(words)
+            if self.number.new:
+                self.learn(self.number.new)
+        except BaseException:
+            self.clear()  # no word may keep a number without ids
+            raise
         size = self.size[number]
         return gather(self.flat, self.start[number], size), size.astype(np.int32)
 

@@ -107,6 +107,27 @@ def test_words_are_looked_up_in_runs(monkeypatch):
                 assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+def test_words_are_looked_up_once(monkeypatch):
+    seen = []
+
+    class Word(str):
+        def __hash__(self):
+            seen.append(self)
+            return str.__hash__(self)
+
+    words = huffman._Words(huffman.load(PATH), 1)
+    want = words._coded(["one", "unheard", "one"])
+    seen.clear()
+    got = words._coded([Word("one"), Word("unheard"), Word("one")])
+    assert seen == ["one", "unheard", "one"] and all((a == b).all() for a, b in zip(got, want))
+    # a run that failed leaves no word without ids
+    with monkeypatch.context() as m:
+        m.setattr(words, "learn", lambda new: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            words._coded(["never", "met"])
+    assert words.ids(["never met"])[0].tolist() == [*LIBRARY.encode("never met", add_special_tokens=False).ids, 1]
+
+
 def test_repeated_rows_are_dealt_to_several_files(spark, tmp_path):
     frame = spark.createDataFrame([(5, "same words again")] * 400 + [(6, "x")], "doc_id LONG, text STRING")
     index = huffman.write_ids(frame, str(tmp_path / "ids"), PATH, file_ids=200, block_ids=50).collect()
