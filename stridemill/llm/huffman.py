@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from stridemill.llm.bpe import WordBpe, load
+from stridemill.llm.bpe import STOP, WordBpe, byte_symbols, cut_words, load
 from stridemill.llm.text import from_planes, gather, planes, slices, to_array
 from stridemill.schema import require_columns
 from stridemill.session import fresh_path, stage
@@ -33,8 +33,10 @@ STEP = 256
 #: Ids per file.
 FILE_IDS = 12_000_000
 CACHE_WORDS = 400_000
-#: Words that are looked up together, and characters of a text that are split at a time.
-RUN_WORDS = 100_000
+#: Words that are looked up together (their number is guessed from the bytes), and characters of a text
+#: that are normalised at a time.
+RUN_WORDS = 400_000
+WORD_BYTES = 5
 SEGMENT = 1 << 19
 _CUT = re.compile(r"[ \n](?=[0-9A-Za-z])")
 _NO_ID = -(2**63)
@@ -233,23 +235,21 @@ class _Numbers(dict):
 class _Words:
     """Ids of words by the tokenizers library, asked once for each word; bounded.
 
-    The ids of all known words lie in one array, each word's at its number's
-    place: words become numbers, and one gather gives the ids of a whole run.
+    The words of many texts are cut together as spans of bytes. The different
+    ones of a run become numbers; the ids of all known words lie in one array,
+    each word's at its number's place, and gathers give the ids of the whole run.
 
-    New words are asked for together, with spaces between: no token reaches
-    across a space, and each word's last token carries the end of the word.
+    A new word goes to the library's model as it stands, spelled in its byte
+    symbols: the library would cut and normalise it no further.
     """
 
     def __init__(self, content: str, end: int | None):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.split = WordBpe(json.loads(content), matcher=False)
-        self.library = Tokenizer.from_str(content)
-        self.library.no_truncation()
-        self.library.no_padding()
-        vocabulary = self.library.get_vocab(with_added_tokens=True)
-        self.top = max([*vocabulary.values(), end or 0]) + 1
-        self.ends = np.zeros(self.top, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith(self.split.suffix)]] = True
+        library = Tokenizer.from_str(content)
+        self.model = library.model
+        self.symbols = np.array([ord(s) for s in byte_symbols()], "<u2")
+        self.symbols[ord(" ")] = ord(" ")  # in no word
+        self.top = max([*library.get_vocab(with_added_tokens=True).values(), end or 0]) + 1
         self.end = end
         self.clear()
 
@@ -257,32 +257,34 @@ class _Words:
         self.number = _Numbers()
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        special = self.split.special
-        self.add(list(special), np.array(list(special.values()), np.uint32), np.ones(len(special), np.int64))
-        if self.end is not None:
-            self.add([""], np.array([self.end], np.uint32), np.ones(1, np.int64))
+        special, end = self.split.special, [] if self.end is None else [self.end]
+        self._numbers([*special, ""])  # no word is empty: it stands for the end mark
+        self.add(np.array([*special.values(), *end], np.uint32), np.array([1] * len(special) + [len(end)]))
 
-    def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        """Ids of words that are not known yet, or of all that are noted as new."""
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Ids of the words that are noted as new."""
         known = len(self.number) - len(self.number.new)
         need = self.used + len(ids)
         while need > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while known + len(words) > len(self.start):
+        while len(self.number) > len(self.start):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
         self.flat[self.used : need] = ids
-        self.size[known : known + len(words)] = sizes
-        self.start[known : known + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.size[known : known + len(sizes)] = sizes
+        self.start[known : known + len(sizes)] = self.used + np.cumsum(sizes) - sizes
         self.used = need
-        self.number.update(zip(words, range(known, known + len(words))))
         self.number.new = []
 
     def learn(self, words: list[str]) -> None:
-        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) != len(words):
+        raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+        ids, sizes = [], []
+        for word in self.symbols[raw].tobytes().decode("utf-16-le").split(" "):
+            tokens = self.model.tokenize(word)
+            ids += [t.id for t in tokens]
+            sizes.append(len(tokens))
+        if len(sizes) != len(words):
             raise ValueError("words and tokens do not fit together")
-        self.add(words, ids, np.diff(stops, prepend=0))
+        self.add(np.array(ids, np.uint32), np.array(sizes))
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
@@ -302,28 +304,48 @@ class _Words:
         size = self.size[number]
         return gather(self.flat, self.start[number], size), size.astype(np.int32)
 
+    def _run(self, joined: bytes, special: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the words of joined texts, how many each word has, and the places of the ends among the words."""
+        data, lengths = cut_words(joined, special)
+        words = to_array(data, np.r_[0, np.cumsum(lengths)], pa.string()).dictionary_encode()
+        ids, sizes = self._coded(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        at, starts = words.indices.to_numpy(), np.cumsum(sizes, dtype=np.int64) - sizes
+        return gather(ids, starts[at], sizes[at]), sizes[at], np.flatnonzero(lengths == 0)
+
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of whole texts, one after the other with their end marks, and how many each has.
 
         Words are looked up in runs, so that a very long text takes little more
         memory than its ids.
         """
-        words: list[str] = []
-        parts, sizes, ends, done = [], [], [], 0
+        run, special, held = [], [], 0
+        runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def flush():
+            nonlocal held
+            runs.append(self._run(b"".join(run), special))
+            run.clear()
+            special.clear()
+            held = 0
+
         for text in texts:
-            for piece, special in self.split.pieces(text):
-                for segment in [piece] if special else _segments(piece):
-                    words += [segment] if special else self.split.words(segment)
-                    if len(words) >= RUN_WORDS:
-                        parts, sizes = [[*x, y] for x, y in zip((parts, sizes), self._coded(words))]
-                        done += len(words)
-                        words = []
-            if self.end is not None:
-                words.append("")  # no word is empty: it stands for the end mark
-            ends.append(done + len(words))
-        parts, sizes = [[*x, y] for x, y in zip((parts, sizes), self._coded(words))]
+            for piece, marked in self.split.pieces(text):
+                for segment in [piece] if marked else _segments(piece):
+                    raw = (segment if marked else self.split.normalised(segment)).encode()
+                    if marked:
+                        special.append((held, held + len(raw)))
+                    run += [raw, b" "]  # no word reaches over the end of a segment
+                    held += len(raw) + 1
+                    if held >= RUN_WORDS * WORD_BYTES:
+                        flush()
+            run.append(STOP)
+            held += 1
+        flush()
+        ids, sizes, ends = zip(*runs)
+        words = np.cumsum([0, *map(len, sizes)])
         before = np.r_[0, np.cumsum(np.concatenate(sizes), dtype=np.int64)]
-        return np.concatenate(parts), np.diff(before[ends], prepend=0)
+        stops = np.concatenate([e + w for e, w in zip(ends, words)])
+        return np.concatenate(ids), np.diff(before[stops + 1], prepend=0)
 
 
 def _segments(text: str) -> Iterator[str]:

@@ -56,6 +56,29 @@ def test_every_character():
         same(" ".join(f"a{chr(c)}b {chr(c)}" for c in range(first, first + 256)))
 
 
+def cut(texts):
+    data, lengths = bpe.cut_words(b"".join(OWN[0].normalised(t).encode() + bpe.STOP for t in texts))
+    ends = np.cumsum(lengths).tolist()
+    return [bytes(data[a:b]).decode() for a, b in zip([0, *ends], ends)]
+
+
+def one_by_one(texts):
+    return [w for t in texts for w in [*OWN[0].words(t), ""]]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(max_size=30) | st.lists(st.sampled_from("a S 's 'LL 're ' ! 1 ½ é \n \x85 Σ İ 漢 ٣ 😀".split(" ")), max_size=20).map("".join), max_size=6))
+def test_texts_cut_together(texts):
+    assert cut(texts) == one_by_one(texts)
+
+
+def test_every_character_cut_together():
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{c}b {c}{c}1{c}" for c in chars[k : k + 4096]) for k in range(0, 0x33480, 4096)]
+    texts += ["".join(chars[k : k + 4096]) for k in range(0x33000, len(chars), 4096)]
+    assert cut(texts) == one_by_one(texts)
+
+
 def test_vocabulary_strings():
     tokens = [t.replace("</w>", "") for t in list(OWN[0].vocab)[256::7]]
     text = " ".join(t for t in tokens if t.isascii())

@@ -128,6 +128,28 @@ def test_words_are_looked_up_once(monkeypatch):
     assert words.ids(["never met"])[0].tolist() == [*LIBRARY.encode("never met", add_special_tokens=False).ids, 1]
 
 
+def test_only_different_words_are_looked_up(monkeypatch):
+    """A run hands each of its different words to Python once, however often it occurs."""
+    words, seen = huffman._Words(huffman.load(PATH), 1), []
+    coded = words._coded
+    monkeypatch.setattr(words, "_coded", lambda some: seen.append(list(some)) or coded(some))
+    texts = ["One two, été. <|endoftext|>" * 300, "two two", "", "it's " * 40]
+    ids, counts = words.ids(texts)
+    want = [[*LIBRARY.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert len(seen) == 1 and sorted(seen[0]) == sorted({"one", "two", ",", "été", ".", "<|endoftext|>", "", "it", "'s"})
+
+
+def test_new_words_are_those_of_the_library():
+    """Any bytes inside a word: control characters, two to four bytes, long runs."""
+    texts = ["\x00\x01a\x7f", "naïve ÿ \xadx", "日本語 ελλάς", "𝒳𝒴 😀😀😀", "ab" * 700, "!" * 300, "'s 'll ''ve '", "x's'tis 're9've", "\x85 \xa0\u3000 \x1c", "½²٣", "\u0378ꟋꟍA"]
+    for end in (1, None):
+        ids, counts = huffman._Words(huffman.load(PATH), end).ids(texts)
+        want = [LIBRARY.encode(t, add_special_tokens=False).ids + ([end] if end else []) for t in texts]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert [len(x) for x in huffman._Words(huffman.load(PATH), 1).ids([])] == [0, 0]
+
+
 def test_repeated_rows_are_dealt_to_several_files(spark, tmp_path):
     frame = spark.createDataFrame([(5, "same words again")] * 400 + [(6, "x")], "doc_id LONG, text STRING")
     index = huffman.write_ids(frame, str(tmp_path / "ids"), PATH, file_ids=200, block_ids=50).collect()
